@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import langid, packing, quality_bayes
+from . import langid, packing, quality_bayes, quality_rules, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,56 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@_register
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.measure(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_words_kept")
+
+
+ORACLES["op1_quality_rules"] = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    s AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[ 	-]+'), lambda w: w <> '') AS ws,
+                 list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS ls FROM d),
+    w AS (SELECT doc_id, i, list_slice(ws, i, i + 7) AS g FROM s, LATERAL (SELECT unnest(range(1, len(ws) - 6)) AS i)),
+    g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM w),
+    c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, (SELECT unnest(range(0, 8)) AS k) WHERE n > 1 GROUP BY doc_id),
+    l AS (SELECT doc_id, trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS l FROM (SELECT doc_id, unnest(ls) AS l FROM s)),
+    m AS (SELECT doc_id, l, len(string_split_regex(l, '[ 	-]+')) AS n FROM l),
+    k AS (SELECT doc_id, sum(n) AS n FROM m
+          WHERE NOT (len(regexp_extract_all(l, '[#*$%&|<>]+')) > 0.34 * n OR len(regexp_extract_all(l || ' ', '!![ 	-]')) > 0.4 * n
+                     OR (n <= 25 AND regexp_matches(l, '^[^|»›>]{0,60}([|»›>][^|»›>]{0,60}){2,}$'))
+                     OR regexp_matches(l, '(?i)(licensed under the|all rights reserved|terms of (use|service)|privacy policy|cookie policy|javascript is (disabled|required)|creative commons|general public license|copyright ©)'))
+          GROUP BY doc_id),
+    r AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+                 CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+                 CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+                 CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(k.n, 0) AS BIGINT) AS line_words_kept
+          FROM s LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)),
+    b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM r)
+    SELECT *, NOT base_failed AND line_words_kept >= 0.5 * n_words AS kept FROM b
+"""
+
+
+@_register
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op4_substring_dedup"] = r"""
+    WITH s AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') AS ws FROM documents),
+    w AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 19), ' ')) AS h FROM s, LATERAL (SELECT unnest(range(1, len(ws) - 18)) AS i)),
+    r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM w),
+    g AS (SELECT DISTINCT doc_id, i + k AS j FROM r, (SELECT unnest(range(0, 20)) AS k) WHERE n > 1),
+    a AS (SELECT doc_id, list(j) AS js FROM g GROUP BY doc_id),
+    e AS (SELECT s.doc_id, ws, coalesce(js, []) AS js FROM s LEFT JOIN a USING (doc_id)),
+    x AS (SELECT doc_id, j, w FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS j FROM s)),
+    k AS (SELECT x.doc_id, string_agg(w, ' ' ORDER BY x.j) AS t FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.j = g.j WHERE g.j IS NULL GROUP BY x.doc_id)
+    SELECT e.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(js) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM e LEFT JOIN k ON e.doc_id = k.doc_id
+"""
+
+
 @_register
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
