@@ -24,7 +24,7 @@ def new_name(folder: str, stem: str, suffix: str) -> str:
 def writer(uri: str):
     system, path = _open(uri)
     system.create_dir(os.path.dirname(path), recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)  # else the name decides
 
 
 def write(uri: str, data: bytes) -> None:
