@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import jaccard, langid, ngram_lm, packing, quality_bayes, quality_rules, substring, topk, warc
+from . import jaccard, langid, ngram_lm, packing, pieces, quality_bayes, quality_rules, substring, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,6 +128,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_languages")
 
 
+@_register
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.segment(docs, tokenizer_path("piece_bpe_32k.model"), keep_ids=False).drop("text")
+
+
 @_register
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts are the documents' sources, paths their sections by language."""
