@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, each with its DuckDB twin where SQL can express it."""
 
-from . import passages, text
+from . import ordered, passages, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "passages", "text"]
+__all__ = ["ORACLES", "QUERIES", "ordered", "passages", "text"]

@@ -9,8 +9,6 @@ from ..functions import numbers as N
 from ..functions import text as X
 from .registry import query, table
 
-T = F.col("text")
-
 _NORMAL = r"""
     WITH a AS (SELECT doc_id, text, regexp_replace(text, '\r\n?', chr(10), 'g') AS t FROM documents),
     b AS (SELECT doc_id, text, array_to_string(list_transform(string_split(t, chr(10)), lambda l: trim(regexp_replace(l, '[ \t]+', ' ', 'g'))), chr(10)) AS t FROM a),
@@ -27,32 +25,32 @@ _SPOKEN = r"""
 
 @query("text_normalize", _NORMAL + "SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS normal_sha FROM n")
 def text_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", X.normalize(T).alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", X.normalize(F.col("text")).alias("t"))
     return d.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("normal_sha"))
 
 
 @query("text_spoken_render", _NORMAL + _SPOKEN + "SELECT doc_id, CAST(len(ps) AS BIGINT) AS n_paragraphs, sha256(sp) AS spoken_sha FROM s")
 def text_spoken_render(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraphs of these documents are single lines."""
-    d = table(spark, sf, "documents").select("doc_id", X.spoken(X.normalize(T), "\n").alias("s"))
+    d = table(spark, sf, "documents").select("doc_id", X.spoken(X.normalize(F.col("text")), "\n").alias("s"))
     return d.select("doc_id", F.when(F.col("s") == "", 0).otherwise(F.size(F.split("s", "\n"))).cast("long").alias("n_paragraphs"), F.sha2("s", 256).alias("spoken_sha"))
 
 
 @query("text_layers_hash", _NORMAL + _SPOKEN + "SELECT doc_id, sha256(text) AS source_sha, sha256(t) AS normal_sha, sha256(sp) AS spoken_sha, sha256(concat_ws('|', sha256(text), sha256(t), sha256(sp))) AS fingerprint FROM s")
 def text_layers_hash(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "text", X.normalize(T).alias("n"))
+    d = table(spark, sf, "documents").select("doc_id", "text", X.normalize(F.col("text")).alias("n"))
     d = d.select("doc_id", F.sha2("text", 256).alias("source_sha"), F.sha2("n", 256).alias("normal_sha"), F.sha2(X.spoken(F.col("n"), "\n"), 256).alias("spoken_sha"))
     return d.withColumn("fingerprint", F.sha2(F.concat_ws("|", "source_sha", "normal_sha", "spoken_sha"), 256))
 
 
 @query("redact_secrets", r"""SELECT doc_id, sha256(substring(regexp_replace(regexp_replace(regexp_replace(text, '(?i)bearer\s+[a-z0-9._~+/=-]+', 'Bearer [redacted]', 'g'), 'eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', '[jwt]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), 1, 4000)) AS clean_sha FROM documents""")
 def redact_secrets(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.sha2(X.redact(T, 4000), 256).alias("clean_sha"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(X.redact(F.col("text"), 4000), 256).alias("clean_sha"))
 
 
 @query("safe_text_trunc", r"SELECT doc_id, nullif(substring(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 120), '') AS safe_text FROM documents")
 def safe_text_trunc(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", X.bounded(T, 120).alias("safe_text"))
+    return table(spark, sf, "documents").select("doc_id", X.bounded(F.col("text"), 120).alias("safe_text"))
 
 
 @query("redact_urls", r"""SELECT page_id, sha256(regexp_replace(html, '(https?://[^\s"''?#<>]+)[^\s"''<>]*', '\1', 'g')) AS html_sha FROM pages""")
@@ -113,20 +111,20 @@ def usage_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("token_digest", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9]+|\p{L}+(?:[-'']\p{L}+)*')) AS BIGINT) AS n_tokens, sha256(array_to_string(regexp_extract_all(text, '[0-9]+|\p{L}+(?:[-'']\p{L}+)*'), '|')) AS tokens_sha FROM documents")
 def token_digest(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", X.tokens(T).alias("ts"))
+    d = table(spark, sf, "documents").select("doc_id", X.tokens(F.col("text")).alias("ts"))
     return d.select("doc_id", F.size("ts").cast("long").alias("n_tokens"), F.sha2(F.array_join("ts", "|"), 256).alias("tokens_sha"))
 
 
 @query("abbrev_scan", r"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '[0-9]+|\p{L}+(?:[-'']\p{L}+)*'), lambda t: regexp_full_match(t, '[A-Z]{2,6}'))) AS BIGINT) AS n_abbreviations, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS BIGINT) AS n_words FROM documents""")
 def abbrev_scan(spark: SparkSession, sf: str) -> DataFrame:
-    found = F.filter(X.tokens(T), lambda t: t.rlike("^[A-Z]{2,6}$"))
-    return table(spark, sf, "documents").select("doc_id", F.size(found).cast("long").alias("n_abbreviations"), X.word_count(T).alias("n_words"))
+    found = F.filter(X.tokens(F.col("text")), lambda t: t.rlike("^[A-Z]{2,6}$"))
+    return table(spark, sf, "documents").select("doc_id", F.size(found).cast("long").alias("n_abbreviations"), X.word_count(F.col("text")).alias("n_words"))
 
 
 @query("sentence_units", r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?…\n]+[.!?…]*'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM documents)
     SELECT doc_id, CAST(i AS INT) AS ordinal, printf('editorial_%04d', CAST(i AS BIGINT)) AS unit_id, CAST(length(ss[i]) AS BIGINT) AS n_chars, substring(sha256(ss[i]), 1, 16) AS unit_sha FROM s, LATERAL (SELECT unnest(range(1, len(ss) + 1)) AS i)""")
 def sentence_units(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "documents").select("doc_id", F.posexplode(X.sentences(T)).alias("i", "s")).withColumn("ordinal", F.col("i") + 1)
+    s = table(spark, sf, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("i", "s")).withColumn("ordinal", F.col("i") + 1)
     return s.select("doc_id", "ordinal", F.format_string("editorial_%04d", "ordinal").alias("unit_id"), F.length("s").cast("long").alias("n_chars"), X.short_id(F.col("s"), 16).alias("unit_sha"))
 
 
@@ -135,7 +133,7 @@ def sentence_units(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id, CAST(count(*) AS BIGINT) AS n_sentences, CAST(sum(len(cs)) AS BIGINT) AS n_clauses, CAST(max(list_max(list_transform(cs, lambda x: length(x)))) AS BIGINT) AS longest FROM c GROUP BY doc_id""")
 def clause_split(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraph, sentence, and, for sentences of over 125 characters, clause."""
-    s = table(spark, sf, "documents").select("doc_id", F.explode(X.sentences(T)).alias("s"))
+    s = table(spark, sf, "documents").select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
     clauses = F.filter(F.transform(F.regexp_extract_all("s", F.lit("[^,;:]+[,;:]*"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
     c = s.withColumn("cs", F.when(F.length("s") <= 125, F.array("s")).otherwise(clauses))
     longest = F.array_max(F.transform("cs", F.length))
