@@ -81,12 +81,15 @@ def new_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return after.join(e.where(F.col("ts") < cut).select("user_id", "k").distinct(), ["user_id", "k"], "left_anti")
 
 
-@query("eta_running_avg", """SELECT event_id, user_id, round(avg(value) OVER w * count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 2) AS eta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+@query("eta_running_avg", """WITH c AS (SELECT event_id, user_id, ts, CAST(round(value * 100) AS BIGINT) AS cents FROM events)
+    SELECT event_id, user_id, CAST(coalesce(sum(cents) OVER w, 0) * count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) // greatest(count(*) OVER w, 1) AS BIGINT) AS eta_cents FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def eta_running_avg(spark: SparkSession, sf: str) -> DataFrame:
-    """Average of the items done times the items left."""
+    """Average of the items done times the items left, in whole hundredths."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    done, left = F.avg("value").over(w.rowsBetween(W.unboundedPreceding, -1)), F.count("*").over(w.rowsBetween(0, W.unboundedFollowing))
-    return _events(spark, sf).select("event_id", "user_id", F.round(done * left, 2).alias("eta"))
+    done, left = w.rowsBetween(W.unboundedPreceding, -1), F.count("*").over(w.rowsBetween(0, W.unboundedFollowing))
+    c = _events(spark, sf).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    c = c.withColumns({"s": F.coalesce(F.sum("cents").over(done), F.lit(0)), "n": F.greatest(F.count("*").over(done), F.lit(1)), "k": left})
+    return c.select("event_id", "user_id", F.expr("s * k div n").alias("eta_cents"))
 
 
 @query("page_fill_budget", "SELECT source, doc_id, CAST(ordinal AS INT) AS ordinal, CAST(running AS BIGINT) AS running FROM (SELECT *, row_number() OVER w AS ordinal, sum(n_chars) OVER w AS running FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)) WHERE ordinal <= 16 AND running <= 30000")
