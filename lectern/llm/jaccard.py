@@ -228,7 +228,8 @@ def similar(docs: DataFrame) -> DataFrame:
     group = ["key", "i", "j"]
     placed = dealt.join(signs, "id").repartition(parts, *group).sortWithinPartitions(*group)
     wanted = materialize(placed.mapInArrow(_wanted, "key long, i int, j int, block int, id long"), "wanted")
-    texts = known.withColumnRenamed("doc_id", "id").join(wanted.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    # merged at every size: a broadcast of the wanted ids would grow with the input
+    texts = known.withColumnRenamed("doc_id", "id").join(wanted.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     full = wanted.join(texts.join(signs, "id"), "id").repartition(parts, *group).sortWithinPartitions(*group)
     linked = materialize(full.mapInArrow(_verify, "a long, b long, links long"), "links")
     classes = components(linked.select("a", "b"))
