@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     id stay."""
     ship(spark)
     found = materialize(jaccard.similar(docs), "classes")
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct().hint("merge")
     known = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
     return known.unionByName(docs.where("doc_id is null")).select(docs.columns)
 

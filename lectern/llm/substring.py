@@ -183,7 +183,7 @@ def removals(docs: DataFrame, batches: int = 2) -> DataFrame:
         whole, mixed = index.add(rows.where(part == k))
         gone.append(whole)
     todo = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    windows = rows.join(todo, "doc_id").select("doc_id", "text", "spans").mapInArrow(_compare, "a long, b long, doc_id long, start int")
+    windows = rows.join(todo.hint("merge"), "doc_id").select("doc_id", "text", "spans").mapInArrow(_compare, "a long, b long, doc_id long, start int")
     earliest = W.partitionBy("a", "b")
     later = windows.withColumn("least", F.min("doc_id").over(earliest)).where("doc_id > least").select("doc_id", "start", F.lit(1).alias("n"))
     for g in gone:
@@ -193,6 +193,6 @@ def removals(docs: DataFrame, batches: int = 2) -> DataFrame:
 
 def remove(docs: DataFrame, batches: int = 2) -> DataFrame:
     """`docs` with n_words, n_removed, kept_sha256 and kept_text (null where nothing goes) behind its columns."""
-    both = docs.join(removals(docs, batches).withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    both = docs.join(removals(docs, batches).withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]
     return add_columns(both, fields, lambda: _digest_columns).drop("_spans")
