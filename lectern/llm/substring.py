@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -126,10 +127,11 @@ def _spans(starts: list, counts: list) -> np.ndarray:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """128-bit hashes of the windows to compare, once per document and sequence."""
     for batch in chunks(batches):
+        batch = batch.filter(pc.is_valid(batch.column("spans")))
         words = Words(batch.column("text"))
         h = words.hashes()
         a, b = window_hashes(h, WINDOW, 1).view(np.int64), window_hashes(h, WINDOW, 2).view(np.int64)
-        spans = [_spans([s["start"] for s in x], [s["n"] for s in x]) for x in batch.column("spans").to_pylist()]
+        spans = [_spans([s["start"] for s in x or ()], [s["n"] for s in x or ()]) for x in batch.column("spans").to_pylist()]
         at = np.concatenate([s + base for s, base in zip(spans, words.starts)]) if spans else np.empty(0, np.int64)
         row = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
         yield pa.record_batch([pa.array(a[at]), pa.array(b[at]), batch.column("doc_id").take(pa.array(row)), pa.array(at - words.starts[row], pa.int32())], names=["a", "b", "doc_id", "start"])
@@ -183,7 +185,8 @@ def removals(docs: DataFrame, batches: int = 2) -> DataFrame:
         whole, mixed = index.add(rows.where(part == k))
         gone.append(whole)
     todo = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    windows = rows.join(todo.hint("merge"), "doc_id").select("doc_id", "text", "spans").mapInArrow(_compare, "a long, b long, doc_id long, start int")
+    # a left join, as that of `remove`, so that both read one shuffle of the texts
+    windows = rows.join(todo.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "spans").mapInArrow(_compare, "a long, b long, doc_id long, start int")
     earliest = W.partitionBy("a", "b")
     later = windows.withColumn("least", F.min("doc_id").over(earliest)).where("doc_id > least").select("doc_id", "start", F.lit(1).alias("n"))
     for g in gone:
