@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowmap import add_columns
+from .arrowmap import add_text_columns
 from .words import Words, chunks
 
 BUCKETS, SEGMENT, ROUNDS, MIXTURE, PENALTY = 1 << 15, 16, 12, 4, 3.0
@@ -131,8 +131,8 @@ def predict(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str =
     """`docs` with the main language of each text, its share of the text (0 to 1) and the languages found."""
 
     def make():
-        def run(batch: pa.RecordBatch) -> list[pa.Array]:
-            shares, size = mixtures(batch.column("text"), model)
+        def run(texts: pa.Array) -> list[pa.Array]:
+            shares, size = mixtures(texts, model)
             if not model.langs:
                 return [pa.array([UNKNOWN] * len(size)), pa.array(np.zeros(len(size))), pa.array(size)]
             return [pa.array([model.langs[i] if s else UNKNOWN for i, s in zip(shares.argmax(axis=1), size)], pa.string()), pa.array(np.clip(shares.max(axis=1), 0, 1)), pa.array(size)]
@@ -140,5 +140,6 @@ def predict(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str =
         return run
 
     fields = [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType()), T.StructField("n_languages", T.LongType())]
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return add_columns(docs, fields, make).withColumns({pred: F.when(letter, F.col(pred)).otherwise(UNKNOWN), score: F.when(letter & (F.col(pred) != UNKNOWN), F.col(score)).otherwise(F.lit(0.0))})
+    found = add_text_columns(docs, fields, make)
+    letter = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
+    return found.withColumns({pred: F.when(letter, F.col(pred)).otherwise(UNKNOWN), score: F.when(letter & (F.col(pred) != UNKNOWN), F.col(score)).otherwise(F.lit(0.0))})

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowmap import add_columns
+from .arrowmap import add_text_columns
 from .elias_fano import Sequence, encode
 from .files import mapped, new_name, write
 from .store import fresh_dir, parallelism
@@ -181,7 +181,7 @@ def _book(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _build(vocabulary: Vocabulary, shards: int, folder: str):
-    """Trie files of the successor level. A partition holds all blocks of its shards."""
+    """Trie files of the successor level. A partition has all blocks of its shards, sorted by shard; one shard is held at a time."""
     width = -(-max(vocabulary.size, 1) // shards)
 
     def one(v: np.ndarray, w: np.ndarray, n: np.ndarray, shard: int) -> bytes:
@@ -211,15 +211,22 @@ def _build(vocabulary: Vocabulary, shards: int, folder: str):
         parts = [x + b"\0" * (-len(x) % 8) for x in parts]
         return np.cumsum([48] + [len(x) for x in parts[:-1]]).astype("<i8").tobytes() + b"".join(parts)
 
+    def built(s: int, blocks: list) -> pa.RecordBatch:
+        path = new_name(folder, f"pairs-{s:06d}", ".trie")
+        write(path, one(*(np.concatenate(x) for x in zip(*blocks)), s))
+        return pa.record_batch([pa.array([s], pa.int32()), pa.array([path])], names=["shard", "path"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list] = {}
+        at, held = None, []
         for b in batches:
             for s, *block in zip(*(b.column(c).to_pylist() for c in ("shard", "v", "w", "n"))):
-                got.setdefault(s, []).append([np.frombuffer(x, "<u4") for x in block])
-        for s in sorted(got):
-            path = new_name(folder, f"pairs-{s:06d}", ".trie")
-            write(path, one(*(np.concatenate(x) for x in zip(*got.pop(s))), s))
-            yield pa.record_batch([pa.array([s], pa.int32()), pa.array([path])], names=["shard", "path"])
+                if s != at and held:
+                    yield built(at, held)
+                    held = []
+                at = s
+                held.append([np.frombuffer(x, "<u4") for x in block])
+        if held:
+            yield built(at, held)
 
     return run
 
@@ -288,7 +295,7 @@ def train(docs: DataFrame) -> Model:
     made = words.mapInArrow(_write_words(folder, shards), "shard long, path string, n long, tokens long").collect()  # a row per shard
     vocabulary = Vocabulary(shards, [tuple(r) for r in made])
     pair_shards = max(parts, -(-vocabulary.tokens // SHARD_TOKENS))
-    blocks = rows.mapInArrow(_count_pairs(vocabulary, pair_shards), "shard int, v binary, w binary, n binary").repartition(parts, "shard")
+    blocks = rows.mapInArrow(_count_pairs(vocabulary, pair_shards), "shard int, v binary, w binary, n binary").repartition(max(parts, pair_shards), "shard").sortWithinPartitions("shard")
     files = blocks.mapInArrow(_build(vocabulary, pair_shards, folder), "shard int, path string").collect()  # a row per shard
     return Model(vocabulary, pair_shards, {r.shard: r.path for r in files})
 
@@ -297,8 +304,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with n_tokens, n_known, train_tokens, base_score and score."""
     vocabulary = model.vocabulary
 
-    def per_batch(batch: pa.RecordBatch) -> list[pa.Array]:
-        t = Tokens(batch.column("text"))
+    def per_batch(texts: pa.Array) -> list[pa.Array]:
+        t = Tokens(texts)
         ids, counts = vocabulary.lookup(t.hash)
         p0 = vocabulary.log_p0(counts)
         v, code = ids[t.before()], t.codes
@@ -313,4 +320,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return [pa.array(n), pa.array(sums((counts[code] > 0).astype(np.int64)).astype(np.int64)), pa.array(np.full(len(n), vocabulary.tokens)), pa.array(sums(p0[code])), pa.array(sums(p[back]))]
 
     kinds = {"n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.LongType(), "base_score": T.DoubleType(), "score": T.DoubleType()}
-    return add_columns(docs, [T.StructField(k, v) for k, v in kinds.items()], lambda: per_batch)
+    return add_text_columns(docs, [T.StructField(k, v) for k, v in kinds.items()], lambda: per_batch)

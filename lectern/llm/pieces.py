@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrowmap import add_columns
+from .arrowmap import add_text_columns
 from .words import ranges
 
 N_BEST = 4
@@ -191,8 +191,8 @@ def segment(docs: DataFrame, model_path: str, n: int = N_BEST, keep_ids: bool =
     def make():
         encoder = Encoder(model_path, n)
 
-        def per_batch(batch: pa.RecordBatch) -> list[pa.Array]:
-            texts = pc.fill_null(batch.column("text"), "").to_pylist()
+        def per_batch(column: pa.Array) -> list[pa.Array]:
+            texts = pc.fill_null(column, "").to_pylist()
             found = encoder.encode(texts)
             digest = [[(s, len(x), zlib.crc32(x)) for s, x in rows] for rows in found]
             inner = pa.struct([("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64())])
@@ -201,4 +201,4 @@ def segment(docs: DataFrame, model_path: str, n: int = N_BEST, keep_ids: bool =
 
         return per_batch
 
-    return add_columns(docs, [T.StructField(k, t) for k, t in kinds], make)
+    return add_text_columns(docs, [T.StructField(k, t) for k, t in kinds], make)

@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowmap import add_columns
+from .arrowmap import Masked, add_columns
+from .store import materialize
 from .words import Words, chunks, window_hashes
 
 #: Bound of the sample of labelled rows that the classifier is fitted on.
@@ -156,7 +157,7 @@ def _logit(p: Column) -> Column:
 
 def _sites(scored: DataFrame, host: str, path: str) -> DataFrame:
     """Of each host and path: shrunk rates of each kind, as log odds against the global rate."""
-    paths = scored.groupBy(F.col(host).alias("h"), F.col(path).alias("p")).agg(F.count("*").alias("n"), *(F.sum(f"_p_{k}").alias(k) for k in KINDS))
+    paths = scored.groupBy(F.col(host).cast("string").alias("h"), F.col(path).cast("string").alias("p")).agg(F.count("*").alias("n"), *(F.sum(f"_p_{k}").alias(k) for k in KINDS))
     hosts = paths.groupBy("h").agg(F.sum("n").alias("hn"), *(F.sum(k).alias(f"h_{k}") for k in KINDS))
     total = hosts.agg(F.sum("hn").alias("tn"), *(F.sum(f"h_{k}").alias(f"t_{k}") for k in KINDS), *(F.coalesce(F.var_samp(F.when(F.col("hn") >= 20, F.col(f"h_{k}") / F.col("hn"))), F.lit(0.0)).alias(f"v_{k}") for k in KINDS))
     one = paths.join(hosts.withColumnRenamed("h", "hh"), F.col("h").eqNullSafe(F.col("hh"))).join(F.broadcast(total))  # total is one row
@@ -174,21 +175,23 @@ def _sites(scored: DataFrame, host: str, path: str) -> DataFrame:
 def classify(docs: DataFrame, model: Classifier, host: str, path: str, evidence: DataFrame | None = None) -> DataFrame:
     """`docs` with p_bad, p_toxic and quality_ok. `evidence` has the rows to pool sites over (all of `docs` if not given)."""
 
-    def scored(rows: DataFrame) -> DataFrame:
+    m = Masked(docs)
+    own_host, own_path = (F.col(m.name(c)).cast("string") for c in (host, path))
+
+    def scored(rows: DataFrame, text: str) -> DataFrame:
         fields = [T.StructField(f"_x_{k}", T.DoubleType()) for k in KINDS]
-        with_x = add_columns(rows, fields, lambda: lambda batch: [pa.array(x) for x in model.log_odds(batch.column("text"))])
+        with_x = add_columns(rows, fields, lambda: lambda batch: [pa.array(x) for x in model.log_odds(batch.column(text))], text)
         return with_x.withColumns({f"_p_{k}": 1 / (1 + F.exp(-F.col(f"_x_{k}"))) for k in KINDS})
 
-    pool = scored((docs if evidence is None else evidence).select(F.col(host).alias("_h"), F.col(path).alias("_q"), F.col("text").cast("string").alias("text")))
-    from .store import materialize
-
+    pool = scored((docs if evidence is None else evidence).select(F.col(host).alias("_h"), F.col(path).alias("_q"), F.col("text").cast("string").alias("text")), "text")
     sites = materialize(_sites(pool, "_h", "_q"), "sites")
-    rows = scored(docs)
+    rows = scored(*m.as_string(m.df, "text"))
     if sites.count() <= BROADCAST_SITES:
-        both = rows.join(F.broadcast(sites), F.col(host).eqNullSafe(F.col("h")) & F.col(path).eqNullSafe(F.col("p")), "left")
+        both = rows.join(F.broadcast(sites), own_host.eqNullSafe(F.col("h")) & own_path.eqNullSafe(F.col("p")), "left")
     else:
         salted = sites.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_salt_of", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
-        both = rows.join(salted, F.col(host).eqNullSafe(F.col("h")) & F.col(path).eqNullSafe(F.col("p")) & (F.col("_salt_of") == F.col("_salt")), "left")
-    out = both.select(*(F.col(c) for c in docs.columns), *((1 / (1 + F.exp(-(F.col(f"_x_{k}") + F.coalesce(F.col(f"_site_{k}"), F.lit(0.0)))))).alias(f"p_{k}") for k in KINDS))
-    return out.withColumn("quality_ok", (F.col("p_bad") < 0.5) & (F.col("p_toxic") < 0.5))
+        rows = rows.withColumn("_salt_of", F.pmod(F.xxhash64(*m.df.columns), F.lit(SALTS)).cast("int"))
+        both = rows.join(salted, own_host.eqNullSafe(F.col("h")) & own_path.eqNullSafe(F.col("p")) & (F.col("_salt_of") == F.col("_salt")), "left")
+    out = both.select(*m.df.columns, *((1 / (1 + F.exp(-(F.col(f"_x_{k}") + F.coalesce(F.col(f"_site_{k}"), F.lit(0.0)))))).alias(f"p_{k}") for k in KINDS))
+    out = out.withColumn("quality_ok", (F.col("p_bad") < 0.5) & (F.col("p_toxic") < 0.5))
+    return m.restore(out, ["p_bad", "p_toxic", "quality_ok"])

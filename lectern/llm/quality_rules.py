@@ -9,7 +9,7 @@ hashing: a word's hash is joined with its neighbours' (1, 2, 4, then 8 words), a
 sort them. No step is worse than n log n in a document's words, and nothing is shuffled.
 
 Defined results: null and empty texts have no words and fail as too short. Repeated rows are judged alike. Columns other than
-the text are passed on untouched.
+the text are passed on; one named like an added column gives way to it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrowmap import Masked
+
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 #: Least words, largest share (percent) of words in repeated windows.
@@ -41,8 +43,8 @@ def _line_fails(line: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, line_words_kept and kept."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = docs.withColumn("_text", t)
+    m = Masked(docs)
+    out = m.df.withColumn("_text", F.coalesce(F.col(m.name(text)).cast("string"), F.lit("")))
     out = out.withColumn("_words", F.expr(r"filter(split(_text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"))
     out = out.withColumns({"n_words": F.size("_words").cast("long"), "_h": F.expr("transform(_words, w -> xxhash64(w))")})
     for width in (1, 2, 4):
@@ -65,4 +67,5 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
-    return out.withColumn("kept", ~failed & (F.col("line_words_kept") >= LEAST_KEPT * F.col("n_words"))).drop("_text", "_words", "_h", "_sorted", "_twice", "_lines")
+    out = out.withColumn("kept", ~failed & (F.col("line_words_kept") >= LEAST_KEPT * F.col("n_words")))
+    return m.restore(out, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_words_kept", "kept"])

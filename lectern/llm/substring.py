@@ -22,6 +22,7 @@ earlier documents goes at the same places in the others. No row is ever dropped.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowmap import add_columns
+from .arrowmap import Masked, add_columns
 from .store import fresh_dir, materialize, parallelism
 from .words import CHUNK_BYTES, Words, chunks, mix, ranges, sliding_min, window_hashes
 
@@ -137,9 +138,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(a[at]), pa.array(b[at]), batch.column("doc_id").take(pa.array(row)), pa.array(at - words.starts[row], pa.int32())], names=["a", "b", "doc_id", "start"])
 
 
-def _cut(batch: pa.RecordBatch) -> tuple[Words, np.ndarray]:
+def _cut(batch: pa.RecordBatch, text: str) -> tuple[Words, np.ndarray]:
     """The batch's words, and which of them go."""
-    words = Words(batch.column("text"))
+    words = Words(batch.column(text))
     h = words.hashes()
     n = max(len(h) - WINDOW + 1, 0)
     # whole[i]: the window from word i on goes; first those that repeat within the document
@@ -159,8 +160,8 @@ def _cut(batch: pa.RecordBatch) -> tuple[Words, np.ndarray]:
     return words, np.cumsum(delta)[: len(h)] > 0
 
 
-def _digest_columns(batch: pa.RecordBatch) -> list[pa.Array]:
-    words, gone = _cut(batch)
+def _digest_columns(batch: pa.RecordBatch, text: str) -> list[pa.Array]:
+    words, gone = _cut(batch, text)
     removed = np.add.reduceat(np.r_[gone, False].astype(np.int64), np.minimum(words.starts, len(gone))) * (words.counts > 0) if len(words.counts) else np.empty(0, np.int64)
     texts = []
     for a, b, r in zip(words.starts.tolist(), words.ends.tolist(), removed.tolist()):
@@ -171,11 +172,11 @@ def _digest_columns(batch: pa.RecordBatch) -> list[pa.Array]:
     return [pa.array(words.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(sha, pa.string()), pa.array(same, pa.string())]
 
 
-def removals(docs: DataFrame, batches: int = 2) -> DataFrame:
+def removals(docs: DataFrame, batches: int = 2, id_name: str = "doc_id", text_name: str = "text") -> DataFrame:
     """Per document with something to remove: doc_id and `spans`, an array of (start, n) runs of window starts. Windows that
     repeat only within their document are left to `remove`. `batches`: how many the documents are dealt into by id."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col(id_name).cast("long").alias("doc_id"), F.col(text_name).cast("string").alias("text"))
     lo, hi = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     index = FingerprintIndex(spark)
     width = 0 if lo is None else (hi - lo) // batches + 1
@@ -186,7 +187,7 @@ def removals(docs: DataFrame, batches: int = 2) -> DataFrame:
         gone.append(whole)
     todo = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     # a left join, as that of `remove`, so that both read one shuffle of the texts
-    windows = rows.join(todo.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "spans").mapInArrow(_compare, "a long, b long, doc_id long, start int")
+    windows = docs.join(todo.withColumnRenamed("doc_id", "_id").hint("merge"), F.col(id_name).cast("long") == F.col("_id"), "left").select(F.col("_id").alias("doc_id"), F.col(text_name).cast("string").alias("text"), "spans").mapInArrow(_compare, "a long, b long, doc_id long, start int")
     earliest = W.partitionBy("a", "b")
     later = windows.withColumn("least", F.min("doc_id").over(earliest)).where("doc_id > least").select("doc_id", "start", F.lit(1).alias("n"))
     for g in gone:
@@ -196,6 +197,10 @@ def removals(docs: DataFrame, batches: int = 2) -> DataFrame:
 
 def remove(docs: DataFrame, batches: int = 2) -> DataFrame:
     """`docs` with n_words, n_removed, kept_sha256 and kept_text (null where nothing goes) behind its columns."""
-    both = docs.join(removals(docs, batches).withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    m = Masked(docs)
+    own_id, own_text = m.name("doc_id"), m.name("text")
+    gone = removals(m.df, batches, own_id, own_text).withColumnRenamed("doc_id", "_id").hint("merge")
+    both = m.df.join(gone, F.col(own_id).cast("long") == F.col("_id"), "left").drop("_id")
+    both, text = m.as_string(both, "text")
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]
-    return add_columns(both, fields, lambda: _digest_columns).drop("_spans")
+    return m.restore(add_columns(both, fields, lambda: functools.partial(_digest_columns, text=text), text), [f.name for f in fields])
