@@ -13,7 +13,7 @@ import numpy as np
 def _open(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
 def new_name(folder: str, stem: str, suffix: str) -> str:

@@ -56,7 +56,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = "aggregate(transform(_twice, (i, k) -> least(8, coalesce(get(_twice, k + 1) - i, 8))), 0L, (n, x) -> n + x)"
     lines = r"filter(split(_text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"
     out = out.withColumns({"n_repeat_words": F.coalesce(F.expr(covered), F.lit(0).cast("long")), "_lines": F.expr(lines)})
-    good = F.filter("_lines", lambda line: ~_line_fails(F.trim(line)))
+    good = F.filter("_lines", lambda line: ~_line_fails(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))))
     out = out.withColumns(
         {
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),

@@ -38,19 +38,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op1_quality_rules"] = r"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-    s AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[ 	-
-]+'), lambda w: w <> '') AS ws,
-                 list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-
-]')) AS ls FROM d),
+    s AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+                 list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
     w AS (SELECT doc_id, i, list_slice(ws, i, i + 7) AS g FROM s, LATERAL (SELECT unnest(range(1, len(ws) - 6)) AS i)),
     g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM w),
     c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, (SELECT unnest(range(0, 8)) AS k) WHERE n > 1 GROUP BY doc_id),
     l AS (SELECT doc_id, trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS l FROM (SELECT doc_id, unnest(ls) AS l FROM s)),
-    m AS (SELECT doc_id, l, len(string_split_regex(l, '[ 	-
-]+')) AS n FROM l),
+    m AS (SELECT doc_id, l, len(string_split_regex(l, '[\x20\x09-\x0D]+')) AS n FROM l),
     k AS (SELECT doc_id, sum(n) AS n FROM m
-          WHERE NOT (len(regexp_extract_all(l, '[#*$%&|<>]+')) > 0.34 * n OR len(regexp_extract_all(l || ' ', '!![ 	-
-]')) > 0.4 * n
+          WHERE NOT (len(regexp_extract_all(l, '[#*$%&|<>]+')) > 0.34 * n OR len(regexp_extract_all(l || ' ', '!![\x20\x09-\x0D]')) > 0.4 * n
                      OR (n <= 25 AND regexp_matches(l, '^[^|»›>]{0,60}([|»›>][^|»›>]{0,60}){2,}$'))
                      OR regexp_matches(l, '(?i)(licensed under the|all rights reserved|terms of (use|service)|privacy policy|cookie policy|javascript is (disabled|required)|creative commons|general public license|copyright ©)'))
           GROUP BY doc_id),
@@ -91,8 +87,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_substring_dedup"] = r"""
-    WITH s AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ 	-
-]+'), lambda w: w <> '') AS ws FROM documents),
+    WITH s AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
     w AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 19), ' ')) AS h FROM s, LATERAL (SELECT unnest(range(1, len(ws) - 18)) AS i)),
     r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM w),
     g AS (SELECT DISTINCT doc_id, i + k AS j FROM r, (SELECT unnest(range(0, 20)) AS k) WHERE n > 1),

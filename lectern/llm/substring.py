@@ -126,7 +126,8 @@ def _spans(starts: list, counts: list) -> np.ndarray:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """128-bit hashes of the windows to compare, once per document and sequence."""
+    """128-bit hashes of the windows to compare. Those that also start in a smaller document of the chunk are settled: they go,
+    and are dealt anywhere."""
     for batch in chunks(batches):
         batch = batch.filter(pc.is_valid(batch.column("spans")))
         words = Words(batch.column("text"))
@@ -135,7 +136,16 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = [_spans([s["start"] for s in x or ()], [s["n"] for s in x or ()]) for x in batch.column("spans").to_pylist()]
         at = np.concatenate([s + base for s, base in zip(spans, words.starts)]) if spans else np.empty(0, np.int64)
         row = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
-        yield pa.record_batch([pa.array(a[at]), pa.array(b[at]), batch.column("doc_id").take(pa.array(row)), pa.array(at - words.starts[row], pa.int32())], names=["a", "b", "doc_id", "start"])
+        ids = np.asarray(batch.column("doc_id").fill_null(-(1 << 63)), dtype=np.int64)[row]
+        a, b = a[at], b[at]
+        key = mix(a.view(np.uint64) ^ mix(b.view(np.uint64)))
+        _, group = np.unique(key, return_inverse=True)
+        least = np.full(group.max(initial=-1) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, group, ids)
+        settled = ids > least[group]
+        with np.errstate(over="ignore"):
+            a = np.where(settled, mix(key + np.arange(len(key), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64), a)
+        yield pa.record_batch([pa.array(a), pa.array(b), pa.array(ids), pa.array(at - words.starts[row], pa.int32()), pa.array(settled)], names=["a", "b", "doc_id", "start", "settled"])
 
 
 def _cut(batch: pa.RecordBatch, text: str) -> tuple[Words, np.ndarray]:
@@ -187,12 +197,12 @@ def removals(docs: DataFrame, batches: int = 2, id_name: str = "doc_id", text_na
         gone.append(whole)
     todo = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     # a left join, as that of `remove`, so that both read one shuffle of the texts
-    windows = docs.join(todo.withColumnRenamed("doc_id", "_id").hint("merge"), F.col(id_name).cast("long") == F.col("_id"), "left").select(F.col("_id").alias("doc_id"), F.col(text_name).cast("string").alias("text"), "spans").mapInArrow(_compare, "a long, b long, doc_id long, start int")
+    windows = docs.join(todo.withColumnRenamed("doc_id", "_id").hint("merge"), F.col(id_name).cast("long").eqNullSafe(F.col("_id")), "left").select(F.col("_id").alias("doc_id"), F.col(text_name).cast("string").alias("text"), "spans").mapInArrow(_compare, "a long, b long, doc_id long, start int, settled boolean")
     earliest = W.partitionBy("a", "b")
-    later = windows.withColumn("least", F.min("doc_id").over(earliest)).where("doc_id > least").select("doc_id", "start", F.lit(1).alias("n"))
+    later = windows.withColumn("least", F.min("doc_id").over(earliest)).where("settled or doc_id > least").select("doc_id", "start", F.lit(1).alias("n"))
     for g in gone:
         later = later.unionByName(g)
-    return later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
+    return later.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
 
 
 def remove(docs: DataFrame, batches: int = 2) -> DataFrame:
@@ -200,7 +210,7 @@ def remove(docs: DataFrame, batches: int = 2) -> DataFrame:
     m = Masked(docs)
     own_id, own_text = m.name("doc_id"), m.name("text")
     gone = removals(m.df, batches, own_id, own_text).withColumnRenamed("doc_id", "_id").hint("merge")
-    both = m.df.join(gone, F.col(own_id).cast("long") == F.col("_id"), "left").drop("_id")
+    both = m.df.join(gone, F.col(own_id).cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
     both, text = m.as_string(both, "text")
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]
     return m.restore(add_columns(both, fields, lambda: functools.partial(_digest_columns, text=text), text), [f.name for f in fields])
