@@ -6,7 +6,7 @@ s_q s_x (Cauchy-Schwarz about the means). Squared distance is |q|^2 + |x|^2 - 2
 Bounds are taken coarse to fine over 1, 4 and 16 segments; only candidates whose bound reaches the query's k-th best score so far
 go to the next resolution, and the last survivors to exact integer products.
 
-Candidates are dealt into slots of about SLOT rows, or fewer where there are more tasks. Blocks of queries go to every slot and
+Candidates are dealt into slots of about SLOT rows, or fewer (LEAST_SLOT at least) where there are more tasks. Blocks of queries go to every slot and
 meet its candidates, which the task holds as packed arrays: memory is bounded by SLOT. A slot returns k rows per query, and the
 final ranking takes those.
 
@@ -30,7 +30,7 @@ from .store import parallelism
 from .words import mix, ranges
 
 SCALE, K = 256, 5
-QUERY_BLOCK, BLOCK, SLOT = 256, 4096, 1 << 16
+QUERY_BLOCK, BLOCK, LEAST_SLOT, SLOT = 256, 4096, 1 << 10, 1 << 16
 RESOLUTIONS = (1, 4, 16)
 #: Products of numbers whose sums stay below this are exact as doubles.
 _EXACT = 2.0**53
@@ -158,7 +158,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     spark = vectors.sparkSession
     rows = quantise(vectors)
     parts = parallelism(spark)
-    slots = max(2 * parts, -(-rows.count() // SLOT))
+    n = rows.count()
+    slots = max(1, -(-n // SLOT), min(2 * parts, -(-n // LEAST_SLOT)))
     schema = "slot long, dim long, ids binary, vectors binary"
     candidates = rows.mapInArrow(_pack(slots), schema).withColumn("is_query", F.lit(False))
     blocks = rows.where(is_query).distinct().mapInArrow(_pack(0), schema).withColumn("is_query", F.lit(True))
