@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, each with its DuckDB twin where SQL can express it."""
 
-from . import ordered, passages, rules, signal, tables, text
+from . import ordered, passages, rules, signal, streams, tables, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "ordered", "passages", "rules", "signal", "tables", "text"]
+__all__ = ["ORACLES", "QUERIES", "ordered", "passages", "rules", "signal", "streams", "tables", "text"]

@@ -1,4 +1,4 @@
-"""Joins, aggregates, sets and lifecycle queries."""
+"""Queries of joins, aggregates, sets and lifecycles."""
 
 from __future__ import annotations
 

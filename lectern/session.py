@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,6 +28,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 
 
 _shipped: set[str] = set()
+_scratch: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -40,3 +44,19 @@ def ship(spark: SparkSession) -> SparkSession:
             spark.sparkContext.addPyFile(str(path))
         _shipped.add(app)
     return spark
+
+
+def work_dir(spark: SparkSession, what: str) -> str:
+    """A new path below spark.checkpoint.dir, the folder that the driver and all executors share; where it is unset, on one
+    machine, below a folder of this application."""
+    key = "spark.checkpoint.dir"
+    base = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {key} to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _scratch:
+            _scratch[app] = tempfile.mkdtemp(prefix="lectern-work-")
+            atexit.register(shutil.rmtree, _scratch[app], True)
+        base = "file://" + _scratch[app]
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
