@@ -32,7 +32,7 @@ from .arrowmap import add_text_columns
 from .words import ranges
 
 N_BEST = 4
-#: Units kept by a task; above it the cache starts anew.
+#: Units kept by a worker process; above it the cache starts anew.
 CACHE_UNITS = 500_000
 _BLANK = "▁"
 
@@ -182,6 +182,12 @@ class Encoder:
         return out
 
 
+@functools.cache
+def encoder(path: str, n: int) -> Encoder:
+    """One per worker process, so that its units serve all tasks that run there."""
+    return Encoder(path, n)
+
+
 def segment(docs: DataFrame, model_path: str, n: int = N_BEST, keep_ids: bool = True) -> DataFrame:
     """`docs` with n_pieces, ids_crc32 and score of the best segmentation, n_best (score, n_pieces, ids_crc32 of the best n),
     round_trip (decoding the best gives the text back), and the best one's ids if wanted."""
@@ -189,14 +195,14 @@ def segment(docs: DataFrame, model_path: str, n: int = N_BEST, keep_ids: bool =
     kinds += [("ids", T.ArrayType(T.IntegerType()))] if keep_ids else []
 
     def make():
-        encoder = Encoder(model_path, n)
+        own = encoder(model_path, n)
 
         def per_batch(column: pa.Array) -> list[pa.Array]:
             texts = pc.fill_null(column, "").to_pylist()
-            found = encoder.encode(texts)
+            found = own.encode(texts)
             digest = [[(s, len(x), zlib.crc32(x)) for s, x in rows] for rows in found]
             inner = pa.struct([("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64())])
-            cols = [pa.array([d[0][1] for d in digest], pa.int64()), pa.array([d[0][2] for d in digest], pa.int64()), pa.array([d[0][0] for d in digest], pa.float64()), pa.array([[dict(zip(("score", "n_pieces", "ids_crc32"), y)) for y in d] for d in digest], pa.list_(inner)), pa.array([encoder.pieces.decode(rows[0][1]) == t for rows, t in zip(found, texts)])]
+            cols = [pa.array([d[0][1] for d in digest], pa.int64()), pa.array([d[0][2] for d in digest], pa.int64()), pa.array([d[0][0] for d in digest], pa.float64()), pa.array([[dict(zip(("score", "n_pieces", "ids_crc32"), y)) for y in d] for d in digest], pa.list_(inner)), pa.array([own.pieces.decode(rows[0][1]) == t for rows, t in zip(found, texts)])]
             return cols + ([pa.array([rows[0][1].astype(np.int32) for rows in found], pa.list_(pa.int32()))] if keep_ids else [])
 
         return per_batch
