@@ -30,7 +30,7 @@ from .words import Words, chunks, ranges
 SIZE, END, OPEN_WINDOWS, MIN_CUT = 4096, 2, 8, 16
 #: Partitions whose leftovers are merged together: at most so many times OPEN_WINDOWS windows.
 MERGE_PARTITIONS = 64
-#: Word pieces kept by a task; above it the cache starts anew.
+#: Word pieces kept by a worker process; above it the cache starts anew.
 CACHE_WORDS = 600_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -91,6 +91,12 @@ class WordIds:
         return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
 
+@functools.cache
+def shared_word_ids(path: str) -> WordIds:
+    """One per worker process, so that its words serve all tasks that run there."""
+    return WordIds(path)
+
+
 def doc_ids(texts: pa.Array, word_ids: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array, each with END behind it, and the texts' bounds in it."""
     words = Words(texts)
@@ -155,7 +161,7 @@ def _pack_partition(tokenizer_path: str, size: int, open_windows: int):
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "win", "offset")] + [("closed", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, word_ids, packer = TaskContext.get().partitionId(), WordIds(tokenizer_path), Packer(size, open_windows)
+        part, word_ids, packer = TaskContext.get().partitionId(), shared_word_ids(tokenizer_path), Packer(size, open_windows)
         crc: dict[tuple[int, int], int] = {}
         known: dict[int, tuple] = {}  # documents with pieces in open windows
         row = 0
