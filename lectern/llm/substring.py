@@ -89,10 +89,13 @@ class FingerprintIndex:
     """Runs of first stretches of all documents added so far. Documents must come in ascending order of id, batch by batch."""
 
     def __init__(self, spark: SparkSession, max_runs: int = MAX_RUNS):
-        self.spark, self.max_runs, self.runs = spark, max_runs, []
+        self.spark, self.max_runs = spark, max_runs
+        #: Each run is the folders of its kinds of stretches.
+        self.runs: list[list[str]] = []
 
     def _history(self) -> DataFrame | None:
-        return self.spark.read.parquet(*self.runs) if self.runs else None
+        folders = [folder for run in self.runs for folder in run]
+        return self.spark.read.parquet(*folders) if folders else None
 
     def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Merge a batch in. Returns its stretches to remove (doc_id, start, n), and of all documents so far the stretches
@@ -114,7 +117,7 @@ class FingerprintIndex:
         schema = "fp long, content long, doc_id long, start int, n int, kind int"
         out = self.spark.read.schema(schema).parquet(path)
         own = [f"{path}/kind={k}" for k in ((1, 2, 3, 4) if compact else (1, 2)) if self._has(path, k)]
-        self.runs = own if compact else [*self.runs, *own]
+        self.runs = [own] if compact else [*self.runs, own]
         return out.where("kind = 0").select("doc_id", "start", "n"), out.where("kind in (2, 4)").select("doc_id", "start", "n")
 
     def _has(self, path: str, kind: int) -> bool:
