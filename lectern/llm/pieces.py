@@ -1,11 +1,15 @@
 """SentencePiece encoding and decoding with exact N-best segmentations.
 
-A text, with a blank before it, is a lattice of a model's pieces; a path's score is the sum of its pieces' scores. Forward
-Viterbi gives the best score up to every place. Backward A-star search from the end with these scores as its heuristic, which
-is exact, meets complete segmentations in order of their score. Characters that no piece has become byte pieces.
+The encoding of a text is the tokenizer's own: the model's merges, of which its scores are the ranks, applied to each unit (see
+below). Only the character U+2581, which the tokenizer takes for a blank, becomes byte pieces, so that decoding gives it back.
 
-Where two neighbouring characters stand together in no piece, every segmentation has a cut; the lattice falls into *units* that
-are searched on their own and kept. The N best of a text are exact: only the N - 1 unit occurrences whose second-best costs
+The N-best are those of the lattice: a text, with a blank before it, is a lattice of a model's pieces; a path's score is the sum
+of its pieces' scores. Forward Viterbi gives the best score up to every place. Backward A-star search from the end with these
+scores as its heuristic, which is exact, meets complete segmentations in order of their score. Characters that no piece has
+become byte pieces. As sums of ranks say little of merges, the encoding need not be among these N.
+
+Where two neighbouring characters stand together in no piece, every segmentation has a cut and no merge crosses it; the text
+falls into *units* that are merged and searched on their own and kept. The N best of a text are exact: only the N - 1 unit occurrences whose second-best costs
 least can differ from the best in them, and their combinations are ranked.
 
 Decoding joins the pieces and drops the first blank; it gives back every text exactly, whatever its white space or characters.
@@ -44,6 +48,7 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = model
         self.score: dict[str, tuple[float, int]] = {}
         self.byte: dict[int, int] = {}
         self.bytes: list[bytes] = []
@@ -62,6 +67,7 @@ class Pieces:
         least = min(s for s, _ in self.score.values())
         #: Score of a byte piece: below all others, so that it is used for unknown characters only.
         self.byte_score = least - 10.0
+        self.score_of = np.array([self.byte_score if model.is_byte(i) else model.get_score(i) for i in range(model.get_piece_size())])
         together = np.array(sorted({(ord(a) << 21) | ord(b) for p in self.score for a, b in zip(p, p[1:])}), np.uint64)
         self.together = together
 
@@ -71,6 +77,15 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.together, key), len(self.together) - 1)
         return self.together[at] != key
 
+    def merged(self, units: list[str]) -> list[tuple[float, bytes]]:
+        """Score and ids of each unit as the model's merges leave it. A line feed, which merges with nothing, keeps the blank
+        that the tokenizer puts first away from the unit; both are dropped."""
+        out = []
+        for unit, ids in zip(units, self.model.encode(["\n" + u for u in units], num_threads=1)):
+            own = np.array([self.byte[b] for b in unit.encode()] if _BLANK in unit else ids[2:], "<u4")
+            out.append((float(self.score_of[own].sum()), own.tobytes()))
+        return out
+
     def n_best(self, unit: str, n: int) -> list[tuple[float, bytes]]:
         """The best n (score, ids as little-endian 32-bit numbers) of a unit, best first."""
         size, score, prefixes = len(unit), self.score, self.prefixes
@@ -114,9 +129,20 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _laid_out(ids: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all units in order of their codes, and where each unit's begin."""
+    if not len(codes):
+        return np.empty(0, "<u4"), np.zeros(1, np.int64)
+    length = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+    at = np.concatenate([[0], np.cumsum(length)])
+    flat = np.frombuffer(b"".join(ids), "<u4")[ranges(at[codes], length[codes])]
+    return flat, np.concatenate([[0], np.cumsum(length[codes])])
+
+
 class Encoder:
     def __init__(self, path: str, n: int):
         self.pieces, self.n = load(path), n
+        self.own: dict[str, tuple[float, bytes]] = {}
         self.two: dict[str, tuple[float, bytes, float]] = {}
         self.more: dict[str, list[tuple[float, bytes]]] = {}
 
@@ -139,20 +165,26 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[list[tuple[float, np.ndarray]]]:
         """For each text its best n (score, ids), best first."""
+        return self.both(texts)[1]
+
+    def both(self, texts: list[str]) -> tuple[list[tuple[float, np.ndarray]], list[list[tuple[float, np.ndarray]]]]:
+        """For each text the tokenizer's (score, ids), and its best n, best first."""
         vocab, codes, bounds = self.units(texts)
         if len(self.two) > CACHE_UNITS:
-            self.two, self.more = {}, {}
-        two = self.two
-        for u in vocab:
-            if u not in two:
-                two[u] = self._unit(u)
+            self.own, self.two, self.more = {}, {}, {}
+        own, two = self.own, self.two
+        new = [u for u in vocab if u not in two]
+        own.update(zip(new, self.pieces.merged(new)))
+        for u in new:
+            two[u] = self._unit(u)
+        merged = [own[u] for u in vocab]
+        flat, place = _laid_out([m[1] for m in merged], codes)
+        per_unit = np.array([m[0] for m in merged])[codes] if len(codes) else np.zeros(0)
+        encoded = [(float(per_unit[a:b].sum()), flat[place[a] : place[b]]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         found = [two[u] for u in vocab]
         score, extra = np.array([f[0] for f in found]), np.array([f[2] for f in found])
         length = np.fromiter((len(f[1]) // 4 for f in found), np.int64, len(found))
-        ids = np.frombuffer(b"".join(f[1] for f in found), "<u4")
-        at = np.concatenate([[0], np.cumsum(length)])
-        flat = ids[ranges(at[codes], length[codes])] if len(codes) else np.empty(0, "<u4")
-        place = np.concatenate([[0], np.cumsum(length[codes])]) if len(codes) else np.zeros(1, np.int64)
+        flat, place = _laid_out([f[1] for f in found], codes)
         out = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             best, total = flat[place[a] : place[b]], float(score[codes[a:b]].sum())
@@ -179,7 +211,7 @@ class Encoder:
                         shift += len(new) - (hi - lo)
                 rows.append((total - more, x))
             out.append(rows)
-        return out
+        return encoded, out
 
 
 @functools.cache
@@ -189,8 +221,8 @@ def encoder(path: str, n: int) -> Encoder:
 
 
 def segment(docs: DataFrame, model_path: str, n: int = N_BEST, keep_ids: bool = True) -> DataFrame:
-    """`docs` with n_pieces, ids_crc32 and score of the best segmentation, n_best (score, n_pieces, ids_crc32 of the best n),
-    round_trip (decoding the best gives the text back), and the best one's ids if wanted."""
+    """`docs` with n_pieces, ids_crc32 and score of the tokenizer's segmentation, n_best (score, n_pieces, ids_crc32 of the best n
+    of the lattice), round_trip (decoding the former gives the text back), and its ids if wanted."""
     kinds = [("n_pieces", T.LongType()), ("ids_crc32", T.LongType()), ("score", T.DoubleType()), ("n_best", T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType())]))), ("round_trip", T.BooleanType())]
     kinds += [("ids", T.ArrayType(T.IntegerType()))] if keep_ids else []
 
@@ -199,11 +231,11 @@ def segment(docs: DataFrame, model_path: str, n: int = N_BEST, keep_ids: bool =
 
         def per_batch(column: pa.Array) -> list[pa.Array]:
             texts = pc.fill_null(column, "").to_pylist()
-            found = own.encode(texts)
+            encoded, found = own.both(texts)
             digest = [[(s, len(x), zlib.crc32(x)) for s, x in rows] for rows in found]
             inner = pa.struct([("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64())])
-            cols = [pa.array([d[0][1] for d in digest], pa.int64()), pa.array([d[0][2] for d in digest], pa.int64()), pa.array([d[0][0] for d in digest], pa.float64()), pa.array([[dict(zip(("score", "n_pieces", "ids_crc32"), y)) for y in d] for d in digest], pa.list_(inner)), pa.array([own.pieces.decode(rows[0][1]) == t for rows, t in zip(found, texts)])]
-            return cols + ([pa.array([rows[0][1].astype(np.int32) for rows in found], pa.list_(pa.int32()))] if keep_ids else [])
+            cols = [pa.array([len(x) for _, x in encoded], pa.int64()), pa.array([zlib.crc32(x) for _, x in encoded], pa.int64()), pa.array([s for s, _ in encoded], pa.float64()), pa.array([[dict(zip(("score", "n_pieces", "ids_crc32"), y)) for y in d] for d in digest], pa.list_(inner)), pa.array([own.pieces.decode(x) == t for (_, x), t in zip(encoded, texts)])]
+            return cols + ([pa.array([x.astype(np.int32) for _, x in encoded], pa.list_(pa.int32()))] if keep_ids else [])
 
         return per_batch
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -114,6 +115,20 @@ def test_n_best_against_all_segmentations():
         assert all(abs(scores[tuple(ids.tolist())] - s) < 1e-6 and e.pieces.decode(ids) == text for s, ids in got)
 
 
+def test_pieces_are_the_tokenizers():
+    import sentencepiece
+
+    model, e = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.Encoder(MODEL, 4)
+    random.seed(3)
+    texts = [t.replace("▁", "_") for i, t in odd_rows() if t and i != 14] + ["Hello world", "a\x00b", "  two  blanks ", "\n\n", "\r\n x", " "]
+    texts += ["".join(random.choice("  theaéinr\n.,'日xñ👍\tz") for _ in range(random.randint(1, 40))) for _ in range(300)]
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column("text").to_pylist()
+    texts += [t for t in docs[:40] if t and "▁" not in t]
+    encoded, _ = e.both(texts)
+    assert [ids.tolist() for _, ids in encoded] == [model.encode(t) for t in texts]
+    assert all(abs(sum(e.pieces.score_of[ids]) - s) < 1e-9 * max(1, abs(s)) for s, ids in encoded)
+
+
 def test_pieces_on_odd_texts(spark):
     got = pieces.segment(odd_docs(spark), MODEL).collect()
     assert len(got) == len(odd_rows()) and all(r.round_trip for r in got)
