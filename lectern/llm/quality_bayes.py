@@ -1,6 +1,6 @@
 """Document quality by hierarchical empirical Bayes.
 
-A logistic classifier over style measures and tell-tale words gives each document's evidence for being bad and for being
+A logistic classifier over style measures and tell-tale words and word beginnings (all that pass a test of significance) gives each document's evidence for being bad and for being
 toxic. Hosts and paths below them get Beta posteriors by grouped aggregation of that evidence over all documents: a path's
 rate is shrunk toward its host's, a host's toward the global rate, the stronger the fewer documents it has. A document's
 posterior is its evidence with its path's log odds in place of the global ones.
@@ -14,6 +14,7 @@ Every input row gives one output row, repeated rows included.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +33,31 @@ from .words import Words, chunks, window_hashes
 MAX_LABELLED = 16_384
 #: Site tables of at most so many rows are broadcast; larger ones are joined by shuffle, the documents' site salted.
 BROADCAST_SITES, SALTS = 50_000, 16
-BUCKETS, TELLING, LEAST_Z = 1 << 20, 64, 6.0
+BUCKETS, LEAST_Z = 1 << 20, 6.0
+#: Besides a word itself, its first characters are features, so that forms of a stem that the sample lacks count too.
+PREFIXES = (4, 6)
 STYLE = ("log_words", "symbols", "bars", "capitals", "repeats", "distinct", "word_length", "exclamations", "line_repeats")
 KINDS = ("bad", "toxic")
-_EDGES = ".,!?;:\"'()[]"
+_MARKS = ".,!?;:\"'()[]"
+_EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+
+
+def _buckets(vocab: list[str]) -> np.ndarray:
+    """Of each word, without what is no letter at its edges (all of it if nothing is left), the bucket of the whole and of each
+    prefix, and that of the word without punctuation alone at its edges; BUCKETS where it is shorter, or the same as the first."""
+    marked = [w.strip(_MARKS).lower() for w in vocab]
+    lower = [w.lower() if w.isalpha() else (_EDGES.sub("", w) or w).lower() for w in vocab]
+    digest = xxhash.xxh32_intdigest
+    out = np.full((len(vocab), 2 + len(PREFIXES)), BUCKETS, np.int64)
+    out[:, 0] = np.fromiter((digest(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in lower), np.int64, len(lower))
+    for k, size in enumerate(PREFIXES, 1):
+        out[:, k] = np.fromiter((digest((w[:size] + " ").encode("utf-8", "surrogatepass")) % BUCKETS if len(w) >= size else BUCKETS for w in lower), np.int64, len(lower))
+    out[:, -1] = np.fromiter((digest(m.encode("utf-8", "surrogatepass")) % BUCKETS if m != w else BUCKETS for m, w in zip(marked, lower)), np.int64, len(lower))
+    return out
 
 
 def _measures(texts: pa.Array) -> tuple[np.ndarray, Words, np.ndarray]:
-    """Style measures of each text, its words, and the bucket of each word of the vocabulary."""
+    """Style measures of each text, its words, and the buckets of each word of the vocabulary."""
     texts = pc.fill_null(texts, "")
     words = Words(texts)
     vocab, n = words.vocab, np.maximum(words.counts, 1)
@@ -61,30 +79,55 @@ def _measures(texts: pa.Array) -> tuple[np.ndarray, Words, np.ndarray]:
     line_code = np.asarray(lines.flatten().dictionary_encode().indices, dtype=np.int64)
     line_distinct = np.bincount(np.unique(line_doc * np.int64(len(line_code) + 1) + line_code) // (len(line_code) + 1), minlength=len(texts))
     measures = np.column_stack([np.log1p(words.counts), total(symbols) / chars, total(bars) / n, total(capitals) / n, np.bincount(doc, weights=same, minlength=len(texts)) / n, distinct / n, chars / n, total(exclaims) / n, 1 - line_distinct / line_n])
-    bucket = np.fromiter((xxhash.xxh32_intdigest(w.strip(_EDGES).lower().encode("utf-8", "surrogatepass")) % BUCKETS for w in vocab), np.int64, len(vocab))
-    return measures, words, bucket
+    return measures, words, _buckets(vocab)
 
 
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Measures, distinct word buckets and a sketch (least 5-word window hash: near copies mostly share it) of labelled texts."""
+    """Measures, distinct buckets and a sketch (least 5-word window hash: near copies mostly share it) of labelled texts."""
     for batch in chunks(batches):
         measures, words, bucket = _measures(batch.column("text"))
         sets, sketches = [], []
         h = words.hashes()
         for a, b in zip(words.starts, words.ends):
-            sets.append(np.unique(bucket[words.codes[a:b]]).astype("<i4").tobytes())
+            own = np.unique(bucket[words.codes[a:b]])
+            sets.append(own[own < BUCKETS].astype("<i4").tobytes())
             w = window_hashes(h[a:b], 5)
             sketches.append(int((w.min() if len(w) else np.uint64(b - a)).view(np.int64)))
         yield pa.record_batch([batch.column("bad"), batch.column("toxic"), pa.array([x.tobytes() for x in measures.astype("<f4")], pa.binary()), pa.array(sets, pa.binary()), pa.array(sketches, pa.int64())], names=["bad", "toxic", "style", "buckets", "sketch"])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
-    """Coefficients (the constant last) by Newton's method."""
-    x = np.column_stack([x, np.ones(len(x))])
-    b, keep = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
+def _logistic(style: np.ndarray, row: np.ndarray, col: np.ndarray, n: int, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
+    """Coefficients of the style measures, of n features of which `row` has `col`, and the constant, by Newton's method. A step is
+    solved by conjugate gradients over the pairs that there are, so that its memory is theirs, whatever n is."""
+    x = np.column_stack([style, np.ones(len(style))])
+    d = style.shape[1]
+    split = lambda b: (np.r_[b[:d], b[-1]], b[d:-1])
+
+    def dot(b: np.ndarray) -> np.ndarray:
+        dense, words = split(b)
+        return x @ dense + np.bincount(row, weights=words[col], minlength=len(x))
+
+    def back(r: np.ndarray) -> np.ndarray:
+        dense = x.T @ r
+        return np.r_[dense[:-1], np.bincount(col, weights=r[row], minlength=n), dense[-1]]
+
+    b, keep = np.zeros(d + n + 1), np.r_[np.full(d + n, ridge), 1e-6]
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (weight * (y - p)) - keep * b)
+        p = 1 / (1 + np.exp(-np.clip(dot(b), -30, 30)))
+        curve = weight * p * (1 - p)
+        dense = (x * x).T @ curve
+        diagonal = np.r_[dense[:-1], np.bincount(col, weights=curve[row], minlength=n), dense[-1]] + keep
+        step, r = np.zeros(len(b)), back(weight * (y - p)) - keep * b
+        z = r / diagonal
+        to, rz, first = z, r @ z, r @ z
+        for _ in range(2 * len(b)):
+            if rz <= 1e-18 * first or rz == 0:
+                break
+            h = back(curve * dot(to)) + keep * to
+            a = rz / (to @ h)
+            step, r = step + a * to, r - a * h
+            z = r / diagonal
+            to, rz = z + (r @ z) / rz * to, r @ z
         b = b + np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
             break
@@ -92,7 +135,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) ->
 
 
 class Classifier:
-    """Per kind: centre and scale of the style measures, the telling word buckets, and the coefficients."""
+    """Per kind: centre and scale of the style measures, the telling buckets, and the coefficients."""
 
     def __init__(self):
         self.parts: dict[str, tuple] = {}
@@ -107,11 +150,15 @@ class Classifier:
                 continue
             centre, scale, telling, b = self.parts[kind]
             x = np.clip((measures - centre) / scale, -8, 8) @ b[: measures.shape[1]] + b[-1]
-            which = np.full(BUCKETS, -1)
+            n = max(len(telling), 1)
+            which = np.full(BUCKETS + 1, -1)
             which[telling] = np.arange(len(telling))
-            found = which[bucket][words.codes]
-            pairs = np.unique(doc[found >= 0] * (TELLING + 1) + found[found >= 0])
-            x += np.bincount(pairs // (TELLING + 1), weights=b[measures.shape[1] + pairs % (TELLING + 1)], minlength=len(texts))
+            pairs = []
+            for column in which[bucket].T:
+                found = column[words.codes]
+                pairs.append(doc[found >= 0] * n + found[found >= 0])
+            pairs = np.unique(np.concatenate(pairs))
+            x += np.bincount(pairs // n, weights=b[measures.shape[1] + pairs % n], minlength=len(texts))
             out.append(x)
         return out
 
@@ -139,14 +186,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
         c = np.bincount(buckets, weights=(weight * (1 - y))[row], minlength=BUCKETS) / neg
         pooled = (a * pos + c * neg) / (pos + neg)
         z = (a - c) / np.sqrt(pooled * (1 - pooled) * (1 / pos + 1 / neg) + 1e-9)
-        telling = np.sort(np.argsort(-z, kind="stable")[:TELLING])
-        telling = telling[z[telling] > LEAST_Z]
+        telling = np.flatnonzero(z > LEAST_Z)
         which = np.full(BUCKETS, -1)
         which[telling] = np.arange(len(telling))
-        x = np.zeros((len(rows), len(telling)))
         hit = which[buckets] >= 0
-        x[row[hit], which[buckets[hit]]] = 1
-        out.parts[kind] = (centre, scale, telling, _logistic(np.column_stack([np.clip((style - centre) / scale, -8, 8), x]), y, weight, 0.5))
+        out.parts[kind] = (centre, scale, telling, _logistic(np.clip((style - centre) / scale, -8, 8), row[hit], which[buckets[hit]], len(telling), y, weight, 0.5))
     return out
 
 

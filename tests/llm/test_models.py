@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.llm import elias_fano, langid, ngram_lm, quality_bayes
@@ -62,6 +63,25 @@ def test_quality_on_labels(spark):
     assert sum(not r.quality_ok for r in bad) >= 0.9 * len(bad)
 
 
+def test_quality_uses_every_telling_word(spark):
+    """A hundred words that each pass the test, joined to digits, and forms of their stems that no labelled text has."""
+    stems = [f"{a}{b}orv" for a in "bcdfghklmn" for b in ("ada", "ede", "idi", "odo", "udu", "aba", "ebe", "ibi", "obo", "ubu")]
+    rows, labels = [], []
+    for k, w in enumerate(stems):
+        for j in range(20):
+            rows.append((20 * k + j, f"{prose(30, 20 * k + j)} {w}us77 {prose(10, 200_000 + 20 * k + j)}"))
+            labels.append((20 * k + j, 1, 1))
+    for k in range(4000):
+        rows.append((10_000 + k, prose(41, 50_000 + k)))
+        labels.append((10_000 + k, 1, 0))
+    new = [(20_000 + k, f"{prose(30, 90_000 + k)} 12{w}arum88 {prose(10, 95_000 + k)}") for k, w in enumerate(stems)]
+    docs = spark.createDataFrame([(i, t, "s", "en") for i, t in rows + new], "doc_id long, text string, source string, lang string")
+    model = quality_bayes.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert len(model.parts["toxic"][2]) >= 100
+    x = model.log_odds(pa.array([t for _, t in rows + new]))[1]
+    assert (x[:2000] > 0).all() and (x[2000:6000] < 0).all() and x[6000:].min() > np.median(x[2000:6000]) + 2
+
+
 def test_quality_shrinks_sparse_sites(spark):
     """A site with a few bad documents moves less than one with many."""
     p = [("big", "x", 0.9)] * 400 + [("small", "x", 0.9)] * 2 + [("rest", "y", 0.02)] * 2000 + [("other", "y", 0.03)] * 500
