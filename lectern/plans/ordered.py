@@ -130,6 +130,19 @@ def keyset_page(spark: SparkSession, sf: str) -> DataFrame:
     return e.withColumn("n", F.row_number().over(W.partitionBy("event_type").orderBy("event_id"))).where("n <= 20").select("event_id", "event_type")
 
 
+@query("keyset_pages", "SELECT event_id, event_type, CAST((n - 1) // 20 AS BIGINT) AS page, CAST((n - 1) % 20 + 1 AS BIGINT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events)")
+def keyset_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Page of 20 and place in it of every row of each type. Numbered per key range, shifted by the counts of the ranges before it,
+    so that no type's rows go to one task."""
+    e = _events(spark, sf).select("event_id", "event_type", F.expr("event_id div 50000").alias("range"))
+    counts = e.groupBy("event_type", "range").agg(F.count("*").alias("c"))
+    # one row per type and 50,000 keys
+    below = counts.withColumn("below", F.sum("c").over(W.partitionBy("event_type").orderBy("range")) - F.col("c"))
+    n = F.row_number().over(W.partitionBy("event_type", "range").orderBy("event_id")) - 1
+    numbered = e.withColumn("n", n).join(below.drop("c"), ["event_type", "range"]).withColumn("n", (F.col("n") + F.col("below")).cast("long"))
+    return numbered.select("event_id", "event_type", F.expr("n div 20").alias("page"), (F.col("n") % 20 + 1).alias("pos"))
+
+
 @query("log_since_mark", "SELECT user_id, event_id, CAST(pos AS INT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events) WHERE pos >= 10")
 def log_since_mark(spark: SparkSession, sf: str) -> DataFrame:
     return _events(spark, sf).withColumn("pos", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).where("pos >= 10").select("user_id", "event_id", "pos")
