@@ -54,11 +54,12 @@ def bounded(text: Column, most: int) -> Column:
     return F.nullif(F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, most), F.lit(""))
 
 
-def redact(text: Column, most: int) -> Column:
-    """Bearer tokens, JSON web tokens and e-mail addresses replaced, then cut."""
+def redact(text: Column, most: int | None = None) -> Column:
+    """Bearer tokens, JSON web tokens and e-mail addresses replaced, then cut if a length is given."""
     t = F.regexp_replace(text, r"(?i)bearer\s+[a-z0-9._~+/=-]+", "Bearer [redacted]")
     t = F.regexp_replace(t, r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[jwt]")
-    return F.substring(F.regexp_replace(t, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"), 1, most)
+    t = F.regexp_replace(t, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
+    return t if most is None else F.substring(t, 1, most)
 
 
 def bare_urls(text: Column) -> Column:

@@ -250,6 +250,12 @@ def distinct_capped(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.array_join(F.slice(F.array_distinct(F.split("text", " ")), 1, 50), " "), 256).alias("words_sha"))
 
 
+@query("distinct_words", "WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM t), f AS (SELECT doc_id, w, min(i) AS i FROM u GROUP BY ALL) SELECT doc_id, sha256(string_agg(w, ' ' ORDER BY i)) AS words_sha FROM f GROUP BY doc_id")
+def distinct_words(spark: SparkSession, sf: str) -> DataFrame:
+    """First occurrences in order, all of them."""
+    return table(spark, sf, "documents").select("doc_id", F.sha2(F.array_join(F.array_distinct(F.split("text", " ")), " "), 256).alias("words_sha"))
+
+
 @query("missing_metrics", "SELECT event_id, concat_ws(',', CASE WHEN nullif(event_type, 'error') IS NULL THEN 'event_type' END, CASE WHEN CASE WHEN value > 5 THEN value END IS NULL THEN 'value' END) AS missing FROM events")
 def missing_metrics(spark: SparkSession, sf: str) -> DataFrame:
     fields = {"event_type": F.nullif(F.col("event_type"), F.lit("error")), "value": F.when(F.col("value") > 5, F.col("value"))}

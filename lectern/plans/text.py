@@ -48,6 +48,11 @@ def redact_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(X.redact(F.col("text"), 4000), 256).alias("clean_sha"))
 
 
+@query("redact_secrets_whole", r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '(?i)bearer\s+[a-z0-9._~+/=-]+', 'Bearer [redacted]', 'g'), 'eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', '[jwt]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g')) AS clean_sha FROM documents""")
+def redact_secrets_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.sha2(X.redact(F.col("text")), 256).alias("clean_sha"))
+
+
 @query("safe_text_trunc", r"SELECT doc_id, nullif(substring(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 120), '') AS safe_text FROM documents")
 def safe_text_trunc(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.bounded(F.col("text"), 120).alias("safe_text"))

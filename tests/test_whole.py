@@ -12,3 +12,12 @@ SF = "/root/testdata/sf0.01"
 def test_every_event_has_its_page(spark):
     oracle.check(spark, QUERIES["keyset_pages"], ORACLES["keyset_pages"], SF)
     assert QUERIES["keyset_pages"](spark, SF).count() == pq.read_metadata(f"{SF}/events.parquet").num_rows
+
+
+@pytest.mark.parametrize("name,cut", [("redact_secrets_whole", "redact_secrets"), ("distinct_words", "distinct_capped")])
+def test_whole_texts_are_hashed(spark, name, cut):
+    oracle.check(spark, QUERIES[name], ORACLES[name], SF)
+    column = "clean_sha" if "clean_sha" in QUERIES[name](spark, SF).columns else "words_sha"
+    whole, part = ({tuple(r) for r in q(spark, SF).select("doc_id", column).collect()} for q in (QUERIES[name], QUERIES[cut]))
+    print("DIFFER", name, len(whole - part), "of", len(whole))
+    assert whole - part
