@@ -40,6 +40,8 @@ END = 0x6C656374 << 24  # hash of the end token: fixed, outside what words are l
 COUNT_TOKENS = 3 << 20
 #: A shard of the pairs is to have about so many.
 SHARD_TOKENS = 2 << 20
+#: A task that builds a shard adds up its pairs whenever it holds so many rows more than are different.
+HELD_PAIRS = 4 << 20
 
 
 class Tokens:
@@ -180,18 +182,25 @@ def _book(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([book, np.full(256 - len(book), book[-1], "<f4")]), code.astype(np.uint8)
 
 
+def _add_up(blocks: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """One block of different pairs (context, word, count as 64 bits), sorted, of many."""
+    v, w, n = (np.concatenate(x) for x in zip(*blocks))
+    key = (v.astype(np.int64) << 32) | w
+    order = np.argsort(key, kind="stable")
+    key, first = np.unique(key[order], return_index=True)
+    return [(key >> 32).astype("<u4"), (key & 0xFFFFFFFF).astype("<u4"), np.add.reduceat(n[order].astype(np.int64), first)]
+
+
 def _build(vocabulary: Vocabulary, shards: int, folder: str):
-    """Trie files of the successor level. A partition has all blocks of its shards, sorted by shard; one shard is held at a time."""
+    """Trie files of the successor level. A partition has all blocks of its shards, sorted by shard; one shard is held at a time.
+    Its blocks are added up whenever HELD_PAIRS rows, or as many as its different pairs, have come: what is held grows with the
+    different pairs, not with the blocks."""
     width = -(-max(vocabulary.size, 1) // shards)
 
     def one(v: np.ndarray, w: np.ndarray, n: np.ndarray, shard: int) -> bytes:
-        key = (v.astype(np.int64) << 32) | w
-        order = np.argsort(key, kind="stable")
-        key, first = np.unique(key[order], return_index=True)
-        n = np.add.reduceat(n[order].astype(np.int64), first)
         lo = shard * width
         size = min(width, vocabulary.size - lo)
-        v, w = (key >> 32) - lo, key & 0xFFFFFFFF
+        v, w = v.astype(np.int64) - lo, w.astype(np.int64)
         degree = np.bincount(v, minlength=size)
         total = np.bincount(v, weights=n, minlength=size)
         pointers = np.concatenate([[0], np.cumsum(degree)])
@@ -213,18 +222,23 @@ def _build(vocabulary: Vocabulary, shards: int, folder: str):
 
     def built(s: int, blocks: list) -> pa.RecordBatch:
         path = new_name(folder, f"pairs-{s:06d}", ".trie")
-        write(path, one(*(np.concatenate(x) for x in zip(*blocks)), s))
+        write(path, one(*_add_up(blocks), s))
         return pa.record_batch([pa.array([s], pa.int32()), pa.array([path])], names=["shard", "path"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, rows, least = None, [], 0, HELD_PAIRS
         for b in batches:
             for s, *block in zip(*(b.column(c).to_pylist() for c in ("shard", "v", "w", "n"))):
                 if s != at and held:
                     yield built(at, held)
-                    held = []
+                    held, rows, least = [], 0, HELD_PAIRS
                 at = s
                 held.append([np.frombuffer(x, "<u4") for x in block])
+                rows += len(held[-1][0])
+                if rows >= least:
+                    held = [_add_up(held)]
+                    rows = len(held[0][0])
+                    least = rows + max(HELD_PAIRS, rows)
         if held:
             yield built(at, held)
 

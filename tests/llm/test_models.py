@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -138,6 +139,30 @@ def test_lm_against_brute_force(spark):
         assert abs(g[5] - w[5]) < 0.06 * w[1]  # code books
 
 
+def test_lm_holds_different_pairs_alone(tmp_path, monkeypatch):
+    """A hundred blocks of one context with the same successors take the room of a few, and give the file of their sum."""
+    monkeypatch.setattr(ngram_lm, "HELD_PAIRS", 50_000)
+    monkeypatch.setattr(ngram_lm, "new_name", lambda folder, name, end: f"{folder}/{name}{end}")
+    made = []
+    monkeypatch.setattr(ngram_lm, "write", lambda path, data: made.append(data))
+
+    class Vocabulary:
+        size, tokens = 20_000, 2_000_000
+        counts = staticmethod(lambda ids: np.full(len(ids), 100))
+        log_p0 = staticmethod(lambda counts: np.full(len(counts), -4.0))
+
+    w = np.arange(20_000, dtype="<u4")
+    block = lambda n: pa.record_batch([pa.array([0], pa.int32()), *(pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in (0 * w, w, 0 * w + n))], names=["shard", "v", "w", "n"])
+    run = ngram_lm._build(Vocabulary, 1, str(tmp_path))
+    list(run(iter([block(300)])))
+    tracemalloc.start()
+    list(run(block(3) for _ in range(100)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made[0] == made[1]
+    assert peak < 12e6, peak
+
+
 def test_lm_prefers_its_own_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     held = langid.held_out(F.col("doc_id"), 5)
