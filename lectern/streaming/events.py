@@ -12,28 +12,29 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.state import latest
 from ..session import work_dir
 
-#: Events later than this behind the latest one seen are dropped by a stream. A table has no late events.
+#: Events later than this behind the latest one seen are dropped by a stream of sessions. A table has no late events.
 LATE = "40 days"
 MOST_ATTEMPTS = 2
 
 
-def _timed(events: DataFrame) -> DataFrame:
+def _timed(events: DataFrame, late: str | None) -> DataFrame:
     """`ts` as a time; one without a zone is read as UTC, whatever the session's zone."""
     if dict(events.dtypes)["ts"] == "timestamp_ntz":
         events = events.withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
-    return events.withWatermark("ts", LATE) if events.isStreaming else events
+    return events.withWatermark("ts", late) if late and events.isStreaming else events
 
 
 def tumbling(events: DataFrame, width: str, keys: list[str]) -> DataFrame:
-    """Count and sum of `value` in hundredths of each window and key; the partial sums are made before the shuffle."""
+    """Count and sum of `value` in hundredths of each window and key; the partial sums are made before the shuffle. A
+    stream drops no late event: update mode needs no watermark, and the state is a row for each window and key."""
     cents = F.round(F.col("value") * 100).cast("long")
-    counted = _timed(events).groupBy(F.window("ts", width), *keys).agg(F.count("*").alias("n"), F.sum(cents).alias("cents"))
+    counted = _timed(events, None).groupBy(F.window("ts", width), *keys).agg(F.count("*").alias("n"), F.sum(cents).alias("cents"))
     return counted.select(F.unix_timestamp("window.start").alias("start_s"), *keys, "n", "cents")
 
 
 def sessions(events: DataFrame, gap: str, keys: list[str]) -> DataFrame:
     """Sessions of each key: an event `gap` or more behind the last one opens a new one."""
-    counted = _timed(events).groupBy(F.session_window("ts", gap), *keys).agg(F.count("*").alias("n"), F.min("value").alias("least"))
+    counted = _timed(events, LATE).groupBy(F.session_window("ts", gap), *keys).agg(F.count("*").alias("n"), F.min("value").alias("least"))
     return counted.select(*keys, F.unix_timestamp("session_window.start").alias("start_s"), "n", "least")
 
 
