@@ -62,7 +62,7 @@ ORACLES["op1_quality_rules"] = r"""
 
 @_register
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard.similar(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 
 @_register

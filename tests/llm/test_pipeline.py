@@ -4,7 +4,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from pyspark.sql import functions as F
 
-from .data import empty_docs, odd_docs, odd_rows, words
+from .data import empty_docs, odd_docs, odd_rows, prose, words
 from .test_rules_and_substring import brute_substring
 from .test_similarity import brute_classes
 
@@ -36,6 +36,14 @@ def test_one_of_each_class_stays(spark):
     assert sum(r.doc_id is None for r in kept) == 1
 
 
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    a, b = prose(120, 1), prose(130, 2)
+    rows = [(1, a), (1, b), (1, a), (2, a + " more"), (None, a), (None, a)]
+    for n in (1, 4):
+        kept = STAGES["n-gram Jaccard join"](spark, odd_docs(spark, rows).repartition(n), SF).select("doc_id", "text").collect()
+        assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, a), (1, b), (0, a), (0, a)])
+
+
 def test_repeated_passages_go(spark):
     rows = [(i, t) for i, t in odd_rows() if i is not None]
     got = STAGES["substring dedup"](spark, odd_docs(spark), SF).where("doc_id is not null").collect()

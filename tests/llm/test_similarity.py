@@ -1,4 +1,5 @@
 import itertools
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from tests import oracle
 from .data import empty_docs, odd_docs, odd_rows, prose, words
 
 
-def brute_classes(rows):
+def brute_classes(rows, by_shingle=False):
+    """Class and links of each id. `by_shingle`: of pairs that share a shingle, which are all that can be similar."""
     sets = {}
     for i, t in rows:
         w = tuple(words(t))
@@ -27,7 +29,14 @@ def brute_classes(rows):
             v = label[v]
         return v
 
-    for a, b in itertools.combinations(sorted(first.values()), 2):
+    pairs = itertools.combinations(sorted(first.values()), 2)
+    if by_shingle:
+        texts = {}
+        for i in sorted(first.values()):
+            for g in sets[i][1]:
+                texts.setdefault(g, []).append(i)
+        pairs = sorted({p for x in texts.values() for p in itertools.combinations(x, 2)})
+    for a, b in pairs:
         x, y = sets[a][1], sets[b][1]
         if len(x & y) >= 0.8 * len(x | y):
             links[a] += 1
@@ -58,12 +67,53 @@ def test_join_against_brute_force(spark, many, monkeypatch):
     assert [(r.class_id, r.n_links) for r in got if r.doc_id is None] == [(None, 0)]
 
 
-def test_blocks_agree(spark, many, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 40)
-    got = jaccard.similar(odd_docs(spark, many)).collect()
+@pytest.mark.parametrize("name, value", [("BLOCK", 40), ("BLOCK_BYTES", 20_000), ("PAIRS", 50), ("TOGETHER", 5_000), ("CROWD", 2), ("CROWD", 1000), ("LEAST_DEPTH", jaccard.DEPTH)])
+def test_limits_agree(spark, many, monkeypatch, name, value):
+    """The limits of tasks, and how far prefixes are shortened, change no result here."""
+    monkeypatch.setattr(jaccard, name, value)
+    got = jaccard.similar(odd_docs(spark, many), sure=0.0 if name == "BLOCK" else jaccard.SURE).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got if r.doc_id is not None} == brute_classes(many)
+
+
+def test_ids_with_several_texts(spark):
+    """Contents are told apart by their words, not by an id that rows share; equal over several runs."""
+    a, b = prose(120, 1).split(), prose(130, 2).split()
+    near = lambda w, k: " ".join([*w[:k], "changed", *w[k + 1 :]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 50)), (3, near(b, 60)), (1, " ".join(a)), (4, " \n".join(a)), (5, prose(50, 3))]
+    want = Counter([(1, 1, 1)] * 3 + [(2, 1, 1), (3, 1, 1), (4, 1, 1), (5, 5, 0)])
+    for n in (1, 3, 5):
+        got = jaccard.similar(odd_docs(spark, rows).repartition(n)).collect()
+        assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == want
+        assert Counter(r.doc_id for r in got if r["first"]) == {1: 3, 5: 1}  # (1, a) twice and (1, b)
+
+
+def test_groups_over_many_batches(spark, many, monkeypatch):
+    """Groups that come in many Arrow batches are whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = jaccard.similar(odd_docs(spark, many)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r.doc_id: (r.class_id, r.n_links) for r in got if r.doc_id is not None} == brute_classes(many)
 
 
+def test_recall_against_all_pairs_that_share_shingles(spark):
+    """At sf0.01, against each pair of different texts with a shingle in common that few texts have."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.similar(docs).collect()}
+    want = brute_classes([tuple(r) for r in docs.collect()], by_shingle=True)
+    links = sum(n for _, n in want.values())
+    assert sum(min(n, want[i][1]) for i, (_, n) in got.items()) >= 0.99 * links > 0
+    assert all(n <= want[i][1] for i, (_, n) in got.items())
+
+
+def test_registered_join(spark):
+    got = QUERIES["op2_ngram_jaccard_join"](spark, oracle.SF)
+    assert got.columns == ["doc_id", "class_id", "n_links"]
+    rows = [tuple(r) for r in spark.read.parquet(f"{oracle.SF}/documents.parquet").select("doc_id", "text").collect()]
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got.collect()} == brute_classes(rows, by_shingle=True)
+
+
 def test_depth_meets_recall():
     d = jaccard.depth_for()
     assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
