@@ -37,13 +37,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar documents that of the smallest id stays, and of rows with one id a single one; rows without an
-    id stay."""
+    """Of each class of similar documents the row that comes first by id and text stays. Rows are told apart by id and text: of
+    rows with both in common that with the least other columns stays, while rows with one id and different texts are documents of
+    their own. Rows without an id stay."""
     ship(spark)
     found = materialize(jaccard.similar(docs), "classes")
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct().hint("merge")
-    known = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    gone = found.where("doc_id is not null and not first").select("doc_id", "text_hash").distinct().hint("merge")
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    key = [F.col("doc_id").cast("long").alias("_id"), text_hash.alias("_hash")]
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    known = docs.where("doc_id is not null").select("*", *key)
+    known = known.join(gone, (F.col("_id") == gone["doc_id"]) & (F.col("_hash") == gone["text_hash"]), "left_anti")
+    known = known.groupBy("_id", "_hash").agg(F.min(F.struct(*others, "doc_id", "text")).alias("row")).select("row.*").select(docs.columns)
+    return known.unionByName(docs.where("doc_id is null"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
