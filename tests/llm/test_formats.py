@@ -1,11 +1,16 @@
 import itertools
+import os
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+import sentencepiece
 from tokenizers import Tokenizer
 
 from lectern.llm import packing, pieces, warc
@@ -16,6 +21,7 @@ from .data import empty_docs, odd_docs, odd_rows
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
+ROOT = Path(__file__).resolve().parents[2]
 
 
 def test_warc_query_against_sql(spark):
@@ -115,9 +121,41 @@ def test_n_best_against_all_segmentations():
         assert all(abs(scores[tuple(ids.tolist())] - s) < 1e-6 and e.pieces.decode(ids) == text for s, ids in got)
 
 
-def test_pieces_are_the_tokenizers():
-    import sentencepiece
+_LONG_UNITS = """
+import resource, sys, time
+from lectern.llm import pieces
+e = pieces.Encoder(sys.argv[1], 4)
+e.both(["warm up"])
+size = int(open("/proc/self/statm").read().split()[0]) * resource.getpagesize()
+resource.setrlimit(resource.RLIMIT_AS, (size + (300 << 20),) * 2)
+for unit in ("=", ".", "a", " ", "ha", "-", "x", "\\u65e5", "\\U0001f44d"):
+    text, start = unit * (100_000 // len(unit)), time.perf_counter()
+    (encoded,), (best,) = e.both([text])
+    assert time.perf_counter() - start < 5, unit
+    assert len(best) == (1 if ord(unit[0]) > 127 else 4) and all(a[0] >= b[0] for a, b in zip(best, best[1:])), unit  # one: no two pieces meet there
+    assert all(e.pieces.decode(ids) == text for _, ids in [encoded, *best]), unit
+    assert len({ids.tobytes() for _, ids in best}) == len(best), unit
+print("done")
+"""
+
+
+def test_long_units_in_linear_memory():
+    """A hundred thousand equal characters are one unit: under 5 s and 300 MB each."""
+    got = subprocess.run([sys.executable, "-c", _LONG_UNITS, MODEL], capture_output=True, text=True, timeout=300, cwd=ROOT, env={**os.environ, "OPENBLAS_NUM_THREADS": "1"})
+    assert got.stdout.strip() == "done", got.stderr[-2000:]
+
+
+def test_registered_pieces(spark):
+    got = QUERIES["op7_sentencepiece"](spark, oracle.SF).collect()
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{oracle.SF}/documents.parquet").collect()}
+    for r in got:
+        ids = model.encode(texts[r.doc_id] or "")
+        assert (r.n_pieces, r.ids_crc32, r.round_trip) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
+    assert len(got) == len(texts)
 
+
+def test_pieces_are_the_tokenizers():
     model, e = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.Encoder(MODEL, 4)
     random.seed(3)
     texts = [t.replace("▁", "_") for i, t in odd_rows() if t and i != 14] + ["Hello world", "a\x00b", "  two  blanks ", "\n\n", "\r\n x", " "]
