@@ -42,7 +42,31 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _path(spark, path)
+    return system.exists(where)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this package's that no plan reads any more."""
+    system, where = _path(spark, path)
+    system.delete(where, True)
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote; no plan that is still to run may read them."""
+    for t in tables:
+        discard(t.sparkSession, t._written)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -5,46 +5,54 @@ it in the same document. Every window has a fingerprint, the least hash of the G
 windows mostly share it, so a document becomes a few *stretches*: windows in a row with one fingerprint, and one hash of all
 their words. Equal windows have equal fingerprints, so
 
-* a stretch whose words are those of an earlier stretch goes as a whole (the hashes are of 64 bits each, 128 together);
-* only where one fingerprint has stretches of different words are single windows compared, by 128-bit hashes of the words
-  themselves, read again from the texts: the verification.
-
-The index is a list of runs, Parquet folders sorted by fingerprint within hash partitions, that are never changed. A batch of
-later documents is hashed, merged with the runs in fingerprint order (one shuffle by fingerprint), and leaves a run of its
-own first stretches; above MAX_RUNS the merge writes one compacted run instead. Windows that repeat within one document are
-found when its text is read last, so no group of windows is ever collected beyond one document's own.
-
-Stretches that repeat within one task's chunk of documents are settled there; only the first is shuffled, so hot passages
-are pre-aggregated. Defined results: null and empty texts have no words. A null doc_id sorts before all others and such
-documents lose their own repetitions only. Rows that repeat a doc_id don't stand before each other; what one of them loses to
-earlier documents goes at the same places in the others. No row is ever dropped.
+* a stretch whose words are those of an earlier stretch goes as a whole (64 bits each of two independent hashes of the words);
+* only where one fingerprint has stretches of different words are single windows compared, by 128 bits of two independent
+  hashes of the words themselves, read again from the texts: the verification.
+
+The index is a list of runs that are never changed. A run is a table of first stretches, bucketed by fingerprint and sorted
+within its buckets. A batch of later documents is hashed, its fingerprints are merge-joined with every run (a run is read in its
+order, and never shuffled), and the stretches that are new are written as a run of level 0. As many runs of one level as the
+fan-out says are merged into one of the next level, so that a stretch is rewritten once a level. A manifest beside the runs
+names those that count; whoever opens the folder later goes on from there.
+
+Windows that repeat within one document are found when its text is read last, so no group of windows is ever collected beyond one
+document's own. Stretches and windows that repeat within a task's chunk of documents are settled there; only the first is
+shuffled. What fingerprints have in common is found by grouped minima and joins, which Spark splits where a key is hot.
+
+Defined results: null and empty texts have no words. A null doc_id (or one of -2^63, which stands for it) sorts before all others
+and such documents lose their own repetitions only. Rows that repeat a doc_id don't stand before each other; what one of them
+loses to earlier documents goes at the same places in the others. No row is ever dropped.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowmap import Masked, add_columns
-from .store import fresh_dir, materialize, parallelism
-from .words import CHUNK_BYTES, Words, chunks, mix, ranges, sliding_min, window_hashes
+from .store import discard, done_with, exists, fresh_dir, materialize, parallelism
+from .words import Words, chunks, mix, ranges, sliding_min, window_hashes
 
 WINDOW, GRAM = 20, 5
-#: Above so many runs a merge compacts them into one.
-MAX_RUNS = 1
+#: So many runs of one level are merged into one of the next.
+FAN_OUT = 2
 STRETCH = "fp long, content long, doc_id long, start int, n int, settled boolean"
+RUN = ["fp", "content", "doc_id", "start", "n"]
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 
 
-def _stretches(h: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
+def _stretches(h: np.ndarray, h2: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
     """(document, start in it, windows, fingerprint, content hash) of every stretch."""
     n = len(h) - WINDOW + 1
     if n <= 0:
@@ -58,8 +66,8 @@ def _stretches(h: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
     # a stretch ends where the next one starts or its document has no further window
     last = np.minimum(np.r_[first[1:], n], words.ends[doc[first]] - WINDOW + 1)
     count = last - first
-    # hash of all its words: prefix sums of position-weighted word hashes would need inverses; windows' hashes fold instead
-    whole = window_hashes(h, WINDOW, 1)
+    # hash of all its words, from its windows' hashes
+    whole = window_hashes(h2, WINDOW, 1)
     with np.errstate(over="ignore"):
         weight = mix(np.arange(1, int(count.max()) + 1, dtype=np.uint64) if len(count) else np.empty(0, np.uint64)) | np.uint64(1)
         at = ranges(first, count)
@@ -69,59 +77,123 @@ def _stretches(h: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
     return doc[first], first - words.starts[doc[first]], count, fp[first], content
 
 
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column("doc_id").fill_null(NO_ID), dtype=np.int64)
+
+
 def _hash_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches by STRETCH. Those with the words of an earlier one in the chunk are settled: they bear no fingerprint."""
+    """Stretches by STRETCH. Those with the words of an earlier one in the chunk are settled."""
     for batch in chunks(batches):
-        order = np.argsort(np.asarray(batch.column("doc_id").fill_null(-(1 << 63)), dtype=np.int64), kind="stable")
-        batch = batch.take(pa.array(order))
+        batch = batch.take(pa.array(np.argsort(_ids(batch), kind="stable")))
         words = Words(batch.column("text"))
-        doc, start, count, fp, content = _stretches(words.hashes(), words)
+        doc, start, count, fp, content = _stretches(words.hashes(), words.hashes(1), words)
         key = mix(fp.astype(np.uint64) ^ (content.astype(np.uint64) << np.uint64(1)))
         _, first, of = np.unique(key, return_index=True, return_inverse=True)
-        ids = np.asarray(batch.column("doc_id").fill_null(-(1 << 63)), dtype=np.int64)[doc]
+        ids = _ids(batch)[doc]
         settled = (ids != ids[first][of]) | (start != start[first][of])
-        with np.errstate(over="ignore"):
-            fp = np.where(settled, mix(key + np.arange(len(key), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), fp)
-        yield pa.record_batch([pa.array(fp.astype(np.uint64).view(np.int64)), pa.array(content.astype(np.uint64).view(np.int64)), batch.column("doc_id").take(pa.array(doc)), pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(settled)], names=["fp", "content", "doc_id", "start", "n", "settled"])
+        yield pa.record_batch([pa.array(fp.astype(np.uint64).view(np.int64)), pa.array(content.astype(np.uint64).view(np.int64)), pa.array(ids), pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(settled)], names=["fp", "content", "doc_id", "start", "n", "settled"])
 
 
 class FingerprintIndex:
-    """Runs of first stretches of all documents added so far. Documents must come in ascending order of id, batch by batch."""
+    """Runs of first stretches of all documents added so far. Documents must come in ascending order of id, batch by batch.
+
+    `folder`: where the index lies or is to lie (a new one in the shared folder if not given). An index there is gone on with."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, fan_out: int = FAN_OUT):
+        self.spark, self.folder, self.fan_out = spark, folder or fresh_dir(spark, "fingerprints"), fan_out
+        # one file a bucket, read in its order: no shuffle and no sort of a run
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        self.version, self.buckets, self.runs = 0, parallelism(spark), []
+        if folder is not None and exists(spark, self._manifest):
+            rows = spark.read.schema("version int, buckets int, level int, path string").json(self._manifest)
+            self.version = rows.agg(F.max("version")).first()[0]
+            for r in rows.where(F.col("version") == self.version).collect():  # a row for each run
+                self.buckets = r.buckets
+                self.runs.append((r.level, r.path, self._register(r.path)))
 
-    def __init__(self, spark: SparkSession, max_runs: int = MAX_RUNS):
-        self.spark, self.max_runs = spark, max_runs
-        #: Each run is the folders of its kinds of stretches.
-        self.runs: list[list[str]] = []
+    @property
+    def _manifest(self) -> str:
+        return f"{self.folder}/manifest"
 
-    def _history(self) -> DataFrame | None:
-        folders = [folder for run in self.runs for folder in run]
-        return self.spark.read.parquet(*folders) if folders else None
+    def _register(self, path: str) -> str:
+        """A name for the run at a path: bucketing is known by the catalog alone. Dropping the name leaves the files."""
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} (fp BIGINT, content BIGINT, doc_id BIGINT, start INT, n INT) USING parquet CLUSTERED BY (fp) SORTED BY (fp, content) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return name
+
+    def _write(self, stretches: DataFrame, level: int) -> tuple[int, str, str]:
+        path, name = f"{self.folder}/run-{uuid.uuid4().hex}", f"fingerprints_{uuid.uuid4().hex}"
+        own = stretches.select(*RUN).repartition(self.buckets, "fp")
+        own.write.bucketBy(self.buckets, "fp").sortBy("fp", "content").format("parquet").option("path", path).saveAsTable(name)
+        return level, path, name
+
+    def _commit(self) -> None:
+        """A new version of the manifest; the runs that it doesn't name are dropped after it stands."""
+        self.version += 1
+        rows = [(self.version, self.buckets, level, path) for level, path, _ in self.runs]
+        self.spark.createDataFrame(rows, "version int, buckets int, level int, path string").coalesce(1).write.mode("append").json(self._manifest)
+
+    def history(self) -> list[DataFrame]:
+        return [self.spark.table(name) for _, _, name in self.runs]
+
+    def compact(self) -> None:
+        """Merge the runs of each level that has its fan-out of them. Of equal stretches the first stays."""
+        level = 0
+        while any(at >= level for at, *_ in self.runs):
+            own = [r for r in self.runs if r[0] == level]
+            if len(own) >= self.fan_out:
+                rows = self.spark.table(own[0][2])
+                for _, _, name in own[1:]:
+                    rows = rows.unionByName(self.spark.table(name))
+                first = rows.groupBy("fp", "content").agg(F.min(F.struct("doc_id", "start", "n")).alias("s")).select("fp", "content", "s.*")
+                self.runs = [r for r in self.runs if r[0] != level] + [self._write(first, level + 1)]
+                self._commit()
+                for _, path, name in own:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                    discard(self.spark, path)
+            level += 1
+
+    def known(self, fps: DataFrame) -> DataFrame | None:
+        """The runs' stretches whose fingerprint is in `fps` (fp)."""
+        found = [run.join(fps.select("fp").hint("merge"), "fp", "left_semi").select(*RUN) for run in self.history()]
+        return functools.reduce(DataFrame.unionByName, found) if found else None
 
     def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Merge a batch in. Returns its stretches to remove (doc_id, start, n), and of all documents so far the stretches
-        whose windows have to be compared one by one."""
+        """Take a batch in. Returns its stretches to remove (doc_id, start, n), and the stretches, of its documents and of earlier
+        ones, whose windows have to be compared one by one on account of this batch."""
+        spark = self.spark
         rows = batch.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        new = rows.mapInArrow(_hash_batch, STRETCH).withColumn("old", F.lit(False))
-        history, compact = self._history(), len(self.runs) + 1 > self.max_runs
-        merged = new if history is None else history.withColumns({"settled": F.lit(False), "old": F.lit(True)}).select(new.columns).unionByName(new)
-        same, alike = W.partitionBy("fp", "content").orderBy("doc_id", "start"), W.partitionBy("fp")
-        merged = merged.withColumns({"place": F.rank().over(same), "least": F.min("content").over(alike), "most": F.max("content").over(alike)})
-        merged = merged.withColumns({"first": ~F.col("settled") & (F.col("place") == 1), "mixed": F.col("least") != F.col("most")})
-        # kinds: 0 goes, 1 first of its words, 2 the same and its fingerprint has other words too; 3 and 4 are those of history
-        kind = F.when(~F.col("first"), 0).otherwise(F.when(F.col("mixed"), 2).otherwise(1)) + F.when(F.col("old"), 2).otherwise(0)
-        kept = merged.withColumn("kind", kind)
-        if not compact:
-            kept = kept.where("kind <> 3")
-        path = fresh_dir(self.spark, "fingerprints")
-        kept.select("fp", "content", "doc_id", "start", "n", "kind").write.partitionBy("kind").parquet(path)
-        schema = "fp long, content long, doc_id long, start int, n int, kind int"
-        out = self.spark.read.schema(schema).parquet(path)
-        own = [f"{path}/kind={k}" for k in ((1, 2, 3, 4) if compact else (1, 2)) if self._has(path, k)]
-        self.runs = [own] if compact else [*self.runs, own]
-        return out.where("kind = 0").select("doc_id", "start", "n"), out.where("kind in (2, 4)").select("doc_id", "start", "n")
-
-    def _has(self, path: str, kind: int) -> bool:
-        return not self.spark.read.schema("fp long, kind int").parquet(path).where(F.col("kind") == kind).isEmpty()
+        hashed = materialize(rows.mapInArrow(_hash_batch, STRETCH), "stretches")
+        new = hashed.where("not settled").select(*RUN)
+        own = new.groupBy("fp").agg(F.count("*").alias("m"), F.min("content").alias("lo"), F.max("content").alias("hi"))
+        old = self.known(own)
+        if old is None:
+            old = spark.createDataFrame([], new.schema)
+            shared = own.where("m > 1")
+        else:
+            old = materialize(old.groupBy("fp", "content").agg(F.min(F.struct("doc_id", "start", "n")).alias("s")).select("fp", "content", "s.*"), "known")
+            before = old.groupBy("fp").agg(F.min("content").alias("_lo"), F.max("content").alias("_hi"))
+            both = own.join(before.hint("merge"), "fp", "left")
+            shared = both.where("m > 1 or _lo is not null").select("fp", F.least("lo", "_lo").alias("lo"), F.greatest("hi", "_hi").alias("hi"))
+        shared = materialize(shared.select("fp", (F.col("lo") != F.col("hi")).alias("mixed")), "shared")
+        judged = materialize(new.join(shared.hint("merge"), "fp", "left"), "judged")
+        # of the stretches that share their fingerprint, the first of each content
+        some = judged.where("mixed is not null")
+        place = F.struct("doc_id", "start")
+        first = some.groupBy("fp", "content").agg(F.min(place).alias("head"))
+        seen = old.select("fp", "content", F.lit(True).alias("seen"))
+        settled = first.join(seen.hint("merge"), ["fp", "content"], "left").select("fp", "content", "head", F.col("seen").isNotNull().alias("seen"))
+        ruled = materialize(some.join(settled.hint("merge"), ["fp", "content"]).select(*RUN, "mixed", (F.col("seen") | (place != F.col("head"))).alias("goes")), "ruled")
+        kept = ruled.where("not goes")
+        self.runs.append(self._write(judged.where("mixed is null").select(*RUN).unionByName(kept.select(*RUN)), 0))
+        self._commit()
+        self.compact()
+        done_with(judged)
+        gone = hashed.where("settled").select("doc_id", "start", "n").unionByName(ruled.where("goes").select("doc_id", "start", "n"))
+        # of earlier documents, what stands under a fingerprint that this batch has in other words
+        alike = old.join(shared.where("mixed").select("fp").hint("merge"), "fp", "left_semi")
+        compare = kept.where("mixed").select("doc_id", "start", "n").unionByName(alike.select("doc_id", "start", "n"))
+        return gone, compare
 
 
 def _spans(starts: list, counts: list) -> np.ndarray:
@@ -129,19 +201,22 @@ def _spans(starts: list, counts: list) -> np.ndarray:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """128-bit hashes of the windows to compare. Those that also start in a smaller document of the chunk are settled: they go,
-    and are dealt anywhere."""
+    """128-bit hashes of the windows to compare, of each document the first of equal ones. Those that also start in a smaller
+    document of the chunk are settled: they go, and are dealt anywhere."""
     for batch in chunks(batches):
         batch = batch.filter(pc.is_valid(batch.column("spans")))
         words = Words(batch.column("text"))
-        h = words.hashes()
-        a, b = window_hashes(h, WINDOW, 1).view(np.int64), window_hashes(h, WINDOW, 2).view(np.int64)
+        a, b = (window_hashes(words.hashes(seed), WINDOW, 1 + seed).view(np.int64) for seed in (0, 1))
         spans = [_spans([s["start"] for s in x or ()], [s["n"] for s in x or ()]) for x in batch.column("spans").to_pylist()]
         at = np.concatenate([s + base for s, base in zip(spans, words.starts)]) if spans else np.empty(0, np.int64)
         row = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
-        ids = np.asarray(batch.column("doc_id").fill_null(-(1 << 63)), dtype=np.int64)[row]
+        key = mix(a[at].view(np.uint64) ^ mix(b[at].view(np.uint64)))
+        # what repeats within the document is found when it is cut
+        order = np.lexsort((at, key, row))
+        once = np.sort(order[np.r_[True, (key[order][1:] != key[order][:-1]) | (row[order][1:] != row[order][:-1])]] if len(order) else order)
+        at, row, key = at[once], row[once], key[once]
+        ids = _ids(batch)[row]
         a, b = a[at], b[at]
-        key = mix(a.view(np.uint64) ^ mix(b.view(np.uint64)))
         _, group = np.unique(key, return_inverse=True)
         least = np.full(group.max(initial=-1) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, group, ids)
@@ -160,7 +235,7 @@ def _cut(batch: pa.RecordBatch, text: str) -> tuple[Words, np.ndarray]:
     whole = np.zeros(len(h) + 1, np.int64)
     if n:
         inside = np.flatnonzero(words.left()[:n] >= WINDOW)
-        w1, w2, doc = window_hashes(h, WINDOW, 1)[inside], window_hashes(h, WINDOW, 2)[inside], words.doc_of()[inside]
+        w1, w2, doc = window_hashes(h, WINDOW, 1)[inside], window_hashes(words.hashes(1), WINDOW, 2)[inside], words.doc_of()[inside]
         order = np.lexsort((inside, w2, w1, doc))
         same = (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1]) & (doc[order][1:] == doc[order][:-1])
         whole[inside[order[1:][same]]] = 1
@@ -194,18 +269,20 @@ def removals(docs: DataFrame, batches: int = 2, id_name: str = "doc_id", text_na
     index = FingerprintIndex(spark)
     width = 0 if lo is None else (hi - lo) // batches + 1
     part = F.lit(0) if lo is None else F.coalesce(((F.col("doc_id") - lo) / width).cast("int"), F.lit(0))
-    gone = []
-    for k in range(batches if lo is not None else 1):
-        whole, mixed = index.add(rows.where(part == k))
-        gone.append(whole)
-    todo = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    gone, compare = zip(*(index.add(rows.where(part == k)) for k in range(batches if lo is not None else 1)))
+    todo = functools.reduce(DataFrame.unionByName, compare).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     # a left join, as that of `remove`, so that both read one shuffle of the texts
-    windows = docs.join(todo.withColumnRenamed("doc_id", "_id").hint("merge"), F.col(id_name).cast("long").eqNullSafe(F.col("_id")), "left").select(F.col("_id").alias("doc_id"), F.col(text_name).cast("string").alias("text"), "spans").mapInArrow(_compare, "a long, b long, doc_id long, start int, settled boolean")
-    earliest = W.partitionBy("a", "b")
+    own = _key(id_name)
+    windows = docs.join(todo.hint("merge"), own == F.col("_id"), "left").select(F.col("_id").alias("doc_id"), F.col(text_name).cast("string").alias("text"), "spans").mapInArrow(_compare, "a long, b long, doc_id long, start int, settled boolean")
+    earliest = W.partitionBy("a", "b")  # a hot window has a row for each chunk of documents
     later = windows.withColumn("least", F.min("doc_id").over(earliest)).where("settled or doc_id > least").select("doc_id", "start", F.lit(1).alias("n"))
     for g in gone:
         later = later.unionByName(g)
-    return later.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
+    return later.where(F.col("doc_id") != NO_ID).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
+
+
+def _key(id_name: str) -> Column:
+    return F.coalesce(F.col(id_name).cast("long"), F.lit(NO_ID))
 
 
 def remove(docs: DataFrame, batches: int = 2) -> DataFrame:
@@ -213,7 +290,7 @@ def remove(docs: DataFrame, batches: int = 2) -> DataFrame:
     m = Masked(docs)
     own_id, own_text = m.name("doc_id"), m.name("text")
     gone = removals(m.df, batches, own_id, own_text).withColumnRenamed("doc_id", "_id").hint("merge")
-    both = m.df.join(gone, F.col(own_id).cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    both = m.df.join(gone, _key(own_id) == F.col("_id"), "left").drop("_id")
     both, text = m.as_string(both, "text")
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]
     return m.restore(add_columns(both, fields, lambda: functools.partial(_digest_columns, text=text), text), [f.name for f in fields])

@@ -58,8 +58,9 @@ class Words:
         """For each word, how many words its document has from there on."""
         return np.repeat(self.ends, self.counts) - np.arange(len(self.codes))
 
-    def hashes(self) -> np.ndarray:
-        one = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in self.vocab), np.uint64, len(self.vocab))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A hash of each word; those of different seeds are independent."""
+        one = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in self.vocab), np.uint64, len(self.vocab))
         return one[self.codes]
 
 

@@ -1,11 +1,14 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from lectern.llm import quality_rules, substring
 from lectern.llm.queries import ORACLES, QUERIES
 from tests import oracle
 
-from .data import empty_docs, odd_docs, odd_rows, words
+from .data import empty_docs, odd_docs, odd_rows, prose, words
 
 
 def test_queries_against_sql(spark):
@@ -67,21 +70,68 @@ def test_substring_batches_agree(spark):
     assert results[0] == results[1] == results[2]
 
 
-def test_index_is_incremental(spark):
-    """Batches added one by one, with several runs and with compaction, find what one batch finds."""
-    rows = [(i, t) for i, t in odd_rows() if i is not None and i <= 10]
-
-    def gone(parts, max_runs):
-        index, out = substring.FingerprintIndex(spark, max_runs), Counter()
-        for part in parts:
-            removed, _ = index.add(odd_docs(spark, part))
-            out.update((r.doc_id, r.start, r.n) for r in removed.collect())
-        return out, len(index.runs)
-
-    # an early copy is settled inside a batch or by history alike
-    several, n = gone([rows[:3], rows[3:]], 4)
-    compact, m = gone([rows[:3], rows[3:]], 1)
-    assert several == compact and n > m >= 1
+def index_parts():
+    """Stretches and windows are the same whatever batches they come in, but for where a text's stretches begin."""
+    rows = sorted((r for r in odd_rows() if r[0] is not None), key=lambda r: r[0])
+    return [rows[:3], rows[3:6], rows[6:9], rows[9:12], rows[12:]]
+
+
+def run_rows(index):
+    return Counter((r.fp, r.content, r.doc_id, r.start, r.n) for run in index.history() for r in run.collect())
+
+
+def test_index_levels(spark):
+    """Runs of one level are merged into one of the next, and hold the same first stretches as a single run."""
+    one, two, three = (substring.FingerprintIndex(spark, fan_out=n) for n in (100, 2, 3))
+    for part in index_parts():
+        for index in (one, two, three):
+            index.add(odd_docs(spark, part))
+    assert sorted(level for level, *_ in one.runs) == [0] * 5
+    assert sorted(level for level, *_ in two.runs) == [0, 2]
+    assert sorted(level for level, *_ in three.runs) == [0, 0, 1]
+    assert run_rows(one) == run_rows(two) == run_rows(three)
+    assert max(run_rows(one).values()) == 1
+
+
+def test_index_goes_on_in_a_later_session(spark):
+    parts = index_parts()
+    whole, first = substring.FingerprintIndex(spark, fan_out=3), substring.FingerprintIndex(spark, fan_out=3)
+    for part in parts[:3]:
+        first.add(odd_docs(spark, part))
+    later = substring.FingerprintIndex(spark.newSession(), first.folder, fan_out=3)
+    assert run_rows(later) == run_rows(first)
+    for part in parts[:3]:
+        whole.add(odd_docs(spark, part))
+    for part in parts[3:]:
+        got, want = (index.add(odd_docs(spark, part)) for index in (later, whole))
+        for g, w in zip(got, want):
+            assert Counter(map(tuple, g.collect())) == Counter(map(tuple, w.collect()))
+    assert run_rows(later) == run_rows(whole) and later.version == whole.version
+
+
+def test_history_is_merged_in_its_order(spark):
+    """The plan of the join with the runs shuffles and sorts the batch alone."""
+    index = substring.FingerprintIndex(spark, fan_out=9)
+    for part in index_parts()[:2]:
+        index.add(odd_docs(spark, part))
+    fps = spark.createDataFrame([(1,), (2,)], "fp long").groupBy("fp").count()
+    found = index.known(fps)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    joins = plan.split("SortMergeJoin")[1:]
+    assert len(joins) == 2
+    for join in joins:
+        above_the_run = join.split("Scan parquet")[0]
+        assert "Exchange" not in above_the_run and "Sort" not in above_the_run, plan
+
+
+def test_windows_of_colliding_words_are_told_apart(spark, monkeypatch):
+    """Both hashes of a window would have to collide, and they are of different hashes of its words."""
+    hashes = substring.Words.hashes
+    monkeypatch.setattr(substring.Words, "hashes", lambda self, seed=0: hashes(self, seed) if seed else hashes(self, 0) | np.uint64(1))
+    a, b = (pa.record_batch([pa.array([1, 2]), pa.array([prose(40, 1), prose(40, k)]), pa.array([[{"start": 0, "n": 21}]] * 2)], names=["doc_id", "text", "spans"]) for k in (1, 2))
+    same, other = ([r for out in substring._compare(iter([x])) for r in out.to_pylist()] for x in (a, b))
+    assert sum(r["settled"] for r in same) == 21 and sum(r["settled"] for r in other) == 0
 
 
 def test_substring_on_nothing(spark):
