@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from .arrowmap import Masked, add_columns
 from .store import discard, done_with, exists, fresh_dir, materialize, parallelism
-from .words import Words, chunks, mix, ranges, sliding_min, window_hashes
+from .words import Words, chunks, mix, ranges, repeated, sliding_min, window_hashes
 
 WINDOW, GRAM = 20, 5
 #: So many runs of one level are merged into one of the next.
@@ -212,15 +212,19 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
         key = mix(a[at].view(np.uint64) ^ mix(b[at].view(np.uint64)))
         # what repeats within the document is found when it is cut
-        order = np.lexsort((at, key, row))
-        once = np.sort(order[np.r_[True, (key[order][1:] != key[order][:-1]) | (row[order][1:] != row[order][:-1])]] if len(order) else order)
+        once = np.ones(len(key), bool)
+        with np.errstate(over="ignore"):
+            often = repeated(mix(key + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        order = often[np.lexsort((often, key[often], row[often]))]
+        once[order[1:][(key[order][1:] == key[order][:-1]) & (row[order][1:] == row[order][:-1])]] = False
         at, row, key = at[once], row[once], key[once]
         ids = _ids(batch)[row]
         a, b = a[at], b[at]
-        _, group = np.unique(key, return_inverse=True)
+        settled, often = np.zeros(len(key), bool), repeated(key)
+        _, group = np.unique(key[often], return_inverse=True)
         least = np.full(group.max(initial=-1) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, ids)
-        settled = ids > least[group]
+        np.minimum.at(least, group, ids[often])
+        settled[often] = ids[often] > least[group]
         with np.errstate(over="ignore"):
             a = np.where(settled, mix(key + np.arange(len(key), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64), a)
         yield pa.record_batch([pa.array(a), pa.array(b), pa.array(ids), pa.array(at - words.starts[row], pa.int32()), pa.array(settled)], names=["a", "b", "doc_id", "start", "settled"])
@@ -236,6 +240,9 @@ def _cut(batch: pa.RecordBatch, text: str) -> tuple[Words, np.ndarray]:
     if n:
         inside = np.flatnonzero(words.left()[:n] >= WINDOW)
         w1, w2, doc = window_hashes(h, WINDOW, 1)[inside], window_hashes(words.hashes(1), WINDOW, 2)[inside], words.doc_of()[inside]
+        with np.errstate(over="ignore"):
+            often = repeated(mix(w1 + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        w1, w2, doc, inside = w1[often], w2[often], doc[often], inside[often]
         order = np.lexsort((inside, w2, w1, doc))
         same = (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1]) & (doc[order][1:] == doc[order][:-1])
         whole[inside[order[1:][same]]] = 1
@@ -251,13 +258,12 @@ def _cut(batch: pa.RecordBatch, text: str) -> tuple[Words, np.ndarray]:
 def _digest_columns(batch: pa.RecordBatch, text: str) -> list[pa.Array]:
     words, gone = _cut(batch, text)
     removed = np.add.reduceat(np.r_[gone, False].astype(np.int64), np.minimum(words.starts, len(gone))) * (words.counts > 0) if len(words.counts) else np.empty(0, np.int64)
-    texts = []
-    for a, b, r in zip(words.starts.tolist(), words.ends.tolist(), removed.tolist()):
-        codes = words.codes[a:b] if not r else words.codes[a:b][~gone[a:b]]
-        texts.append(" ".join([words.vocab[c] for c in codes.tolist()]))
-    sha = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
-    same = [None if not r else t for t, r in zip(texts, removed.tolist())]  # null: the text as it was
-    return [pa.array(words.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(sha, pa.string()), pa.array(same, pa.string())]
+    left = np.concatenate([[0], np.cumsum(words.counts - removed)])
+    kept = words.dictionary.take(pa.array(words.codes[~gone]))
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), kept), " ")
+    sha = [hashlib.sha256(t).hexdigest() for t in texts.cast(pa.binary()).to_pylist()]
+    changed = pc.if_else(pa.array(removed > 0), texts, pa.scalar(None, pa.string()))  # null: the text as it was
+    return [pa.array(words.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(sha, pa.string()), changed.cast(pa.string())]
 
 
 def removals(docs: DataFrame, batches: int = 2, id_name: str = "doc_id", text_name: str = "text") -> DataFrame:

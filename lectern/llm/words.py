@@ -47,6 +47,7 @@ class Words:
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
         self.codes = np.asarray(coded.indices, dtype=np.int64)
+        self.dictionary = coded.dictionary
         self.vocab: list[str] = coded.dictionary.to_pylist()
         self.starts, self.ends = self.offsets[:-1], self.offsets[1:]
         self.counts = np.diff(self.offsets)
@@ -64,6 +65,16 @@ class Words:
         return one[self.codes]
 
 
+def repeated(key: np.ndarray) -> np.ndarray:
+    """Positions, in ascending order, of the values that occur more than once."""
+    least = np.sort(key)
+    more = np.unique(least[1:][least[1:] == least[:-1]])
+    if not len(more):
+        return np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(more, key), len(more) - 1)
+    return np.flatnonzero(more[at] == key)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _S33)) * _M1
     x = (x ^ (x >> _S33)) * _M2
