@@ -32,9 +32,10 @@ class Masked:
             return df, name
         return df.withColumn("_as_text", F.col(name).cast("string")), "_as_text"
 
-    def restore(self, df: DataFrame, added: list[str]) -> DataFrame:
+    def restore(self, df: DataFrame, added: list[str], own: list[str] | None = None) -> DataFrame:
+        """`own`: the names in `df` of the columns that are left, if not all are."""
         new = {a.lower() for a in added}
-        old: list[Column] = [F.col(f"_in{i}").alias(n) for i, n in enumerate(self.names) if n.lower() not in new]
+        old: list[Column] = [F.col(f"_in{i}").alias(n) for i, n in enumerate(self.names) if n.lower() not in new and (own is None or f"_in{i}" in own)]
         return df.select(*old, *added)
 
 

@@ -2,12 +2,13 @@
 
 Training counts letter trigrams by language over all training rows, hashed into a fixed number of buckets, so the model's
 size depends on the number of languages alone. For a document, runs of SEGMENT words are observations whose likelihood under
-each language is the product of their trigrams'. Expectation-maximisation estimates the document's language proportions; of
-the nested language sets (the likeliest one, two, ... languages) that with the best penalised likelihood stands.
+each language is the product of their trigrams'. Expectation-maximisation estimates the document's language proportions; its
+language set (the likeliest one, two, ... languages) grows as long as its penalised likelihood does.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and for every text if nothing could be learned.
 Ties go to the language that sorts first. Repeated rows get equal results; a null doc_id counts as training and not held out.
-Rows with a null lang or text teach nothing.
+Rows with a null lang or text teach nothing. Of a column with more than MAX_LANGUAGES values, those with most trigrams are
+learned (of equal ones those that sort first); the rest, which can only be dirt, teach nothing.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowmap import add_text_columns
-from .words import Words, chunks
-
-BUCKETS, SEGMENT, ROUNDS, MIXTURE, PENALTY = 1 << 15, 16, 12, 4, 3.0
-#: Distinct languages that a model may have; more is an error in the labels, and refused.
-MAX_LANGUAGES = 512
+from .store import materialize
+from .words import Words, chunks, ranges
+
+BUCKETS, SEGMENT, ROUNDS, PENALTY = 1 << 15, 16, 12, 3.0
+#: Bound of the model: so many values of `lang` are learned, 128 kB each.
+MAX_LANGUAGES = 256
+#: Numbers (words, or documents' segments, times languages) that a task computes at a time; a longer text alone.
+AT_ONCE = 1 << 22
 UNKNOWN = "und"
 
 
@@ -79,13 +83,19 @@ def fit(rows: DataFrame) -> Model:
     """Learn from the `text` and `lang` of all rows in which both are given."""
     rows = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     counted = rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = counted.limit(MAX_LANGUAGES * BUCKETS + 1).toPandas()
-    langs = sorted(got["lang"].unique())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
-    counts = np.zeros((len(langs), BUCKETS))
-    counts[[langs.index(x) for x in langs] and got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return Model(langs, counts)
+    counted = materialize(counted, "trigrams")
+    most = counted.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES)
+    packed = counted.join(F.broadcast(most.select("lang")), "lang").groupBy("lang").applyInArrow(_pack, "lang string, counts binary")
+    got = sorted(tuple(r) for r in packed.collect())  # a row per language, at most MAX_LANGUAGES
+    counts = np.stack([np.frombuffer(c, "<i8") for _, c in got]) if got else np.zeros((0, BUCKETS))
+    return Model([x for x, _ in got], counts)
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """The counts of one language, BUCKETS at most, in one value."""
+    n = np.zeros(BUCKETS, "<i8")
+    n[np.asarray(table.column("bucket"))] = np.asarray(table.column("n"))
+    return pa.table({"lang": [table.column("lang")[0].as_py()], "counts": pa.array([n.tobytes()], pa.binary())})
 
 
 def _em(p: np.ndarray, at: np.ndarray, n: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +108,18 @@ def _em(p: np.ndarray, at: np.ndarray, n: np.ndarray, allowed: np.ndarray) -> tu
     return w, np.add.reduceat(np.log((np.repeat(w, n, axis=0) * p).sum(axis=1) + 1e-300), at)
 
 
+def _likelihoods(words: Words, model: Model, first: np.ndarray, end: int) -> np.ndarray:
+    """Log likelihood of each segment (words from `first` on, the last up to `end`) under each language."""
+    table, codes = model.word_scores(words.vocab), words.codes
+    out = np.empty((len(first), len(model.langs)))
+    step = max(1, AT_ONCE // (SEGMENT * len(model.langs)))
+    for k in range(0, len(first), step):
+        own = first[k : k + step]
+        stop = first[k + step] if k + step < len(first) else end
+        out[k : k + step] = np.add.reduceat(table[codes[own[0] : stop]], own - own[0], axis=0)
+    return out
+
+
 def mixtures(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """For each text its proportions (documents x languages) and how many languages its set has; zeros without words."""
     words = Words(texts)
@@ -105,26 +127,38 @@ def mixtures(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     has = np.flatnonzero(words.counts)
     if not len(has) or not model.langs:
         return shares, size
-    n = -(-words.counts[has] // SEGMENT)
+    segments = -(-words.counts[has] // SEGMENT)
+    cut = np.cumsum(segments) * len(model.langs)
+    lo = 0
+    while lo < len(has):
+        hi = max(lo + 1, int(np.searchsorted(cut, (cut[lo - 1] if lo else 0) + AT_ONCE, "right")))
+        shares[has[lo:hi]], size[has[lo:hi]] = _sets(words, model, has[lo:hi], segments[lo:hi])
+        lo = hi
+    return shares, size
+
+
+def _sets(words: Words, model: Model, docs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions and set sizes of neighbouring documents, which have n segments each."""
     at = np.concatenate([[0], np.cumsum(n)[:-1]])
-    first = np.repeat(words.starts[has], n) + (np.arange(n.sum()) - np.repeat(at, n)) * SEGMENT
-    like = np.add.reduceat(model.word_scores(words.vocab)[words.codes], first, axis=0).astype(np.float64)
+    first = np.repeat(words.starts[docs], n) + (np.arange(n.sum()) - np.repeat(at, n)) * SEGMENT
+    like = _likelihoods(words, model, first, int(words.ends[docs[-1]]))
     p = np.exp(like - like.max(axis=1, keepdims=True))
-    full, _ = _em(p, at, n, np.ones((len(has), len(model.langs))))
-    order = np.argsort(-full, axis=1, kind="stable")
-    rank = np.argsort(order, axis=1, kind="stable")
-    best, best_score = None, None
-    for k in range(1, min(MIXTURE, len(model.langs)) + 1):
-        w, fit_ = _em(p, at, n, (rank < k).astype(float))
-        score = fit_ - PENALTY * (k - 1) * np.log1p(n)
-        if best is None:
-            best, best_score, chosen = w, score, np.ones(len(has), np.int64)
-        else:
-            better = score > best_score
-            best = np.where(better[:, None], w, best)
-            best_score, chosen = np.where(better, score, best_score), np.where(better, k, chosen)
-    shares[has], size[has] = best, chosen
-    return shares, size
+    full, _ = _em(p, at, n, np.ones((len(docs), len(model.langs))))
+    rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
+    best, best_score = _em(p, at, n, (rank < 1).astype(float))
+    size = np.ones(len(docs), np.int64)
+    open_ = np.arange(len(docs))  # whose set has grown so far
+    for k in range(2, len(model.langs) + 1):
+        own = ranges(at[open_], n[open_])
+        m = n[open_]
+        w, fit_ = _em(p[own], np.concatenate([[0], np.cumsum(m)[:-1]]), m, (rank[open_] < k).astype(float))
+        score = fit_ - PENALTY * (k - 1) * np.log1p(m)
+        better = score > best_score[open_]
+        open_ = open_[better]
+        if not len(open_):
+            break
+        best[open_], best_score[open_], size[open_] = w[better], score[better], k
+    return best, size
 
 
 def predict(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str = "score") -> DataFrame:

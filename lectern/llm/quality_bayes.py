@@ -2,13 +2,15 @@
 
 A logistic classifier over style measures and tell-tale words and word beginnings (all that pass a test of significance) gives each document's evidence for being bad and for being
 toxic. Hosts and paths below them get Beta posteriors by grouped aggregation of that evidence over all documents: a path's
-rate is shrunk toward its host's, a host's toward the global rate, the stronger the fewer documents it has. A document's
-posterior is its evidence with its path's log odds in place of the global ones.
+rate is shrunk toward its host's, a host's toward the global rate, the stronger the fewer documents it has and the less rates
+differ on its level. A document's posterior is its evidence with its path's log odds in place of the global ones.
+
+Texts are read and scored once; what goes on are the rows with two numbers of evidence, in a written table.
 
 The classifier alone is fitted on a bounded sample: the MAX_LABELLED labelled rows that come first by a hash of their id.
 
 Defined results: a null text is an empty one; null host or path is a site of its own; labels without a document, null labels
-and repeated labels beyond the first by value teach nothing. Without labels of both kinds the evidence is the prior 0.5 %.
+and repeated labels beyond the first by value teach nothing; of documents that share a labelled id the least text is taken. Without labels of both kinds the evidence is the prior 0.5 %.
 Every input row gives one output row, repeated rows included.
 """
 
@@ -31,8 +33,11 @@ from .words import Words, chunks, window_hashes
 
 #: Bound of the sample of labelled rows that the classifier is fitted on.
 MAX_LABELLED = 16_384
-#: Site tables of at most so many rows are broadcast; larger ones are joined by shuffle, the documents' site salted.
-BROADCAST_SITES, SALTS = 50_000, 16
+#: So many sites, those with most documents, are broadcast. Of the others none has more than this part of all documents, and they
+#: are joined by a shuffle of their documents alone.
+BROADCAST_SITES = 50_000
+#: Sites of fewer documents say nothing on how rates differ.
+LEAST_DOCS = 20
 BUCKETS, LEAST_Z = 1 << 20, 6.0
 #: Besides a word itself, its first characters are features, so that forms of a stem that the sample lacks count too.
 PREFIXES = (4, 6)
@@ -168,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     one = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min("quality")).cast("int").alias("bad"), F.max("toxic").cast("int").alias("toxic"))
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").select("bad", "toxic", "text").mapInArrow(_training_rows, "bad int, toxic int, style binary, buckets binary, sketch long").toPandas()
+    labelled = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "bad", "toxic").agg(F.min("text").alias("text"))
+    rows = labelled.select("bad", "toxic", "text").mapInArrow(_training_rows, "bad int, toxic int, style binary, buckets binary, sketch long").toPandas()
     out = Classifier()
     if not len(rows):
         return out
@@ -199,43 +205,50 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def _strength(rate: Column, variance: Column) -> Column:
+    """Strength of a Beta prior by moments: the larger, the less the rates differ."""
+    return F.least(F.greatest(rate * (1 - rate) / F.greatest(variance, F.lit(1e-6)) - 1, F.lit(10.0)), F.lit(1000.0))
+
+
 def _sites(scored: DataFrame, host: str, path: str) -> DataFrame:
-    """Of each host and path: shrunk rates of each kind, as log odds against the global rate."""
+    """Of each host and path: documents, and shrunk rates of each kind, as log odds against the global rate."""
     paths = scored.groupBy(F.col(host).cast("string").alias("h"), F.col(path).cast("string").alias("p")).agg(F.count("*").alias("n"), *(F.sum(f"_p_{k}").alias(k) for k in KINDS))
     hosts = paths.groupBy("h").agg(F.sum("n").alias("hn"), *(F.sum(k).alias(f"h_{k}") for k in KINDS))
-    total = hosts.agg(F.sum("hn").alias("tn"), *(F.sum(f"h_{k}").alias(f"t_{k}") for k in KINDS), *(F.coalesce(F.var_samp(F.when(F.col("hn") >= 20, F.col(f"h_{k}") / F.col("hn"))), F.lit(0.0)).alias(f"v_{k}") for k in KINDS))
-    one = paths.join(hosts.withColumnRenamed("h", "hh"), F.col("h").eqNullSafe(F.col("hh"))).join(F.broadcast(total))  # total is one row
+    both = paths.join(hosts.withColumnRenamed("h", "hh"), F.col("h").eqNullSafe(F.col("hh"))).drop("hh")
+    differ = lambda size, x: F.coalesce(F.var_samp(F.when(F.col(size) >= LEAST_DOCS, x)), F.lit(0.0))
+    total = hosts.agg(F.sum("hn").alias("tn"), *(F.sum(f"h_{k}").alias(f"t_{k}") for k in KINDS), *(differ("hn", F.col(f"h_{k}") / F.col("hn")).alias(f"vh_{k}") for k in KINDS))
+    within = both.agg(*(differ("n", F.col(k) / F.col("n") - F.col(f"h_{k}") / F.col("hn")).alias(f"vp_{k}") for k in KINDS))
+    one = both.join(F.broadcast(total)).join(F.broadcast(within))  # one row each
     out = []
     for k in KINDS:
         rate = F.greatest(F.col(f"t_{k}") / F.col("tn"), F.lit(1e-6))
-        # strength of the Beta prior by moments: the larger, the less the hosts' rates differ
-        m = F.least(F.greatest(rate * (1 - rate) / F.greatest(F.col(f"v_{k}"), F.lit(1e-6)) - 1, F.lit(10.0)), F.lit(1000.0))
-        by_host = (F.col(f"h_{k}") + m * rate) / (F.col("hn") + m)
-        by_path = (F.col(k) + m * by_host) / (F.col("n") + m)
+        by, below = _strength(rate, F.col(f"vh_{k}")), _strength(rate, F.col(f"vp_{k}"))
+        by_host = (F.col(f"h_{k}") + by * rate) / (F.col("hn") + by)
+        by_path = (F.col(k) + below * by_host) / (F.col("n") + below)
         out.append((_logit(by_path) - _logit(rate)).alias(f"_site_{k}"))
-    return one.select("h", "p", *out)
+    return one.select("h", "p", "n", *out)
 
 
-def classify(docs: DataFrame, model: Classifier, host: str, path: str, evidence: DataFrame | None = None) -> DataFrame:
-    """`docs` with p_bad, p_toxic and quality_ok. `evidence` has the rows to pool sites over (all of `docs` if not given)."""
-
+def classify(docs: DataFrame, model: Classifier, host: str, path: str, keep_text: bool = True) -> DataFrame:
+    """`docs`, without the text if it isn't to be kept, with p_bad, p_toxic and quality_ok. Sites are pooled over all of `docs`."""
     m = Masked(docs)
-    own_host, own_path = (F.col(m.name(c)).cast("string") for c in (host, path))
-
-    def scored(rows: DataFrame, text: str) -> DataFrame:
-        fields = [T.StructField(f"_x_{k}", T.DoubleType()) for k in KINDS]
-        with_x = add_columns(rows, fields, lambda: lambda batch: [pa.array(x) for x in model.log_odds(batch.column(text))], text)
-        return with_x.withColumns({f"_p_{k}": 1 / (1 + F.exp(-F.col(f"_x_{k}"))) for k in KINDS})
-
-    pool = scored((docs if evidence is None else evidence).select(F.col(host).alias("_h"), F.col(path).alias("_q"), F.col("text").cast("string").alias("text")), "text")
-    sites = materialize(_sites(pool, "_h", "_q"), "sites")
-    rows = scored(*m.as_string(m.df, "text"))
+    rows, text = m.as_string(m.df, "text")
+    fields = [T.StructField(f"_x_{k}", T.DoubleType()) for k in KINDS]
+    rows = add_columns(rows, fields, lambda: lambda batch: [pa.array(x) for x in model.log_odds(batch.column(text))], text)
+    own = [c for c in m.df.columns if keep_text or c != m.name("text")]
+    rows = materialize(rows.select(*own, *(f.name for f in fields)), "evidence")
+    at_host, at_path = (m.name(c) for c in (host, path))
+    sites = materialize(_sites(rows.withColumns({f"_p_{k}": 1 / (1 + F.exp(-F.col(f"_x_{k}"))) for k in KINDS}), at_host, at_path), "sites")
+    own_site = F.col(at_host).cast("string").eqNullSafe(F.col("h")) & F.col(at_path).cast("string").eqNullSafe(F.col("p"))
     if sites.count() <= BROADCAST_SITES:
-        both = rows.join(F.broadcast(sites), own_host.eqNullSafe(F.col("h")) & own_path.eqNullSafe(F.col("p")), "left")
+        both = rows.join(F.broadcast(sites), own_site, "left")
     else:
-        salted = sites.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_salt_of", F.pmod(F.xxhash64(*m.df.columns), F.lit(SALTS)).cast("int"))
-        both = rows.join(salted, own_host.eqNullSafe(F.col("h")) & own_path.eqNullSafe(F.col("p")) & (F.col("_salt_of") == F.col("_salt")), "left")
-    out = both.select(*m.df.columns, *((1 / (1 + F.exp(-(F.col(f"_x_{k}") + F.coalesce(F.col(f"_site_{k}"), F.lit(0.0)))))).alias(f"p_{k}") for k in KINDS))
+        large = sites.orderBy(F.desc("n"), "h", "p").limit(BROADCAST_SITES)
+        least = large.agg(F.min("n")).first()[0]
+        large = sites.where(F.col("n") > least)  # a site of `least` documents or fewer is small
+        found = rows.join(F.broadcast(large), own_site, "left")
+        small = found.where("n is null").select(rows.columns).join(sites.where(F.col("n") <= least).hint("merge"), own_site, "left")
+        both = found.where("n is not null").unionByName(small)
+    out = both.select(*own, *((1 / (1 + F.exp(-(F.col(f"_x_{k}") + F.coalesce(F.col(f"_site_{k}"), F.lit(0.0)))))).alias(f"p_{k}") for k in KINDS))
     out = out.withColumn("quality_ok", (F.col("p_bad") < 0.5) & (F.col("p_toxic") < 0.5))
-    return m.restore(out, ["p_bad", "p_toxic", "quality_ok"])
+    return m.restore(out, ["p_bad", "p_toxic", "quality_ok"], own)

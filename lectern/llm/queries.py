@@ -134,7 +134,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts are the documents' sources, paths their sections by language."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     model = quality_bayes.fit(docs, _table(spark, sf_dir, "labels"))
-    out = quality_bayes.classify(docs, model, "source", "lang")
+    out = quality_bayes.classify(docs, model, "source", "lang", keep_text=False)
     return out.select("doc_id", "p_bad", "p_toxic", F.col("quality_ok").alias("kept"))
 
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.llm import elias_fano, langid, ngram_lm, quality_bayes
+from lectern.llm.queries import QUERIES
 
 from .data import empty_docs, odd_docs, odd_rows, prose, words
 
@@ -42,6 +43,84 @@ def test_language_of_a_mixture(spark):
     assert r.lang_pred == "en" and r.n_languages == 2 and 0.5 < r.score < 0.9
 
 
+def brute_language(text, model):
+    """Proportions and set of one text, in plain Python."""
+    w = words(text)
+    segs = []
+    for at in range(0, len(w), langid.SEGMENT):
+        total = np.zeros(len(model.langs))
+        for x in w[at : at + langid.SEGMENT]:
+            t = f" {x.lower()} "
+            for k in range(len(t) - 2):
+                key = (ord(t[k]) << 42) ^ (ord(t[k + 1]) << 21) ^ ord(t[k + 2])
+                total += model.log_p[(key * 0x9E3779B97F4A7C15 % 2**64) >> 49]
+        segs.append([math.exp(v - max(total)) for v in total])
+
+    def em(allowed):
+        share = {i: 1 / len(allowed) for i in allowed}
+        for _ in range(langid.ROUNDS):
+            new = dict.fromkeys(allowed, 0.0)
+            for p in segs:
+                s = sum(share[i] * p[i] for i in allowed) + 1e-300
+                for i in allowed:
+                    new[i] += share[i] * p[i] / s / len(segs)
+            share = new
+        return share, sum(math.log(sum(share[i] * p[i] for i in allowed) + 1e-300) for p in segs)
+
+    full, _ = em(range(len(model.langs)))
+    order = sorted(full, key=lambda i: (-full[i], i))
+    best, best_score, size = None, -math.inf, 0
+    for k in range(1, len(order) + 1):
+        share, fit = em(sorted(order[:k]))
+        score = fit - langid.PENALTY * (k - 1) * math.log1p(len(segs))
+        if score <= best_score:
+            break
+        best, best_score, size = share, score, k
+    return best, size
+
+
+def test_language_against_brute_force(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
+    parts = {r.lang: r.text for r in docs.where(F.length("text").between(700, 3000)).groupBy("lang").agg(F.min("text").alias("text")).collect()}
+    langs = sorted(parts)
+    assert len(langs) >= 4
+    # six languages, two of them shifted copies, and texts of one to six of them
+    rot = lambda t, k: "".join(chr(97 + (ord(c) - 97 + k) % 26) if "a" <= c <= "z" else c for c in t.lower())
+    parts |= {"r1": rot(parts[langs[0]], 9), "r2": rot(parts[langs[0]], 17)}
+    train = spark.createDataFrame([(t, x) for x, t in parts.items()], "text string, lang string")
+    model = langid.fit(train)
+    names = sorted(parts)
+    texts = [" ".join(parts[x][:600] for x in names[:k]) for k in range(1, 7)] + [parts[x][:90] for x in names] + [t for _, t in odd_rows() if words(t) and len(t) < 5000]
+    for at_once in (langid.AT_ONCE, 500):
+        monkeypatch.setattr(langid, "AT_ONCE", at_once)
+        shares, size = langid.mixtures(pa.array(texts), model)
+        for t, own, n in zip(texts, shares, size):
+            want, k = brute_language(t, model)
+            assert n == k
+            assert np.allclose(own, [want.get(i, 0.0) for i in range(len(model.langs))], atol=1e-4)
+        assert size[5] > 4  # no bound of languages in a set
+
+
+def test_language_of_dirty_labels(spark, monkeypatch):
+    """More values than the model's bound: those with most text are learned, and nothing fails."""
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    rows = [(prose(200, k), x) for k, x in enumerate("abc")] + [(prose(5, 50 + k), f"dirt{k}") for k in range(40)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    assert model.langs == ["a", "b", "c"]
+
+
+def test_registered_language_query(spark):
+    got = QUERIES["op6_language_id"](spark, "/root/testdata/sf0.001")
+    assert got.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = got.collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1
+        if not any(c.isalpha() for c in docs[r.doc_id].text or ""):
+            assert r.lang_pred == "und"
+
+
 def test_language_on_odd_texts(spark):
     docs = odd_docs(spark)
     got = langid.predict(docs, langid.fit(docs)).collect()
@@ -99,13 +178,52 @@ def test_quality_on_odd_texts(spark):
     assert quality_bayes.classify(empty_docs(spark), quality_bayes.fit(empty_docs(spark), labels), "source", "lang").count() == 0
 
 
-def test_quality_shuffles_many_sites(spark, monkeypatch):
+def brute_sites(rows):
+    """Log odds of each site against the global rate, of rows (host, path, probability), in plain Python."""
+    def mean_var(x):
+        m = sum(x) / len(x) if x else 0
+        return sum((v - m) ** 2 for v in x) / (len(x) - 1) if len(x) > 1 else 0.0
+
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    hosts, paths = {}, {}
+    for h, q, p in rows:
+        hosts.setdefault(h, []).append(p)
+        paths.setdefault((h, q), []).append(p)
+    rate = max(sum(p for *_, p in rows) / len(rows), 1e-6)
+    strength = lambda v: min(max(rate * (1 - rate) / max(v, 1e-6) - 1, 10), 1000)
+    mean = lambda x: sum(x) / len(x)
+    by = strength(mean_var([mean(x) for x in hosts.values() if len(x) >= 20]))
+    below = strength(mean_var([mean(x) - mean(hosts[h]) for (h, _), x in paths.items() if len(x) >= 20]))
+    out = {}
+    for (h, q), x in paths.items():
+        host = (sum(hosts[h]) + by * rate) / (len(hosts[h]) + by)
+        out[h, q] = logit((sum(x) + below * host) / (len(x) + below)) - logit(rate)
+    return out
+
+
+def test_quality_against_brute_force(spark, monkeypatch):
+    """Posteriors of the registered query and of the way with many sites, from the evidence of each text."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality_bayes.fit(docs, labels)
+    rows = docs.select("doc_id", "text", "source", "lang").collect()
+    x = model.log_odds(pa.array([r.text for r in rows], pa.string()))
+    site = {k: brute_sites([(r.source, r.lang, 1 / (1 + math.exp(-v))) for r, v in zip(rows, x[j])]) for j, k in enumerate(quality_bayes.KINDS)}
+    p = lambda j, k, r, i: 1 / (1 + math.exp(-(x[j][i] + site[k][r.source, r.lang])))
+    want = {r.doc_id: tuple(p(j, k, r, i) for j, k in enumerate(quality_bayes.KINDS)) for i, r in enumerate(rows)}
+    for limit in (50_000, 7, 0):
+        monkeypatch.setattr(quality_bayes, "BROADCAST_SITES", max(limit, 1))
+        got = QUERIES["op8_quality_classifier"](spark, "/root/testdata/sf0.001").collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert np.allclose((r.p_bad, r.p_toxic), want[r.doc_id], atol=1e-9)
+            assert r.kept == (max(want[r.doc_id]) < 0.5)
+
+
+def test_quality_texts_are_scored_once(spark):
     docs = odd_docs(spark)
-    model = quality_bayes.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
-    few = quality_bayes.classify(docs, model, "source", "lang").select("doc_id", "p_bad").collect()
-    monkeypatch.setattr(quality_bayes, "BROADCAST_SITES", 0)
-    many = quality_bayes.classify(docs, model, "source", "lang").select("doc_id", "p_bad").collect()
-    assert Counter(map(tuple, few)) == Counter(map(tuple, many))
+    out = quality_bayes.classify(docs, quality_bayes.Classifier(), "source", "lang", keep_text=False)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in out.columns and "MapInArrow" not in plan and "Python" not in plan
 
 
 def brute_lm(rows, train):
