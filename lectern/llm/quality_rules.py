@@ -1,19 +1,22 @@
 """Line-first quality rules, by DataFrame functions only.
 
-Each line is judged by rules on punctuation, navigation and boilerplate, and removed if it breaks one; then the document is
-rejected if the lines left hold too little of its words. Documents that are too short, or repeat themselves too much, fail
-before that.
+Each line is judged by rules on punctuation, navigation and boilerplate, and removed if it breaks one; what is left is the
+cleaned text. Then the document is rejected if the lines left hold too little of its words. Documents that are too short, or
+repeat themselves too much, fail before that.
 
 Words are runs of characters other than space and U+0009 to U+000D. Repeated 8-word windows are found per document by
 hashing: a word's hash is joined with its neighbours' (1, 2, 4, then 8 words), and only documents with equal window hashes
 sort them. No step is worse than n log n in a document's words, and nothing is shuffled.
 
-Defined results: null and empty texts have no words and fail as too short. Repeated rows are judged alike. Columns other than
+Defined results: null and empty texts have no words and fail as too short; their cleaned text is empty. Lines without a word
+are left out of a cleaned text. Repeated rows are judged alike. Columns other than
 the text are passed on; one named like an added column gives way to it.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +26,19 @@ SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 #: Least words, largest share (percent) of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: A line goes if over a third of its words bear symbols, or over two fifths are shouted ("!!"), or bars divide it.
-MOST_SYMBOLS, MOST_SHOUTED = 0.34, 0.4
+#: A line goes if over a third of its words bear symbols, or over two fifths are shouted ("!!"), or bars divide it, or it has
+#: LEAST_SENTENCE words or more and no mark at its end that a sentence or quotation ends with.
+MOST_SYMBOLS, MOST_SHOUTED, LEAST_SENTENCE = 0.34, 0.4, 5
+ENDS = "[.!?…。！？\"'»«”“’)\\]]$"
 #: Short lines of link labels: at most so many words, between two or more separators.
 NAVIGATION = r"^[^|»›>]{0,60}([|»›>][^|»›>]{0,60}){2,}$"
-#: Fixed phrases of licence, cookie and copyright notices.
-BOILERPLATE = r"(?i)(licensed under the|all rights reserved|terms of (use|service)|privacy policy|cookie policy|javascript is (disabled|required)|creative commons|general public license|copyright ©)"
+#: Fixed phrases of licence, cookie and copyright notices, in lower case, by language.
+BOILERPLATE = {
+    "en": ["licensed under the", "released under the", "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "javascript is disabled", "javascript is required", "creative commons", "general public license", "copyright ©"],
+    "fr": ["tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "politique de cookies", "mentions légales", "sous licence"],
+    "de": ["alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookie-richtlinie", "lizenziert unter"],
+    "es": ["todos los derechos reservados", "términos de uso", "condiciones de uso", "política de privacidad", "política de cookies", "aviso legal", "bajo la licencia"],
+}
 #: Least share of its words that a document must keep.
 LEAST_KEPT = 0.5
 
@@ -38,11 +48,15 @@ def _line_fails(line: Column) -> Column:
     n = F.size(F.split(line, SPACE + "+"))
     symbols = F.regexp_count(line, F.lit(rf"{SYMBOLS}+"))
     shouted = F.regexp_count(line, F.lit(rf"!!(?={SPACE}|$)"))
-    return (symbols > MOST_SYMBOLS * n) | (shouted > MOST_SHOUTED * n) | ((n <= 25) & line.rlike(NAVIGATION)) | line.rlike(BOILERPLATE)
+    low = F.lower(line)
+    notice = functools.reduce(Column.__or__, [F.contains(low, F.lit(p)) for phrases in BOILERPLATE.values() for p in phrases])
+    unended = (n >= LEAST_SENTENCE) & ~line.rlike(ENDS)
+    return unended | (symbols > MOST_SYMBOLS * n) | (shouted > MOST_SHOUTED * n) | ((n <= 25) & line.rlike(NAVIGATION)) | notice
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, line_words_kept and kept."""
+    """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, line_words_kept, kept and clean_text,
+    the lines that broke no rule."""
     m = Masked(docs)
     out = m.df.withColumn("_text", F.coalesce(F.col(m.name(text)).cast("string"), F.lit("")))
     out = out.withColumn("_words", F.expr(r"filter(split(_text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"))
@@ -57,15 +71,16 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = r"filter(split(_text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"
     out = out.withColumns({"n_repeat_words": F.coalesce(F.expr(covered), F.lit(0).cast("long")), "_lines": F.expr(lines)})
     good = F.filter("_lines", lambda line: ~_line_fails(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))))
+    out = out.withColumn("clean_text", F.array_join(good, "\n"))
     out = out.withColumns(
         {
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": F.regexp_count("_text", F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "line_words_kept": F.size(F.filter(F.split(F.array_join(good, "\n"), SPACE + "+"), lambda w: w != "")).cast("long"),
+            "line_words_kept": F.size(F.filter(F.split("clean_text", SPACE + "+"), lambda w: w != "")).cast("long"),
         }
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     out = out.withColumn("kept", ~failed & (F.col("line_words_kept") >= LEAST_KEPT * F.col("n_words")))
-    return m.restore(out, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_words_kept", "kept"])
+    return m.restore(out, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_words_kept", "kept", "clean_text"])

@@ -33,7 +33,7 @@ def tokenizer_path(name: str) -> str:
 @_register
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.measure(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_words_kept")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_words_kept", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
 ORACLES["op1_quality_rules"] = r"""
@@ -43,17 +43,23 @@ ORACLES["op1_quality_rules"] = r"""
     w AS (SELECT doc_id, i, list_slice(ws, i, i + 7) AS g FROM s, LATERAL (SELECT unnest(range(1, len(ws) - 6)) AS i)),
     g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM w),
     c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, (SELECT unnest(range(0, 8)) AS k) WHERE n > 1 GROUP BY doc_id),
-    l AS (SELECT doc_id, trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS l FROM (SELECT doc_id, unnest(ls) AS l FROM s)),
-    m AS (SELECT doc_id, l, len(string_split_regex(l, '[\x20\x09-\x0D]+')) AS n FROM l),
-    k AS (SELECT doc_id, sum(n) AS n FROM m
-          WHERE NOT (len(regexp_extract_all(l, '[#*$%&|<>]+')) > 0.34 * n OR len(regexp_extract_all(l || ' ', '!![\x20\x09-\x0D]')) > 0.4 * n
+    l AS (SELECT doc_id, i, own, trim(own, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS l
+          FROM (SELECT doc_id, unnest(ls) AS own, unnest(range(len(ls))) AS i FROM s)),
+    m AS (SELECT doc_id, i, own, l, len(string_split_regex(l, '[\x20\x09-\x0D]+')) AS n FROM l),
+    k AS (SELECT doc_id, sum(n) AS n, string_agg(own, chr(10) ORDER BY i) AS t FROM m
+          WHERE NOT ((n >= 5 AND NOT regexp_matches(l, '[.!?…。！？"''»«”“’)\]]$')) OR len(regexp_extract_all(l, '[#*$%&|<>]+')) > 0.34 * n OR len(regexp_extract_all(l || ' ', '!![\x20\x09-\x0D]')) > 0.4 * n
                      OR (n <= 25 AND regexp_matches(l, '^[^|»›>]{0,60}([|»›>][^|»›>]{0,60}){2,}$'))
-                     OR regexp_matches(l, '(?i)(licensed under the|all rights reserved|terms of (use|service)|privacy policy|cookie policy|javascript is (disabled|required)|creative commons|general public license|copyright ©)'))
+                     OR len(list_filter(['licensed under the', 'released under the', 'all rights reserved', 'terms of use', 'terms of service', 'privacy policy',
+                       'cookie policy', 'javascript is disabled', 'javascript is required', 'creative commons', 'general public license', 'copyright ©',
+                       'tous droits réservés', 'conditions d''utilisation', 'politique de confidentialité', 'politique de cookies', 'mentions légales', 'sous licence',
+                       'alle rechte vorbehalten', 'nutzungsbedingungen', 'datenschutzerklärung', 'cookie-richtlinie', 'lizenziert unter',
+                       'todos los derechos reservados', 'términos de uso', 'condiciones de uso', 'política de privacidad', 'política de cookies', 'aviso legal',
+                       'bajo la licencia'], lambda p: contains(lower(l), p))) > 0)
           GROUP BY doc_id),
     r AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
-                 CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+                 CAST(len(regexp_extract_all(s.t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
                  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
-                 CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(k.n, 0) AS BIGINT) AS line_words_kept
+                 CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(k.n, 0) AS BIGINT) AS line_words_kept, sha256(coalesce(k.t, '')) AS clean_sha256
           FROM s LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)),
     b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM r)
     SELECT *, NOT base_failed AND line_words_kept >= 0.5 * n_words AS kept FROM b

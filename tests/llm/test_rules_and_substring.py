@@ -34,6 +34,19 @@ def test_rules_on_odd_texts(spark):
     assert kept[1] and kept[13] and not kept[5] and not kept[11] and not kept[20] and not kept[21]
 
 
+def test_cleaned_text(spark):
+    """Lines that break a rule go, in each language of the rules; the others stay as they stand."""
+    good = ["  This sentence has an end to it. ", "Short line", "« Elle a une fin. »", "Er sagte: „Es ist vorbei.“", "¿Y ahora qué?"]
+    bad = ["a line of words that ends nowhere", "Home | News | About", "GO!! NOW!! BUY.", "## $$ text%% is&& here.", "Tous DROITS réservés."]
+    bad += ["Alle Rechte vorbehalten.", "Lee la POLÍTICA de privacidad.", "Licensed under the MIT License."]
+    mixed = [x for pair in zip(bad, good + good) for x in pair] + ["", " \t"]
+    rows = [(1, "\n".join(mixed)), (2, "\n".join(good)), (3, "\n".join(bad)), (4, None), (5, "")]
+    got = {r.doc_id: r for r in quality_rules.measure(odd_docs(spark, rows)).collect()}
+    assert got[1].clean_text == "\n".join((good + good)[: len(bad)])
+    assert (got[2].clean_text, got[3].clean_text, got[4].clean_text, got[5].clean_text) == ("\n".join(good), "", "", "")
+    assert all(r.line_words_kept == len(words(r.clean_text)) for r in got.values())
+
+
 def test_rules_plan_is_native(spark):
     plan = quality_rules.measure(odd_docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan.split("RDD")[0]
