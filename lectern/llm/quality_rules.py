@@ -15,8 +15,6 @@ the text are passed on; one named like an added column gives way to it.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +25,12 @@ SYMBOLS = "[#*$%&|<>]"
 #: Least words, largest share (percent) of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: A line goes if over a third of its words bear symbols, or over two fifths are shouted ("!!"), or bars divide it, or it has
-#: LEAST_SENTENCE words or more and no mark at its end that a sentence or quotation ends with.
+#: LEAST_SENTENCE words or more and none of the marks that sentences end with.
 MOST_SYMBOLS, MOST_SHOUTED, LEAST_SENTENCE = 0.34, 0.4, 5
-ENDS = "[.!?…。！？\"'»«”“’)\\]]$"
-#: Short lines of link labels: at most so many words, between two or more separators.
+ENDS = "[.!?…。！？]"
+#: Notices and rows of link labels have at most so many words.
+SHORT = 25
+#: Link labels between two or more separators.
 NAVIGATION = r"^[^|»›>]{0,60}([|»›>][^|»›>]{0,60}){2,}$"
 #: Fixed phrases of licence, cookie and copyright notices, in lower case, by language.
 BOILERPLATE = {
@@ -39,6 +39,7 @@ BOILERPLATE = {
     "de": ["alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookie-richtlinie", "lizenziert unter"],
     "es": ["todos los derechos reservados", "términos de uso", "condiciones de uso", "política de privacidad", "política de cookies", "aviso legal", "bajo la licencia"],
 }
+NOTICE = "(?iu)(" + "|".join(p for phrases in BOILERPLATE.values() for p in phrases) + ")"
 #: Least share of its words that a document must keep.
 LEAST_KEPT = 0.5
 
@@ -48,10 +49,8 @@ def _line_fails(line: Column) -> Column:
     n = F.size(F.split(line, SPACE + "+"))
     symbols = F.regexp_count(line, F.lit(rf"{SYMBOLS}+"))
     shouted = F.regexp_count(line, F.lit(rf"!!(?={SPACE}|$)"))
-    low = F.lower(line)
-    notice = functools.reduce(Column.__or__, [F.contains(low, F.lit(p)) for phrases in BOILERPLATE.values() for p in phrases])
     unended = (n >= LEAST_SENTENCE) & ~line.rlike(ENDS)
-    return unended | (symbols > MOST_SYMBOLS * n) | (shouted > MOST_SHOUTED * n) | ((n <= 25) & line.rlike(NAVIGATION)) | notice
+    return unended | (symbols > MOST_SYMBOLS * n) | (shouted > MOST_SHOUTED * n) | ((n <= SHORT) & (line.rlike(NAVIGATION) | line.rlike(NOTICE)))
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -47,14 +47,12 @@ ORACLES["op1_quality_rules"] = r"""
           FROM (SELECT doc_id, unnest(ls) AS own, unnest(range(len(ls))) AS i FROM s)),
     m AS (SELECT doc_id, i, own, l, len(string_split_regex(l, '[\x20\x09-\x0D]+')) AS n FROM l),
     k AS (SELECT doc_id, sum(n) AS n, string_agg(own, chr(10) ORDER BY i) AS t FROM m
-          WHERE NOT ((n >= 5 AND NOT regexp_matches(l, '[.!?…。！？"''»«”“’)\]]$')) OR len(regexp_extract_all(l, '[#*$%&|<>]+')) > 0.34 * n OR len(regexp_extract_all(l || ' ', '!![\x20\x09-\x0D]')) > 0.4 * n
-                     OR (n <= 25 AND regexp_matches(l, '^[^|»›>]{0,60}([|»›>][^|»›>]{0,60}){2,}$'))
-                     OR len(list_filter(['licensed under the', 'released under the', 'all rights reserved', 'terms of use', 'terms of service', 'privacy policy',
-                       'cookie policy', 'javascript is disabled', 'javascript is required', 'creative commons', 'general public license', 'copyright ©',
-                       'tous droits réservés', 'conditions d''utilisation', 'politique de confidentialité', 'politique de cookies', 'mentions légales', 'sous licence',
-                       'alle rechte vorbehalten', 'nutzungsbedingungen', 'datenschutzerklärung', 'cookie-richtlinie', 'lizenziert unter',
-                       'todos los derechos reservados', 'términos de uso', 'condiciones de uso', 'política de privacidad', 'política de cookies', 'aviso legal',
-                       'bajo la licencia'], lambda p: contains(lower(l), p))) > 0)
+          WHERE NOT ((n >= 5 AND NOT regexp_matches(l, '[.!?…。！？]')) OR len(regexp_extract_all(l, '[#*$%&|<>]+')) > 0.34 * n OR len(regexp_extract_all(l || ' ', '!![\x20\x09-\x0D]')) > 0.4 * n
+                     OR (n <= 25 AND (regexp_matches(l, '^[^|»›>]{0,60}([|»›>][^|»›>]{0,60}){2,}$') OR regexp_matches(l, '(?i)(licensed under the|released under the|' ||
+                       'all rights reserved|terms of use|terms of service|privacy policy|cookie policy|javascript is disabled|javascript is required|creative commons|' ||
+                       'general public license|copyright ©|tous droits réservés|conditions d''utilisation|politique de confidentialité|politique de cookies|mentions légales|' ||
+                       'sous licence|alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|cookie-richtlinie|lizenziert unter|todos los derechos reservados|' ||
+                       'términos de uso|condiciones de uso|política de privacidad|política de cookies|aviso legal|bajo la licencia)'))))
           GROUP BY doc_id),
     r AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
                  CAST(len(regexp_extract_all(s.t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,

@@ -25,13 +25,13 @@ def brute_rules(text):
 
 
 def test_rules_on_odd_texts(spark):
-    rows = odd_rows() + [(20, "a | b | c\n" * 30), (21, "GO!! " * 40 + "#$% x"), (22, "l1 of ten\nl1 of ten\n" + "tail " * 9)]
+    rows = odd_rows() + [(20, "a | b | c\n" * 30), (21, "GO!! " * 40 + "#$% x"), (22, "l1 of ten\nl1 of ten\n" + "tail " * 9), (23, prose(200, 8) + ". " + prose(20, 9)), (24, "")]
     got = quality_rules.measure(odd_docs(spark, rows)).collect()
     assert len(got) == len(rows)
     expect = Counter((i, *brute_rules(t)) for i, t in rows)
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == expect
     kept = {r.doc_id: r.kept for r in got}
-    assert kept[1] and kept[13] and not kept[5] and not kept[11] and not kept[20] and not kept[21]
+    assert kept[23] and not kept[1] and not kept[13] and not kept[5] and not kept[11] and not kept[20] and not kept[21]
 
 
 def test_cleaned_text(spark):
