@@ -3,6 +3,9 @@ whose rows fit a task's sort. `order` must be a total order for results to be de
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,7 +47,8 @@ def changes(rows: DataFrame, keys: list[str], order: list[str], value: Column) -
 def fill_page(rows: DataFrame, keys: list[str], order: list[str], size: Column, most_rows: int, most_bytes: int) -> DataFrame:
     """The rows of each key's first page: at most so many rows, whose sizes add up to at most so much."""
     w = W.partitionBy(*keys).orderBy(*order)
-    return rows.withColumns({"ordinal": F.row_number().over(w), "running": F.sum(size).over(w)}).where((F.col("ordinal") <= most_rows) & (F.col("running") <= most_bytes))
+    first = rows.withColumn("ordinal", F.row_number().over(w)).where(F.col("ordinal") <= most_rows)  # most are gone before the shuffle
+    return first.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= most_bytes)
 
 
 def merge_short(items: Column, most: int, hold: int) -> Column:
@@ -61,3 +65,42 @@ def merge_short(items: Column, most: int, hold: int) -> Column:
         return F.struct(out.alias("out"), F.when(fits, joined).otherwise(s).alias("pending"))
 
     return F.aggregate(items, start, step, lambda acc: F.when(acc["pending"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["pending"]))))
+
+
+def fill_pages(rows: DataFrame, key: str, order: str, size: str, most_rows: int, most_bytes: int) -> DataFrame:
+    """`rows` (key, order, size) with page, ordinal and running size: each page takes rows as long as neither bound is passed. Rows of
+    a key come sorted and one by one, so that what a task holds is one page's state; the fold of a key is one task's, as each page
+    begins where the one before ends."""
+    kind = dict(rows.dtypes)
+    schema = f"{key} {kind[key]}, {order} {kind[order]}, page long, ordinal long, running long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, page, ordinal, running = None, 0, 0, 0
+        for batch in batches:
+            pages, ordinals, sums = [], [], []
+            for k, n in zip(batch.column(key).to_pylist(), batch.column(size).to_pylist()):
+                n = n or 0
+                if (k,) != last:
+                    last, page, ordinal, running = (k,), 1, 0, 0
+                if ordinal and (ordinal == most_rows or running + n > most_bytes):
+                    page, ordinal, running = page + 1, 0, 0
+                ordinal, running = ordinal + 1, running + n
+                pages.append(page), ordinals.append(ordinal), sums.append(running)
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(order), *(pa.array(x, pa.int64()) for x in (pages, ordinals, sums))], names=[key, order, "page", "ordinal", "running"])
+
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
+
+def merge_calm(items: Column, most: int, hold: int) -> Column:
+    """Greedy merge of an array of (s, calm): calm strings are joined to the one held back while both have at most `most` characters
+    together; one under `hold` characters is held back, anything else is handed on as it stands."""
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("pending"))
+
+    def step(acc: Column, x: Column) -> Column:
+        p, s = acc["pending"], x["s"]
+        joins = x["calm"] & p.isNotNull() & (F.length(p) + F.length(s) + 1 <= most)
+        held = x["calm"] & (F.length(s) < hold)
+        handed = F.array_compact(F.array(p, F.when(~held, s)))
+        return F.struct(F.when(joins, acc["out"]).otherwise(F.concat(acc["out"], handed)).alias("out"), F.when(joins, F.concat(p, F.lit(" "), s)).when(held, s).alias("pending"))
+
+    return F.aggregate(items, start, step, lambda acc: F.concat(acc["out"], F.array_compact(F.array(acc["pending"]))))

@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, each with its DuckDB twin where SQL can express it."""
 
-from . import likeness, ordered, passages, rules, signal, streams, tables, text
+from . import gates, likeness, nested, ordered, passages, rules, segments, signal, streams, tables, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "likeness", "ordered", "passages", "rules", "signal", "streams", "tables", "text"]
+__all__ = ["ORACLES", "QUERIES", "gates", "likeness", "nested", "ordered", "passages", "rules", "segments", "signal", "streams", "tables", "text"]

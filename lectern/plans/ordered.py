@@ -148,7 +148,12 @@ def log_since_mark(spark: SparkSession, sf: str) -> DataFrame:
     return _events(spark, sf).withColumn("pos", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).where("pos >= 10").select("user_id", "event_id", "pos")
 
 
-@query("greedy_sentence_merge")
+@query("greedy_sentence_merge", r"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?…\n]+[.!?…]*'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM documents),
+    u AS (SELECT doc_id, unnest(ss) AS t, unnest(range(1, len(ss) + 1)) AS i FROM s),
+    f AS (SELECT doc_id, i, t AS pending, CAST(NULL AS VARCHAR) AS done FROM u WHERE i = 1
+      UNION ALL SELECT f.doc_id, u.i, CASE WHEN length(pending) < 180 AND length(pending) + 1 + length(t) <= 280 THEN pending || ' ' || t ELSE t END, CASE WHEN length(pending) < 180 AND length(pending) + 1 + length(t) <= 280 THEN NULL ELSE pending END FROM f JOIN u ON u.doc_id = f.doc_id AND u.i = f.i + 1),
+    o AS (SELECT doc_id, i, done AS t FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, 1000000000, arg_max(pending, i) FROM f GROUP BY doc_id)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS pos, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS unit_sha FROM o""")
 def greedy_sentence_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbouring short sentences of a document as one unit."""
     units = O.merge_short(X.sentences(F.col("text")), 280, 180)
@@ -156,13 +161,19 @@ def greedy_sentence_merge(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", "pos", F.length("unit").cast("long").alias("n_chars"), F.sha2("unit", 256).alias("unit_sha"))
 
 
+#: So many ranges are numbered on their own.
+RANGES = 256
+
+
 @query("path_sort_rank", "SELECT page_id, CAST(row_number() OVER (ORDER BY lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), url, page_id) AS INT) AS rank FROM pages")
 def path_sort_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """Rank by case-folded path. Numbered per path prefix, shifted by the counts of the prefixes before it."""
-    key = F.lower(X.url_path(F.col("url")))
-    rows = table(spark, sf, "pages").select("page_id", key.alias("k"), "url").withColumn("bucket", F.substring("k", 1, 4))
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("n"))
-    # one row per prefix of four characters, whatever the number of pages
-    below = counts.withColumn("below", F.sum("n").over(W.orderBy("bucket")) - F.col("n")).drop("n")
-    n = F.row_number().over(W.partitionBy("bucket").orderBy("k", "url", "page_id"))
-    return rows.withColumn("n", n).join(below, "bucket").select("page_id", (F.col("n") + F.col("below")).cast("int").alias("rank"))
+    """Rank by case-folded path. Numbered within key ranges, shifted by the counts of the ranges before. Their bounds are those of a
+    sample of a fixed size, so that ranges are even whatever the paths have in common."""
+    rows = table(spark, sf, "pages").select("page_id", F.lower(X.url_path(F.col("url"))).alias("k"), "url")
+    sample = sorted(r.k for r in rows.where("k is not null").orderBy(F.xxhash64("page_id"), "page_id").select("k").limit(RANGES * 16).collect())
+    bounds = F.array(*map(F.lit, sorted(set(sample[16::16])))).cast("array<string>")
+    rows = rows.withColumn("range", F.size(F.filter(bounds, lambda b: b <= F.col("k"))))
+    counts = rows.groupBy("range").agg(F.count("*").alias("n"))
+    below = counts.withColumn("below", F.sum("n").over(W.orderBy("range")) - F.col("n")).drop("n")  # a row for each range
+    n = F.row_number().over(W.partitionBy("range").orderBy("k", "url", "page_id"))
+    return rows.withColumn("n", n).join(F.broadcast(below), "range").select("page_id", (F.col("n") + F.col("below")).cast("int").alias("rank"))

@@ -83,7 +83,8 @@ def beat_classify(spark: SparkSession, sf: str) -> DataFrame:
     named = lambda k: F.transform(k, lambda x: F.concat(F.lit(k + ":"), x))
     cues = F.concat(*map(named, CUES))
     d = d.select("conv_id", "turn", beat.alias("beat"), F.array_join(cues, ",").alias("cues"))
-    return d.join(F.broadcast(_beats(spark)), "beat").select("conv_id", "turn", "beat", "cues", "pause_before_ms", "pause_after_ms", "emphasis", "energy")
+    known = d.join(F.broadcast(_beats(spark)), "beat", "left").withColumn("emphasis", F.coalesce("emphasis", F.raise_error(F.concat(F.lit("no delivery policy for "), F.col("beat")))))
+    return known.select("conv_id", "turn", "beat", "cues", "pause_before_ms", "pause_after_ms", "emphasis", "energy")
 
 
 @query("unit_pause_policy", r"""WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[^.!?…\n]+[.!?…]*'), lambda x: trim(x)), lambda x: x <> '')) AS s FROM documents),

@@ -43,11 +43,14 @@ def network_summary(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("user_id", F.array_join(F.transform("ks", lambda x: x.k), ",").alias("first_keys"), "distinct_keys")
 
 
-@query("ordered_hash_chain", "SELECT source, sha256(string_agg(doc_id || ':' || n_chars || ':' || lang, '|' ORDER BY doc_id)) AS chain FROM documents GROUP BY source")
+@query("ordered_hash_chain", "WITH b AS (SELECT source, doc_id // 1024 AS block, sha256(string_agg(doc_id || ':' || n_chars || ':' || lang, '|' ORDER BY doc_id)) AS h FROM documents GROUP BY ALL) SELECT source, sha256(string_agg(h, '|' ORDER BY block)) AS chain FROM b GROUP BY source")
 def ordered_hash_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """One digest of a source's rows in order: blocks of 1,024 ids are hashed, then their digests, so that a task holds a block's rows,
+    and at the end 64 characters for each block."""
     row = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("n_chars").cast("string"), F.col("lang"))
-    g = table(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", row.alias("r")))).alias("rs"))
-    return g.select("source", F.sha2(F.array_join(F.transform("rs", lambda x: x.r), "|"), 256).alias("chain"))
+    chain = lambda rows, x: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda r: r[x]), "|"), 256)
+    blocks = table(spark, sf, "documents").groupBy("source", F.expr("doc_id div 1024").alias("block")).agg(chain(F.struct("doc_id", row.alias("r")), "r").alias("h"))
+    return blocks.groupBy("source").agg(chain(F.struct("block", "h"), "h").alias("chain"))
 
 
 @query("age_buckets", "SELECT o_orderpriority, CAST(count(*) FILTER (WHERE o_orderdate <= TIMESTAMP '1998-01-01' - INTERVAL 7 DAY) AS BIGINT) AS old_n, round(coalesce(sum(o_totalprice) FILTER (WHERE o_orderdate <= TIMESTAMP '1998-01-01' - INTERVAL 7 DAY), 0), 2) AS old_total, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_orderpriority")

@@ -29,6 +29,16 @@ def text_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("normal_sha"))
 
 
+@query("text_normalize_nfc", _NORMAL.replace("FROM documents", "FROM (SELECT doc_id, nfc_normalize(replace(text, 'é', 'e' || chr(769))) AS text FROM documents)") + "SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS normal_sha FROM n")
+def text_normalize_nfc(spark: SparkSession, sf: str) -> DataFrame:
+    """As `text_normalize`, for texts whose accents may stand alone; those of ASCII alone are in that form already."""
+    apart = F.replace("text", F.lit("é"), F.lit("e\u0301"))
+    d = table(spark, sf, "documents").select("doc_id", apart.alias("text"))
+    whole = F.when(F.col("text").rlike(r"[^\x00-\x7F]"), X.nfc(F.col("text"))).otherwise(F.col("text"))
+    d = d.select("doc_id", X.normalize(whole).alias("t"))
+    return d.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("normal_sha"))
+
+
 @query("text_spoken_render", _NORMAL + _SPOKEN + "SELECT doc_id, CAST(len(ps) AS BIGINT) AS n_paragraphs, sha256(sp) AS spoken_sha FROM s")
 def text_spoken_render(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraphs of these documents are single lines."""
@@ -178,7 +188,7 @@ def reference_sanitizer(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.when(~bad, u).alias("reference"))
 
 
-@query("git_blob_digest")
+@query("git_blob_digest", "SELECT item_id, sha1(CAST('blob ' || octet_length(encode(text)) AS BLOB) || '\\x00'::BLOB || encode(text)) AS blob_sha1 FROM benchmark")
 def git_blob_digest(spark: SparkSession, sf: str) -> DataFrame:
     """SHA-1 of "blob", the length in bytes, a zero byte and the content."""
     blob = F.concat(F.lit("blob "), F.octet_length("text").cast("string"), F.lit("\0"), F.col("text"))

@@ -93,3 +93,11 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
 def write_report(rows: DataFrame, path: str, line: Column, order: list[str]) -> None:
     """A line of text a row, in order within and between part files."""
     rows.sort(*order).select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_manifest(units: DataFrame, path: str, version: str) -> None:
+    """A JSON document for each text (`path`, `text_sha`): its units in order, and the version of the rules that made them. Units are
+    columns `ordinal` and whatever else there is."""
+    own = [c for c in units.columns if c not in ("path", "text_sha")]
+    rows = units.groupBy("path", "text_sha").agg(F.array_sort(F.collect_list(F.struct("ordinal", *(c for c in own if c != "ordinal")))).alias("units"))
+    rows.select(F.lit(version).alias("version"), F.col("path").alias("source"), "text_sha", F.size("units").alias("n_units"), "units").write.mode("overwrite").json(path)
