@@ -27,6 +27,7 @@ import functools
 import heapq
 import itertools
 import math
+import sys
 import zlib
 from array import array
 
@@ -45,6 +46,13 @@ CACHE_UNITS, LONG = 500_000, 1 << 12
 _BLANK = "▁"
 
 
+_LITTLE = sys.byteorder == "little"
+
+
+def _arc_order(arc: tuple) -> tuple:
+    return -arc[0], arc[3]
+
+
 class Pieces:
     """The pieces of a model file: ids and scores by their characters, and the bytes of each id."""
 
@@ -65,9 +73,8 @@ class Pieces:
                 self.bytes.append(b"")
             else:
                 p = p.replace(_BLANK, " ")
-                self.score.setdefault(p, (model.get_score(i), i))
+                self.score.setdefault(p, (model.get_score(i), (i,)))
                 self.bytes.append(p.encode())
-        self.longest = max(map(len, self.score))
         self.prefixes = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
         least = min(s for s, _ in self.score.values())
         #: Score of a byte piece: below all others, so that it is used for unknown characters only.
@@ -91,71 +98,73 @@ class Pieces:
             out.append((float(self.score_of[own].sum()), own.tobytes()))
         return out
 
-    def _best_to(self, unit: str) -> array:
-        """Forward Viterbi: the best score up to every place."""
-        size, score, prefixes, byte_score = len(unit), self.score, self.prefixes, self.byte_score
-        best = array("d", [-math.inf]) * (size + 1)
+    def _lattice(self, unit: str) -> tuple[array, list[list]]:
+        """Forward Viterbi: the best score up to every place, and of each place the pieces that end there: (score of the best way
+        through the piece, start, own score, ids)."""
+        size, score, prefixes, minus = len(unit), self.score, self.prefixes, -math.inf
+        best, arcs = array("d", [minus]) * (size + 1), [[] for _ in range(size + 1)]
         best[0] = 0.0
         for i in range(size):
-            here = best[i]
-            for end in range(i + 1, size + 1):
-                part = unit[i:end]
-                if part not in prefixes:
+            here, end = best[i], i + 1
+            part = unit[i:end]
+            if part not in score:  # its bytes stand for the character
+                ids = tuple(self.byte[b] for b in part.encode("utf-8", "surrogatepass"))
+                s = self.byte_score * len(ids)
+                arcs[end].append((here + s, i, s, ids))
+                best[end] = max(best[end], here + s)
+            while part in prefixes:
+                if part in score:
+                    piece = score[part]
+                    total = here + piece[0]
+                    arcs[end].append((total, i, *piece))
+                    if total > best[end]:
+                        best[end] = total
+                end += 1
+                if end > size:
                     break
-                if (piece := score.get(part)) is not None and here + piece[0] > best[end]:
-                    best[end] = here + piece[0]
-            if unit[i] not in score:  # its bytes stand for the character
-                s = here + byte_score * len(unit[i].encode("utf-8", "surrogatepass"))
-                best[i + 1] = max(best[i + 1], s)
-        return best
-
-    def _arcs(self, unit: str, end: int, best: array) -> list[tuple[float, int, float, tuple[int, ...]]]:
-        """The pieces that end at a place, the best on the best way first: (score of that way, start, own score, ids)."""
-        out, score = [], self.score
-        for i in range(max(0, end - self.longest), end):
-            if (piece := score.get(unit[i:end])) is not None:
-                out.append((best[i] + piece[0], i, piece[0], (piece[1],)))
-        if unit[end - 1] not in score:
-            ids = tuple(self.byte[b] for b in unit[end - 1].encode("utf-8", "surrogatepass"))
-            s = self.byte_score * len(ids)
-            out.append((best[end - 1] + s, end - 1, s, ids))
-        out.sort(key=lambda arc: (-arc[0], arc[3]))
-        return out
+                part = unit[i:end]
+        return best, arcs
 
     def n_best(self, unit: str, n: int) -> list[tuple[float, bytes]]:
         """The best n (score, ids as little-endian 32-bit numbers) of a unit, best first.
 
-        A search entry is an arc behind a partial segmentation, held as a pointer to the entry that it continues. As the
-        heuristic is exact, an entry that is met needs two others only: the best arc that continues it, and the next best in its
-        own place. Entries are at most twice the arcs of the n segmentations; arcs are listed for places that are met."""
+        A search entry is an arc behind a partial segmentation, and points to the entry that it continues. As the heuristic is
+        exact, an entry that is met needs two others only: the best arc that continues it, and the next best in its own place.
+        Entries are at most twice the arcs of the n segmentations."""
         if not unit:
             return [(0.0, b"")]
-        best, listed = self._best_to(unit), {}
-
-        def arcs(end: int) -> list:
-            if end not in listed:
-                listed[end] = self._arcs(unit, end, best)
-            return listed[end]
-
-        # entries: parent, end, rank among the arcs there, score of what lies behind that end
-        parents, ends, ranks, behind = [-1], [len(unit)], [0], [0.0]
-        out, heap = [], [(-best[-1], 0, 0)]
-        while heap and len(out) < n:
-            _, _, e = heapq.heappop(heap)
-            own = arcs(ends[e])
-            if ranks[e] + 1 < len(own):
-                parents.append(parents[e]), ends.append(ends[e]), ranks.append(ranks[e] + 1), behind.append(behind[e])
-                heapq.heappush(heap, (-(own[ranks[e] + 1][0] + behind[e]), ends[e], len(parents) - 1))
-            _, start, s, _ = own[ranks[e]]
+        best, arcs = self._lattice(unit)
+        ordered = [False] * len(arcs)
+        out, push, pop, number = [], heapq.heappush, heapq.heappop, 0
+        ordered[-1] = True
+        arcs[-1].sort(key=_arc_order)
+        # entries: minus the best score through it, place, number; then its arc, rank, score behind that place, and parent
+        heap = [(-arcs[-1][0][0], len(unit), 0, arcs[-1][0], 0, 0.0, None)]
+        while heap:
+            entry = pop(heap)
+            _, end, _, (_, start, s, _), rank, behind, parent = entry
+            own = arcs[end]
+            if rank + 1 < len(own):
+                number += 1
+                arc = own[rank + 1]
+                push(heap, (-(arc[0] + behind), end, number, arc, rank + 1, behind, parent))
+            behind += s
             if start:
-                parents.append(e), ends.append(start), ranks.append(0), behind.append(behind[e] + s)
-                heapq.heappush(heap, (-(arcs(start)[0][0] + behind[e] + s), start, len(parents) - 1))
+                if not ordered[start]:
+                    ordered[start] = True
+                    if len(arcs[start]) > 1:
+                        arcs[start].sort(key=_arc_order)
+                number += 1
+                arc = arcs[start][0]
+                push(heap, (-(arc[0] + behind), start, number, arc, 0, behind, entry))
                 continue
-            ids, k = array("I"), e
-            while k >= 0:
-                ids.extend(arcs(ends[k])[ranks[k]][3])
-                k = parents[k]
-            out.append((behind[e] + s, np.array(ids, "<u4").tobytes()))
+            ids = array("I")
+            while entry is not None:
+                ids.extend(entry[3][3])
+                entry = entry[6]
+            out.append((behind, ids.tobytes() if _LITTLE else np.array(ids, "<u4").tobytes()))
+            if len(out) == n:
+                break
         return out
 
     def decode(self, ids: np.ndarray) -> str:

@@ -101,7 +101,7 @@ def all_segmentations(p, text):
         known = s[i] in p.score
         for j in range(i + 1, len(s) + 1):
             if s[i:j] in p.score:
-                go(j, score + p.score[s[i:j]][0], [*ids, p.score[s[i:j]][1]])
+                go(j, score + p.score[s[i:j]][0], [*ids, *p.score[s[i:j]][1]])
         if not known:
             b = [p.byte[x] for x in s[i].encode()]
             go(i + 1, score + p.byte_score * len(b), ids + b)
