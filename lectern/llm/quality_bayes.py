@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowmap import Masked, add_columns
-from .store import materialize
+from .store import materialize, parallelism
 from .words import Words, chunks, window_hashes
 
 #: Bound of the sample of labelled rows that the classifier is fitted on.
@@ -173,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     one = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min("quality")).cast("int").alias("bad"), F.max("toxic").cast("int").alias("toxic"))
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    labelled = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "bad", "toxic").agg(F.min("text").alias("text"))
+    # in as many parts as there are tasks, so that no large part comes to the driver at once
+    labelled = texts.join(F.broadcast(sample), "doc_id").repartition(parallelism(docs.sparkSession), "doc_id").groupBy("doc_id", "bad", "toxic").agg(F.min("text").alias("text"))
     rows = labelled.select("bad", "toxic", "text").mapInArrow(_training_rows, "bad int, toxic int, style binary, buckets binary, sketch long").toPandas()
     out = Classifier()
     if not len(rows):
