@@ -49,10 +49,6 @@ _BLANK = "▁"
 _LITTLE = sys.byteorder == "little"
 
 
-def _arc_order(arc: tuple) -> tuple:
-    return -arc[0], arc[3]
-
-
 class Pieces:
     """The pieces of a model file: ids and scores by their characters, and the bytes of each id."""
 
@@ -75,7 +71,8 @@ class Pieces:
                 p = p.replace(_BLANK, " ")
                 self.score.setdefault(p, (model.get_score(i), (i,)))
                 self.bytes.append(p.encode())
-        self.prefixes = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
+        #: (score, ids) of each piece; an empty tuple for what only begins one.
+        self.known: dict[str, tuple] = dict.fromkeys((p[:k] for p in self.score for k in range(1, len(p))), ()) | self.score
         least = min(s for s, _ in self.score.values())
         #: Score of a byte piece: below all others, so that it is used for unknown characters only.
         self.byte_score = least - 10.0
@@ -98,31 +95,31 @@ class Pieces:
             out.append((float(self.score_of[own].sum()), own.tobytes()))
         return out
 
-    def _lattice(self, unit: str) -> tuple[array, list[list]]:
-        """Forward Viterbi: the best score up to every place, and of each place the pieces that end there: (score of the best way
-        through the piece, start, own score, ids)."""
-        size, score, prefixes, minus = len(unit), self.score, self.prefixes, -math.inf
-        best, arcs = array("d", [minus]) * (size + 1), [[] for _ in range(size + 1)]
+    def _lattice(self, unit: str) -> tuple[list[float], list[list]]:
+        """Forward Viterbi: the best score up to every place, and of each place the pieces that end there: (minus the score of the
+        best way through the piece, ids, start, own score)."""
+        size, known = len(unit), self.known.get
+        best, arcs = [-math.inf] * (size + 1), [[] for _ in range(size + 1)]
         best[0] = 0.0
         for i in range(size):
             here, end = best[i], i + 1
-            part = unit[i:end]
-            if part not in score:  # its bytes stand for the character
-                ids = tuple(self.byte[b] for b in part.encode("utf-8", "surrogatepass"))
+            piece = known(unit[i])
+            if not piece:  # its bytes stand for the character
+                ids = tuple([self.byte[b] for b in unit[i].encode("utf-8", "surrogatepass")])
                 s = self.byte_score * len(ids)
-                arcs[end].append((here + s, i, s, ids))
-                best[end] = max(best[end], here + s)
-            while part in prefixes:
-                if part in score:
-                    piece = score[part]
+                arcs[end].append((-here - s, ids, i, s))
+                if here + s > best[end]:
+                    best[end] = here + s
+            while piece is not None:
+                if piece:
                     total = here + piece[0]
-                    arcs[end].append((total, i, *piece))
+                    arcs[end].append((-total, piece[1], i, piece[0]))
                     if total > best[end]:
                         best[end] = total
                 end += 1
                 if end > size:
                     break
-                part = unit[i:end]
+                piece = known(unit[i:end])
         return best, arcs
 
     def n_best(self, unit: str, n: int) -> list[tuple[float, bytes]]:
@@ -133,34 +130,35 @@ class Pieces:
         Entries are at most twice the arcs of the n segmentations."""
         if not unit:
             return [(0.0, b"")]
-        best, arcs = self._lattice(unit)
-        ordered = [False] * len(arcs)
+        arcs = self._lattice(unit)[1]
         out, push, pop, number = [], heapq.heappush, heapq.heappop, 0
-        ordered[-1] = True
-        arcs[-1].sort(key=_arc_order)
+        sorted_ = bytearray(len(arcs))
+        sorted_[-1] = 1
+        arcs[-1].sort()
         # entries: minus the best score through it, place, number; then its arc, rank, score behind that place, and parent
-        heap = [(-arcs[-1][0][0], len(unit), 0, arcs[-1][0], 0, 0.0, None)]
+        heap = [(arcs[-1][0][0], len(unit), 0, arcs[-1][0], 0, 0.0, None)]
         while heap:
             entry = pop(heap)
-            _, end, _, (_, start, s, _), rank, behind, parent = entry
+            _, end, _, (_, _, start, s), rank, behind, parent = entry
             own = arcs[end]
-            if rank + 1 < len(own):
+            rank += 1
+            if rank < len(own):
                 number += 1
-                arc = own[rank + 1]
-                push(heap, (-(arc[0] + behind), end, number, arc, rank + 1, behind, parent))
+                arc = own[rank]
+                push(heap, (arc[0] - behind, end, number, arc, rank, behind, parent))
             behind += s
             if start:
-                if not ordered[start]:
-                    ordered[start] = True
-                    if len(arcs[start]) > 1:
-                        arcs[start].sort(key=_arc_order)
+                own = arcs[start]
+                if not sorted_[start]:
+                    sorted_[start] = 1
+                    own.sort()
                 number += 1
-                arc = arcs[start][0]
-                push(heap, (-(arc[0] + behind), start, number, arc, 0, behind, entry))
+                arc = own[0]
+                push(heap, (arc[0] - behind, start, number, arc, 0, behind, entry))
                 continue
             ids = array("I")
             while entry is not None:
-                ids.extend(entry[3][3])
+                ids.extend(entry[3][1])
                 entry = entry[6]
             out.append((behind, ids.tobytes() if _LITTLE else np.array(ids, "<u4").tobytes()))
             if len(out) == n:
@@ -177,6 +175,12 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
+@functools.cache
+def _picks(sizes: tuple[int, ...], n: int) -> list[tuple[int, ...]]:
+    """Ranks to take from lists of such sizes that can be among the n least sums: each has all picks of smaller ranks before it."""
+    return [pick for pick in itertools.product(*map(range, sizes)) if math.prod([j + 1 for j in pick]) <= n]
+
+
 def _laid_out(ids: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all units in order of their codes, and where each unit's begin."""
     if not len(codes):
@@ -247,7 +251,7 @@ class Encoder:
                     self.more[u] = self.pieces.n_best(u, n)
                 top = self.more[u][0][0]
                 choices.append([(top - s, x) for s, x in self.more[u]])
-            ranked = sorted((sum(c[j][0] for c, j in zip(choices, pick)), pick) for pick in itertools.product(*(range(len(c)) for c in choices)))[:n]
+            ranked = sorted((sum([c[j][0] for c, j in zip(choices, pick)]), pick) for pick in _picks(tuple([len(c) for c in choices]), n))[:n]
             rows = []
             for more, pick in ranked:
                 x, shift = best, 0
