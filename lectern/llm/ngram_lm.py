@@ -42,6 +42,10 @@ COUNT_TOKENS = 3 << 20
 SHARD_TOKENS = 2 << 20
 #: A task that builds a shard adds up its pairs whenever it holds so many rows more than are different.
 HELD_PAIRS = 4 << 20
+#: Levels that a task keeps mapped.
+OPEN_LEVELS = 256
+#: Ids are packed in pairs of 31 bits and a sign.
+MOST_WORDS = 1 << 31
 
 
 class Tokens:
@@ -153,11 +157,12 @@ def _count_pairs(vocabulary: Vocabulary, shards: int):
     def blocks(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys, n = np.unique(np.concatenate(held), return_counts=True)
         v, w = keys >> 32, keys & 0xFFFFFFFF
-        cuts = np.searchsorted(v, np.arange(shards + 1) * width)
-        for lo in range(0, shards, 64):
-            rows = [(s, v[a:b].astype("<u4").tobytes(), w[a:b].astype("<u4").tobytes(), n[a:b].astype("<u4").tobytes()) for s in range(lo, min(lo + 64, shards)) if (a := cuts[s]) < (b := cuts[s + 1])]
-            if rows:
-                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "v", "w", "n"])
+        # only the shards that these pairs are of
+        own, first = np.unique(v // width, return_index=True)
+        cuts = np.append(first, len(v))
+        for lo in range(0, len(own), 64):
+            rows = [(int(own[k]), *(x[cuts[k] : cuts[k + 1]].astype("<u4").tobytes() for x in (v, w, n))) for k in range(lo, min(lo + 64, len(own)))]
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "v", "w", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -288,15 +293,20 @@ class Model:
     def log_p(self, v: np.ndarray, w: np.ndarray, p0: np.ndarray) -> np.ndarray:
         """log10 P of pairs sorted by context."""
         out = np.array(p0, float)
-        cuts = np.searchsorted(v, np.arange(self.shards + 1) * self.width)
-        for s, path in self.paths.items():
-            a, b = cuts[s], cuts[s + 1]
-            if a < b:
-                if s not in self._levels:
-                    self._levels[s] = Level(path)
-                out[a:b] = self._levels[s].log_p(v[a:b] - s * self.width, w[a:b], p0[a:b])
+        own, first = np.unique(v // self.width, return_index=True)
+        for s, a, b in zip(own.tolist(), first.tolist(), np.append(first[1:], len(v)).tolist()):
+            if s in self.paths:
+                out[a:b] = self._level(s).log_p(v[a:b] - s * self.width, w[a:b], p0[a:b])
         return out
 
+    def _level(self, s: int) -> Level:
+        """The level of a shard; of those in use the last OPEN_LEVELS are kept."""
+        level = self._levels.pop(s, None) or Level(self.paths[s])
+        self._levels[s] = level
+        if len(self._levels) > OPEN_LEVELS:
+            del self._levels[next(iter(self._levels))]
+        return level
+
 
 def train(docs: DataFrame) -> Model:
     """Learn from the text of every row."""
@@ -308,6 +318,8 @@ def train(docs: DataFrame) -> Model:
     words = counted.groupBy("h").agg(F.sum("n").alias("n")).repartition(parts, shard)
     made = words.mapInArrow(_write_words(folder, shards), "shard long, path string, n long, tokens long").collect()  # a row per shard
     vocabulary = Vocabulary(shards, [tuple(r) for r in made])
+    if vocabulary.size >= MOST_WORDS:
+        raise ValueError(f"{vocabulary.size} different words: ids of pairs would not fit 64 bits")
     pair_shards = max(parts, -(-vocabulary.tokens // SHARD_TOKENS))
     blocks = rows.mapInArrow(_count_pairs(vocabulary, pair_shards), "shard int, v binary, w binary, n binary").repartition(max(parts, pair_shards), "shard").sortWithinPartitions("shard")
     files = blocks.mapInArrow(_build(vocabulary, pair_shards, folder), "shard int, path string").collect()  # a row per shard

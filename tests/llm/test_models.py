@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import elias_fano, langid, ngram_lm, quality_bayes
@@ -281,6 +282,44 @@ def test_lm_holds_different_pairs_alone(tmp_path, monkeypatch):
     assert peak < 12e6, peak
 
 
+def test_lm_shards_agree(spark, monkeypatch):
+    """One shard of pairs, three and about a thousand give the same scores, few levels open or many."""
+    docs, got = odd_docs(spark), []
+    for tokens, levels in ((1 << 40, 256), (12_000, 2), (33, 5)):
+        monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", tokens)
+        monkeypatch.setattr(ngram_lm, "OPEN_LEVELS", levels)
+        monkeypatch.setattr(ngram_lm, "parallelism", lambda spark: 1 if tokens > 100 else 8)
+        model = ngram_lm.train(docs)
+        texts = pa.array([t for _, t in odd_rows()], pa.string())
+        t = ngram_lm.Tokens(texts)
+        ids, counts = model.vocabulary.lookup(t.hash)
+        order = np.lexsort((t.codes, ids[t.before()]))
+        v, w = ids[t.before()][order], ids[t.codes][order]
+        got.append((model.shards, dict(zip(zip(v.tolist(), w.tolist()), model.log_p(v, w, model.vocabulary.log_p0(counts)[t.codes][order]).tolist()))))
+        assert len(model._levels) <= levels
+    assert [n for n, _ in got][0] == 1 and got[1][0] >= 3 and got[2][0] >= 900
+    name = [dict(sorted(x.items())) for _, x in got]
+    assert name[0].keys() == name[1].keys() == name[2].keys()
+    for other in name[1:]:
+        assert max(abs(name[0][k] - other[k]) for k in name[0]) < 0.5 and abs(sum(name[0].values()) - sum(other.values())) < 0.01 * abs(sum(name[0].values()))
+
+
+def test_lm_refuses_what_ids_do_not_hold(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "MOST_WORDS", 10)
+    with pytest.raises(ValueError):
+        ngram_lm.train(odd_docs(spark))
+
+
+def test_registered_lm_query(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r for r in QUERIES["op10_lm_scoring"](spark, "/root/testdata/sf0.001").collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    for i, n, known, total, base, score in brute_lm(rows, lambda i: not held(i)):
+        g = got[i]
+        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held(i), n, known, total)
+        assert abs(g.base_score - base) < 1e-6 * abs(base) and abs(g.score - score) < 0.06 * n
+
+
 def test_lm_prefers_its_own_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     held = langid.held_out(F.col("doc_id"), 5)
