@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowmap import Masked, add_columns
-from .store import materialize, parallelism
+from .store import materialize
 from .words import Words, chunks, window_hashes
 
 #: Bound of the sample of labelled rows that the classifier is fitted on.
 MAX_LABELLED = 16_384
+#: The sample comes to the driver in so many parts.
+SAMPLE_PARTS = 64
 #: So many sites, those with most documents, are broadcast. Of the others none has more than this part of all documents, and they
 #: are joined by a shuffle of their documents alone.
 BROADCAST_SITES = 50_000
@@ -173,19 +175,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     one = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min("quality")).cast("int").alias("bad"), F.max("toxic").cast("int").alias("toxic"))
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # in as many parts as there are tasks, so that no large part comes to the driver at once
-    labelled = texts.join(F.broadcast(sample), "doc_id").repartition(parallelism(docs.sparkSession), "doc_id").groupBy("doc_id", "bad", "toxic").agg(F.min("text").alias("text"))
-    rows = labelled.select("bad", "toxic", "text").mapInArrow(_training_rows, "bad int, toxic int, style binary, buckets binary, sketch long").toPandas()
+    # in small parts, which come to the driver without being stored on the way
+    labelled = texts.join(F.broadcast(sample), "doc_id").repartition(SAMPLE_PARTS, "doc_id").groupBy("doc_id", "bad", "toxic").agg(F.min("text").alias("text"))
+    got = labelled.select("bad", "toxic", "text").mapInArrow(_training_rows, "bad int, toxic int, style binary, buckets binary, sketch long").toArrow()
     out = Classifier()
-    if not len(rows):
+    if not got.num_rows:
         return out
-    style = np.frombuffer(b"".join(rows["style"]), "<f4").reshape(len(rows), len(STYLE)).astype(float)
-    per = rows["buckets"].map(len).to_numpy() // 4
-    buckets, row = np.frombuffer(b"".join(rows["buckets"]), "<i4"), np.repeat(np.arange(len(rows)), per)
-    weight = 1 / rows.groupby("sketch")["sketch"].transform("size").to_numpy()  # a group of copies counts as one text
+    labels_of = {k: np.asarray(got.column(k)).astype(float) for k in KINDS}
+    style = np.frombuffer(b"".join(got.column("style").to_pylist()), "<f4").reshape(got.num_rows, len(STYLE)).astype(float)
+    per = np.asarray(pc.binary_length(got.column("buckets"))) // 4
+    buckets = np.frombuffer(b"".join(got.column("buckets").to_pylist()), "<i4")
+    _, group, size = np.unique(np.asarray(got.column("sketch")), return_inverse=True, return_counts=True)
+    weight = 1 / size[group]  # a group of copies counts as one text
+    del got
+    row = np.repeat(np.arange(len(style), dtype=np.int32), per)
     centre, scale = style.mean(axis=0), style.std(axis=0) + 1e-3
     for kind in KINDS:
-        y = rows[kind].to_numpy().astype(float)
+        y = labels_of[kind]
         pos, neg = weight[y == 1].sum(), weight[y == 0].sum()
         if min(pos, neg) < 5:
             continue
@@ -194,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
         pooled = (a * pos + c * neg) / (pos + neg)
         z = (a - c) / np.sqrt(pooled * (1 - pooled) * (1 / pos + 1 / neg) + 1e-9)
         telling = np.flatnonzero(z > LEAST_Z)
-        which = np.full(BUCKETS, -1)
+        which = np.full(BUCKETS, -1, np.int32)
         which[telling] = np.arange(len(telling))
         hit = which[buckets] >= 0
         out.parts[kind] = (centre, scale, telling, _logistic(np.clip((style - centre) / scale, -8, 8), row[hit], which[buckets[hit]], len(telling), y, weight, 0.5))
