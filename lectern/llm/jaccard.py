@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import materialize, parallelism
-from .words import Words, chunks, mix, ranges, window_hashes
+from .words import SMALL_CHUNK, Words, chunks, mix, ranges, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, RECALL, SURE = 16, 0.995, 0.58
 LEAST_DEPTH, CROWD = 2, 32
 BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Pairs that a task looks at together, and bytes of text.
-PAIRS, TOGETHER = 1 << 20, 8 << 20
+PAIRS, TOGETHER = 1 << 19, 4 << 20
 
 
 def depth_for(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES) -> int:
@@ -76,7 +76,7 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text's hash and size, 128-bit hash of the word sequence, the trees' signatures, and a byte of each least hash."""
     odd = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=SMALL_CHUNK):
         words = Words(batch.column("text"))
         batch = batch.filter(pa.array(words.counts > 0))
         words.counts = words.counts[words.counts > 0] if len(words.counts) else words.counts

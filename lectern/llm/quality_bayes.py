@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .arrowmap import Masked, add_columns
 from .store import materialize
-from .words import Words, chunks, window_hashes
+from .words import SMALL_CHUNK, Words, chunks, window_hashes
 
 #: Bound of the sample of labelled rows that the classifier is fitted on.
 MAX_LABELLED = 16_384
@@ -91,7 +91,7 @@ def _measures(texts: pa.Array) -> tuple[np.ndarray, Words, np.ndarray]:
 
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Measures, distinct buckets and a sketch (least 5-word window hash: near copies mostly share it) of labelled texts."""
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=SMALL_CHUNK):
         measures, words, bucket = _measures(batch.column("text"))
         sets, sketches = [], []
         h = words.hashes()
@@ -241,7 +241,7 @@ def classify(docs: DataFrame, model: Classifier, host: str, path: str, keep_text
     m = Masked(docs)
     rows, text = m.as_string(m.df, "text")
     fields = [T.StructField(f"_x_{k}", T.DoubleType()) for k in KINDS]
-    rows = add_columns(rows, fields, lambda: lambda batch: [pa.array(x) for x in model.log_odds(batch.column(text))], text)
+    rows = add_columns(rows, fields, lambda: lambda batch: [pa.array(x) for x in model.log_odds(batch.column(text))], text, SMALL_CHUNK)
     own = [c for c in m.df.columns if keep_text or c != m.name("text")]
     rows = materialize(rows.select(*own, *(f.name for f in fields)), "evidence")
     at_host, at_path = (m.name(c) for c in (host, path))

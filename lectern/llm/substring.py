@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from .arrowmap import Masked, add_columns
 from .store import discard, done_with, exists, fresh_dir, materialize, parallelism
-from .words import Words, chunks, mix, ranges, repeated, sliding_min, window_hashes
+from .words import SMALL_CHUNK, Words, chunks, mix, ranges, repeated, sliding_min, window_hashes
 
 WINDOW, GRAM = 20, 5
 #: So many runs of one level are merged into one of the next.
@@ -83,7 +83,7 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 
 def _hash_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches by STRETCH. Those with the words of an earlier one in the chunk are settled."""
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=SMALL_CHUNK):
         batch = batch.take(pa.array(np.argsort(_ids(batch), kind="stable")))
         words = Words(batch.column("text"))
         doc, start, count, fp, content = _stretches(words.hashes(), words.hashes(1), words)
@@ -203,7 +203,7 @@ def _spans(starts: list, counts: list) -> np.ndarray:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """128-bit hashes of the windows to compare, of each document the first of equal ones. Those that also start in a smaller
     document of the chunk are settled: they go, and are dealt anywhere."""
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=SMALL_CHUNK):
         batch = batch.filter(pc.is_valid(batch.column("spans")))
         words = Words(batch.column("text"))
         a, b = (window_hashes(words.hashes(seed), WINDOW, 1 + seed).view(np.int64) for seed in (0, 1))
@@ -299,4 +299,4 @@ def remove(docs: DataFrame, batches: int = 2) -> DataFrame:
     both = m.df.join(gone, _key(own_id) == F.col("_id"), "left").drop("_id")
     both, text = m.as_string(both, "text")
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]
-    return m.restore(add_columns(both, fields, lambda: functools.partial(_digest_columns, text=text), text), [f.name for f in fields])
+    return m.restore(add_columns(both, fields, lambda: functools.partial(_digest_columns, text=text), text, SMALL_CHUNK), [f.name for f in fields])

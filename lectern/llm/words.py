@@ -13,7 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-CHUNK_BYTES = 4 << 20
+#: Text that a task looks at together. Operators whose arrays hold several numbers for each word take SMALL_CHUNK.
+CHUNK_BYTES, SMALL_CHUNK = 4 << 20, 2 << 20
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
