@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import materialize, parallelism
-from .words import SMALL_CHUNK, Words, chunks, mix, ranges, window_hashes
+from .words import SMALL_CHUNK, Words, chunks, give_back, mix, ranges, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, RECALL, SURE = 16, 0.995, 0.58
@@ -204,6 +204,7 @@ def _wanted(sure: float):
             for x, y in _pairs(batch, sure):
                 has[x] = has[y] = True
             yield batch.filter(pa.array(has)).select([*_GROUP, "block", "id"])
+        give_back()
 
     return run
 
@@ -269,6 +270,7 @@ def _verify(sure: float):
                     label = _joined(label, p, q)
             ids, linked = np.asarray(batch.column("id")), np.flatnonzero(links)
             yield pa.record_batch([pa.array(ids[linked]), pa.array(ids[label[linked]]), pa.array(links[linked])], names=["a", "b", "links"])
+        give_back()
 
     return run
 

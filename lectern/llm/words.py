@@ -6,6 +6,7 @@ is cut between documents only, so memory is bounded by the chunk size or by the
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +23,27 @@ _S33 = np.uint64(33)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most `limit` bytes of `column`, or of one row."""
-    for batch in batches:
-        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
-        at, n = 0, batch.num_rows
-        while at < n:
-            base = size[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
-            yield batch.slice(at, to - at)
-            at = to
+    """Slices of the batches with at most `limit` bytes of `column`, or of one row. Behind the last one the worker process, which
+    waits for the next stage's tasks, gives back what it has freed."""
+    try:
+        for batch in batches:
+            size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
+            at, n = 0, batch.num_rows
+            while at < n:
+                base = size[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
+                yield batch.slice(at, to - at)
+                at = to
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 class Words:
