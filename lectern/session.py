@@ -27,12 +27,20 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return builder.getOrCreate()
 
 
+#: Spark's own bound of a batch on its way to a Python worker, and the one taken instead: a batch is held several times over, by
+#: the executor and by each worker.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")
+
 _shipped: set[str] = set()
 _scratch: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's source to the executors, once per application, so that Python functions can be loaded there."""
+    """Send this package's source to the executors, once per application, so that Python functions can be loaded there. Where the
+    session has not set a bound of its own, batches that go to Python are small."""
+    key, usual, ours = BATCH_BYTES
+    if spark.conf.get(key) == usual:
+        spark.conf.set(key, ours)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
