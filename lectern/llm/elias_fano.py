@@ -9,9 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_BYTE = np.arange(256, dtype=np.uint8)
-_POP = np.unpackbits(_BYTE[:, None], axis=1).sum(axis=1).astype(np.int64)
-_BITS = np.unpackbits(_BYTE[:, None], axis=1, bitorder="little")
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 #: _NTH[b, r]: place of the r-th (from 0) set bit of byte b; 8 if there is none.
 _NTH = np.full((256, 8), 8, np.int64)
 for _b in range(256):
@@ -19,6 +17,11 @@ for _b in range(256):
     _NTH[_b, : len(_set)] = _set
 
 
+#: One in each byte, the highest bit of each, and masks of a count of bits by pairs, fours and bytes.
+_ONES, _HIGHS, _PAIRS, _FOURS, _EIGHTS = (np.uint64(int(x * (16 // len(x)), 16)) for x in ("01", "80", "5", "3", "0f"))
+_U = [np.uint64(k) for k in range(65)]
+
+
 def encode(values: np.ndarray) -> bytes:
     """`values`: non-decreasing, below 2**62."""
     v = np.asarray(values, np.int64)
@@ -55,24 +58,25 @@ class Sequence:
         head = buffer[:40].view("<i8")
         self.n, self.low_bits, self.length, words, packed = (int(x) for x in head)
         a, b = 40 + words * 8, 40 + words * 8 + (words + 1) * 8
-        self.bytes = buffer[40:a]
+        self.words = buffer[40:a].view("<u8")
         self.ones = buffer[a:b].view("<i8")
         self.low = buffer[b : b + packed * 4].view("<u4")
         self.clear = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
 
-    def _select(self, counts: np.ndarray, k: np.ndarray, flip: int) -> np.ndarray:
+    def _select(self, counts: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
+        """Places of the k-th set bits (clear ones with `flip`): the word by the counts, its byte by sums of all its bytes at once."""
         word = np.searchsorted(counts, k, "right") - 1
-        rest, at = k - counts[word], word * 8
-        byte = np.zeros(len(k), np.uint8)
-        todo = np.ones(len(k), bool)
-        for _ in range(8):
-            b = self.bytes[np.minimum(at, len(self.bytes) - 1)] ^ np.uint8(flip)
-            has = _POP[b]
-            here = todo & (rest < has)
-            byte[here] = b[here]
-            todo &= ~here
-            rest, at = np.where(todo, rest - has, rest), np.where(todo, at + 1, at)
-        return at * 8 + _NTH[byte, np.minimum(rest, 7)]
+        rest = (k - counts[word]).astype(np.uint64)
+        x = self.words[np.minimum(word, len(self.words) - 1)]
+        x = ~x if flip else x
+        sums = x - ((x >> _U[1]) & _PAIRS)
+        sums = (sums & _FOURS) + ((sums >> _U[2]) & _FOURS)
+        sums = ((sums + (sums >> _U[4])) & _EIGHTS) * _ONES
+        passed = (((rest * _ONES) | _HIGHS) - sums) & _HIGHS
+        place = np.minimum(((passed >> _U[7]) * _ONES) >> _U[56], _U[7]) << _U[3]
+        rest = rest - (((sums << _U[8]) >> place) & np.uint64(255))
+        byte = (x >> place) & np.uint64(255)
+        return word * 64 + place.astype(np.int64) + _NTH[byte.astype(np.int64), np.minimum(rest, _U[7]).astype(np.int64)]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -87,14 +91,14 @@ class Sequence:
     def get(self, i: np.ndarray) -> np.ndarray:
         """The elements at positions i (each in 0..n-1)."""
         i = np.asarray(i, np.int64)
-        return ((self._select(self.ones, i, 0) - i) << self.low_bits) | self._low(i)
+        return ((self._select(self.ones, i, False) - i) << self.low_bits) | self._low(i)
 
     def find(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Successor search: the first position in [lo, hi) whose element is `value` or more; hi where there is none."""
         high = value >> self.low_bits
         steps = self.length - self.n  # clear bits
-        start = np.where(high > 0, self._select(self.clear, np.clip(high - 1, 0, steps - 1), 255) - np.clip(high - 1, 0, steps - 1), 0)
-        stop = np.where(high < steps, self._select(self.clear, np.clip(high, 0, steps - 1), 255) - np.clip(high, 0, steps - 1), self.n)
+        start = np.where(high > 0, self._select(self.clear, np.clip(high - 1, 0, steps - 1), True) - np.clip(high - 1, 0, steps - 1), 0)
+        stop = np.where(high < steps, self._select(self.clear, np.clip(high, 0, steps - 1), True) - np.clip(high, 0, steps - 1), self.n)
         start = np.where(high - 1 >= steps, self.n, start)
         a, b = np.clip(start, lo, hi), np.clip(stop, lo, hi)
         want = value & ((1 << self.low_bits) - 1)

@@ -1,21 +1,26 @@
-"""Language-model scoring with a bigram trie in Elias-Fano form.
+"""Language-model scoring with a trigram trie in Elias-Fano form.
 
 Tokens are the words of a text, A to Z in lower case, then one end token, which also stands before the first word. Training
-counts all tokens and all pairs of all training texts; nothing is pruned.
+counts all tokens, pairs and triples of all training texts; nothing is pruned.
 
-The trie has two levels, each dealt into shards that tasks build on their own and write as one file into the shared folder:
+The trie has three levels, each dealt into shards that tasks build on their own and write as one file into the shared folder:
 
 * words: sorted 64-bit hashes and counts. A word's id is its rank among all of them (shards hold ranges of the hash).
-* successors: for a range of contexts, monotone pointers to each context's successors; the successors' ids, each plus the last
-  value of the context before, so that the level is one monotone sequence; one byte per pair for its log probability and one
-  per context for its back-off, by code books of 256 quantiles.
-
-Probabilities are smoothed by the number of a context's distinct successors T (Witten-Bell): P(w|v) = (c(v,w) + T P0(w)) /
-(c(v) + T), with P0(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). A pair is looked up by successor search among its context's values;
-one that is not there has T P0(w) / (c(v) + T), and P0(w) where the context is unknown. Files are mapped, not loaded.
+* pairs: for a range of words v, monotone pointers to each one's successors; the successors' ids, each plus the last value of
+  the context before, so that the level is one monotone sequence; one byte per pair for its log probability and one per context
+  for its back-off, by code books of 256 quantiles. A pair's number is its place in the whole level.
+* triples: the same for a range of pairs (u, v). The successor w is written relative to the context one word shorter: as its rank
+  among the successors of v in the level of pairs, which is what the search in that level gives anyway.
+
+Probabilities are smoothed by the number T of a context's distinct successors (Witten-Bell): P(w|v) = (c(v,w) + T P0(w)) /
+(c(v) + T), with P0(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), and P(w|u,v) likewise from c(u,v,w) and P(w|v). A text's first token
+has the end token alone before it and is scored as a pair. A successor is looked up by successor search among its context's
+values; one that is not there has T / (c + T) of its probability in the shorter context, and all of it where the context is
+unknown. Files are mapped, not loaded.
 
 Defined results: null texts are empty and have the end token alone. A null doc_id counts as training. Repeated rows are trained
-on and scored each for itself. Without training texts every probability is 1.
+on and scored each for itself. Without training texts every probability is 1. More words, or pairs and successors, than the packed
+numbers have bits for raise a ValueError.
 """
 
 from __future__ import annotations
@@ -36,11 +41,11 @@ from .store import fresh_dir, parallelism
 from .words import Words, chunks, mix, ranges
 
 END = 0x6C656374 << 24  # hash of the end token: fixed, outside what words are likely to hash to
-#: Pairs of so many tokens are counted together by a task before they are shuffled.
+#: Pairs or triples of so many tokens are counted together by a task before they are shuffled.
 COUNT_TOKENS = 3 << 20
-#: A shard of the pairs is to have about so many.
+#: A shard of the pairs, or triples, is to have about so many.
 SHARD_TOKENS = 2 << 20
-#: A task that builds a shard adds up its pairs whenever it holds so many rows more than are different.
+#: A task that builds a shard adds up its rows whenever it holds so many rows more than are different.
 HELD_PAIRS = 4 << 20
 #: Levels that a task keeps mapped.
 OPEN_LEVELS = 256
@@ -150,36 +155,60 @@ class Vocabulary:
         return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.size + 1)))
 
 
-def _count_pairs(vocabulary: Vocabulary, shards: int):
-    """Blocks of counted pairs, one per shard of the contexts: context, word and count as packed arrays."""
-    width = -(-max(vocabulary.size, 1) // shards)
+def _blocks(held: list[tuple[np.ndarray, ...]], bits: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Of numbers of a context and its successor, packed as context << bits | successor: one block per shard of `width` contexts,
+    with packed arrays of the context within the shard, the successor, the count, and what else goes with them."""
+    keys, first, n = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_counts=True)
+    rest = [np.concatenate(x)[first] for x in list(zip(*held))[1:]]
+    v, w = keys >> bits, keys & ((1 << bits) - 1)
+    # only the shards that these contexts are of
+    own, first = np.unique(v // width, return_index=True)
+    cuts = np.append(first, len(v))
+    columns = [x.astype("<u4") for x in (v % width, w, n)] + rest
+    names = ["shard", "v", "w", "n", "lower"][: 1 + len(columns)]
+    for lo in range(0, len(own), 64):
+        rows = [(int(own[k]), *(x[cuts[k] : cuts[k + 1]].tobytes() for x in columns)) for k in range(lo, min(lo + 64, len(own)))]
+        yield pa.record_batch([pa.array(list(c), pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows))], names=names)
+
 
-    def blocks(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        v, w = keys >> 32, keys & 0xFFFFFFFF
-        # only the shards that these pairs are of
-        own, first = np.unique(v // width, return_index=True)
-        cuts = np.append(first, len(v))
-        for lo in range(0, len(own), 64):
-            rows = [(int(own[k]), *(x[cuts[k] : cuts[k + 1]].astype("<u4").tobytes() for x in (v, w, n))) for k in range(lo, min(lo + 64, len(own)))]
-            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "v", "w", "n"])
+def _counted(keys, bits: int, width: int):
+    """Blocks of what `keys(tokens)` gives for each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in chunks(batches):
             t = Tokens(batch.column("text"))
-            ids, _ = vocabulary.lookup(t.hash)
-            held.append((ids[t.before()] << 32) | ids[t.codes])
+            held.append(keys(t))
             size += len(t.codes)
             if size >= COUNT_TOKENS:
-                yield from blocks(held)
+                yield from _blocks(held, bits, width)
                 held, size = [], 0
         if held:
-            yield from blocks(held)
+            yield from _blocks(held, bits, width)
 
     return run
 
 
+def _pair_keys(vocabulary: Vocabulary):
+    def keys(t: Tokens) -> tuple[np.ndarray]:
+        ids, _ = vocabulary.lookup(t.hash)
+        return ((ids[t.before()] << 32) | ids[t.codes],)
+
+    return keys
+
+
+def _triple_keys(vocabulary: Vocabulary, pairs: Trie, bits: int):
+    """The number of the pair before each token but a text's first, the token's rank behind the pair's word, and its log
+    probability there in half precision (books have less)."""
+
+    def keys(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        found = Found(t, vocabulary, pairs)
+        a, b = found.inner()
+        return (found.place[a] << bits) | found.rank[b], found.p[b].astype("<f2")
+
+    return keys
+
+
 def _book(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A code book of 256 quantiles and each value's nearest entry."""
     book = np.unique(np.quantile(values, np.linspace(0, 1, 256), method="nearest").astype("<f4"))
@@ -188,30 +217,33 @@ def _book(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _add_up(blocks: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """One block of different pairs (context, word, count as 64 bits), sorted, of many."""
-    v, w, n = (np.concatenate(x) for x in zip(*blocks))
+    """One block of different rows (context, successor, count as 64 bits, and what goes with them), sorted, of many."""
+    v, w, n, *rest = (np.concatenate(x) for x in zip(*blocks))
     key = (v.astype(np.int64) << 32) | w
     order = np.argsort(key, kind="stable")
     key, first = np.unique(key[order], return_index=True)
-    return [(key >> 32).astype("<u4"), (key & 0xFFFFFFFF).astype("<u4"), np.add.reduceat(n[order].astype(np.int64), first)]
+    return [(key >> 32).astype("<u4"), (key & 0xFFFFFFFF).astype("<u4"), np.add.reduceat(n[order].astype(np.int64), first), *(x[order[first]] for x in rest)]
+
+
+def _word_p0(vocabulary: Vocabulary, w: np.ndarray) -> np.ndarray:
+    by_word = np.argsort(w, kind="stable")
+    out = np.empty(len(w))
+    out[by_word] = vocabulary.log_p0(vocabulary.counts(w[by_word]))
+    return out
 
 
-def _build(vocabulary: Vocabulary, shards: int, folder: str):
-    """Trie files of the successor level. A partition has all blocks of its shards, sorted by shard; one shard is held at a time.
-    Its blocks are added up whenever HELD_PAIRS rows, or as many as its different pairs, have come: what is held grows with the
-    different pairs, not with the blocks."""
-    width = -(-max(vocabulary.size, 1) // shards)
+def _build(folder: str, name: str, width: int, contexts: int, vocabulary: Vocabulary | None = None):
+    """Files of a level over `contexts` contexts. A partition has all blocks of its shards, sorted by shard; one shard is held at a
+    time. Its blocks are added up whenever HELD_PAIRS rows, or as many as its different ones, have come: what is held grows with the
+    different rows, not with the blocks. The probabilities of the level below come with the rows, or from the vocabulary."""
+    columns = ("v", "w", "n") if vocabulary else ("v", "w", "n", "lower")
 
-    def one(v: np.ndarray, w: np.ndarray, n: np.ndarray, shard: int) -> bytes:
-        lo = shard * width
-        size = min(width, vocabulary.size - lo)
-        v, w = v.astype(np.int64) - lo, w.astype(np.int64)
+    def one(size: int, v: np.ndarray, w: np.ndarray, n: np.ndarray, lower: np.ndarray | None = None) -> tuple[bytes, int]:
+        v, w = v.astype(np.int64), w.astype(np.int64)
         degree = np.bincount(v, minlength=size)
         total = np.bincount(v, weights=n, minlength=size)
         pointers = np.concatenate([[0], np.cumsum(degree)])
-        by_word = np.argsort(w, kind="stable")
-        p0 = np.empty(len(w))
-        p0[by_word] = 10 ** vocabulary.log_p0(vocabulary.counts(w[by_word]))
+        p0 = 10 ** (_word_p0(vocabulary, w) if vocabulary else lower.astype(float))
         p = np.log10((n + degree[v] * p0) / (total[v] + degree[v]))
         # each context's values stand above the last value of the context before
         last = np.where(degree > 0, w[np.maximum(pointers[1:] - 1, 0)] + 1, 0)
@@ -223,22 +255,23 @@ def _build(vocabulary: Vocabulary, shards: int, folder: str):
         b_book, b_code = _book(backoff)
         parts = [encode(pointers), encode(w + shift[v]), p_book.tobytes(), b_book.tobytes(), p_code.tobytes(), b_code.tobytes()]
         parts = [x + b"\0" * (-len(x) % 8) for x in parts]
-        return np.cumsum([48] + [len(x) for x in parts[:-1]]).astype("<i8").tobytes() + b"".join(parts)
+        return np.cumsum([48] + [len(x) for x in parts[:-1]]).astype("<i8").tobytes() + b"".join(parts), int(degree.max())
 
     def built(s: int, blocks: list) -> pa.RecordBatch:
-        path = new_name(folder, f"pairs-{s:06d}", ".trie")
-        write(path, one(*_add_up(blocks), s))
-        return pa.record_batch([pa.array([s], pa.int32()), pa.array([path])], names=["shard", "path"])
+        path, rows = new_name(folder, f"{name}-{s:06d}", ".trie"), _add_up(blocks)
+        data, most = one(min(width, contexts - s * width), *rows)
+        write(path, data)
+        return pa.record_batch([pa.array([s], pa.int32()), pa.array([path]), pa.array([len(rows[0])]), pa.array([most])], names=["shard", "path", "n", "most"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, rows, least = None, [], 0, HELD_PAIRS
         for b in batches:
-            for s, *block in zip(*(b.column(c).to_pylist() for c in ("shard", "v", "w", "n"))):
+            for s, *block in zip(*(b.column(c).to_pylist() for c in ("shard", *columns))):
                 if s != at and held:
                     yield built(at, held)
                     held, rows, least = [], 0, HELD_PAIRS
                 at = s
-                held.append([np.frombuffer(x, "<u4") for x in block])
+                held.append([np.frombuffer(x, kind) for x, kind in zip(block, ("<u4", "<u4", "<u4", "<f2"))])
                 rows += len(held[-1][0])
                 if rows >= least:
                     held = [_add_up(held)]
@@ -251,7 +284,7 @@ def _build(vocabulary: Vocabulary, shards: int, folder: str):
 
 
 class Level:
-    """The successor level of a range of contexts, over a mapped file."""
+    """A shard of a level over a mapped file: a range of contexts and their successors."""
 
     def __init__(self, path: str):
         data = mapped(path)
@@ -260,44 +293,51 @@ class Level:
         self.p_book, self.b_book = data[at[2] : at[2] + 1024].view("<f4"), data[at[3] : at[3] + 1024].view("<f4")
         self.p_code, self.b_code = data[at[4] :], data[at[5] :]
 
-    def log_p(self, v: np.ndarray, w: np.ndarray, p0: np.ndarray) -> np.ndarray:
-        """log10 P of pairs: v local context, w word id (-1: unknown)."""
-        lo, hi = self.pointers.get(v), self.pointers.get(v + 1)
-        used = hi > lo
-        out = np.array(p0, float)
+    def find(self, v: np.ndarray, w: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of successors w (-1: unknown) of local contexts v, in order of v: log10 P, place in the shard and rank behind v (-1: not
+        there). `lower`: log10 P in the shorter context."""
+        own, first = np.unique(v, return_index=True)
+        n = np.diff(np.append(first, len(v)))
+        a, b = self.pointers.get(own), self.pointers.get(own + 1)
         # the shift of a context: what all contexts before it have reached, that is the last value before it, plus one
-        shift = np.zeros(len(v), np.int64)
-        prior = used & (lo > 0)
-        shift[prior] = self.values.get(lo[prior] - 1) + 1
+        prior, s = (b > a) & (a > 0), np.zeros(len(own), np.int64)
+        s[prior] = self.values.get(a[prior] - 1) + 1
+        lo, hi, shift = np.repeat(a, n), np.repeat(b, n), np.repeat(s, n)
+        used = hi > lo
         at = np.where(used, self.values.find(w + shift, lo, hi), hi)
-        hit = np.zeros(len(v), bool)
-        near = used & (at < hi) & (w >= 0)
-        hit[near] = self.values.get(at[near]) == (w + shift)[near]
+        hit = used & (at < hi) & (w >= 0)
+        hit[hit] = self.values.get(at[hit]) == (w + shift)[hit]
+        out = np.array(lower, float)
         out[hit] = self.p_book[self.p_code[at[hit]]]
         miss = used & ~hit
         out[miss] += self.b_book[self.b_code[v[miss]]]
-        return out
+        return out, np.where(hit, at, -1), np.where(hit, at - lo, -1)
 
 
-class Model:
-    """The trie: what a task needs to find its files."""
+class Trie:
+    """A level: what a task needs to find its files. `made`: shard, path, rows and most successors of a context of each."""
 
-    def __init__(self, vocabulary: Vocabulary, shards: int, paths: dict[int, str]):
-        self.vocabulary, self.shards, self.paths = vocabulary, shards, paths
-        self.width = -(-max(vocabulary.size, 1) // shards)
+    def __init__(self, width: int, shards: int, made: list[tuple]):
+        self.width, self.shards, self.paths = width, shards, {s: path for s, path, *_ in made}
+        count = np.zeros(shards + 1, np.int64)
+        for s, _, n, _ in made:
+            count[s + 1] = n
+        self.base = np.cumsum(count)
+        self.size, self.most = int(self.base[-1]), max((r[3] for r in made), default=0)
         self._levels: dict[int, Level] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_levels": {}}
 
-    def log_p(self, v: np.ndarray, w: np.ndarray, p0: np.ndarray) -> np.ndarray:
-        """log10 P of pairs sorted by context."""
-        out = np.array(p0, float)
+    def find(self, v: np.ndarray, w: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As Level.find, for contexts of the whole level in ascending order (-1: unknown), with places in the whole level."""
+        p, place, rank = np.array(lower, float), np.full(len(v), -1, np.int64), np.full(len(v), -1, np.int64)
         own, first = np.unique(v // self.width, return_index=True)
         for s, a, b in zip(own.tolist(), first.tolist(), np.append(first[1:], len(v)).tolist()):
             if s in self.paths:
-                out[a:b] = self._level(s).log_p(v[a:b] - s * self.width, w[a:b], p0[a:b])
-        return out
+                p[a:b], at, rank[a:b] = self._level(s).find(v[a:b] - s * self.width, w[a:b], lower[a:b])
+                place[a:b] = np.where(at >= 0, at + self.base[s], -1)
+        return p, place, rank
 
     def _level(self, s: int) -> Level:
         """The level of a shard; of those in use the last OPEN_LEVELS are kept."""
@@ -308,6 +348,51 @@ class Model:
         return level
 
 
+class Found:
+    """The different pairs of a chunk, in order of their ids, looked up: `p`, `place` and `rank` of each, `back` the pair of each
+    token, and `known` (is its word) and `p0` of each token."""
+
+    def __init__(self, t: Tokens, vocabulary: Vocabulary, pairs: Trie):
+        ids, counts = vocabulary.lookup(t.hash)
+        order = np.argsort(ids, kind="stable")
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        ids, p0 = ids[order], vocabulary.log_p0(counts[order])
+        word = rank[t.codes]
+        key, self.back = np.unique(rank[t.before()] * len(ids) + word, return_inverse=True)
+        v, w = key // len(ids), key % len(ids)
+        self.p, self.place, self.rank = pairs.find(ids[v], ids[w], p0[w])
+        self.known, self.p0, self.first = counts[t.codes] > 0, p0[word], t.bounds[:-1]
+
+    def inner(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pair before, and the own one, of each token that is not a text's first."""
+        own = np.ones(len(self.back), bool)
+        own[self.first] = False
+        at = np.flatnonzero(own)
+        return self.back[at - 1], self.back[at]
+
+    def scores(self, triples: Trie) -> np.ndarray:
+        """log10 P of each token."""
+        out, n = self.p[self.back], len(self.p)
+        a, b = self.inner()
+        key, back = np.unique(a * n + b, return_inverse=True)
+        a, b = key // n, key % n
+        p = self.p[b]
+        known = self.place[a] >= 0
+        p[known] = triples.find(self.place[a[known]], self.rank[b[known]], p[known])[0]
+        own = np.ones(len(out), bool)
+        own[self.first] = False
+        out[own] = p[back]
+        return out
+
+
+class Model:
+    """Vocabulary and both levels of successors."""
+
+    def __init__(self, vocabulary: Vocabulary, pairs: Trie, triples: Trie):
+        self.vocabulary, self.pairs, self.triples = vocabulary, pairs, triples
+
+
 def train(docs: DataFrame) -> Model:
     """Learn from the text of every row."""
     spark = docs.sparkSession
@@ -320,10 +405,20 @@ def train(docs: DataFrame) -> Model:
     vocabulary = Vocabulary(shards, [tuple(r) for r in made])
     if vocabulary.size >= MOST_WORDS:
         raise ValueError(f"{vocabulary.size} different words: ids of pairs would not fit 64 bits")
-    pair_shards = max(parts, -(-vocabulary.tokens // SHARD_TOKENS))
-    blocks = rows.mapInArrow(_count_pairs(vocabulary, pair_shards), "shard int, v binary, w binary, n binary").repartition(max(parts, pair_shards), "shard").sortWithinPartitions("shard")
-    files = blocks.mapInArrow(_build(vocabulary, pair_shards, folder), "shard int, path string").collect()  # a row per shard
-    return Model(vocabulary, pair_shards, {r.shard: r.path for r in files})
+    shards = max(parts, -(-vocabulary.tokens // SHARD_TOKENS))
+
+    def level(name: str, contexts: int, keys, bits: int, own: Vocabulary | None = None) -> Trie:
+        width = -(-max(contexts, 1) // shards)
+        fields = "shard int, v binary, w binary, n binary" + ("" if own else ", lower binary")
+        blocks = rows.mapInArrow(_counted(keys, bits, width), fields).repartition(shards, "shard").sortWithinPartitions("shard")
+        made = blocks.mapInArrow(_build(folder, name, width, contexts, own), "shard int, path string, n long, most long").collect()  # a row per shard
+        return Trie(width, shards, [tuple(r) for r in made])
+
+    pairs = level("pairs", vocabulary.size, _pair_keys(vocabulary), 32, vocabulary)
+    bits = max(1, pairs.most.bit_length())
+    if pairs.size.bit_length() + bits > 63:
+        raise ValueError(f"{pairs.size} different pairs, up to {pairs.most} of a word: numbers of triples would not fit 64 bits")
+    return Model(vocabulary, pairs, level("triples", pairs.size, _triple_keys(vocabulary, pairs, bits), bits))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -332,18 +427,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def per_batch(texts: pa.Array) -> list[pa.Array]:
         t = Tokens(texts)
-        ids, counts = vocabulary.lookup(t.hash)
-        p0 = vocabulary.log_p0(counts)
-        v, code = ids[t.before()], t.codes
-        # every different pair of the chunk once, in order of its context
-        pair, back = np.unique((v + 1) * len(t.hash) + code, return_inverse=True)
-        context, word = pair // len(t.hash) - 1, pair % len(t.hash)
-        known = np.searchsorted(context, 0)
-        p = p0[word]
-        p[known:] = model.log_p(context[known:], ids[word[known:]], p[known:])
+        found = Found(t, vocabulary, model.pairs)
         sums = lambda x: np.add.reduceat(x, t.bounds[:-1]) if len(t.codes) else np.zeros(0)
         n = np.diff(t.bounds)
-        return [pa.array(n), pa.array(sums((counts[code] > 0).astype(np.int64)).astype(np.int64)), pa.array(np.full(len(n), vocabulary.tokens)), pa.array(sums(p0[code])), pa.array(sums(p[back]))]
+        return [pa.array(n), pa.array(sums(found.known.astype(np.int64)).astype(np.int64)), pa.array(np.full(len(n), vocabulary.tokens)), pa.array(sums(found.p0)), pa.array(sums(found.scores(model.triples)))]
 
     kinds = {"n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.LongType(), "base_score": T.DoubleType(), "score": T.DoubleType()}
     return add_text_columns(docs, [T.StructField(k, v) for k, v in kinds.items()], lambda: per_batch)

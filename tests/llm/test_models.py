@@ -230,19 +230,25 @@ def test_quality_texts_are_scored_once(spark):
 def brute_lm(rows, train):
     low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     tok = [(i, words(low(t)) + [None]) for i, t in rows]
-    c, b = Counter(), Counter()
+    c, b, b3 = Counter(), Counter(), Counter()
     for i, w in tok:
         if train(i):
             c.update(w)
             b.update(zip([None, *w[:-1]], w))
+            b3.update(zip(zip([None, *w[:-2]], w), w[1:]))
     n, v = sum(c.values()), len(c)
     deg, tot = Counter(x for x, _ in b), Counter()
     for (x, _), k in b.items():
         tot[x] += k
+    deg3, tot3 = Counter(x for x, _ in b3), Counter()
+    for (x, _), k in b3.items():
+        tot3[x] += k
     p0 = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
     p = lambda x, w: (b[x, w] + deg[x] * p0(w)) / (tot[x] + deg[x]) if deg[x] else p0(w)
+    p3 = lambda x, y, w: (b3[(x, y), w] + deg3[x, y] * p(y, w)) / (tot3[x, y] + deg3[x, y]) if deg3[x, y] else p(y, w)
     for i, w in tok:
-        yield i, len(w), sum(c[x] > 0 for x in w), n, sum(math.log10(p0(x)) for x in w), sum(math.log10(p(x, y)) for x, y in zip([None, *w[:-1]], w))
+        q = [p(None, w[0]), *(p3(x, y, z) for x, y, z in zip([None, *w[:-2]], w, w[1:]))]
+        yield i, len(w), sum(c[x] > 0 for x in w), n, sum(math.log10(p0(x)) for x in w), sum(map(math.log10, q))
 
 
 def test_lm_against_brute_force(spark):
@@ -272,7 +278,7 @@ def test_lm_holds_different_pairs_alone(tmp_path, monkeypatch):
 
     w = np.arange(20_000, dtype="<u4")
     block = lambda n: pa.record_batch([pa.array([0], pa.int32()), *(pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in (0 * w, w, 0 * w + n))], names=["shard", "v", "w", "n"])
-    run = ngram_lm._build(Vocabulary, 1, str(tmp_path))
+    run = ngram_lm._build(str(tmp_path), "pairs", 20_000, 20_000, Vocabulary)
     list(run(iter([block(300)])))
     tracemalloc.start()
     list(run(block(3) for _ in range(100)))
@@ -295,8 +301,8 @@ def test_lm_shards_agree(spark, monkeypatch):
         ids, counts = model.vocabulary.lookup(t.hash)
         order = np.lexsort((t.codes, ids[t.before()]))
         v, w = ids[t.before()][order], ids[t.codes][order]
-        got.append((model.shards, dict(zip(zip(v.tolist(), w.tolist()), model.log_p(v, w, model.vocabulary.log_p0(counts)[t.codes][order]).tolist()))))
-        assert len(model._levels) <= levels
+        got.append((model.pairs.shards, dict(zip(zip(v.tolist(), w.tolist()), model.pairs.find(v, w, model.vocabulary.log_p0(counts)[t.codes][order])[0].tolist()))))
+        assert len(model.pairs._levels) <= levels
     assert [n for n, _ in got][0] == 1 and got[1][0] >= 3 and got[2][0] >= 900
     name = [dict(sorted(x.items())) for _, x in got]
     assert name[0].keys() == name[1].keys() == name[2].keys()
