@@ -53,9 +53,9 @@ def text_layers_hash(spark: SparkSession, sf: str) -> DataFrame:
     return d.withColumn("fingerprint", F.sha2(F.concat_ws("|", "source_sha", "normal_sha", "spoken_sha"), 256))
 
 
-@query("redact_secrets", r"""SELECT doc_id, sha256(substring(regexp_replace(regexp_replace(regexp_replace(text, '(?i)bearer\s+[a-z0-9._~+/=-]+', 'Bearer [redacted]', 'g'), 'eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', '[jwt]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), 1, 4000)) AS clean_sha FROM documents""")
+@query("redact_secrets", r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '(?i)bearer\s+[a-z0-9._~+/=-]+', 'Bearer [redacted]', 'g'), 'eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', '[jwt]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g')) AS clean_sha FROM documents""")
 def redact_secrets(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.sha2(X.redact(F.col("text"), 4000), 256).alias("clean_sha"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(X.redact(F.col("text")), 256).alias("clean_sha"))
 
 
 @query("redact_secrets_whole", r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '(?i)bearer\s+[a-z0-9._~+/=-]+', 'Bearer [redacted]', 'g'), 'eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', '[jwt]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g')) AS clean_sha FROM documents""")
