@@ -290,7 +290,7 @@ def test_lm_holds_different_pairs_alone(tmp_path, monkeypatch):
 
 def test_lm_shards_agree(spark, monkeypatch):
     """One shard of pairs, three and about a thousand give the same scores, few levels open or many."""
-    docs, got = odd_docs(spark), []
+    docs, got, sums = odd_docs(spark), [], []
     for tokens, levels in ((1 << 40, 256), (12_000, 2), (33, 5)):
         monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", tokens)
         monkeypatch.setattr(ngram_lm, "OPEN_LEVELS", levels)
@@ -303,7 +303,11 @@ def test_lm_shards_agree(spark, monkeypatch):
         v, w = ids[t.before()][order], ids[t.codes][order]
         got.append((model.pairs.shards, dict(zip(zip(v.tolist(), w.tolist()), model.pairs.find(v, w, model.vocabulary.log_p0(counts)[t.codes][order])[0].tolist()))))
         assert len(model.pairs._levels) <= levels
+        sums.append(ngram_lm.Found(t, model.vocabulary, model.pairs).scores(model.triples))
+        assert len(model.triples._levels) <= levels and model.triples.size > model.pairs.size / 2
     assert [n for n, _ in got][0] == 1 and got[1][0] >= 3 and got[2][0] >= 900
+    for other in sums[1:]:
+        assert np.abs(other - sums[0]).max() < 0.5 and abs(other.sum() - sums[0].sum()) < 0.01 * abs(sums[0].sum())
     name = [dict(sorted(x.items())) for _, x in got]
     assert name[0].keys() == name[1].keys() == name[2].keys()
     for other in name[1:]:
