@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import jaccard, langid, ngram_lm, packing, pieces, quality_bayes, quality_rules, substring, topk, warc
+from . import jaccard, langid, ngram_lm, packing, periodic, pieces, quality_bayes, quality_rules, substring, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +154,43 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = langid.held_out(F.col("doc_id"), 5)
     model = ngram_lm.train(docs.where(~held))
     return ngram_lm.score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_register
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", periodic.repeat_words(F.col("text"), F.col("doc_id")).alias("text"))
+    best, line = F.col("best"), lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    found = periodic.collapse(docs, keep_text=False).withColumn("best", periodic.strongest(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(F.lit(1000) * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+#: The table of CRC-32 for one byte, by its rule, and the checksum of a list of bytes.
+CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t)"
+CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {0}), lambda c, b: xor(c // 256, t[1 + xor(c % 256, b)])), 4294967295)"
+
+ORACLES["op13_periodic_runs"] = rf"""
+    WITH {CRC_TABLE},
+    s AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+                 {CRC.format("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT))")} AS h FROM documents, crc),
+    a AS (SELECT *, len(ws) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM s),
+    b AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+    d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM b),
+    c AS (SELECT doc_id, w, n, unnest(list_filter(range(1, n // 4 + 1), lambda p: len(list_filter(range((n - 1) // p - 2), lambda j:
+              w[1 + j * p] = w[1 + j * p + p] AND w[1 + j * p + p] = w[1 + j * p + 2 * p] AND w[1 + j * p + 2 * p] = w[1 + j * p + 3 * p])) > 0)) AS p FROM d),
+    e AS (SELECT doc_id, p, unnest(list_filter(range(n - p), lambda i: w[1 + i] = w[1 + i + p])) AS i FROM c),
+    f AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM e),
+    u AS (SELECT doc_id, p, min(i) AS s, max(i) + 1 + p AS e FROM f GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+    r AS (SELECT doc_id, s, e, min(p) AS p FROM u GROUP BY doc_id, s, e),
+    z AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(s := s, l := e - s, p := p), struct_pack(x := -(e - s) / p, s := s, p := p)) AS z,
+                 string_agg(concat(s, ',', e - s, ',', p, chr(10)), '' ORDER BY s, p) AS t FROM r GROUP BY doc_id),
+    g AS (SELECT DISTINCT doc_id, unnest(range(s + p, e)) AS i FROM r),
+    x AS (SELECT doc_id, unnest(w) AS w, unnest(range(n)) AS i FROM d),
+    k AS (SELECT x.doc_id, string_agg(w, ' ' ORDER BY x.i) AS t FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.i = g.i WHERE g.i IS NULL GROUP BY x.doc_id)
+    SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(z.z.s AS BIGINT) AS start, CAST(z.z.l AS BIGINT) AS length, CAST(z.z.p AS BIGINT) AS period,
+           CAST(1000 * z.z.l // z.z.p AS BIGINT) AS exponent_milli, sha256(coalesce(z.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+    FROM d LEFT JOIN z ON z.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""
