@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import jaccard, langid, ngram_lm, packing, periodic, pieces, quality_bayes, quality_rules, substring, topk, warc
+from . import jaccard, langid, ngram_lm, packing, periodic, pieces, quality_bayes, quality_rules, spelling, substring, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -194,3 +194,28 @@ ORACLES["op13_periodic_runs"] = rf"""
            CAST(1000 * z.z.l // z.z.p AS BIGINT) AS exponent_milli, sha256(coalesce(z.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
     FROM d LEFT JOIN z ON z.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
 """
+
+
+@_register
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.letter_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.variants(spelling.vocabulary(spelling.drop_letters(runs)))
+
+
+ORACLES["op12_spelling_variants"] = rf"""
+    WITH RECURSIVE {CRC_TABLE},
+    t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents),
+    o AS (SELECT doc_id, r, count(*) AS n FROM t GROUP BY doc_id, r),
+    h AS (SELECT r, n, {CRC.format("flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || r, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64] END))")} AS h FROM o, crc),
+    e AS (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, CAST(h % length(r) AS INT)) || substr(r, CAST(h % length(r) AS INT) + 2) ELSE r END AS word, n FROM h),
+    v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    q AS (SELECT word, n, substr(word, 1, i) AS x, substr(word, i + 2) AS y FROM (SELECT word, n, unnest(range(CAST(length(word) AS INT))) AS i FROM v)),
+    d AS (SELECT DISTINCT v.word AS short, v.n AS short_n, q.word AS long, q.n AS long_n FROM q JOIN v ON q.x || q.y = v.word),
+    p AS (SELECT a.word, b.word AS other, b.n AS other_n FROM q a JOIN q b ON a.x = b.x AND a.y = b.y AND a.word <> b.word
+          UNION ALL SELECT short, long, long_n FROM d UNION ALL SELECT long, short, short_n FROM d),
+    m AS (SELECT word, count(*) AS n_near, min(struct_pack(n := -other_n, w := other)) AS top FROM p GROUP BY word),
+    f AS (SELECT v.word, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN -top.n >= 2 * v.n THEN top.w END AS form, CASE WHEN -top.n >= 2 * v.n THEN -top.n END AS form_n
+          FROM v LEFT JOIN m ON m.word = v.word),
+    r AS (SELECT word, form AS up, word AS root, 0 AS k FROM f UNION ALL SELECT r.word, f.form, f.word, k + 1 FROM r JOIN f ON f.word = r.up)
+    SELECT f.word, form, root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN r ON r.word = f.word AND r.up IS NULL
+"""
