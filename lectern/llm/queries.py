@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import jaccard, langid, ngram_lm, packing, periodic, pieces, quality_bayes, quality_rules, spelling, substring, topk, warc
+from . import jaccard, langid, ngram_lm, packing, periodic, pieces, quality_bayes, quality_rules, secrets, spelling, substring, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -219,3 +219,39 @@ ORACLES["op12_spelling_variants"] = rf"""
     r AS (SELECT word, form AS up, word AS root, 0 AS k FROM f UNION ALL SELECT r.word, f.form, f.word, k + 1 FROM r JOIN f ON f.word = r.up)
     SELECT f.word, form, root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN r ON r.word = f.word AND r.up IS NULL
 """
+
+
+@_register
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    base = [r.kind for r in secrets.BASE_RULES]
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    counts, own = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in base], of(*base)
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(own), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def _sql_rules() -> str:
+    rows = []
+    for i, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("(?ai)", "(?i)").replace("'", "''")
+        rows.append(f"({i}, '{r.kind}', '{pattern}', {r.group}, {r.least})")
+    return ", ".join(rows)
+
+
+ORACLES["op11_secret_scans"] = f"""
+    WITH rules(k, kind, p, g, least) AS (VALUES {_sql_rules()}),
+    d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    m AS (SELECT doc_id, k, kind, least, string_split_regex(t, p) AS parts, regexp_extract_all(t, p, 0) AS ms, CASE WHEN g = 0 THEN regexp_extract_all(t, p, 0) ELSE regexp_extract_all(t, p, 2) END AS gs
+          FROM d, rules WHERE regexp_matches(t, p)),
+    i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m),
+    s AS (SELECT doc_id, k, kind, list_sum(list_transform(list_slice(parts, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(ms, 1, i - 1), lambda x: length(x))), 0) AS a,
+                 length(ms[i]) AS n FROM i WHERE length(gs[i]) >= least),
+    o AS (SELECT doc_id, k, CAST(a AS BIGINT) AS a, concat(kind, ':', CAST(a AS BIGINT), ':', CAST(a + n AS BIGINT)) AS x FROM s),
+    r AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+                 string_agg(x, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(x, ',' ORDER BY a, k) AS spans FROM o GROUP BY doc_id)
+    SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
