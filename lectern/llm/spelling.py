@@ -5,10 +5,11 @@ replacing one flips at most two. So of three bands that the bits are dealt into,
 apart. Words are grouped by (band, its bits, length); a group has the words of that length and those one letter longer. Within a
 group the masks are compared (at most two bits differ), then the words (Levenshtein distance 1).
 
-Bits are dealt by how evenly the vocabulary splits on them, so that bands tell about equally much. A group of more than LEAF words is
-dealt again: the bits that it doesn't share yet go into three bands, one of which must be equal too, and so on down to DEPTH
-levels. No pair is lost by that, and a word meets few others however large the vocabulary is. Groups on the last level are joined
-whatever their size.
+Bits are dealt by how evenly the vocabulary splits on them, so that bands tell about equally much. Masks have some 17 bits of information,
+so groups grow with the vocabulary. One of more than LEAF words is dealt again, by what else must be equal: first by half of the
+word (the edit is in one half, so the other is the same), then, where that leaves more than LEAF, by three bands of the bits that
+aren't shared yet. Groups of the last deal are joined whatever their size. A pair counts where the first of its equal bands, halves
+and bands is dealt, and so is found once.
 
 Everything is DataFrame functions: grouped counts and sort-merge joins, which Spark splits where a key is hot. What comes to the
 driver is a number for each bit.
@@ -27,7 +28,6 @@ from .store import done_with, materialize
 
 #: Words of a group that are compared with each other; larger groups are dealt again.
 LEAF = 512
-DEPTH = 5
 #: a to z have a bit each, all other letters share the rest.
 BITS, OWN = 63, 26
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -68,48 +68,77 @@ def _ranked_bits(masks: DataFrame) -> list[int]:
     return sorted(range(BITS), key=lambda i: (abs(2 * (ones[i] or 0) - total), i))
 
 
-def _shared_bits(ranked: list[int], level: int) -> list[int]:
-    """For each path of bands down to a level, the mask of the bits that a group of that path shares."""
-    paths = [(0, ranked)]
-    for _ in range(level + 1):
-        paths = [(shared | sum(1 << b for b in left[k::3]), [b for i, b in enumerate(left) if i % 3 != k]) for shared, left in paths for k in range(3)]
-    return [shared for shared, _ in paths]
+def _bands(ranked: list[int]) -> list[list[int]]:
+    return [ranked[k::3] for k in range(3)]
 
 
-def near_pairs(words: DataFrame, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+def _mask(bits: list[int]) -> int:
+    return sum(1 << b for b in bits)
+
+
+def _of(table: list[int], *at: Column) -> Column:
+    """The entry of a small table by columns that are digits of its number to the base of three."""
+    return F.get(F.array(*(F.lit(x) for x in table)), functools.reduce(lambda x, y: x * 3 + y, at))
+
+
+def near_pairs(words: DataFrame, leaf: int = LEAF) -> DataFrame:
     """(a, n_a, b, n_b): every two words of `words` (word, n; each word once) that are one edit apart, once."""
     masks = materialize(words.where("word is not null").select("word", "n", F.length("word").alias("long"), parity_mask(F.col("word")).alias("mask")), "masks")
     ranked = _ranked_bits(masks)
-    members = masks.select("word", "n", "mask", "long", F.explode(F.array(F.col("long"), F.col("long") - 1)).alias("l"), F.lit(0).alias("path"))
-    group, leaves = ["path", "bits", "l"], []
-    for level in range(depth):
-        shared = F.array(*(F.lit(s) for s in _shared_bits(ranked, level)))
-        deeper = members.select("word", "n", "mask", "long", "l", F.explode(F.sequence(F.col("path") * 3, F.col("path") * 3 + 2)).alias("path"))
-        members = deeper.withColumn("bits", F.col("mask").bitwiseAND(F.get(shared, F.col("path"))))
-        # a group without a word of its own length has no pair
-        sizes = members.groupBy(*group).agg(F.count("*").alias("size"), F.count_if(F.col("long") == F.col("l")).alias("own")).where("size > 1 and own > 0")
-        sized = materialize(members.join(sizes.drop("own"), group), "spelling-groups")
-        leaves.append(sized if level == depth - 1 else sized.where(F.col("size") <= leaf))
-        members = sized.where(F.col("size") > leaf).drop("size", "bits")
-        if level == depth - 1 or members.isEmpty():
+    bands = _bands(ranked)
+    first = [_mask(b) for b in bands]
+    second = [_mask(b) for band in bands for b in _bands([x for x in ranked if x not in band])]
+    half = F.floor(F.col("l") / 2).cast("int")
+    rest = F.col("l") - half
+    part = F.when(F.col("side") == 0, F.substring("word", F.lit(1), half)).otherwise(F.substring("word", F.col("long") - rest + 1, rest))
+    deals = [
+        ("band", 3, lambda: _of(first, F.col("band")).bitwiseAND(F.col("mask"))),
+        ("side", 2, lambda: part),
+        ("sub", 3, lambda: _of(second, F.col("band"), F.col("sub")).bitwiseAND(F.col("mask"))),
+    ]
+    members = masks.withColumn("l", F.explode(F.array(F.col("long"), F.col("long") - 1))).withColumn("g", F.lit(0).cast("long"))
+    found, dealt = [], []
+    for name, ways, share in deals:
+        members = members.withColumn(name, F.explode(F.array(*(F.lit(k) for k in range(ways))))).withColumn("g", F.xxhash64("g", name, "l", share()))
+        dealt.append(name)
+        last = len(dealt) == len(deals)
+        large = materialize(members.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > leaf).select("g"), "large-groups")
+        found.append(_compared(members if last else members.join(large, "g", "left_anti"), dealt, first, second))
+        if last or large.isEmpty():
             break
-    rows = functools.reduce(DataFrame.unionByName, leaves).select(*group, "word", "n", "mask", "long")
-    is_long = F.col("long") > F.col("l")
-    a = rows.where(~is_long).select(*group, F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("mask").alias("mask_a"))
-    b = rows.select(*(F.col(c).alias(f"{c}_b") for c in group), F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("mask").alias("mask_b"), is_long.alias("longer"))
-    alike = (F.bit_count(F.col("mask_a").bitwiseXOR(F.col("mask_b"))) <= 2) & (F.col("longer") | (F.col("a") < F.col("b")))
-    same = functools.reduce(Column.__and__, (F.col(c) == F.col(f"{c}_b") for c in group))
-    found = a.join(b.hint("merge"), same & alike & (F.levenshtein("a", "b", 1) == 1)).select("a", "n_a", "b", "n_b").distinct()
-    out = materialize(found, "spelling-pairs")
+        members = materialize(members.join(large, "g", "left_semi"), "large-members")
+    out = materialize(functools.reduce(DataFrame.unionByName, found), "spelling-pairs")
     done_with(masks)
     return out
 
 
-def variants(words: DataFrame, ratio: int = 2, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+def _compared(members: DataFrame, dealt: list[str], first: list[int], second: list[int]) -> DataFrame:
+    """The near pairs within the groups `g`, each where it counts."""
+    longer = F.col("long") > F.col("l")
+    a = members.where(~longer).select("g", "l", *dealt, F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("mask").alias("mask_a"))
+    b = members.select(F.col("g").alias("g_b"), F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("mask").alias("mask_b"), longer.alias("longer"))
+    differ = F.col("mask_a").bitwiseXOR(F.col("mask_b"))
+    conditions = [F.col("g") == F.col("g_b"), F.col("longer") | (F.col("a") < F.col("b")), F.bit_count(differ) <= 2, _first_equal(differ, [F.lit(x) for x in first], F.col("band"))]
+    if "sub" in dealt:
+        conditions.append(_first_equal(differ, [_of(second, F.col("band"), F.lit(k)) for k in range(3)], F.col("sub")))
+    if "side" in dealt:
+        half = F.floor(F.col("l") / 2).cast("int")
+        conditions.append((F.col("side") == 0) == (F.substring("a", F.lit(1), half) == F.substring("b", F.lit(1), half)))
+    conditions.append(F.levenshtein("a", "b", 1) == 1)
+    return a.join(b.hint("merge"), functools.reduce(Column.__and__, conditions)).select("a", "n_a", "b", "n_b")
+
+
+def _first_equal(differ: Column, masks: list[Column], at: Column) -> Column:
+    """`at` is the first of the bands in which no bit differs."""
+    equal = [differ.bitwiseAND(m) == 0 for m in masks]
+    return at == F.when(equal[0], 0).when(equal[1], 1).when(equal[2], 2).otherwise(-1)
+
+
+def variants(words: DataFrame, ratio: int = 2, leaf: int = LEAF) -> DataFrame:
     """`words` (word, n) with n_near, its number of near words; `form`, that near word of greatest n (of equal ones the first in code-point
     order) if it has at least `ratio` times the word's n; form_n; and `root`, where following forms ends."""
     words = materialize(words.select("word", "n"), "vocabulary")
-    pairs = near_pairs(words, leaf, depth)
+    pairs = near_pairs(words, leaf)
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_b").alias("other_n"))
     both = both.unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("n_a").alias("other_n")))
     near = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct(-F.col("other_n"), "other")).alias("top"))
