@@ -19,9 +19,10 @@ Windows that repeat within one document are found when its text is read last, so
 document's own. Stretches and windows that repeat within a task's chunk of documents are settled there; only the first is
 shuffled. What fingerprints have in common is found by grouped minima and joins, which Spark splits where a key is hot.
 
-Defined results: null and empty texts have no words. A null doc_id (or one of -2^63, which stands for it) sorts before all others
-and such documents lose their own repetitions only. Rows that repeat a doc_id don't stand before each other; what one of them
-loses to earlier documents goes at the same places in the others. No row is ever dropped.
+Rows are told apart by doc_id and a hash of the text. Defined results: null and empty texts have no words. A null doc_id is neither
+smaller nor greater than another, so such documents lose their own repetitions only and take nothing from others. Rows that share a doc_id don't
+stand before each other, whether their texts are the same or not: each loses what stands in documents of smaller id, and its own
+repetitions. Ids may have any value of a long. No row is ever dropped.
 """
 
 from __future__ import annotations
@@ -46,10 +47,12 @@ from .words import SMALL_CHUNK, Words, chunks, mix, ranges, repeated, sliding_mi
 WINDOW, GRAM = 20, 5
 #: So many runs of one level are merged into one of the next.
 FAN_OUT = 2
-STRETCH = "fp long, content long, doc_id long, start int, n int, settled boolean"
-RUN = ["fp", "content", "doc_id", "start", "n"]
-#: Stands for a null id.
-NO_ID = -(1 << 63)
+STRETCH = "fp long, content long, doc_id long, text_hash long, start int, n int, settled boolean"
+RUN = ["fp", "content", "doc_id", "text_hash", "start", "n"]
+#: A row's identity, and a stretch of its windows.
+ROW = ["doc_id", "text_hash"]
+SPAN = [*ROW, "start", "n"]
+_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def _stretches(h: np.ndarray, h2: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
@@ -78,11 +81,11 @@ def _stretches(h: np.ndarray, h2: np.ndarray, words: Words) -> tuple[np.ndarray,
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return np.asarray(batch.column("doc_id").fill_null(NO_ID), dtype=np.int64)
+    return np.asarray(batch.column("doc_id"), dtype=np.int64)
 
 
 def _hash_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches by STRETCH. Those with the words of an earlier one in the chunk are settled."""
+    """Stretches by STRETCH. Those with the words of one in a smaller document of the chunk, or before it in the row, are settled."""
     for batch in chunks(batches, limit=SMALL_CHUNK):
         batch = batch.take(pa.array(np.argsort(_ids(batch), kind="stable")))
         words = Words(batch.column("text"))
@@ -90,19 +93,22 @@ def _hash_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = mix(fp.astype(np.uint64) ^ (content.astype(np.uint64) << np.uint64(1)))
         _, first, of = np.unique(key, return_index=True, return_inverse=True)
         ids = _ids(batch)[doc]
-        settled = (ids != ids[first][of]) | (start != start[first][of])
-        yield pa.record_batch([pa.array(fp.astype(np.uint64).view(np.int64)), pa.array(content.astype(np.uint64).view(np.int64)), pa.array(ids), pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(settled)], names=["fp", "content", "doc_id", "start", "n", "settled"])
+        settled = (ids > ids[first][of]) | ((doc == doc[first][of]) & (start > start[first][of]))
+        arrays = [pa.array(fp.astype(np.uint64).view(np.int64)), pa.array(content.astype(np.uint64).view(np.int64)), pa.array(ids), batch.column("text_hash").take(pa.array(doc)), pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(settled)]
+        yield pa.record_batch(arrays, names=[*RUN, "settled"])
 
 
 class FingerprintIndex:
     """Runs of first stretches of all documents added so far. Documents must come in ascending order of id, batch by batch.
 
-    `folder`: where the index lies or is to lie (a new one in the shared folder if not given). An index there is gone on with."""
+    `folder`: where the index lies or is to lie (a new one in the shared folder if not given). An index there is gone on with. While it
+    is open, runs have names in the session's catalog and bucketed tables are read in their order; `close` undoes both."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, fan_out: int = FAN_OUT):
         self.spark, self.folder, self.fan_out = spark, folder or fresh_dir(spark, "fingerprints"), fan_out
         # one file a bucket, read in its order: no shuffle and no sort of a run
-        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        self.ordered = spark.conf.get(_ORDERED)
+        spark.conf.set(_ORDERED, "true")
         self.version, self.buckets, self.runs = 0, parallelism(spark), []
         if folder is not None and exists(spark, self._manifest):
             rows = spark.read.schema("version int, buckets int, level int, path string").json(self._manifest)
@@ -118,7 +124,7 @@ class FingerprintIndex:
     def _register(self, path: str) -> str:
         """A name for the run at a path: bucketing is known by the catalog alone. Dropping the name leaves the files."""
         name = f"fingerprints_{uuid.uuid4().hex}"
-        self.spark.sql(f"CREATE TABLE {name} (fp BIGINT, content BIGINT, doc_id BIGINT, start INT, n INT) USING parquet CLUSTERED BY (fp) SORTED BY (fp, content) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        self.spark.sql(f"CREATE TABLE {name} (fp BIGINT, content BIGINT, doc_id BIGINT, text_hash BIGINT, start INT, n INT) USING parquet CLUSTERED BY (fp) SORTED BY (fp, content) INTO {self.buckets} BUCKETS LOCATION '{path}'")
         return name
 
     def _write(self, stretches: DataFrame, level: int) -> tuple[int, str, str]:
@@ -133,6 +139,15 @@ class FingerprintIndex:
         rows = [(self.version, self.buckets, level, path) for level, path, _ in self.runs]
         self.spark.createDataFrame(rows, "version int, buckets int, level int, path string").coalesce(1).write.mode("append").json(self._manifest)
 
+    def close(self, keep: bool = True) -> None:
+        """Take the runs' names out of the catalog; plans that read them have to be done. `keep=False` deletes the index."""
+        for _, _, name in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.runs = []
+        self.spark.conf.set(_ORDERED, self.ordered)
+        if not keep:
+            discard(self.spark, self.folder)
+
     def history(self) -> list[DataFrame]:
         return [self.spark.table(name) for _, _, name in self.runs]
 
@@ -145,7 +160,7 @@ class FingerprintIndex:
                 rows = self.spark.table(own[0][2])
                 for _, _, name in own[1:]:
                     rows = rows.unionByName(self.spark.table(name))
-                first = rows.groupBy("fp", "content").agg(F.min(F.struct("doc_id", "start", "n")).alias("s")).select("fp", "content", "s.*")
+                first = rows.groupBy("fp", "content").agg(F.min(F.struct(*SPAN)).alias("s")).select("fp", "content", "s.*")
                 self.runs = [r for r in self.runs if r[0] != level] + [self._write(first, level + 1)]
                 self._commit()
                 for _, path, name in own:
@@ -159,10 +174,10 @@ class FingerprintIndex:
         return functools.reduce(DataFrame.unionByName, found) if found else None
 
     def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Take a batch in. Returns its stretches to remove (doc_id, start, n), and the stretches, of its documents and of earlier
+        """Take a batch in. Returns its stretches to remove (SPAN), and the stretches, of its documents and of earlier
         ones, whose windows have to be compared one by one on account of this batch."""
         spark = self.spark
-        rows = batch.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        rows = batch.select(*_identity("doc_id", "text"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
         hashed = materialize(rows.mapInArrow(_hash_batch, STRETCH), "stretches")
         new = hashed.where("not settled").select(*RUN)
         own = new.groupBy("fp").agg(F.count("*").alias("m"), F.min("content").alias("lo"), F.max("content").alias("hi"))
@@ -171,7 +186,7 @@ class FingerprintIndex:
             old = spark.createDataFrame([], new.schema)
             shared = own.where("m > 1")
         else:
-            old = materialize(old.groupBy("fp", "content").agg(F.min(F.struct("doc_id", "start", "n")).alias("s")).select("fp", "content", "s.*"), "known")
+            old = materialize(old.groupBy("fp", "content").agg(F.min(F.struct(*SPAN)).alias("s")).select("fp", "content", "s.*"), "known")
             before = old.groupBy("fp").agg(F.min("content").alias("_lo"), F.max("content").alias("_hi"))
             both = own.join(before.hint("merge"), "fp", "left")
             shared = both.where("m > 1 or _lo is not null").select("fp", F.least("lo", "_lo").alias("lo"), F.greatest("hi", "_hi").alias("hi"))
@@ -179,20 +194,19 @@ class FingerprintIndex:
         judged = materialize(new.join(shared.hint("merge"), "fp", "left"), "judged")
         # of the stretches that share their fingerprint, the first of each content
         some = judged.where("mixed is not null")
-        place = F.struct("doc_id", "start")
-        first = some.groupBy("fp", "content").agg(F.min(place).alias("head"))
-        seen = old.select("fp", "content", F.lit(True).alias("seen"))
-        settled = first.join(seen.hint("merge"), ["fp", "content"], "left").select("fp", "content", "head", F.col("seen").isNotNull().alias("seen"))
-        ruled = materialize(some.join(settled.hint("merge"), ["fp", "content"]).select(*RUN, "mixed", (F.col("seen") | (place != F.col("head"))).alias("goes")), "ruled")
+        first = some.groupBy("fp", "content").agg(F.min("doc_id").alias("head"))
+        seen = old.select("fp", "content", F.col("doc_id").alias("seen"))
+        settled = first.join(seen.hint("merge"), ["fp", "content"], "left").select("fp", "content", F.least("head", "seen").alias("head"), F.col("seen").isNotNull().alias("seen"))
+        ruled = materialize(some.join(settled.hint("merge"), ["fp", "content"]).select(*RUN, "mixed", "seen", (F.col("doc_id") > F.col("head")).alias("goes")), "ruled")
         kept = ruled.where("not goes")
-        self.runs.append(self._write(judged.where("mixed is null").select(*RUN).unionByName(kept.select(*RUN)), 0))
+        self.runs.append(self._write(judged.where("mixed is null").select(*RUN).unionByName(kept.where("not seen").select(*RUN)), 0))
         self._commit()
         self.compact()
         done_with(judged)
-        gone = hashed.where("settled").select("doc_id", "start", "n").unionByName(ruled.where("goes").select("doc_id", "start", "n"))
+        gone = hashed.where("settled").select(*SPAN).unionByName(ruled.where("goes").select(*SPAN))
         # of earlier documents, what stands under a fingerprint that this batch has in other words
         alike = old.join(shared.where("mixed").select("fp").hint("merge"), "fp", "left_semi")
-        compare = kept.where("mixed").select("doc_id", "start", "n").unionByName(alike.select("doc_id", "start", "n"))
+        compare = kept.where("mixed").select(*SPAN).unionByName(alike.select(*SPAN))
         return gone, compare
 
 
@@ -227,7 +241,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settled[often] = ids[often] > least[group]
         with np.errstate(over="ignore"):
             a = np.where(settled, mix(key + np.arange(len(key), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64), a)
-        yield pa.record_batch([pa.array(a), pa.array(b), pa.array(ids), pa.array(at - words.starts[row], pa.int32()), pa.array(settled)], names=["a", "b", "doc_id", "start", "settled"])
+        yield pa.record_batch([pa.array(a), pa.array(b), pa.array(ids), batch.column("text_hash").take(pa.array(row)), pa.array(at - words.starts[row], pa.int32()), pa.array(settled)], names=["a", "b", *ROW, "start", "settled"])
 
 
 def _cut(batch: pa.RecordBatch, text: str) -> tuple[Words, np.ndarray]:
@@ -266,37 +280,43 @@ def _digest_columns(batch: pa.RecordBatch, text: str) -> list[pa.Array]:
     return [pa.array(words.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(sha, pa.string()), changed.cast(pa.string())]
 
 
+def _identity(id_name: str, text_name: str) -> list[Column]:
+    return [F.col(id_name).cast("long").alias("doc_id"), F.xxhash64(F.col(text_name).cast("string")).alias("text_hash")]
+
+
 def removals(docs: DataFrame, batches: int = 2, id_name: str = "doc_id", text_name: str = "text") -> DataFrame:
-    """Per document with something to remove: doc_id and `spans`, an array of (start, n) runs of window starts. Windows that
-    repeat only within their document are left to `remove`. `batches`: how many the documents are dealt into by id."""
+    """Per row with something to remove: doc_id, text_hash and `_spans`, an array of (start, n) runs of window starts. Windows that
+    repeat only within their document are left to `remove`. `batches`: how many the documents are dealt into, by quantiles of the id."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_name).cast("long").alias("doc_id"), F.col(text_name).cast("string").alias("text"))
-    lo, hi = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    rows = docs.select(F.col(id_name).cast("long").alias("doc_id"), F.col(text_name).alias("text"))
+    bounds = rows.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else []
+    part = functools.reduce(lambda n, bound: n + (F.col("doc_id") > bound).cast("int"), bounds or [], F.lit(0))
     index = FingerprintIndex(spark)
-    width = 0 if lo is None else (hi - lo) // batches + 1
-    part = F.lit(0) if lo is None else F.coalesce(((F.col("doc_id") - lo) / width).cast("int"), F.lit(0))
-    gone, compare = zip(*(index.add(rows.where(part == k)) for k in range(batches if lo is not None else 1)))
-    todo = functools.reduce(DataFrame.unionByName, compare).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    gone, compare = zip(*(index.add(rows.where(part == k)) for k in range(len(bounds or []) + 1)))
+    index.close(keep=False)
+    # rows that repeat id and text have one list of spans, without repeats
+    todo = functools.reduce(DataFrame.unionByName, compare).groupBy(*(F.col(c).alias(f"_{c}") for c in ROW)).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     # a left join, as that of `remove`, so that both read one shuffle of the texts
-    own = _key(id_name)
-    windows = docs.join(todo.hint("merge"), own == F.col("_id"), "left").select(F.col("_id").alias("doc_id"), F.col(text_name).cast("string").alias("text"), "spans").mapInArrow(_compare, "a long, b long, doc_id long, start int, settled boolean")
+    windows = docs.join(todo.hint("merge"), _same_row(id_name, text_name), "left").select(F.col("_doc_id").alias("doc_id"), F.col("_text_hash").alias("text_hash"), F.col(text_name).cast("string").alias("text"), "spans")
+    windows = windows.mapInArrow(_compare, "a long, b long, doc_id long, text_hash long, start int, settled boolean")
     earliest = W.partitionBy("a", "b")  # a hot window has a row for each chunk of documents
-    later = windows.withColumn("least", F.min("doc_id").over(earliest)).where("settled or doc_id > least").select("doc_id", "start", F.lit(1).alias("n"))
+    later = windows.withColumn("least", F.min("doc_id").over(earliest)).where("settled or doc_id > least").select(*ROW, "start", F.lit(1).alias("n"))
     for g in gone:
         later = later.unionByName(g)
-    return later.where(F.col("doc_id") != NO_ID).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
+    return later.groupBy(*ROW).agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
 
 
-def _key(id_name: str) -> Column:
-    return F.coalesce(F.col(id_name).cast("long"), F.lit(NO_ID))
+def _same_row(id_name: str, text_name: str) -> Column:
+    doc_id, text_hash = _identity(id_name, text_name)
+    return (doc_id == F.col("_doc_id")) & (text_hash == F.col("_text_hash"))
 
 
 def remove(docs: DataFrame, batches: int = 2) -> DataFrame:
     """`docs` with n_words, n_removed, kept_sha256 and kept_text (null where nothing goes) behind its columns."""
     m = Masked(docs)
     own_id, own_text = m.name("doc_id"), m.name("text")
-    gone = removals(m.df, batches, own_id, own_text).withColumnRenamed("doc_id", "_id").hint("merge")
-    both = m.df.join(gone, _key(own_id) == F.col("_id"), "left").drop("_id")
+    gone = removals(m.df, batches, own_id, own_text).withColumnsRenamed({c: f"_{c}" for c in ROW}).hint("merge")
+    both = m.df.join(gone, _same_row(own_id, own_text), "left").drop(*(f"_{c}" for c in ROW))
     both, text = m.as_string(both, "text")
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]
     return m.restore(add_columns(both, fields, lambda: functools.partial(_digest_columns, text=text), text, SMALL_CHUNK), [f.name for f in fields])

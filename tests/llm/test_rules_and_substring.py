@@ -57,15 +57,20 @@ def test_rules_on_nothing(spark):
 
 
 def brute_substring(rows):
-    seen, out = {}, []
-    for i, t in sorted((r for r in rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+    first, out = {}, []
+    for i, t in rows:
         w = words(t)
-        gone = [False] * len(w)
         for k in range(len(w) - 19):
             g = tuple(w[k : k + 20])
-            first = seen.setdefault(g, (i, k))
-            if first != (i, k) and i is not None:
+            if i is not None:
+                first[g] = min(first.get(g, i), i)
+    for i, t in rows:
+        w, own, gone = words(t), set(), [False] * len(words(t))
+        for k in range(len(w) - 19):
+            g = tuple(w[k : k + 20])
+            if g in own or (i is not None and first[g] < i):
                 gone[k : k + 20] = [True] * 20
+            own.add(g)
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         out.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return Counter(out)
@@ -77,6 +82,22 @@ def test_substring_on_odd_texts(spark):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_substring(rows)
 
 
+def test_substring_tells_rows_of_one_id_apart(spark):
+    """Several texts under one id, ids at both ends of a long's range, null ids that share windows with others."""
+    a, b, c, d = (prose(70, k) for k in (41, 42, 43, 44))
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(1, a), (5, a), (5, b), (5, d + " " + b), (5, b), (low, c), (low + 1, c + " x"), (high, c), (high, b), (high, d), (None, a), (None, c + " " + c), (0, d + " z"), (None, d)]
+    for batches in (1, 2, 4):
+        got = substring.remove(odd_docs(spark, rows), batches).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_substring(rows)
+
+
+def test_substring_leaves_nothing_behind(spark):
+    tables, setting = {t.name for t in spark.catalog.listTables()}, spark.conf.get(substring._ORDERED)
+    substring.remove(odd_docs(spark)).count()
+    assert {t.name for t in spark.catalog.listTables()} == tables and spark.conf.get(substring._ORDERED) == setting
+
+
 def test_substring_batches_agree(spark):
     rows = [(i, t) for i, t in odd_rows() if i is not None]
     results = [Counter((r.doc_id, r.n_removed) for r in substring.remove(odd_docs(spark, rows), batches=b).collect()) for b in (1, 2, 5)]
@@ -142,7 +163,7 @@ def test_windows_of_colliding_words_are_told_apart(spark, monkeypatch):
     """Both hashes of a window would have to collide, and they are of different hashes of its words."""
     hashes = substring.Words.hashes
     monkeypatch.setattr(substring.Words, "hashes", lambda self, seed=0: hashes(self, seed) if seed else hashes(self, 0) | np.uint64(1))
-    a, b = (pa.record_batch([pa.array([1, 2]), pa.array([prose(40, 1), prose(40, k)]), pa.array([[{"start": 0, "n": 21}]] * 2)], names=["doc_id", "text", "spans"]) for k in (1, 2))
+    a, b = (pa.record_batch([pa.array([1, 2]), pa.array([prose(40, 1), prose(40, k)]), pa.array([[{"start": 0, "n": 21}]] * 2), pa.array([7, 8])], names=["doc_id", "text", "spans", "text_hash"]) for k in (1, 2))
     same, other = ([r for out in substring._compare(iter([x])) for r in out.to_pylist()] for x in (a, b))
     assert sum(r["settled"] for r in same) == 21 and sum(r["settled"] for r in other) == 0
 
