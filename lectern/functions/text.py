@@ -39,6 +39,27 @@ def spoken(normalized: Column, separator: str = "\n\n") -> Column:
     return F.array_join(closed, separator)
 
 
+def in_nfc(text: str) -> str:
+    return unicodedata.normalize("NFC", text)
+
+
+#: What lower case and case folding make of a character differently: for one character and for several.
+_FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0x20000)) if c.lower() == c and c.casefold() != c}
+_ONE = {c: f for c, f in _FOLDED.items() if len(f) == 1}
+_MANY = {c: f for c, f in _FOLDED.items() if len(f) > 1 and c != "ß"}
+
+
+def casefold(text: Column) -> Column:
+    """Unicode case folding. Texts in Latin letters other than ß take lower case alone; those with a character that folds to several
+    are rare, and folded letter by letter."""
+    low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    folds = F.create_map(*(F.lit(x) for pair in _MANY.items() for x in pair))
+    spelled = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(folds, c), c)), "")
+    one = "".join(_ONE), "".join(_ONE.values())
+    rare = F.when(low.rlike("[" + "".join(_MANY) + "]"), F.translate(spelled, *one)).otherwise(F.translate(low, *one))
+    return F.when(text.rlike(r"[^\x00-\xB4\xB6-\xDE\xE0-\u0130\u0132-\u0148\u014A-\u017E]"), rare).otherwise(F.lower(text))
+
+
 def label(text: Column) -> Column:
     """White space collapsed, trimmed, lower case."""
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))

@@ -91,16 +91,33 @@ def fill_pages(rows: DataFrame, key: str, order: str, size: str, most_rows: int,
     return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
 
-def merge_calm(items: Column, most: int, hold: int) -> Column:
-    """Greedy merge of an array of (s, calm): calm strings are joined to the one held back while both have at most `most` characters
-    together; one under `hold` characters is held back, anything else is handed on as it stands."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("pending"))
+#: Elements of a long array that are folded together.
+_BLOCK = 512
+
+
+def merged_ends(lengths: Column, calm: Column, most: int, hold: int) -> Column:
+    """Where the units of an array of strings end (counted from 1), by greedy merge: a calm string is joined to the one held back while
+    both have at most `most` characters together, with a blank between; a calm one under `hold` characters is held back, anything else
+    is handed on as it stands.
+
+    Folded block by block, and over numbers alone, so that no array grows by one element at a time beyond a block."""
+    items = F.arrays_zip(lengths.alias("n"), calm.alias("calm"))
+    blocks = lambda x: F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / _BLOCK).cast("int")), lambda b: F.slice(x, b * _BLOCK + 1, F.lit(_BLOCK))))
+    none = F.array().cast("array<int>")
 
     def step(acc: Column, x: Column) -> Column:
-        p, s = acc["pending"], x["s"]
-        joins = x["calm"] & p.isNotNull() & (F.length(p) + F.length(s) + 1 <= most)
-        held = x["calm"] & (F.length(s) < hold)
-        handed = F.array_compact(F.array(p, F.when(~held, s)))
-        return F.struct(F.when(joins, acc["out"]).otherwise(F.concat(acc["out"], handed)).alias("out"), F.when(joins, F.concat(p, F.lit(" "), s)).when(held, s).alias("pending"))
+        """at: strings seen; held: characters held back, or null; out: ends found in this block."""
+        joins = x["calm"] & acc["held"].isNotNull() & (acc["held"] + x["n"] + 1 <= most)
+        holds = x["calm"] & (x["n"] < hold)
+        ended = F.when(joins, none).otherwise(F.array_compact(F.array(F.when(acc["held"].isNotNull(), acc["at"]), F.when(~holds, acc["at"] + 1))))
+        held = F.when(joins, acc["held"] + x["n"] + 1).when(holds, x["n"])
+        return F.struct((acc["at"] + 1).alias("at"), held.alias("held"), F.concat(acc["out"], ended).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("held"), none.alias("out"), F.array().cast("array<array<int>>").alias("done"))
+
+    def block(acc: Column, xs: Column) -> Column:
+        inner = F.aggregate(xs, F.struct(acc["at"].alias("at"), acc["held"].alias("held"), none.alias("out")), step)
+        return F.transform(F.array(inner), lambda r: F.struct(r["at"].alias("at"), r["held"].alias("held"), none.alias("out"), F.concat(acc["done"], F.array(r["out"])).alias("done")))[0]
 
-    return F.aggregate(items, start, step, lambda acc: F.concat(acc["out"], F.array_compact(F.array(acc["pending"]))))
+    whole = lambda xs: F.aggregate(F.coalesce(blocks(xs), F.array().cast("array<array<struct<n:int,calm:boolean>>>")), start, block, lambda acc: F.concat(F.flatten(acc["done"]), F.array_compact(F.array(F.when(acc["held"].isNotNull(), acc["at"])))))
+    return F.transform(F.array(items), whole)[0]

@@ -5,27 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import beats as B
 from ..functions import text as X
 from ..operators import rules as R
 from .registry import query, table
+from .segments import directed
 
 # Our own dictionaries, for the languages of these tables.
 PRACTICAL = ["license", "version", "tion"]
 STORY = ["and", "und", "der", "que"]
-CUES = {"resolution": ["with", "mit"], "transition": ["then", "von"], "tension": ["ough", "ung", "ción"], "reflective": ["ere", "ich", "eau"], "warm": ["love", "lly", "ado"]}
 _SQL = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
-# Delivery policy by class: pause before and after in ms, emphasis, energy.
-BEATS = [
-    ("NARRATIVE", 120, 650, "natural", "medium"),
-    ("REFLECTIVE_SAD", 220, 1050, "soft", "low"),
-    ("TENSION", 100, 500, "focused", "medium_high"),
-    ("DIALOGUE_TENDER", 220, 950, "intimate", "low_medium"),
-    ("DIALOGUE_TENSION", 140, 650, "firm", "medium_high"),
-    ("WARM_RELIEF", 160, 850, "warm", "medium"),
-    ("SCENE_TRANSITION", 450, 1350, "reset", "low_medium"),
-    ("RESOLUTION", 350, 1500, "warm_reflective", "low_medium"),
-]
 # Profile envelopes: words a minute, pause ratio, pitch in semitones, energy in dB (least and most of each).
 ENVELOPES = [
     ("BUSINESS_CLEAR", 120.0, 180.0, 0.06, 0.28, 0.65, 4.8, 1.5, 12.0),
@@ -38,10 +28,6 @@ KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 _KEY = ", ".join(KEY)
 
 
-def _beats(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BEATS, "beat string, pause_before_ms int, pause_after_ms int, emphasis string, energy string")
-
-
 @query("genre_classify", f"""WITH h AS (SELECT doc_id, list_sum(list_transform({_SQL(PRACTICAL)}, lambda t: (length(lower(text)) - length(replace(lower(text), t, ''))) // length(t))) AS b,
       list_sum(list_transform({_SQL(STORY)}, lambda t: (length(lower(text)) - length(replace(lower(text), t, ''))) // length(t))) AS f, CAST(len(regexp_extract_all(text, '["“]')) AS BIGINT) AS dialogue, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS technical FROM documents)
     SELECT doc_id, CASE WHEN b >= greatest(2, f + 1) THEN 'BUSINESS' WHEN f >= 2 OR dialogue >= 4 THEN 'FICTION' ELSE 'GENERAL' END AS genre,
@@ -64,41 +50,25 @@ def genre_classify(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("beat_classify", "WITH h AS (SELECT conv_id, turn, " + ", ".join(f"list_filter({_SQL(v)}, lambda t: contains(lower(text), t)) AS {k}" for k, v in CUES.items()) + f""", role = 'assistant' AS dialogue FROM conversations),
-    b AS (SELECT conv_id, turn, CASE WHEN len(resolution) > 0 AND turn >= 6 THEN 'RESOLUTION' WHEN len(transition) > 0 AND turn = 0 THEN 'SCENE_TRANSITION' WHEN dialogue AND len(tension) > 0 THEN 'DIALOGUE_TENSION' WHEN dialogue AND len(warm) > 0 THEN 'DIALOGUE_TENDER'
-      WHEN len(tension) > 0 THEN 'TENSION' WHEN len(reflective) > 0 THEN 'REFLECTIVE_SAD' WHEN len(warm) > 0 THEN 'WARM_RELIEF' ELSE 'NARRATIVE' END AS beat,
-      array_to_string({' || '.join(f"list_transform({k}, lambda x: '{k}:' || x)" for k in CUES)}, ',') AS cues FROM h),
-    p AS (SELECT * FROM (VALUES {_values(BEATS)}) t(beat, pause_before_ms, pause_after_ms, emphasis, energy))
-    SELECT conv_id, turn, beat, cues, CAST(pause_before_ms AS INT) AS pause_before_ms, CAST(pause_after_ms AS INT) AS pause_after_ms, emphasis, energy FROM b JOIN p USING (beat)""")
+@query("beat_classify", f"""WITH n AS (SELECT conv_id, turn, text AS t, CASE WHEN turn % 7 = 6 THEN ' narrative' END AS given FROM conversations), h AS (SELECT *, {B.searched_sql('t', B.COMMON)} AS s FROM n), f AS (SELECT *, {B.beat_sql('t', 's', B.COMMON)} AS b FROM h),
+    g AS (SELECT conv_id, turn, CASE WHEN given IS NULL THEN b.beat ELSE upper(trim(given)) END AS beat, CASE WHEN given IS NULL THEN array_to_string(b.cues, ',') ELSE 'explicit_beat' END AS cues, CASE WHEN given IS NULL THEN b.confidence ELSE 1.0 END AS confidence FROM f),
+    p AS (SELECT * FROM (VALUES {_values(B.POLICIES)}) t(beat, pause_before_ms, pause_after_ms, emphasis, energy))
+    SELECT conv_id, turn, beat, cues, CAST(confidence AS DOUBLE) AS confidence, CAST(pause_before_ms AS INT) AS pause_before_ms, CAST(pause_after_ms AS INT) AS pause_after_ms, emphasis, energy FROM g JOIN p USING (beat)""")
 def beat_classify(spark: SparkSession, sf: str) -> DataFrame:
-    """A priority cascade over cue words, joined with the class's delivery policy."""
-    low = F.lower("text")
-    d = table(spark, sf, "conversations").select("conv_id", "turn", (F.col("role") == "assistant").alias("dialogue"), *(X.hits(low, v).alias(k) for k, v in CUES.items()))
-    has = lambda k: F.size(k) > 0
-    beat = (
-        F.when(has("resolution") & (F.col("turn") >= 6), "RESOLUTION").when(has("transition") & (F.col("turn") == 0), "SCENE_TRANSITION")
-        .when(F.col("dialogue") & has("tension"), "DIALOGUE_TENSION").when(F.col("dialogue") & has("warm"), "DIALOGUE_TENDER")
-        .when(has("tension"), "TENSION").when(has("reflective"), "REFLECTIVE_SAD").when(has("warm"), "WARM_RELIEF").otherwise("NARRATIVE")
-    )
-    named = lambda k: F.transform(k, lambda x: F.concat(F.lit(k + ":"), x))
-    cues = F.concat(*map(named, CUES))
-    d = d.select("conv_id", "turn", beat.alias("beat"), F.array_join(cues, ",").alias("cues"))
-    known = d.join(F.broadcast(_beats(spark)), "beat", "left").withColumn("emphasis", F.coalesce("emphasis", F.raise_error(F.concat(F.lit("no delivery policy for "), F.col("beat")))))
-    return known.select("conv_id", "turn", "beat", "cues", "pause_before_ms", "pause_after_ms", "emphasis", "energy")
+    """The class of each turn by cues, or that given (here of every seventh turn), joined with the class's delivery policy."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.when(F.col("turn") % 7 == 6, " narrative").alias("given"))
+    d = directed(B.with_beat(c, "text", B.COMMON, "given"))
+    return d.select("conv_id", "turn", "beat", F.array_join("cues", ",").alias("cues"), "confidence", "pause_before_ms", "pause_after_ms", "emphasis", "energy")
 
 
-@query("unit_pause_policy", r"""WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[^.!?…\n]+[.!?…]*'), lambda x: trim(x)), lambda x: x <> '')) AS s FROM documents),
-    c AS (SELECT doc_id, s, CASE length(s) % 4 WHEN 0 THEN 'TENSION' WHEN 1 THEN 'RESOLUTION' WHEN 2 THEN 'REFLECTIVE_SAD' ELSE 'NARRATIVE' END AS beat,
-      CASE WHEN s LIKE '%…' OR s LIKE '%...' THEN 800 WHEN s LIKE '%?' THEN 650 WHEN s LIKE '%!' THEN 550 WHEN s LIKE '%.' THEN 450 WHEN right(s, 1) IN (',', ';', ':') THEN 300 ELSE 380 END AS base FROM s)
-    SELECT doc_id, beat, CAST(count(*) AS BIGINT) AS n, CAST(sum(least(1500, CASE beat WHEN 'TENSION' THEN greatest(280, base - 80) WHEN 'RESOLUTION' THEN base + 450 WHEN 'REFLECTIVE_SAD' THEN base + 180 ELSE base END)) AS BIGINT) AS pause_ms FROM c GROUP BY doc_id, beat""")
+@query("unit_pause_policy", rf"""WITH n AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[^.!?…\n]+[.!?…]*'), lambda x: trim(x)), lambda x: x <> '')) AS t FROM documents),
+    h AS (SELECT *, {B.searched_sql('t', B.COMMON)} AS s FROM n), f AS (SELECT doc_id, t, {B.beat_sql('t', 's', B.COMMON)} AS b FROM h)
+    SELECT doc_id, b.beat AS beat, CAST(count(*) AS BIGINT) AS n, CAST(sum({B.pause_sql('t', 'b.beat')}) AS BIGINT) AS pause_ms FROM f GROUP BY doc_id, b.beat""")
 def unit_pause_policy(spark: SparkSession, sf: str) -> DataFrame:
-    """Pause by closing mark, adjusted by class, capped."""
-    s = table(spark, sf, "documents").select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
-    kind, ends = F.length("s") % 4, lambda *m: F.right("s", F.lit(1)).isin(*m)
-    beat = F.when(kind == 0, "TENSION").when(kind == 1, "RESOLUTION").when(kind == 2, "REFLECTIVE_SAD").otherwise("NARRATIVE")
-    base = F.when(F.col("s").endswith("…") | F.col("s").endswith("..."), 800).when(ends("?"), 650).when(ends("!"), 550).when(ends("."), 450).when(ends(",", ";", ":"), 300).otherwise(380)
-    pause = F.when(kind == 0, F.greatest(F.lit(280), base - 80)).when(kind == 1, base + 450).when(kind == 2, base + 180).otherwise(base)
-    return s.select("doc_id", beat.alias("beat"), F.least(F.lit(1500), pause).alias("p")).groupBy("doc_id", "beat").agg(F.count("*").alias("n"), F.sum("p").cast("long").alias("pause_ms"))
+    """Pause by closing mark, adjusted by class, capped; added up by document and class."""
+    s = B.with_beat(table(spark, sf, "documents").select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s")), "s", B.COMMON)
+    s = s.withColumn("p", B.pause_after(F.col("s"), F.col("beat")))
+    return s.groupBy("doc_id", "beat").agg(F.count("*").alias("n"), F.sum("p").cast("long").alias("pause_ms"))
 
 
 # A stand-in for measured chunks: every line item has a profile and four measures, some missing.

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import beats as B
 from ..functions import spoken as P
+from ..functions import text as X
 from ..operators import ordered as O
+from ..session import ship
 from .registry import query, table
 
 #: No text holds it.
@@ -33,57 +36,122 @@ def sentence_boundaries(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Fixed: conjunctions before which a long sentence may be cut, in the languages of the tables.
 CONJUNCTIONS = ["and", "but", "then", "when", "if", "because", "und", "aber", "wenn", "weil", "mais", "puis", "quand", "car", "et", "pero", "cuando", "porque", "y"]
-_CONJ = "|".join(CONJUNCTIONS)
-MOST_CHARS = 150
-#: Phrases whose rendering has to be checked.
-MUST_CHECK = ["Version 2.0", "thing", "the and"]
-_PIECES_SQL = f"""s AS (SELECT doc_id, p, {_UNITS_SQL("string_split(regexp_replace(regexp_replace(t, '([.!?…][”\"]?)\\s+', '\\1' || chr(31), 'g'), '\\s+', ' ', 'g'), chr(31))")} AS ss FROM (SELECT doc_id, unnest(ps) AS t, unnest(range(len(ps))) AS p FROM (SELECT doc_id, {_UNITS_SQL("string_split_regex(text, '\\n\\s*\\n')")} AS ps FROM documents))),
+# The Vietnamese ones, of reading units and of clauses, and the most characters of each that stay whole.
+VIETNAMESE_UNITS = ["nhưng", "rồi", "còn", "và", "chỉ", "như", "khi", "nếu", "vì", "làm", "mẹ", "cha", "anh", "bà", "ông", "tôi", "chúng ta"]
+VIETNAMESE_CLAUSES = ["nhưng", "rồi", "còn", "và", "chỉ", "như", "khi", "nếu", "vì", "làm", "mẹ", "minh", "anh", "bà"]
+UNIT_CHARS, CLAUSE_CHARS = 150, 125
+#: Phrases whose rendering has to be checked, and those to be stressed, in the queries.
+MUST_CHECK = ["Version 2.0", "the and", "ung der"]
+EMPHASIS = ["Creative Commons", "all rights", "the of"]
+
+
+def _strong(conjunctions: list[str]) -> str:
+    """Behind a semicolon or a colon, and at a comma before a conjunction."""
+    return rf"(?<=[;:])\s+|(?i),\s+(?=(?:{'|'.join(conjunctions)})(?![\p{{L}}\p{{N}}_]))"
+
+
+def _pieces_sql(source: str, most: int) -> str:
+    """doc_id, p, i, j, t: the pieces of `source` (doc_id, t, p)."""
+    return f"""s AS (SELECT doc_id, p, {_UNITS_SQL("string_split(regexp_replace(regexp_replace(t, '([.!?…][”\"]?)\\s+', '\\1' || chr(31), 'g'), '\\s+', ' ', 'g'), chr(31))")} AS ss FROM ({source})),
     u AS (SELECT doc_id, p, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM s),
-    c AS (SELECT doc_id, p, i, CASE WHEN length(s) <= {MOST_CHARS} THEN [s] ELSE {_UNITS_SQL(f"string_split(regexp_replace(regexp_replace(s, '([;:])\\s+', '\\1' || chr(31), 'g'), '(?i),\\s+({_CONJ})([^\\p{{L}}\\p{{N}}_])', chr(31) || '\\1\\2', 'g'), chr(31))")} END AS cs FROM u),
+    c AS (SELECT doc_id, p, i, CASE WHEN length(s) <= {most} THEN [s] ELSE {_UNITS_SQL(f"string_split(regexp_replace(regexp_replace(s, '([;:])\\s+', '\\1' || chr(31), 'g'), '(?i),\\s+({'|'.join(CONJUNCTIONS)})([^\\p{{L}}\\p{{N}}_])', chr(31) || '\\1\\2', 'g'), chr(31))")} END AS cs FROM u),
     e AS (SELECT doc_id, p, i, unnest(cs) AS t, unnest(range(len(cs))) AS j FROM c)"""
 
 
-def _pieces(text: Column) -> Column:
-    """Paragraphs, their sentences, and of sentences over MOST_CHARS the parts behind `;` and `:` and before a conjunction."""
-    paragraphs = _units(F.split(text, r"\n\s*\n"))
-    line = lambda s: F.regexp_replace(F.regexp_replace(s, r'([.!?…][”"]?)\s+', "$1" + _CUT), r"\s+", " ")
-    sentences = F.flatten(F.transform(paragraphs, lambda p: _units(F.split(line(p), _CUT))))
-    strong = rf"(?<=[;:])\s+|(?i),\s+(?=(?:{_CONJ})[^\p{{L}}\p{{N}}_])"
-    return F.flatten(F.transform(sentences, lambda s: F.when(F.length(s) <= MOST_CHARS, F.array(s)).otherwise(_units(F.split(s, strong)))))
+_PARAGRAPHS_SQL = f"SELECT doc_id, unnest(ps) AS t, unnest(range(len(ps))) AS p FROM (SELECT doc_id, {_UNITS_SQL("string_split_regex(text, '\\n\\s*\\n')")} AS ps FROM documents)"
+_BEATS_SQL = f"h AS (SELECT *, {B.searched_sql('t', B.COMMON)} AS s FROM n), f AS (SELECT *, {B.beat_sql('t', 's', B.COMMON)} AS b FROM h)"
+_PHRASES_SQL = lambda phrases: f"array_to_string(list_filter([{', '.join(f'{chr(39)}{p}{chr(39)}' for p in phrases)}], lambda x: contains(replace(lower(t), 'ß', 'ss'), lower(x))), ',')"
+
+
+def _line(text: Column) -> Column:
+    """One line, with a cut behind each closing mark."""
+    return F.regexp_replace(F.regexp_replace(text, r'([.!?…][”"]?)\s+', "$1" + _CUT), r"\s+", " ")
 
 
-@query("editorial_units", f"""WITH {_PIECES_SQL},
-    n AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY p, i, j) - 1 AS k FROM e),
-    f AS (SELECT *, {P.beat_sql('t')} AS beat, CASE WHEN t LIKE '%…' OR t LIKE '%...' THEN 800 WHEN t LIKE '%?' THEN 650 WHEN t LIKE '%!' THEN 550 WHEN t LIKE '%.' THEN 450 WHEN right(t, 1) IN (',', ';', ':') THEN 300 ELSE 380 END AS base, list_filter({MUST_CHECK}, lambda x: contains(t, x)) AS hits FROM n)
-    SELECT doc_id, printf('editorial_%04d', k) AS unit_id, beat, CAST(least(1500, CASE beat WHEN 'TENSION' THEN greatest(280, base - 80) WHEN 'RESOLUTION' THEN base + 450 WHEN 'REFLECTIVE_SAD' THEN base + 180 WHEN 'SCENE_TRANSITION' THEN base + 250 ELSE base END) AS INT) AS pause_after_ms, array_to_string(hits, ',') AS must_check, len(hits) > 0 AS check_required, substring(sha256(t), 1, 16) AS unit_sha FROM f""")
+def _parts(sentence: Column, most: int, conjunctions: list[str]) -> Column:
+    return F.when(F.length(sentence) <= most, F.array(sentence)).otherwise(_units(F.split(sentence, _strong(conjunctions))))
+
+
+def _pieces(text: Column, most: int, conjunctions: list[str]) -> Column:
+    """Paragraphs, their sentences, and of longer sentences the parts."""
+    sentences = F.flatten(F.transform(_units(F.split(text, r"\n\s*\n")), lambda p: _units(F.split(_line(p), _CUT))))
+    return F.flatten(F.transform(sentences, lambda s: _parts(s, most, conjunctions)))
+
+
+@query("editorial_units", f"""WITH {_pieces_sql(_PARAGRAPHS_SQL, UNIT_CHARS)},
+    n AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY p, i, j) - 1 AS k FROM e), {_BEATS_SQL}
+    SELECT doc_id, printf('editorial_%04d', k) AS unit_id, b.beat AS beat, array_to_string(b.cues, ',') AS cues, b.confidence AS confidence, {B.pause_sql('t', 'b.beat')} AS pause_after_ms, {_PHRASES_SQL(EMPHASIS)} AS emphasis, {_PHRASES_SQL(MUST_CHECK)} AS must_check,
+      {_PHRASES_SQL(MUST_CHECK)} <> '' AS check_required, substring(sha256(t), 1, 16) AS unit_sha FROM f""")
 def editorial_units(spark: SparkSession, sf: str) -> DataFrame:
-    u = reading_units(table(spark, sf, "documents"), ["doc_id"], "text")
-    return u.select("doc_id", F.format_string("editorial_%04d", "k").alias("unit_id"), "beat", "pause_after_ms", F.array_join("must_check", ",").alias("must_check"), (F.size("must_check") > 0).alias("check_required"), F.substring(F.sha2("t", 256), 1, 16).alias("unit_sha"))
+    u = reading_units(table(spark, sf, "documents"), ["doc_id"], "text", B.COMMON, must_check=MUST_CHECK, emphasis=EMPHASIS)
+    return u.select("doc_id", F.format_string("editorial_%04d", "k").alias("unit_id"), "beat", F.array_join("cues", ",").alias("cues"), "confidence", "pause_after_ms", F.array_join("emphasis", ",").alias("emphasis"), F.array_join("must_check", ",").alias("must_check"), (F.size("must_check") > 0).alias("check_required"), F.substring(F.sha2("t", 256), 1, 16).alias("unit_sha"))
+
+
+def reading_units(texts: DataFrame, keys: list[str], text: str, cues: B.Cues = B.EUROPEAN, conjunctions: list[str] = CONJUNCTIONS, must_check: list[str] = (), emphasis: list[str] = (), most_chars: int = UNIT_CHARS) -> DataFrame:
+    """keys, k (from 0), t: reading units of bounded length where the text allows it; each with its class (beat, cues, confidence), the
+    pause behind it (pause_after_ms), and the phrases in it that are stressed (emphasis) or have to be checked (must_check). Texts are
+    in NFC. A null or blank text has no units."""
+    u = texts.select(*keys, F.posexplode(_pieces(F.col(text), most_chars, conjunctions)).alias("k", "t"))
+    u = B.with_beat(u.withColumn("_folded", X.casefold(F.col("t"))), "t", cues)
+    u = u.withColumns({"emphasis": B.phrase_hits(F.col("_folded"), emphasis), "must_check": B.phrase_hits(F.col("_folded"), must_check)}).drop("_folded")
+    return u.withColumn("pause_after_ms", B.pause_after(F.col("t"), F.col("beat")))
 
 
-def reading_units(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, k (from 0), t: reading units of bounded length where the text allows it; each with its class (beat), the pause behind it
-    (pause_after_ms), and the phrases in it that have to be checked (must_check)."""
-    u = texts.select(*keys, F.posexplode(_pieces(F.col(text))).alias("k", "t"))
-    ends = lambda *m: F.right("t", F.lit(1)).isin(*m)
-    u = u.withColumns({"beat": P.beat(F.col("t")), "must_check": F.filter(F.array(*map(F.lit, MUST_CHECK)), lambda x: F.contains(F.col("t"), x))})
-    base = F.when(F.col("t").endswith("…") | F.col("t").endswith("..."), 800).when(ends("?"), 650).when(ends("!"), 550).when(ends("."), 450).when(ends(",", ";", ":"), 300).otherwise(380)
-    is_ = lambda b: F.col("beat") == b
-    pause = F.when(is_("TENSION"), F.greatest(F.lit(280), base - 80)).when(is_("RESOLUTION"), base + 450).when(is_("REFLECTIVE_SAD"), base + 180).when(is_("SCENE_TRANSITION"), base + 250).otherwise(base)
-    return u.withColumn("pause_after_ms", F.least(F.lit(1500), pause))
+def clause_units(texts: DataFrame, keys: list[str], text: str, cues: B.Cues = B.EUROPEAN, conjunctions: list[str] = CONJUNCTIONS, given: str | None = None) -> DataFrame:
+    """keys, k (from 0), t: sentences, and the clauses of those over CLAUSE_CHARS, each with its class (beat, cues, confidence), what is
+    said for it (spoken), and its class's pauses, emphasis and energy. Neighbours are never joined. `given`: a column with the class of
+    all of a text's clauses."""
+    own = [given] if given else []
+    sentences = _units(F.split(_line(F.col(text)), _CUT))
+    clauses = F.flatten(F.transform(sentences, lambda s: _parts(s, CLAUSE_CHARS, conjunctions)))
+    u = B.with_beat(texts.select(*keys, *own, F.posexplode(clauses).alias("k", "t")), "t", cues, given)
+    return directed(u.withColumn("spoken", B.shaped(F.col("t"), F.col("beat"))))
 
 
-@query("story_merge", f"""WITH RECURSIVE s AS (SELECT doc_id, {_BOUNDARY_SQL} AS ss FROM documents), u AS (SELECT doc_id, unnest(ss) AS t, unnest(range(1, len(ss) + 1)) AS i FROM s), b AS (SELECT *, {P.beat_sql('t')} = 'NARRATIVE' AS calm FROM u),
+def directed(units: DataFrame) -> DataFrame:
+    """`units` with the policy of their class (beat)."""
+    policies = units.sparkSession.createDataFrame(B.POLICIES, "beat string, pause_before_ms int, pause_after_ms int, emphasis string, energy string")
+    return units.join(F.broadcast(policies), "beat")  # one row a class
+
+
+@query("clause_units", f"""WITH {_pieces_sql("SELECT doc_id, text AS t, 0 AS p FROM documents", CLAUSE_CHARS)},
+    n AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY p, i, j) - 1 AS k FROM e), {_BEATS_SQL},
+    g AS (SELECT doc_id, k, b.beat AS beat, b.confidence AS confidence, CASE WHEN b.beat IN ('REFLECTIVE_SAD', 'DIALOGUE_TENDER', 'RESOLUTION') THEN CASE WHEN t LIKE '%.' THEN rtrim(left(t, -1)) || '…' ELSE t END
+      WHEN b.beat = 'SCENE_TRANSITION' THEN CASE WHEN instr(t, ',') > 1 THEN regexp_replace(t, ',', '…') ELSE t END WHEN b.beat = 'TENSION' THEN regexp_replace(t, '\\.{{3,}}', '…', 'g') ELSE t END AS spoken FROM f),
+    p AS (SELECT * FROM (VALUES {', '.join(map(str, B.POLICIES))}) t(beat, pause_before_ms, pause_after_ms, emphasis, energy))
+    SELECT doc_id, CAST(k AS INT) AS k, beat, confidence, substring(sha256(spoken), 1, 16) AS spoken_sha, CAST(pause_before_ms AS INT) AS pause_before_ms, CAST(pause_after_ms AS INT) AS pause_after_ms, energy FROM g JOIN p USING (beat)""")
+def clause_units_query(spark: SparkSession, sf: str) -> DataFrame:
+    u = clause_units(table(spark, sf, "documents"), ["doc_id"], "text", B.COMMON)
+    return u.select("doc_id", "k", "beat", "confidence", F.substring(F.sha2("spoken", 256), 1, 16).alias("spoken_sha"), "pause_before_ms", "pause_after_ms", "energy")
+
+
+_CALM_SQL = lambda t: f"NOT (regexp_matches({t}, '[“”\"]') OR {B.any_sql(B.searched_sql(t, B.COMMON), ['resolution', 'transition', 'tension', 'reflective', 'warm'], B.COMMON)})"
+
+
+@query("story_merge", f"""WITH RECURSIVE s AS (SELECT doc_id, {_BOUNDARY_SQL} AS ss FROM documents), u AS (SELECT doc_id, unnest(ss) AS t, unnest(range(1, len(ss) + 1)) AS i FROM s), b AS (SELECT *, {_CALM_SQL('t')} AS calm FROM u),
     f AS (SELECT doc_id, 0 AS i, CAST(NULL AS VARCHAR) AS pending, CAST([] AS VARCHAR[]) AS done FROM (SELECT DISTINCT doc_id FROM b)
       UNION ALL SELECT f.doc_id, b.i, CASE WHEN calm AND pending IS NOT NULL AND length(pending) + length(t) + 1 <= 280 THEN pending || ' ' || t WHEN calm AND length(t) < 180 THEN t END,
         CASE WHEN calm AND pending IS NOT NULL AND length(pending) + length(t) + 1 <= 280 THEN [] ELSE list_filter([pending, CASE WHEN NOT (calm AND length(t) < 180) THEN t END], lambda x: x IS NOT NULL) END FROM f JOIN b ON b.doc_id = f.doc_id AND b.i = f.i + 1),
-    o AS (SELECT doc_id, i, unnest(done) AS t, unnest(range(len(done))) AS j FROM f UNION ALL SELECT doc_id, 1000000000, pending, 0 FROM (SELECT doc_id, arg_max(coalesce(pending, ''), i) AS pending FROM f GROUP BY doc_id) WHERE pending <> '')
-    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS INT) AS pos, {P.beat_sql('t')} AS beat, CAST(length(t) AS BIGINT) AS n_chars, substring(sha256(t), 1, 16) AS unit_sha FROM o""")
+    o AS (SELECT doc_id, i, unnest(done) AS t, unnest(range(len(done))) AS j FROM f UNION ALL SELECT doc_id, 1000000000, pending, 0 FROM (SELECT doc_id, arg_max(coalesce(pending, ''), i) AS pending FROM f GROUP BY doc_id) WHERE pending <> ''),
+    n AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS k FROM o), {_BEATS_SQL}
+    SELECT doc_id, CAST(k AS INT) AS pos, b.beat AS beat, CAST(length(t) AS BIGINT) AS n_chars, substring(sha256(t), 1, 16) AS unit_sha FROM f""".replace("f AS (SELECT *, CASE", "g AS (SELECT *, CASE").replace("unit_sha FROM f", "unit_sha FROM g"))
 def story_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbouring short narrative sentences as one unit; others stand alone. What is handed on is classified again, as a whole."""
-    parts = F.transform(_units(F.split("text", r'(?<=[.!?…])\s+(?=[\p{Lu}“"])')), lambda s: F.struct(s.alias("s"), (P.beat(s) == "NARRATIVE").alias("calm")))
-    u = table(spark, sf, "documents").select("doc_id", F.posexplode(O.merge_calm(parts, 280, 180)).alias("pos", "t"))
-    return u.select("doc_id", "pos", P.beat(F.col("t")).alias("beat"), F.length("t").cast("long").alias("n_chars"), F.substring(F.sha2("t", 256), 1, 16).alias("unit_sha"))
+    u = B.with_beat(story_units(table(spark, sf, "documents"), ["doc_id"], "text", B.COMMON), "t", B.COMMON)
+    return u.select("doc_id", F.col("k").alias("pos"), "beat", F.length("t").cast("long").alias("n_chars"), F.substring(F.sha2("t", 256), 1, 16).alias("unit_sha"))
+
+
+#: Calm sentences are joined up to so many characters; a longer one than HOLD_CHARS is not held back for the next.
+MERGED_CHARS, HOLD_CHARS = 280, 180
+
+
+def story_units(texts: DataFrame, keys: list[str], text: str, cues: B.Cues = B.EUROPEAN) -> DataFrame:
+    """keys, k (from 0), t: neighbouring short narrative sentences as one unit; others stand alone. Linear in a text's sentences."""
+    d = texts.select(*keys, _units(F.split(text, r'(?<=[.!?…])\s+(?=[\p{Lu}“"])')).alias("_parts"))
+    # each sentence is folded once, as a lambda's variable
+    calm = F.transform("_parts", lambda s: F.transform(F.array(B.searched(X.casefold(s), cues)), lambda x: B.is_calm(s, x, cues))[0])
+    d = d.withColumn("_ends", O.merged_ends(F.transform("_parts", lambda s: F.length(s)), calm, MERGED_CHARS, HOLD_CHARS))
+    merged = F.transform("_ends", lambda end, i: F.array_join(F.slice("_parts", F.coalesce(F.get("_ends", i - 1), F.lit(0)) + 1, end - F.coalesce(F.get("_ends", i - 1), F.lit(0))), " "))
+    return d.select(*keys, F.posexplode(merged).alias("k", "t"))
 
 
 @query("standalone_integers", r"""WITH d AS (SELECT doc_id, regexp_replace(' ' || text || ' ', '([^\p{L}\p{N}_.,])', '\1\1', 'g') AS t FROM documents), f AS (SELECT doc_id, regexp_extract_all(t, '[^\p{L}\p{N}_.,]([0-9]{1,6})[^\p{L}\p{N}_.,]', 1) AS ns FROM d)
@@ -94,28 +162,32 @@ def standalone_integers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.size(found).alias("n"), F.array_join(found, ",").alias("numbers"))
 
 
-@query("lexicon_spans", f"WITH m AS (SELECT doc_id, {P.marked_sql('text', P.LEXICON)} AS m FROM documents) SELECT doc_id, {P.applied_sql('m', P.LEXICON)} AS applied, {P.starts_sql('m', P.LEXICON)} AS starts, sha256({P.spoken_sql('m', P.LEXICON)}) AS spoken_sha FROM m")
+@query("lexicon_spans", f"WITH m AS (SELECT doc_id, {P.marked_sql('text', P.LEXICON)} AS m FROM documents) SELECT doc_id, {P.spans_sql('m', P.LEXICON)} AS spans, sha256({P.spoken_sql('m', P.LEXICON)}) AS spoken_sha FROM m")
 def lexicon_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole-word entries of a lexicon, each with its own case rule, longer ones first: what was applied how often, where each stands
-    first, and the spoken text."""
-    m = table(spark, sf, "documents").select("doc_id", P.marked(F.col("text"), P.LEXICON).alias("m"))
-    return m.select("doc_id", P.applied(F.col("m"), P.LEXICON).alias("applied"), P.starts(F.col("m"), P.LEXICON).alias("starts"), F.sha2(P.spoken(F.col("m"), P.LEXICON), 256).alias("spoken_sha"))
+    """Whole-word entries of a lexicon, each with its own case rule: where each was applied, in order, and the spoken text."""
+    d = P.spoken_form(table(ship(spark), sf, "documents").select("doc_id", "text"), P.LEXICON)
+    return d.select("doc_id", _spans("applied").alias("spans"), F.sha2("spoken_text", 256).alias("spoken_sha"))
+
+
+def _spans(applied: str) -> Column:
+    return F.array_join(F.transform(applied, lambda m: F.concat_ws(":", m["start"], m["end"], m["key"])), ",")
 
 
 _PAIRS_SQL = "p AS (SELECT a.conv_id, a.turn, a.text, b.text AS heard FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
 _WORDS_SQL = lambda c: f"list_filter(string_split_regex(lower(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}\\s]', '', 'g')), '\\s+'), lambda w: w <> '')"
 
 
-@query("targeted_repair", f"""WITH {_PAIRS_SQL}, s AS (SELECT conv_id, turn, text, list_filter(list_distinct({_WORDS_SQL('text')}), lambda w: NOT list_contains({_WORDS_SQL('heard')}, w)) AS suspects FROM p),
-    m AS (SELECT *, {P.marked_sql('text', P.SINGLE, 'suspects')} AS m FROM s), r AS (SELECT conv_id, turn, suspects, text, {P.applied_sql('m', P.SINGLE)} AS applied, {P.spoken_sql('m', P.SINGLE)} AS spoken FROM m)
-    SELECT conv_id, turn, applied, CAST(len(suspects) AS INT) AS n_suspects, CAST(len(list_filter(suspects, lambda w: NOT list_contains({[e.source.lower() for e in P.SINGLE]}, w))) AS INT) AS n_unresolved, sha256(spoken) AS spoken_sha FROM r WHERE spoken <> text""")
+@query("targeted_repair", f"""WITH {_PAIRS_SQL}, s AS (SELECT conv_id, turn, text, list_filter({_WORDS_SQL('text')}, lambda w: NOT list_contains({_WORDS_SQL('heard')}, w)) AS suspects FROM p),
+    m AS (SELECT *, {P.marked_sql('text', P.SINGLE, 'suspects')} AS m FROM s), r AS (SELECT conv_id, turn, suspects, text, {P.spans_sql('m', P.SINGLE)} AS spans, {P.spoken_sql('m', P.SINGLE)} AS spoken FROM m),
+    t AS (SELECT *, list_transform(string_split(spans, ','), lambda x: lower(string_split(x, ':')[3])) AS applied FROM r WHERE spoken <> text),
+    u AS (SELECT *, list_filter(suspects, lambda w: NOT list_contains(applied, w)) AS left_over FROM t)
+    SELECT conv_id, turn, spans, array_to_string(list_filter(left_over, lambda w, i: list_position(left_over, w) = i), ',') AS unresolved, sha256(spoken) AS spoken_sha FROM u""")
 def targeted_repair(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries applied only to words that the next turn lacks; rows that nothing changes are left out. Suspects without an entry are
-    counted as unresolved."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    """Entries applied only to words that the next turn lacks, with their places; rows that nothing changes are left out. Suspects that
+    nothing was applied for are listed, each once, in order."""
+    c = table(ship(spark), sf, "conversations").select("conv_id", "turn", "text")
     heard = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("heard"))
     words = lambda x: F.filter(F.split(F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}\s]", "")), r"\s+"), lambda w: w != "")
-    s = c.join(heard, ["conv_id", "turn"]).withColumn("suspects", F.array_except(words("text"), words("heard")))
-    s = s.withColumn("m", P.marked(F.col("text"), P.SINGLE, F.col("suspects"))).withColumn("spoken", P.spoken(F.col("m"), P.SINGLE)).where(F.col("spoken") != F.col("text"))
-    known = F.array(*(F.lit(e.source.lower()) for e in P.SINGLE))
-    return s.select("conv_id", "turn", P.applied(F.col("m"), P.SINGLE).alias("applied"), F.size("suspects").alias("n_suspects"), F.size(F.array_except("suspects", known)).alias("n_unresolved"), F.sha2("spoken", 256).alias("spoken_sha"))
+    s = c.join(heard, ["conv_id", "turn"]).select("conv_id", "turn", "text", F.array_except(words("text"), words("heard")).alias("suspects"))
+    s = P.spoken_form(s, P.SINGLE, suspects="suspects").where(F.col("spoken_text") != F.col("text"))
+    return s.select("conv_id", "turn", _spans("applied").alias("spans"), F.array_join("unresolved", ",").alias("unresolved"), F.sha2("spoken_text", 256).alias("spoken_sha"))
