@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import jsons as J
 from ..functions import text as X
 from .registry import query, table
 
@@ -37,31 +38,42 @@ def json_scrub(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("event_id", "r.code", X.redact(F.col("r.Message"), 280).alias("message"), F.col("r.detail.status").alias("detail_status"), F.col("r.detail.inner.code").alias("inner_code"), F.array_join(F.slice("r.items", 1, 3), ",").alias("items"))
 
 
-@query("json_find", """WITH r AS (SELECT event_id, '{"name": "' || event_type || '", "n": ' || user_id || ', "inner": {"name": "v' || event_id % 5 || '", "list": [{"name": "v' || event_id % 7 || '", "n": ' || event_id % 11 || '}, {"name": "w", "n": 3}]}}' AS raw FROM events),
-    f AS (SELECT event_id, unnest([{'path': '$', 's': json_extract_string(raw, '$.name') || ' ' || json_extract_string(raw, '$.n')}, {'path': '$.inner', 's': json_extract_string(raw, '$.inner.name')}, {'path': '$.inner.list[0]', 's': json_extract_string(raw, '$.inner.list[0].name') || ' ' || json_extract_string(raw, '$.inner.list[0].n')}, {'path': '$.inner.list[1]', 's': json_extract_string(raw, '$.inner.list[1].name') || ' ' || json_extract_string(raw, '$.inner.list[1].n')}]) AS x FROM r)
-    SELECT event_id, x.path AS path FROM f WHERE contains(x.s, 'v3')""")
+_FIND = """'{"name": "' || event_type || '", "n": ' || user_id || ', "inner": {"name": "v' || event_id % 5 || '", "list": [{"name": "v' || event_id % 7 || '", "n": ' || event_id % 11 || '}, {"name": "w", "n": 3, "deep": [[{"at": {"name": "v' || event_id % 3 || '", "n": ' || event_id % 13 || '}}], 7, "v3"]}]}}'"""
+
+
+@query("json_find", f"""WITH r AS (SELECT event_id, {_FIND} AS raw FROM events), t AS (SELECT event_id, j.* FROM r, json_tree(raw) j),
+    s AS (SELECT event_id, path, string_agg(json_extract_string(atom, '$'), ' ' ORDER BY id) AS s FROM t WHERE type NOT IN ('OBJECT', 'ARRAY') GROUP BY event_id, path)
+    SELECT t.event_id, t.fullkey AS path, CAST(length(s) AS INT) AS n_chars FROM t JOIN s ON s.event_id = t.event_id AND s.path = t.fullkey WHERE t.type = 'OBJECT' AND contains(s, 'v3') """)
 def json_find(spark: SparkSession, sf: str) -> DataFrame:
-    """Every record, at any level, whose own scalar values hold a text. `variant_explode` would do for unknown depth; here the levels
-    are listed as structs, their scalars joined, and searched."""
-    raw = F.format_string('{"name": "%s", "n": %d, "inner": {"name": "v%d", "list": [{"name": "v%d", "n": %d}, {"name": "w", "n": 3}]}}', "event_type", "user_id", F.col("event_id") % 5, F.col("event_id") % 7, F.col("event_id") % 11)
-    schema = "name string, n bigint, inner struct<name: string, list: array<struct<name: string, n: bigint>>>"
-    r = table(spark, sf, "events").select("event_id", F.from_json(raw, schema).alias("r"))
-    record = lambda path, *scalars: F.struct(path.alias("path"), F.concat_ws(" ", *scalars).alias("s"))
-    listed = F.transform("r.inner.list", lambda x, i: record(F.format_string("$.inner.list[%d]", i), x["name"], x["n"]))
-    every = F.concat(F.array(record(F.lit("$"), F.col("r.name"), F.col("r.n")), record(F.lit("$.inner"), F.col("r.inner.name"))), listed)
-    return r.select("event_id", F.explode(F.filter(every, lambda x: F.contains(x["s"], F.lit("v3")))).alias("x")).select("event_id", "x.path")
-
-
-@query("json_duplicate_keys", """WITH r AS (SELECT event_id, '{"k": ' || user_id || ', "' || (CASE WHEN event_id % 6 = 0 THEN 'k' ELSE 'v' END) || '": 2, "w": "a \\"k\\" b"}' AS raw FROM events),
-    k AS (SELECT event_id, regexp_extract_all(regexp_replace(raw, '\\\\.', '', 'g'), '"([^"]*)"\\s*:', 1) AS ks FROM r)
-    SELECT event_id, CAST(len(ks) AS INT) AS n_keys, len(ks) <> len(list_distinct(ks)) AS rejected FROM k""")
+    """Every record, at any level, whose own scalar values hold a text; the shape is known to nobody."""
+    r = table(spark, sf, "events").select("event_id", F.expr(_FIND).alias("raw"))
+    found = J.records_with(r, ["event_id"], "raw", "v3")
+    own = F.array_join(F.filter(F.map_values(F.from_json("record", "map<string,string>")), lambda x: ~x.rlike(r"^[\[{]")), " ")
+    return found.select("event_id", "path", F.length(own).alias("n_chars"))
+
+
+_TWICE = """'{"k": ' || user_id || ', "in": {"k": 2, "' || (CASE WHEN event_id % 6 = 0 THEN 'k' ELSE 'v' END) || '": [{"w": "a \\\\"k\\\\": b", "' || (CASE WHEN event_id % 4 = 0 THEN 'w' ELSE 'x' END) || '": 3}, {"w": {"k": 1}}]}, "x": "}"}'"""
+
+
+@query("json_duplicate_keys", r"""WITH r AS (SELECT event_id, """ + _TWICE.replace("\\\\", "\\") + r""" AS raw FROM events), a AS (SELECT event_id, regexp_extract_all(raw, '"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+') AS ts FROM r),
+    t AS (SELECT event_id, unnest(ts) AS t, unnest(range(len(ts))) AS i FROM a),
+    d AS (SELECT *, sum(CASE WHEN t IN ('{', '[') THEN 1 WHEN t IN ('}', ']') THEN -1 ELSE 0 END) OVER w AS depth, lead(t) OVER w AS after FROM t WINDOW w AS (PARTITION BY event_id ORDER BY i)),
+    c AS (SELECT *, max(CASE WHEN t IN ('{', '[') THEN i END) OVER (PARTITION BY event_id, depth ORDER BY i) AS container FROM d),
+    k AS (SELECT *, row_number() OVER (PARTITION BY event_id, container, t ORDER BY i) AS n FROM c WHERE after = ':')
+    SELECT event_id, CAST(count(*) FILTER (n > 1) AS INT) AS n_twice, coalesce(string_agg(trim(t, '"'), ',' ORDER BY i) FILTER (n > 1), '') AS twice FROM k GROUP BY event_id""")
 def json_duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Flat objects that give a key twice are rejected; parsers keep one of the two silently. Escapes go first, so that a quote
-    within a value ends nothing."""
-    raw = F.concat(F.lit('{"k": '), F.col("user_id"), F.lit(', "'), F.when(F.col("event_id") % 6 == 0, "k").otherwise("v"), F.lit('": 2, "w": "a \\"k\\" b"}'))
-    keys = F.regexp_extract_all(F.regexp_replace("raw", r"\\.", ""), F.lit(r'"([^"]*)"\s*:'), F.lit(1))
-    r = table(spark, sf, "events").select("event_id", raw.alias("raw")).select("event_id", keys.alias("ks"))
-    return r.select("event_id", F.size("ks").alias("n_keys"), (F.size("ks") != F.size(F.array_distinct("ks"))).alias("rejected"))
+    """Keys that an object gives twice, at any depth; parsers keep one of the two silently."""
+    r = table(spark, sf, "events").select("event_id", J.duplicate_keys(F.expr(_TWICE)).alias("twice"))
+    return r.select("event_id", F.size("twice").alias("n_twice"), F.array_join("twice", ",").alias("twice"))
+
+
+_LOOSE = """'{"z": ' || value || ', "a": {"user": ' || user_id || ', "list": [ ' || event_id || ', 1.50, 1e3, null, {"y": true, "é": "' || event_type || '"}]}, "B": 1e-7}'"""
+
+
+@query("canonical_digest", f"""SELECT event_id, sha256('{{"B":1e-07,"a":{{"list":[' || event_id || ',1.5,1000.0,null,{{"y":true,"é":"' || event_type || '"}}],"user":' || user_id || '}},"z":' || value || '}}') AS digest FROM events""")
+def canonical_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """The fingerprint of a record, whatever order, blanks and forms of numbers it came in."""
+    return table(spark, sf, "events").select("event_id", J.digest(F.expr(_LOOSE)).alias("digest"))
 
 
 @query("record_map", """WITH f AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY ALL)
