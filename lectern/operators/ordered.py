@@ -3,9 +3,6 @@ whose rows fit a task's sort. `order` must be a total order for results to be de
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,30 +64,6 @@ def merge_short(items: Column, most: int, hold: int) -> Column:
     return F.aggregate(items, start, step, lambda acc: F.when(acc["pending"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["pending"]))))
 
 
-def fill_pages(rows: DataFrame, key: str, order: str, size: str, most_rows: int, most_bytes: int) -> DataFrame:
-    """`rows` (key, order, size) with page, ordinal and running size: each page takes rows as long as neither bound is passed. Rows of
-    a key come sorted and one by one, so that what a task holds is one page's state; the fold of a key is one task's, as each page
-    begins where the one before ends."""
-    kind = dict(rows.dtypes)
-    schema = f"{key} {kind[key]}, {order} {kind[order]}, page long, ordinal long, running long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, page, ordinal, running = None, 0, 0, 0
-        for batch in batches:
-            pages, ordinals, sums = [], [], []
-            for k, n in zip(batch.column(key).to_pylist(), batch.column(size).to_pylist()):
-                n = n or 0
-                if (k,) != last:
-                    last, page, ordinal, running = (k,), 1, 0, 0
-                if ordinal and (ordinal == most_rows or running + n > most_bytes):
-                    page, ordinal, running = page + 1, 0, 0
-                ordinal, running = ordinal + 1, running + n
-                pages.append(page), ordinals.append(ordinal), sums.append(running)
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(order), *(pa.array(x, pa.int64()) for x in (pages, ordinals, sums))], names=[key, order, "page", "ordinal", "running"])
-
-    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
-
-
 #: Elements of a long array that are folded together.
 _BLOCK = 512
 

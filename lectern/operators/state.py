@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import work_dir
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first in `order` (upsert, latest wins)."""
@@ -40,3 +45,26 @@ def illegal_transitions(events: DataFrame, keys: list[str], order: list[str], st
 def claim(queue: DataFrame, worker: list[str], mine: Column, order: list[str]) -> DataFrame:
     """Per worker: its own running row if there is one, else the oldest queued."""
     return latest(queue, worker, [F.when(mine, 0).otherwise(1).asc(), *map(F.col, order)])
+
+
+def repair_rounds(rows: DataFrame, bad: Column, repair: Callable[[DataFrame, int], DataFrame], most_attempts: int) -> DataFrame:
+    """Check, repair what fails, and check again what was repaired, and only that, until nothing fails or a row has been repaired
+    `most_attempts` times. Returns `rows`' columns as they were judged, with attempt (from 1) and status: PASS, REPAIR (the row goes into the next
+    round), or EXHAUSTED. A row whose check is null fails it.
+
+    `repair(failed, attempt)` returns the rows with the same columns. A round's frontier is written, so that the next starts from
+    it and lost executors cost no earlier round; there are at most most_attempts + 1 rounds, each over what the last one repaired."""
+    rounds, frontier = [], rows
+    for attempt in range(1, most_attempts + 2):
+        last = attempt > most_attempts
+        failed = F.coalesce(bad, F.lit(True))
+        judged = frontier.withColumns({"attempt": F.lit(attempt), "status": F.when(~failed, "PASS").otherwise("EXHAUSTED" if last else "REPAIR")})
+        path = work_dir(rows.sparkSession, "repair-round")
+        judged.write.parquet(path)
+        judged = rows.sparkSession.read.schema(judged.schema).parquet(path)
+        rounds.append(judged)
+        again = judged.where("status = 'REPAIR'").drop("attempt", "status")
+        if last or again.isEmpty():
+            break
+        frontier = repair(again, attempt)
+    return functools.reduce(DataFrame.unionByName, rounds)

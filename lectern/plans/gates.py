@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import ordered as O
+from ..operators import paging
 from ..operators import rules as R
 from .registry import query, table
 
@@ -387,4 +387,4 @@ def preset_description(spark: SparkSession, sf: str) -> DataFrame:
     SELECT source, doc_id, CAST(page AS BIGINT) AS page, CAST(ordinal AS BIGINT) AS ordinal, CAST(running AS BIGINT) AS running FROM f""")
 def page_fill_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's page: pages of a source have at most 16 documents and 30,000 characters, or one longer document."""
-    return O.fill_pages(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 16, 30_000)
+    return paging.fill_pages(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 16, 30_000)

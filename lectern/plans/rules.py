@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import beats as B
 from ..functions import text as X
 from ..operators import rules as R
+from ..operators import terms
 from .registry import query, table
 from .segments import directed
 
@@ -215,24 +216,29 @@ def lexicon_dup_check(spark: SparkSession, sf: str) -> DataFrame:
     return g.where("n > 1")
 
 
-ALIASES = [("STORY_NARRATIVE", "and"), ("STORY_NARRATIVE", "que"), ("BUSINESS_CLEAR", "version"), ("BUSINESS_CLEAR", "license"), ("GENERAL_CLEAR", "der"), ("GENERAL_CLEAR", "de la")]
+#: Profiles in the order that settles ties.
+PROFILES = ["BUSINESS_CLEAR", "STORY_NARRATIVE", "GENERAL_CLEAR"]
+_PLAIN_SQL = lambda c: f"trim(regexp_replace(replace(lower({c}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
 
 
-@query("style_alias_vote", f"""WITH a AS (SELECT * FROM (VALUES {_values(ALIASES)}) t(profile, alias)), d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) || ' ' AS t FROM documents),
-    v AS (SELECT doc_id, profile, count(*) AS n FROM d JOIN a ON contains(t, ' ' || alias || ' ') GROUP BY ALL),
-    b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, profile) AS r FROM v)
-    SELECT d.doc_id, coalesce(profile, 'GENERAL_CLEAR') AS profile, CAST(coalesce(n, 0) AS BIGINT) AS votes FROM d LEFT JOIN b ON d.doc_id = b.doc_id AND r = 1""")
+@query("style_alias_vote", f"""WITH w AS (SELECT item_id, string_split({_PLAIN_SQL('text')}, ' ') AS w FROM benchmark), g AS (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS i FROM w),
+    a AS (SELECT DISTINCT {PROFILES}[CAST((item_id + i) % 3 AS INT) + 1] AS profile, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS alias FROM g),
+    d AS (SELECT doc_id, {_PLAIN_SQL('text')} AS t, CASE lang WHEN 'de' THEN ['UNKNOWN', 'BUSINESS_CLEAR'] WHEN 'fr' THEN ['STORY_NARRATIVE'] END AS rec FROM documents),
+    v AS (SELECT doc_id, profile, count(*) AS n, string_agg(alias, ',' ORDER BY alias) AS names FROM d JOIN a ON contains(t, alias) GROUP BY ALL),
+    b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, list_position({PROFILES}, profile)) AS r FROM v)
+    SELECT d.doc_id, coalesce(profile, rec[len(rec)], 'GENERAL_CLEAR') AS profile, CASE WHEN profile IS NOT NULL THEN 'owner_request' WHEN rec IS NOT NULL THEN 'book_profile' ELSE 'default' END AS source,
+      CAST(coalesce(n, 0) AS BIGINT) AS votes, sha256(coalesce(names, '')) AS aliases_sha FROM d LEFT JOIN b ON d.doc_id = b.doc_id AND r = 1""")
 def style_alias_vote(spark: SparkSession, sf: str) -> DataFrame:
-    """The profile most of whose aliases occur, ties by name, else the default. The aliases are a short fixed list, so each text is
-    matched against them in place instead of being joined."""
-    t = F.concat(F.lit(" "), X.plain(F.col("text")), F.lit(" "))
-    d = table(spark, sf, "documents").select("doc_id", t.alias("t"))
-    by: dict[str, list[str]] = {}
-    for profile, alias in ALIASES:
-        by.setdefault(profile, []).append(alias)
-    votes = F.array(*(F.struct((-sum((F.contains("t", F.lit(f" {a} ")).cast("int") for a in aliases), F.lit(0))).alias("n"), F.lit(p).alias("p")) for p, aliases in by.items()))
-    d = d.withColumn("best", F.array_min(votes))
-    return d.select("doc_id", F.when(F.col("best.n") < 0, F.col("best.p")).otherwise("GENERAL_CLEAR").alias("profile"), (-F.col("best.n")).cast("long").alias("votes"))
+    """The profile most of whose aliases stand in a text: a table of aliases (here thousands, of three words each) joined by an index of
+    its rarest grams, with ties, the book's own profile and the default."""
+    words = F.split(X.plain(X.casefold(F.col("text"))), " ")
+    b = table(spark, sf, "benchmark").select("item_id", words.alias("w"))
+    pair = F.transform(F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: i < F.size("w") - 1), lambda i: F.struct(F.element_at(F.array(*map(F.lit, PROFILES)), ((F.col("item_id") + i) % 3 + 1).cast("int")).alias("profile"), F.concat_ws(" ", F.slice("w", i, F.lit(3))).alias("alias")))
+    aliases = b.select(F.explode(pair).alias("x")).select("x.*").distinct()
+    rec = F.when(F.col("lang") == "de", F.array(F.lit("UNKNOWN"), F.lit("BUSINESS_CLEAR"))).when(F.col("lang") == "fr", F.array(F.lit("STORY_NARRATIVE")))
+    d = table(spark, sf, "documents").select("doc_id", "text", rec.alias("rec"))
+    out = terms.resolve_styles(d, "doc_id", "text", aliases, PROFILES, "rec")
+    return out.select("doc_id", "profile", "source", "votes", F.sha2(F.array_join("aliases", ","), 256).alias("aliases_sha"))
 
 
 @query("profile_choice", "WITH c AS (SELECT c_custkey, [c_mktsegment, CASE WHEN c_acctbal > 0 THEN 'BUILDING' END, 'MACHINERY'] AS rec FROM customer) SELECT c_custkey, coalesce(list_extract(list_filter(rec, lambda x: x IN ('BUILDING', 'AUTOMOBILE')), 1), 'GENERAL') AS profile FROM c")

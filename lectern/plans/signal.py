@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signal as S
+from ..session import ship
 from .registry import query, table
 
 _X = "x AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS s FROM embeddings)"
@@ -58,12 +59,29 @@ def crossfade_mix(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("vec_id", F.round(F.aggregate("m", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.size("m").cast("long").alias("n"))
 
 
-@query("pitch_spread", f"WITH {_X}, v AS (SELECT label, 50 + 400 * abs(s[1]) AS f0 FROM x), m AS (SELECT label, median(f0) AS m FROM v GROUP BY label) SELECT label, round(stddev_pop(12 * log2(f0 / m)), 6) AS semitones, CAST(count(*) AS BIGINT) AS n FROM v JOIN m USING (label) GROUP BY label")
+#: Vectors that are one clip, and the rate they are taken to have.
+CLIP, RATE = 32, 2000
+
+
+#: A tone that differs from vector to vector is added to its samples, which are noise.
+_TONE_SQL = f"list_transform(s, lambda v, j: v + 0.3 * sin(2 * pi() * (80 + 5 * (vec_id % 32)) * (j - 1) / {RATE}))"
+
+
+@query("pitch_spread", f"""WITH {_X}, c AS (SELECT vec_id // {CLIP} AS clip, flatten(list({_TONE_SQL} ORDER BY vec_id)) AS s FROM x GROUP BY ALL), n AS (SELECT *, greatest(0, (len(s) - 256) // 128 + 1) AS n FROM c),
+    f AS (SELECT clip, unnest(list_transform(range(n), lambda k: list_slice(s, k * 128 + 1, k * 128 + 256))) AS f, unnest(range(n)) AS k FROM n),
+    l AS (SELECT *, 10 * log10(list_sum(list_transform(f, lambda v: v * v)) / 256 + 1e-12) AS db, list_sum(f) / 256 AS m FROM f), w AS (SELECT clip, k, db, list_transform(f, lambda v, i: (v - m) * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 255))) AS w FROM l),
+    a AS (SELECT clip, k, db, unnest(range(0, 29)) AS lag, w FROM w), r AS (SELECT clip, k, db, lag, list_sum(list_transform(range(1, 257 - lag), lambda i: w[i] * w[i + lag])) AS ac FROM a),
+    p AS (SELECT clip, k, max(db) AS db, arg_max(lag, (ac, -lag)) FILTER (lag >= 5) AS lag, max(ac) FILTER (lag >= 5) / max(ac) FILTER (lag = 0) AS height FROM r GROUP BY clip, k),
+    v AS (SELECT clip, {RATE}.0 / lag AS f0 FROM p WHERE db >= -38 AND height >= 0.25 AND {RATE}.0 / lag BETWEEN 70 AND 350),
+    s AS (SELECT clip, median(f0) AS m, count(*) AS n FROM v GROUP BY clip), d AS (SELECT clip, s.n, round(stddev_pop(12 * log2(f0 / m)), 6) AS semitones FROM v JOIN s USING (clip) GROUP BY clip, s.n)
+    SELECT CAST(clip AS BIGINT) AS clip, CAST(n.n AS INT) AS n_frames, CAST(coalesce(d.n, 0) AS INT) AS n_voiced, CASE WHEN d.n >= 4 THEN semitones END AS semitones FROM n LEFT JOIN d USING (clip)""")
 def pitch_spread(spark: SparkSession, sf: str) -> DataFrame:
-    """Population deviation of pitch in semitones about the median."""
-    v = _samples(spark, sf).select("label", (50 + 400 * F.abs(F.element_at("s", 1))).alias("f0"))
-    m = v.groupBy("label").agg(F.percentile("f0", 0.5).alias("m"))
-    return v.join(m, "label").groupBy("label").agg(F.round(F.stddev_pop(12 * F.log2(F.col("f0") / F.col("m"))), 6).alias("semitones"), F.count("*").alias("n"))
+    """Pitch of every frame of a clip, and its population deviation in semitones about the median."""
+    tone = lambda j: 0.3 * F.sin(2 * F.pi() * (80 + 5 * (F.col("vec_id") % 32)) * j / RATE)
+    x = _samples(ship(spark), sf).select("vec_id", F.transform("s", lambda v, j: v + tone(j)).alias("s"))
+    clips = x.groupBy(F.expr(f"vec_id div {CLIP}").alias("clip")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "s"))).alias("parts"))
+    f = clips.select("clip", S.pitch(RATE)(F.flatten(F.transform("parts", lambda x: x["s"]))).alias("f0"))
+    return f.select("clip", F.size("f0").alias("n_frames"), F.size(F.array_compact("f0")).alias("n_voiced"), F.round(S.semitone_spread(F.col("f0")), 6).alias("semitones"))
 
 
 @query("minmax_ratio", "WITH r AS (SELECT p_brand, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY p_brand) SELECT p_partkey, round(CASE WHEN hi > lo THEN (p_retailprice - lo) / (hi - lo) ELSE 0 END, 6) AS ratio FROM part JOIN r USING (p_brand)")

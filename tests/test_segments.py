@@ -228,10 +228,3 @@ def test_manifest_job(spark, tmp_path):
     got = {r.source.rsplit("/", 1)[1]: r for r in spark.read.json(str(tmp_path / "out")).collect()}
     assert [u.t for u in got["a.txt"].units] == ["One.", "Two.", "Three?"] and got["a.txt"].n_units == 3
     assert got["b.txt"].version == editorial_manifest.VERSION and [u.ordinal for u in got["a.txt"].units] == [0, 1, 2]
-
-
-def test_pages_are_filled_one_by_one(spark):
-    sizes = [10, 20, 30, 40, 5, 5, 5, None, 200, 1]
-    rows = [("a", k, n) for k, n in enumerate(sizes)] + [(None, 0, 7)]
-    got = O.fill_pages(spark.createDataFrame(rows, "key string, k long, n long"), "key", "k", "n", 3, 60).where("key is not null").orderBy("k").collect()
-    assert [(r.page, r.ordinal, r.running) for r in got] == [(1, 1, 10), (1, 2, 30), (1, 3, 60), (2, 1, 40), (2, 2, 45), (2, 3, 50), (3, 1, 5), (3, 2, 5), (4, 1, 200), (5, 1, 1)]
