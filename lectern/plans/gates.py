@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import gates as G
 from ..operators import paging
 from ..operators import rules as R
 from .registry import query, table
@@ -16,18 +17,10 @@ def _facts_sql(facts: dict[str, str]) -> str:
     return ", ".join(f"{e} AS {k}" for k, e in facts.items())
 
 
-def _reasons_sql(needs: dict[str, str]) -> str:
-    return "concat_ws(',', " + ", ".join(f"CASE WHEN NOT coalesce({need}, false) THEN '{name}' END" for name, need in needs.items()) + ")"
-
-
 def _facts(df: DataFrame, keys: list[str], facts: dict[str, str]) -> DataFrame:
     return df.select(*keys, *(F.expr(e).alias(k) for k, e in facts.items()))
 
 
-def _reasons(needs: dict[str, str]) -> dict:
-    return {name: ~F.coalesce(F.expr(need), F.lit(False)) for name, need in needs.items()}
-
-
 # What a host reports, made up from an order's columns.
 SNAPSHOT = {
     "layout": "CASE WHEN o_custkey % 41 = 0 THEN 'v0' ELSE 'v1' END",
@@ -35,112 +28,79 @@ SNAPSHOT = {
     "host": "CASE WHEN o_custkey % 23 = 1 THEN 'other' ELSE 'render' END",
     "ram_total": "6.5 + (o_orderkey % 30) * 0.1",
     "threads": "o_custkey % 10",
-    "samples": "o_orderkey % 7",
-    "ram_least": "CASE WHEN o_orderkey % 7 < 3 THEN NULL ELSE 1.5 + (o_custkey % 20) * 0.1 END",
+    "n_samples": "o_orderkey % 9",
+    "ram_least": "CASE WHEN o_orderkey % 9 < 5 THEN NULL ELSE 1.5 + (o_custkey % 20) * 0.1 END",
     "disk_c": "CASE WHEN o_custkey % 19 = 0 THEN NULL ELSE (o_orderkey % 60) * 0.1 END",
     "disk_d": "(o_custkey % 30) * 1.0",
     "temp": "CASE o_orderkey % 3 WHEN 0 THEN 'C:' WHEN 1 THEN 'D:' ELSE 'E:' END",
-    "n_render": "CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END",
-    "n_listen": "CASE WHEN o_custkey % 13 = 0 THEN 1 ELSE 0 END",
+    "workers_known": "o_custkey % 27 <> 5",
+    "n_tts": "CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END",
+    "n_asr": "CASE WHEN o_custkey % 13 = 0 THEN 1 ELSE 0 END",
     "n_unknown": "CASE WHEN o_custkey % 29 = 0 THEN 1 ELSE 0 END",
+    "n_workers": "CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN o_custkey % 13 = 0 THEN 1 ELSE 0 END + CASE WHEN o_custkey % 29 = 0 THEN 1 ELSE 0 END",
     "latch": "CASE WHEN o_orderstatus = 'F' THEN 'ON' WHEN o_orderstatus = 'O' THEN 'OFF' END",
     "owner": "CASE WHEN o_custkey % 5 = 0 THEN 'UNKNOWN' ELSE 'VERIFIED' END",
     "mutex": "CASE WHEN o_orderkey % 5 = 0 THEN 'HELD' ELSE 'FREE' END",
     "stage": "CASE WHEN o_orderkey % 2 = 0 THEN 'TTS' ELSE 'ASR' END",
 }
-# 7 to 9 GiB of memory, 1 to 8 threads, 3 samples, 2.1 and 2.5 GiB free by stage, 2 and 10 GiB of disk, 4 GiB where
-# the temporary folder is on the system drive, snapshots of -5 to 30 seconds.
-ADMISSION = {
-    "layout_unverified": "layout = 'v1'",
-    "stale_or_unverified": "age_s BETWEEN -5 AND 30",
-    "wrong_host": "host = 'render'",
-    "memory_size_unproven": "ram_total BETWEEN 7.0 AND 9.0",
-    "threads_unavailable": "threads BETWEEN 1 AND 8",
-    "samples_missing": "samples >= 3",
-    "memory_low_tts": "stage <> 'TTS' OR samples < 3 OR ram_least >= 2.1",
-    "memory_low_asr": "stage <> 'ASR' OR samples < 3 OR ram_least >= 2.5",
-    "system_disk_low": "disk_c >= 2.0",
-    "data_disk_low": "disk_d >= 10.0",
-    "temp_unknown": "temp IN ('C:', 'D:')",
-    "temp_on_low_disk": "temp <> 'C:' OR disk_c IS NULL OR disk_c >= 4.0",
-    "worker_active": "n_render + n_listen + n_unknown = 0",
-    "stages_at_once": "NOT (n_render > 0 AND n_listen > 0)",
-    "worker_unidentified": "n_unknown = 0",
-    "latch_not_on": "latch = 'ON'",
-    "owner_unverified": "owner = 'VERIFIED'",
-    "mutex_unverified": "mutex = 'FREE'",
-}
 
 
-@query("resource_admission", f"WITH s AS (SELECT o_orderkey, {_facts_sql(SNAPSHOT)} FROM orders) SELECT o_orderkey, stage, {_reasons_sql(ADMISSION)} AS reasons, {_reasons_sql(ADMISSION)} = '' AS eligible, CAST(len(list_filter(string_split({_reasons_sql(ADMISSION)}, ','), lambda x: x <> '')) AS INT) AS n_reasons FROM s")
+@query("resource_admission", f"WITH s AS (SELECT o_orderkey, {_facts_sql(SNAPSHOT)} FROM orders), r AS (SELECT *, {G.reasons_sql(G.ADMISSION)} AS reasons FROM s) SELECT o_orderkey, stage, reasons, reasons = '' AS eligible, CAST(len(list_filter(string_split(reasons, ','), lambda x: x <> '')) AS INT) AS n_reasons FROM r")
 def resource_admission(spark: SparkSession, sf: str) -> DataFrame:
-    """All eighteen checks of a snapshot, as reasons to hold."""
-    s = _facts(table(spark, sf, "orders"), ["o_orderkey"], SNAPSHOT).withColumn("why", R.reasons(_reasons(ADMISSION)))
-    return s.select("o_orderkey", "stage", F.array_join("why", ",").alias("reasons"), (F.size("why") == 0).alias("eligible"), F.size("why").alias("n_reasons"))
+    """All nineteen checks of a snapshot, as reasons to hold."""
+    s = G.judged(_facts(table(spark, sf, "orders"), ["o_orderkey"], SNAPSHOT), G.ADMISSION)
+    return s.select("o_orderkey", "stage", F.array_join("reasons", ",").alias("reasons"), (F.size("reasons") == 0).alias("eligible"), F.size("reasons").alias("n_reasons"))
 
 
 JOB = SNAPSHOT | {
-    "action": "CASE o_custkey % 4 WHEN 0 THEN 'RENDER' WHEN 1 THEN 'LISTEN' WHEN 2 THEN 'RENDER_AND_LISTEN' ELSE 'EXPORT' END",
+    "action": "CASE o_custkey % 4 WHEN 0 THEN 'recheck' WHEN 1 THEN 'resume' WHEN 2 THEN 'improve' ELSE 'export' END",
     "state": "CASE o_orderkey % 4 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'QUEUED_RESOURCE' WHEN 2 THEN 'WAIT_OTHER_WORKER' ELSE 'RUNNING' END",
+    "owner_start": "o_custkey % 10 <> 3",
     "witness": "o_custkey % 6 <> 0",
     "barrier": "o_orderkey % 9 = 0",
     "has_snapshot": "o_custkey % 8 <> 7",
+    "stage": "CASE o_custkey % 4 WHEN 0 THEN 'ASR' ELSE 'TTS' END",
 }
-JOB_NEEDS = {
-    "action_not_qualified": "action <> 'EXPORT'",
-    "not_queued": "state IN ('QUEUED', 'QUEUED_RESOURCE', 'WAIT_OTHER_WORKER')",
-    "start_unverified": "witness",
-    "phase_barrier_unverified": "action <> 'RENDER_AND_LISTEN' OR barrier",
-    "snapshot_unavailable": "action <> 'EXPORT' AND has_snapshot",
-} | {name: f"NOT (action <> 'EXPORT' AND has_snapshot) OR coalesce({need}, false)" for name, need in ADMISSION.items()}
 
 
-@query("job_admission", f"WITH s AS (SELECT o_orderkey, {_facts_sql(JOB)} FROM orders), r AS (SELECT *, {_reasons_sql(JOB_NEEDS)} AS reasons FROM s) SELECT o_orderkey, action, reasons, CASE WHEN reasons = '' THEN 'ELIGIBLE' ELSE 'HOLD' END AS decision FROM r")
+@query("job_admission", f"WITH s AS (SELECT o_orderkey, {_facts_sql(JOB)} FROM orders), r AS (SELECT *, {G.reasons_sql(G.JOB)} AS reasons FROM s) SELECT o_orderkey, action, reasons, CASE WHEN reasons = '' THEN 'ELIGIBLE_FOR_EXISTING_AUTHORIZED_CHECKS' ELSE 'HOLD' END AS decision FROM r")
 def job_admission(spark: SparkSession, sf: str) -> DataFrame:
     """A queued job's own conditions, then those of its resource snapshot; each reason once."""
-    s = _facts(table(spark, sf, "orders"), ["o_orderkey"], JOB).withColumn("why", F.array_distinct(R.reasons(_reasons(JOB_NEEDS))))
-    return s.select("o_orderkey", "action", F.array_join("why", ",").alias("reasons"), F.when(F.size("why") == 0, "ELIGIBLE").otherwise("HOLD").alias("decision"))
+    s = G.judged(_facts(table(spark, sf, "orders"), ["o_orderkey"], JOB), G.JOB)
+    return s.select("o_orderkey", "action", F.array_join("reasons", ",").alias("reasons"), F.when(F.size("reasons") == 0, "ELIGIBLE_FOR_EXISTING_AUTHORIZED_CHECKS").otherwise("HOLD").alias("decision"))
 
 
 FRAME = {
-    "gen_a": "CASE WHEN o_custkey % 31 = 0 THEN NULL ELSE concat('g', CAST(o_custkey % 7 AS VARCHAR(9))) END",
-    "gen_b": "concat('g', CAST(CASE WHEN o_orderkey % 10 = 0 THEN 9 ELSE o_custkey % 7 END AS VARCHAR(9)))",
-    "t_a": "o_orderkey * 10",
-    "t_b": "o_orderkey * 10 + CASE WHEN o_custkey % 12 = 0 THEN -5 ELSE o_custkey % 2500 END",
-    "t_now": "o_orderkey * 10 + 2500 + o_custkey % 4000",
-    "attested": "o_custkey % 9 <> 0",
-    "stopped": "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderkey % 14 = 0 END",
+    "gen_a": "CASE WHEN o_custkey % 31 = 0 THEN NULL WHEN o_custkey % 31 = 1 THEN '' WHEN o_custkey % 31 = 2 THEN 'é' ELSE concat('g', CAST(o_custkey % 7 AS VARCHAR(9))) END",
+    "gen_b": "CASE WHEN o_custkey % 31 = 1 THEN '' WHEN o_custkey % 31 = 2 THEN 'é' ELSE concat('g', CAST(CASE WHEN o_orderkey % 10 = 0 THEN 9 ELSE o_custkey % 7 END AS VARCHAR(9))) END",
+    "t_a": "CASE WHEN o_orderkey % 33 = 7 THEN -1 ELSE o_orderkey * 10 END",
+    "t_b": "o_orderkey * 10 + CASE WHEN o_custkey % 12 = 0 THEN -5 ELSE o_custkey % 250 * 150 END",
+    "t_now": "CASE WHEN o_orderkey % 35 = 3 THEN NULL ELSE o_orderkey * 10 + o_custkey % 250 * 150 + o_custkey % 6000 END",
+    "start": "o_custkey % 9 <> 0",
+    "stop": "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderkey % 14 = 0 END",
+    "checkpoint": "o_custkey % 24 <> 3",
+    "source": "o_custkey % 26 <> 9",
     "acked": "o_custkey % 15 <> 1",
+    "released": "o_orderkey % 17 <> 4",
+    "reaped": "CASE WHEN o_orderkey % 19 = 2 THEN NULL ELSE true END",
+    "mutex_free": "o_orderkey % 20 <> 11",
     "unloaded": "o_orderkey % 8 <> 3",
-    "workers": "CASE WHEN o_custkey % 18 = 2 THEN 1 ELSE 0 END",
+    "n_tts": "CASE WHEN o_custkey % 18 = 2 THEN 1 ELSE 0 END",
+    "n_asr": "CASE WHEN o_custkey % 22 = 2 THEN -1 ELSE 0 END",
+    "n_other": "CASE WHEN o_custkey % 25 = 2 THEN NULL ELSE 0 END",
     "threads": "CASE WHEN o_custkey % 21 = 4 THEN 2 ELSE 1 END",
     "ram": "CASE WHEN o_custkey % 37 = 0 THEN NULL ELSE (o_orderkey % 40) * 0.1 END",
     "least": "0.8 + (o_custkey % 5) * 0.1",
-    "disk_c": "(o_orderkey % 50) * 0.1",
+    "disk_c": "(o_orderkey % 50) * 0.1 - 0.2",
     "disk_d": "(o_custkey % 40) * 1.0",
 }
-# A snapshot of 5,000 ms at most, 2,000 ms between the two, a floor of 1 GiB, 2 and 10 GiB of disk.
-HANDOFF = {
-    "generation_changed": "gen_a = gen_b",
-    "timestamps_invalid": "t_a >= 0 AND t_b >= 0 AND t_now >= 0",
-    "stale_or_out_of_order": "t_a <= t_b AND t_b <= t_now AND t_now - t_b <= 5000 AND t_b - t_a <= 2000",
-    "start_not_attested": "attested",
-    "stop_active_or_unknown": "NOT stopped",
-    "shutdown_not_acked": "acked",
-    "unload_not_proven": "unloaded",
-    "worker_count_invalid": "workers = 0",
-    "threads_not_one": "threads = 1",
-    "measurement_invalid": "ram >= 0 AND least >= 0 AND disk_c >= 0 AND disk_d >= 0",
-    "memory_below_floor": "ram IS NULL OR (least >= 1.0 AND ram >= least)",
-    "disk_below_floor": "ram IS NULL OR (disk_c >= 2.0 AND disk_d >= 10.0)",
-}
 
 
-@query("handoff_gate", f"WITH s AS (SELECT o_orderkey, {_facts_sql(FRAME)} FROM orders), r AS (SELECT *, {_reasons_sql(HANDOFF)} AS reasons FROM s) SELECT o_orderkey, reasons, CASE WHEN reasons = '' THEN 'READY' ELSE 'BLOCKED' END AS status FROM r")
+@query("handoff_gate", f"WITH s AS (SELECT o_orderkey, {_facts_sql(FRAME)} FROM orders), r AS (SELECT *, {G.reasons_sql(G.HANDOFF)} AS reasons FROM s) SELECT o_orderkey, reasons, CASE WHEN reasons = '' THEN 'READY' ELSE 'BLOCKED' END AS status FROM r")
 def handoff_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether one stage may hand over to the next: identity, order and gap of the observations, release, resources."""
-    s = _facts(table(spark, sf, "orders"), ["o_orderkey"], FRAME).withColumn("why", R.reasons(_reasons(HANDOFF)))
-    return s.select("o_orderkey", F.array_join("why", ",").alias("reasons"), F.when(F.size("why") == 0, "READY").otherwise("BLOCKED").alias("status"))
+    """Whether one stage may hand over to the next: identity, order and gap of the observations, owners, release, workers, resources."""
+    s = G.judged(_facts(table(spark, sf, "orders"), ["o_orderkey"], FRAME), G.HANDOFF)
+    return s.select("o_orderkey", F.array_join("reasons", ",").alias("reasons"), F.when(F.size("reasons") == 0, "READY").otherwise("BLOCKED").alias("status"))
 
 
 @query("order_and_gaps", """WITH e AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
@@ -223,52 +183,48 @@ def chunk_totals(spark: SparkSession, sf: str) -> DataFrame:
     return n.withColumn("status", F.when(F.col("errors") + F.col("warnings") == 0, "passed").otherwise("review"))
 
 
-# Segments of a conversation with the gap behind each, made up; fixed values: 1400 and 500 ms, 12 dB above 0.008, a share of 70 %.
+# Segments of a conversation with the gap behind each, made up.
 SEGMENT = {
     "gap_ms": "CASE (conv_id + turn) % 5 WHEN 0 THEN 1500 WHEN 1 THEN 300 ELSE 650 END",
+    "gap_seconds": "CASE (conv_id + turn) % 5 WHEN 0 THEN 1.5 WHEN 1 THEN 0.3 ELSE 0.65 END + CASE WHEN conv_id % 23 = 3 THEN 0.005 ELSE 0.004 END - 0.001",
     "structural": "turn % 4 = 0",
-    "edge": "((conv_id * 7 + turn * 3) % 100) * 0.001",
+    "edge_start": "((conv_id * 7 + turn * 3) % 100) * 0.0005",
+    "edge_end": "((conv_id + turn * 3) % 100) * -0.0005",
+    "rate": "24000",
+    "gap_rate": "CASE WHEN (conv_id + turn) % 30 = 7 THEN 22050 ELSE 24000 END",
     "head": "0.002 + ((conv_id * 3 + turn) % 40) * 0.001",
     "tail": "0.002 + ((conv_id + turn * 11) % 90) * 0.001",
     "directed": "(conv_id + turn) % 6 <> 0",
 }
-_SEG_SQL = f"s AS (SELECT conv_id, turn, text, {_facts_sql(SEGMENT)} FROM conversations), q AS (SELECT conv_id, turn, CASE WHEN turn % 7 = 3 THEN 'REVIEW' ELSE 'PASS' END AS status, CASE WHEN turn % 9 = 5 THEN upper(text) ELSE text END AS expected FROM conversations WHERE (conv_id + turn) % 10 <> 9), j AS (SELECT s.*, status, expected, lag(tail) OVER (PARTITION BY s.conv_id ORDER BY s.turn) AS tail_before FROM s LEFT JOIN q ON s.conv_id = q.conv_id AND s.turn = q.turn)"
-FINDINGS = {
-    "pause:LONG_PAUSE": "gap_ms >= 1400",
-    "pause:STRUCTURAL_PAUSE_SHORT": "structural AND gap_ms < 500",
-    "join:NONZERO_BOUNDARY": "edge > 0.04",
-    "join:EDGE_ENERGY_CHANGE": "tail_before > 0.008 AND head > 0.008 AND abs(20 * log10(head / tail_before)) > 12",
-    "pronunciation:EVIDENCE_MISSING": "status IS NULL",
-    "pronunciation:REVIEW": "status <> 'PASS'",
-    "pronunciation:EXPECTED_TEXT_DIFFERS": "expected <> text",
-    "prosody:NO_CONTEXTUAL_EVIDENCE": "NOT directed",
-}
-
-
-@query("evidence_audit", f"""WITH {_SEG_SQL}, f AS (SELECT conv_id, unnest(list_filter([{', '.join(f'''CASE WHEN {need} THEN '{name}' END''' for name, need in FINDINGS.items())}], lambda x: x IS NOT NULL)) AS x FROM j),
-    g AS (SELECT conv_id, gap_ms, count(*) AS n FROM s GROUP BY ALL), d AS (SELECT conv_id, max(n) / sum(n) AS share FROM g GROUP BY conv_id),
-    a AS (SELECT conv_id, x FROM f UNION ALL SELECT conv_id, 'pause:PAUSE_DISTRIBUTION_DOMINATED' FROM d WHERE share > 0.7),
+EVIDENCE = {"status": "CASE WHEN turn % 7 = 3 THEN 'REVIEW' ELSE 'PASS' END", "expected": "CASE WHEN turn % 9 = 5 THEN concat(text, ' x') ELSE upper(text) END"}
+RECEIPT = {"source_ok": "conv_id % 19 <> 1", "output_ok": "conv_id % 17 <> 2", "whole_chapter_approved": "conv_id % 4 = 1"}
+_CANONICAL = "CASE WHEN (conv_id + turn) % 8 = 1 THEN concat('ABC ', text) ELSE text END"
+_HAS_RECEIPT, _HAS_EVIDENCE = "conv_id % 3 <> 0", "conv_id % 21 <> 20 OR turn <> 0"
+
+
+@query("evidence_audit", f"""WITH i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS index FROM conversations), s AS (SELECT conv_id, index, text, {_CANONICAL} AS canonical, {_facts_sql(SEGMENT)} FROM i),
+    q AS (SELECT conv_id, index, {_facts_sql(EVIDENCE)} FROM i WHERE {_HAS_EVIDENCE}), v AS (SELECT DISTINCT conv_id, {_facts_sql(RECEIPT)}, [CAST(conv_id % 5 AS BIGINT)] AS changed FROM conversations WHERE {_HAS_RECEIPT}),
+    n AS (SELECT conv_id, count(*) AS n, max(abs(gap_seconds * 1000 - gap_ms) > 4) AS gap_bad FROM s GROUP BY conv_id), m AS (SELECT conv_id, count(*) AS n FROM q GROUP BY conv_id),
+    k AS (SELECT n.conv_id, v.conv_id IS NOT NULL AS has, coalesce(whole_chapter_approved, false) AS approved, CASE WHEN m.n IS DISTINCT FROM n.n THEN 'WHISPER_QC_INCOMPLETE' WHEN gap_bad THEN 'GAP_LENGTH_INVALID' WHEN NOT source_ok THEN 'SOURCE_HASH_MISMATCH' WHEN NOT output_ok THEN 'REVIEW_HASH_MISMATCH'
+      WHEN changed[1] >= n.n THEN 'REPAIR_INDEX_INVALID' END AS error FROM n LEFT JOIN m USING (conv_id) LEFT JOIN v ON v.conv_id = n.conv_id),
+    same AS (SELECT conv_id, index, status, trim(regexp_replace(replace(lower(expected), 'ß', 'ss'), '\s+', ' ', 'g')) AS said FROM q),
+    j AS (SELECT s.*, status, said, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS meant, regexp_matches(canonical, '(^|[^\p{{L}}\p{{N}}_])[A-ZĐ]{{2,6}}($|[^\p{{L}}\p{{N}}_])') AS abbreviated, lag(tail) OVER (PARTITION BY s.conv_id ORDER BY s.index) AS tail_before
+      FROM s JOIN k ON k.conv_id = s.conv_id AND k.error IS NULL LEFT JOIN same ON s.conv_id = same.conv_id AND s.index = same.index),
+    f AS (SELECT conv_id, unnest(list_filter([{', '.join(f"CASE WHEN {need} THEN '{name}' END" for name, need in G.FINDINGS.items())}], lambda x: x IS NOT NULL)) AS x FROM j),
+    g AS (SELECT conv_id, gap_ms, count(*) AS n FROM j GROUP BY ALL), d AS (SELECT conv_id, max(n) / sum(n) AS share FROM g GROUP BY conv_id),
+    a AS (SELECT conv_id, x FROM f UNION ALL SELECT conv_id, 'QC01_PAUSE:PAUSE_DISTRIBUTION_DOMINATED' FROM d WHERE share > 0.7 UNION ALL SELECT conv_id, CASE WHEN has THEN 'QC05_POST_REPAIR:WHOLE_CHAPTER_LISTENING_PENDING' ELSE 'QC05_POST_REPAIR:REPAIR_RECEIPT_NOT_PROVIDED' END FROM k WHERE error IS NULL AND NOT approved),
     c AS (SELECT conv_id, split_part(x, ':', 1) AS stage, split_part(x, ':', 2) AS code, count(*) AS n FROM a GROUP BY ALL),
-    t AS (SELECT * FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT unnest(['pause', 'join', 'prosody', 'pronunciation', 'post_repair']) AS stage))
-    SELECT t.conv_id, t.stage, CASE WHEN sum(n) > 0 THEN 'REVIEW' ELSE 'MEASURED' END AS status, CAST(coalesce(sum(n), 0) AS BIGINT) AS findings, coalesce(string_agg(code || '=' || n, ',' ORDER BY code), '') AS reason_counts
+    t AS (SELECT conv_id, error, stage FROM k, (SELECT unnest({G.DIMENSIONS}) AS stage))
+    SELECT t.conv_id, t.stage, CASE WHEN any_value(error) IS NOT NULL THEN 'INVALID' WHEN sum(n) > 0 THEN 'REVIEW' ELSE 'MEASURED_NOT_HUMAN_VERIFIED' END AS status, CAST(coalesce(sum(n), 0) AS BIGINT) AS findings, coalesce(string_agg(code || '=' || n, ',' ORDER BY code), '') AS reason_counts, any_value(error) AS error
     FROM t LEFT JOIN c ON t.conv_id = c.conv_id AND t.stage = c.stage GROUP BY t.conv_id, t.stage""")
 def evidence_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Five dimensions of each conversation: findings of every segment, joined with its evidence and the segment before, the share of
-    the commonest pause, and how often each reason occurs. A dimension without findings is a row too."""
-    c = table(spark, sf, "conversations")
-    s = _facts(c, ["conv_id", "turn", "text"], SEGMENT)
-    q = c.where("(conv_id + turn) % 10 <> 9").select("conv_id", "turn", F.expr("CASE WHEN turn % 7 = 3 THEN 'REVIEW' ELSE 'PASS' END").alias("status"), F.expr("CASE WHEN turn % 9 = 5 THEN upper(text) ELSE text END").alias("expected"))
-    j = s.join(q, ["conv_id", "turn"], "left").withColumn("tail_before", F.lag("tail").over(W.partitionBy("conv_id").orderBy("turn")))
-    found = j.select("conv_id", F.explode(R.reasons({name: F.expr(need) for name, need in FINDINGS.items()})).alias("x"))
-    share = s.groupBy("conv_id", "gap_ms").agg(F.count("*").alias("n")).groupBy("conv_id").agg((F.max("n") / F.sum("n")).alias("share"))
-    found = found.unionByName(share.where("share > 0.7").select("conv_id", F.lit("pause:PAUSE_DISTRIBUTION_DOMINATED").alias("x")))
-    part = lambda k: F.split_part("x", F.lit(":"), F.lit(k))
-    counts = found.groupBy("conv_id", part(1).alias("stage"), part(2).alias("code")).agg(F.count("*").alias("n"))
-    per = counts.groupBy("conv_id", "stage").agg(F.sum("n").alias("findings"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "code", "n"))), ",").alias("reason_counts"))
-    stages = F.array(*map(F.lit, ["pause", "join", "prosody", "pronunciation", "post_repair"]))
-    every = c.select("conv_id").distinct().withColumn("stage", F.explode(stages))
-    out = every.join(per, ["conv_id", "stage"], "left").fillna({"findings": 0, "reason_counts": ""})
-    return out.select("conv_id", "stage", F.when(F.col("findings") > 0, "REVIEW").otherwise("MEASURED").alias("status"), "findings", "reason_counts")
+    the commonest pause, the receipt after repair, and how often each reason occurs."""
+    c = table(spark, sf, "conversations").withColumn("index", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1)
+    segments = c.select("conv_id", "index", F.expr(_CANONICAL).alias("canonical_text"), F.col("text").alias("spoken_text"), *(F.expr(e).alias(k) for k, e in SEGMENT.items()))
+    evidence = c.where(_HAS_EVIDENCE).select("conv_id", "index", *(F.expr(e).alias(k) for k, e in EVIDENCE.items()))
+    receipts = c.where(_HAS_RECEIPT).select("conv_id", *(F.expr(e).alias(k) for k, e in RECEIPT.items()), F.array(F.col("conv_id") % 5).alias("changed")).distinct()
+    return G.audit(segments, evidence, receipts, "conv_id")
 
 
 @query("request_kind_zero", "SELECT page_id % 50 AS host, CAST(count(*) AS BIGINT) AS requests, CAST(count(*) FILTER (WHERE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '/en/7') AS BIGINT) AS of_kind, count(*) FILTER (WHERE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '/en/7') = 0 AS accepted FROM pages GROUP BY 1")
