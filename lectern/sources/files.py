@@ -4,15 +4,17 @@ Every reader is one of Spark's own, so that paths may lie in any store it reads,
 
 from __future__ import annotations
 
-import io
-import wave
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+from . import riff
+
 #: Kind of a file by its suffix; anything else is "other".
 KINDS = {"wav": "audio", "mp3": "audio", "json": "data", "jsonl": "data", "txt": "text", "md": "text"}
 EDGE_S = 0.02
@@ -55,34 +57,30 @@ def concat_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("path", (F.col("at") + 1).alias("position"), checked.alias("file"))
 
 
-def decode(content: bytes) -> tuple[int, np.ndarray]:
-    """Rate and samples (-1 to 1, channels averaged) of a PCM WAV file of 16 or 32 bits."""
-    with wave.open(io.BytesIO(content)) as w:
-        kind = {2: "<i2", 4: "<i4"}.get(w.getsampwidth())
-        if kind is None:
-            raise ValueError(f"{w.getsampwidth() * 8} bits a sample")
-        raw = np.frombuffer(w.readframes(w.getnframes()), kind).reshape(-1, w.getnchannels())
-        return w.getframerate(), raw.astype(float).mean(axis=1) / float(1 << (8 * w.getsampwidth() - 1))
-
-
-def _levels(path: str, content: bytes) -> tuple:
+def _levels(path: str) -> tuple:
+    """Levels of one file, read in blocks from any store that Arrow reads."""
     try:
-        rate, x = decode(content)
-    except (wave.Error, EOFError, ValueError) as e:
+        system, where = fs.FileSystem.from_uri(path)
+        with system.open_input_stream(where) as f:
+            form, blocks = riff.walk(f)
+            levels = riff.Levels(int(form.rate * EDGE_S))
+            for x in blocks:
+                levels.add(x)
+    except (riff.RiffError, OSError, pa.ArrowException) as e:
         return path, None, None, None, None, None, None, str(e) or type(e).__name__
-    edge, top = int(rate * EDGE_S), lambda part: float(np.abs(part).max(initial=0))
-    return path, len(x) / rate, rate, top(x), float(np.sqrt((x**2).mean())) if len(x) else 0.0, top(x[:edge]), top(x[len(x) - edge :] if len(x) >= edge else x), None
+    return path, levels.n / form.rate, form.rate, levels.peak, levels.rms, levels.head, levels.tail_peak, None
 
 
 def audio_levels(spark: SparkSession, path: str) -> DataFrame:
-    """AUDIO of each WAV file: length, peak, RMS and peaks of the first and last 20 ms; `error` where it can't be decoded. Spark has
-    no decoder, so this is a Python function, a file at a time."""
+    """AUDIO of each WAV file: length, peak, RMS and peaks of the first and last 20 ms; `error` where it can't be decoded. Spark lists the
+    files and deals them out; a task reads a file block by block and holds none as a whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([_levels(p, c) for p, c in zip(batch["path"], batch["content"])], columns=[c.split()[0] for c in AUDIO.split(", ")])
+            yield pd.DataFrame([_levels(p) for p in batch["path"]], columns=[c.split()[0] for c in AUDIO.split(", ")])
 
-    return _files(spark, path, "*.wav").select("path", "content").mapInPandas(run, AUDIO)
+    found = _files(ship(spark), path, "*.wav").select("path")
+    return found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, AUDIO)
 
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
