@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import beats as B
 from ..functions import text as X
+from ..operators import contracts as C
 from ..operators import rules as R
 from ..operators import terms
 from .registry import query, table
@@ -203,11 +204,26 @@ def sequence_dry_run(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", F.coalesce(failed, F.lit("COMPLETE")).alias("outcome"), phases.alias("phases"))
 
 
-@query("constraint_report", f"""SELECT {_KEY}, concat_ws(',', CASE WHEN NOT l_quantity BETWEEN 1 AND 48 THEN 'quantity' END, CASE WHEN l_discount > 0.08 THEN 'discount' END, CASE WHEN l_returnflag NOT IN ('A', 'R') THEN 'flag' END) AS violated FROM lineitem WHERE NOT (l_quantity BETWEEN 1 AND 48 AND l_discount <= 0.08 AND l_returnflag IN ('A', 'R'))""")
+# Measures of a chunk, made up from a line item.
+OBSERVED = {
+    "chunk_id": "CASE WHEN l_partkey % 97 = 0 THEN ' ' ELSE concat('c', CAST(l_linenumber AS VARCHAR(9))) END",
+    "audio_sha256": "CASE WHEN l_partkey % 101 = 0 THEN NULL ELSE repeat('a', CAST(64 - CASE WHEN l_suppkey % 50 = 7 THEN 1 ELSE 0 END AS INT)) END",
+    "attempt": "l_linenumber - CASE WHEN l_partkey % 89 = 0 THEN 7 ELSE 0 END",
+    "asr_similarity": "CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE 0.6 + l_discount * 4.4 END",
+    "min_word_confidence": "0.4 + l_tax * 7.7",
+    "mean_word_confidence": "l_discount * 10.4 - 0.01",
+    "pause_ratio": "l_discount * 4",
+    "clipping_ratio": "l_tax - 0.001",
+    "speaking_rate_wpm": "CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_quantity * 4 - 8 END",
+    "pitch_variation_semitones": "l_tax * 90 - 0.5",
+}
+
+
+@query("constraint_report", f"WITH o AS (SELECT {_KEY}, {', '.join(f'{e} AS {k}' for k, e in OBSERVED.items())} FROM lineitem), r AS (SELECT *, {C.violated_sql(C.OBSERVATION)} AS violated FROM o) SELECT {_KEY}, violated FROM r WHERE violated <> ''")
 def constraint_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows that break a rule, and which."""
-    broken = R.reasons({"quantity": ~F.col("l_quantity").between(1, 48), "discount": F.col("l_discount") > 0.08, "flag": ~F.col("l_returnflag").isin("A", "R")})
-    return table(spark, sf, "lineitem").select(*KEY, F.array_join(broken, ",").alias("violated")).where("violated <> ''")
+    """Records that break a rule of their contract, and which."""
+    o = table(spark, sf, "lineitem").select(*KEY, *(F.expr(e).alias(k) for k, e in OBSERVED.items()))
+    return o.select(*KEY, F.array_join(C.violated(C.OBSERVATION), ",").alias("violated")).where("violated <> ''")
 
 
 @query("lexicon_dup_check", "SELECT lower(p_name) AS source, p_brand, CAST(count(*) AS BIGINT) AS n, min(p_partkey) AS first_key FROM part GROUP BY lower(p_name), p_brand HAVING count(*) > 1")
@@ -257,10 +273,29 @@ def acceptance_match(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", now.alias("fingerprint"), (now == then).alias("valid"))
 
 
-@query("request_validation", "SELECT o_orderkey, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'bad_action' WHEN o_totalprice > 400000 THEN 'too_large' WHEN length(o_orderpriority) > 10 THEN 'bad_priority' END AS rejected FROM orders")
+REQUEST = {
+    "authenticated": "CASE WHEN o_custkey % 43 = 0 THEN NULL ELSE o_custkey % 41 <> 0 END",
+    "n_unknown_fields": "CASE WHEN o_custkey % 37 = 5 THEN 1 ELSE 0 END",
+    "n_missing_fields": "CASE WHEN o_custkey % 37 = 6 THEN 2 ELSE 0 END",
+    "schema": "CASE WHEN o_custkey % 31 = 0 THEN 'v2' ELSE 'v1' END",
+    "task": "'T1'",
+    "target": "'saydi'",
+    "action": "CASE WHEN o_orderstatus = 'P' THEN 'write' ELSE 'inventory_v5_readonly' END",
+    "root_key": "CASE o_custkey % 19 WHEN 0 THEN 'x' WHEN 1 THEN NULL ELSE 'MAIN_ROOT' END",
+    "scope": "CASE o_custkey % 5 WHEN 0 THEN 'audio' WHEN 1 THEN 'narrator' WHEN 2 THEN 'checkpoint' WHEN 3 THEN 'model' ELSE CASE WHEN o_orderkey % 6 = 0 THEN 'disk' ELSE 'audio' END END",
+    "mode": "CASE WHEN o_orderkey % 2 = 0 THEN 'metadata' ELSE 'hash' END",
+    "hash_offset": "CASE WHEN o_orderkey % 9 = 0 THEN 5001 WHEN o_orderkey % 3 = 0 THEN o_custkey % 100 ELSE 0 END",
+    "metadata_sha": "CASE WHEN o_custkey % 7 = 0 THEN repeat('g', 64) WHEN o_custkey % 3 = 0 THEN repeat('0', 64) END",
+    "main_sha": "CASE WHEN o_custkey % 23 = 3 THEN repeat('A', 40) ELSE repeat('a', 40) END",
+    "sot_verified": "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE true END",
+}
+
+
+@query("request_validation", f"WITH r AS (SELECT o_orderkey, {', '.join(f'{e} AS {k}' for k, e in REQUEST.items())} FROM orders) SELECT o_orderkey, {C.refused_sql(C.READ_REQUEST)} AS rejected FROM r")
 def request_validation(spark: SparkSession, sf: str) -> DataFrame:
-    why = R.first_failing({"bad_action": ~F.col("o_orderstatus").isin("O", "F"), "too_large": F.col("o_totalprice") > 400000, "bad_priority": F.length("o_orderpriority") > 10})
-    return table(spark, sf, "orders").select("o_orderkey", why.alias("rejected"))
+    """The first of eleven reasons to refuse a request."""
+    r = table(spark, sf, "orders").select("o_orderkey", *(F.expr(e).alias(k) for k, e in REQUEST.items()))
+    return r.select("o_orderkey", C.refused(C.READ_REQUEST).alias("rejected"))
 
 
 @query("ci_gate", "WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY user_id) SELECT user_id, CAST(CASE WHEN last_type = 'error' THEN 3 WHEN last_value < 2 THEN 2 WHEN last_type = 'view' THEN 1 ELSE 0 END AS INT) AS exit_code FROM l")
@@ -285,22 +320,49 @@ def readiness_all(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("jobs"), F.count_if(done).alias("done"), F.bool_and(done & (F.col("o_totalprice") > 0)).alias("ready"))
 
 
-@query("drift_check", "WITH a AS (SELECT o_custkey, max(o_orderpriority) AS p, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1), b AS (SELECT o_custkey, max(o_orderpriority) AS p FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1) SELECT o_custkey, a.p IS NOT DISTINCT FROM b.p AS agrees, a.p AS before, b.p AS after FROM a FULL JOIN b USING (o_custkey)")
-def drift_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Two snapshots must agree on a fixed field."""
-    o, cut = table(spark, sf, "orders"), F.lit("1996-01-01").cast("timestamp")
-    part = lambda rows, name: rows.groupBy("o_custkey").agg(F.max("o_orderpriority").alias(name))
-    both = part(o.where(F.col("o_orderdate") < cut), "before").join(part(o.where(F.col("o_orderdate") >= cut), "after"), "o_custkey", "full_outer")
-    return both.select("o_custkey", F.col("before").eqNullSafe(F.col("after")).alias("agrees"), "before", "after")
+FIXED_FIELDS = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
-@query("case_acceptance", """SELECT conv_id, CAST(count(*) AS BIGINT) AS n_chunks, CAST(count(*) FILTER (WHERE length(text) < 40) AS BIGINT) AS n_short, bool_and(text IS NOT NULL AND role IS NOT NULL) AS complete,
-    CASE WHEN count(*) = max(turn) + 1 AND bool_and(regexp_matches(sha256(text), '^[0-9a-f]{64}$')) AND count(*) FILTER (WHERE length(text) < 40) = 0 THEN 'PASS' ELSE 'REVIEW' END AS verdict FROM conversations GROUP BY conv_id""")
+@query("drift_check", f"""WITH a AS (SELECT * FROM orders WHERE o_orderkey % 11 <> 0), b AS (SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey % 13 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice) FROM orders WHERE o_orderkey % 17 <> 0),
+    j AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, a.o_orderkey IS NULL AS no_a, b.o_orderkey IS NULL AS no_b, concat_ws(',', {', '.join(f"CASE WHEN a.{f} IS DISTINCT FROM b.{f} THEN '{f}' END" for f in FIXED_FIELDS)}) AS d FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey)
+    SELECT o_orderkey, CASE WHEN no_a THEN 'MISSING_BEFORE' WHEN no_b THEN 'MISSING_AFTER' WHEN d <> '' THEN 'CHANGED' ELSE 'SAME' END AS status, CASE WHEN no_a OR no_b THEN '' ELSE d END AS drifted FROM j""")
+def drift_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Two snapshots must agree on every fixed field."""
+    o = table(spark, sf, "orders")
+    later = o.where("o_orderkey % 17 <> 0").withColumns({"o_orderpriority": F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")), "o_totalprice": F.when(F.col("o_orderkey") % 13 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))})
+    d = C.drift(o.where("o_orderkey % 11 <> 0"), later, ["o_orderkey"], FIXED_FIELDS)
+    return d.select("o_orderkey", "status", F.array_join("drifted", ",").alias("drifted"))
+
+
+# Cases are conversations, chunks their turns; measures are made up.
+CASE_FACTS = {"expected_chunks": "n + CASE WHEN conv_id % 13 = 0 THEN 1 ELSE 0 END", "expected_profile": "concat('P', CAST(conv_id % 3 AS VARCHAR(9)))", "profile": "concat('P', CAST((conv_id + CASE WHEN conv_id % 17 = 1 THEN 1 ELSE 0 END) % 3 AS VARCHAR(9)))", "fingerprint": "CASE WHEN conv_id % 19 = 2 THEN '' ELSE 'f' END"}
+CHUNK_FACTS = {
+    "technical_error": "CASE WHEN conv_id % 23 = 3 AND turn = 1 THEN 'clipped' END",
+    "audio_sha256": "CASE WHEN conv_id % 29 = 4 AND turn = 0 THEN 'none' ELSE repeat('a', 64) END",
+    "profile": "concat('P', CAST((conv_id + CASE WHEN conv_id % 31 = 5 AND turn = 0 THEN 1 ELSE 0 END) % 3 AS VARCHAR(9)))",
+    "speaking_rate_wpm": "CASE WHEN conv_id % 11 = 6 AND turn = 1 THEN NULL ELSE 120.0 END",
+    "pause_ratio": "0.1",
+    "pitch_variation_semitones": "1.0",
+    "energy_variation_db": "2.0",
+    "n_unclear": "CASE WHEN length(text) % 9 = 0 THEN 1 ELSE 0 END",
+    "min_word_confidence": "CASE WHEN length(text) % 7 = 0 THEN NULL ELSE 0.5 + (length(text) % 50) * 0.01 END",
+    "n_prosody": "length(text) % 4 - 1",
+    "warnings": "CASE WHEN length(text) < 60 THEN 1 ELSE 0 END",
+    "errors": "CASE WHEN length(text) < 20 THEN 1 ELSE 0 END",
+}
+
+
+@query("case_acceptance", f"""WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), e AS (SELECT conv_id, {', '.join(f'{x} AS {k}' for k, x in CASE_FACTS.items())} FROM n), c AS (SELECT conv_id, {', '.join(f'{x} AS {k}' for k, x in CHUNK_FACTS.items())} FROM conversations),
+    f AS (SELECT e.*, count(*) AS n_chunks, count(*) FILTER (technical_error <> '') AS n_technical, count(*) FILTER (NOT regexp_matches(audio_sha256, '^[0-9a-fA-F]{{64}}$')) AS n_bad_hash, count(*) FILTER (c.profile <> e.expected_profile) AS n_other_profile, count(*) FILTER (speaking_rate_wpm IS NULL) AS n_incomplete,
+      count(*) FILTER (n_unclear > 0 OR coalesce(min_word_confidence < 0.68, false)) AS pronunciation_defects, count(*) FILTER (n_prosody > 0) AS prosody_defects, sum(warnings) AS warnings, sum(errors) AS errors FROM e JOIN c USING (conv_id) GROUP BY ALL),
+    r AS (SELECT *, {C.refused_sql(C.CASE)} AS refused FROM f)
+    SELECT conv_id, CAST(n_chunks AS BIGINT) AS n_chunks, CAST(pronunciation_defects AS BIGINT) AS pronunciation_defects, CAST(prosody_defects AS BIGINT) AS prosody_defects, CAST(warnings AS BIGINT) AS warnings, CAST(errors AS BIGINT) AS errors, refused,
+      CASE WHEN refused IS NOT NULL THEN 'REFUSED' WHEN warnings + errors > 0 THEN 'REVIEW' ELSE 'PASS' END AS verdict FROM r""")
 def case_acceptance(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunk count, hashes and completeness of a case, with its localized defects."""
-    short = F.count_if(F.length("text") < 40)
-    g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_chunks"), short.alias("n_short"), F.bool_and(F.col("text").isNotNull() & F.col("role").isNotNull()).alias("complete"), F.bool_and(F.sha2("text", 256).rlike("^[0-9a-f]{64}$")).alias("h"), F.max("turn").alias("m"))
-    return g.select("conv_id", "n_chunks", "n_short", "complete", F.when((F.col("n_chunks") == F.col("m") + 1) & F.col("h") & (F.col("n_short") == 0), "PASS").otherwise("REVIEW").alias("verdict"))
+    """Count, profile, hashes and complete measures of a case, with its localized defects."""
+    c = table(spark, sf, "conversations")
+    facts = lambda df, of: df.select("conv_id", *(F.expr(e).alias(k) for k, e in of.items()))
+    return C.cases(facts(c.groupBy("conv_id").agg(F.count("*").alias("n")), CASE_FACTS), facts(c, CHUNK_FACTS), "conv_id")
 
 
 @query("process_class", "SELECT event_id, CASE WHEN regexp_matches(event_type, '^(error|signup)$') THEN 'heavy' WHEN regexp_matches(event_type, 'click|view') THEN 'light' ELSE 'other' END AS process_class, list_extract(['SKIPPED', 'OK', 'RETRY'], CAST(event_id % 3 AS INT) + 1) AS run_status FROM events")
