@@ -136,3 +136,33 @@ def sentences(text: Column) -> Column:
 
 def short_id(text: Column, digits: int) -> Column:
     return F.substring(F.sha2(text, 256), 1, digits)
+
+
+# Labels of the four pauses; case doesn't matter.
+_SECONDS = r"\s*[−-]\s*([0-9]+(?:\.[0-9]+)?)s"
+PAUSES = {"dot_seconds": r"Dấu chấm\s*[•.]?", "comma_seconds": r"Dấu phẩy\s*,?", "semicolon_seconds": r"Dấu chấm phẩy\s*;?", "newline_seconds": r"Xuống dòng\s*¶?"}
+
+
+def pause_values(text: Column) -> dict[str, Column]:
+    """The four pauses in seconds that a text tells; one that isn't there fails the query by its name."""
+    line = F.regexp_replace(text, r"\s+", " ")
+    found = {k: F.regexp_extract(line, "(?iu)" + label + _SECONDS, 1) for k, label in PAUSES.items()}
+    return {k: F.when(v != "", v.cast("double")).otherwise(F.raise_error(F.lit(f"pause value {k} not found")).cast("double")) for k, v in found.items()}
+
+
+def decoded(base64: Column) -> Column:
+    """The bytes of base 64 text in lines."""
+    return F.unbase64(F.regexp_replace(base64, r"\s+", ""))
+
+
+#: Latin letters with marks, and those without that engines compare alike.
+_MARKED, _BARE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def bare_letters(text: Column) -> Column:
+    """Lower case without the marks of Latin letters; what is no ASCII character then is dropped."""
+    return F.regexp_replace(F.translate(F.lower(text), _MARKED, _BARE), r"[^\x00-\x7F]", "")
+
+
+def bare_letters_sql(text: str) -> str:
+    return f"regexp_replace(translate(lower({text}), '{_MARKED}', '{_BARE}'), '[^\\x00-\\x7F]', '', 'g')"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import beats as B
+from ..functions import genre as N
 from ..functions import text as X
 from ..operators import contracts as C
 from ..operators import rules as R
@@ -13,10 +14,6 @@ from ..operators import terms
 from .registry import query, table
 from .segments import directed
 
-# Our own dictionaries, for the languages of these tables.
-PRACTICAL = ["license", "version", "tion"]
-STORY = ["and", "und", "der", "que"]
-_SQL = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 # Profile envelopes: words a minute, pause ratio, pitch in semitones, energy in dB (least and most of each).
 ENVELOPES = [
@@ -30,26 +27,11 @@ KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 _KEY = ", ".join(KEY)
 
 
-@query("genre_classify", f"""WITH h AS (SELECT doc_id, list_sum(list_transform({_SQL(PRACTICAL)}, lambda t: (length(lower(text)) - length(replace(lower(text), t, ''))) // length(t))) AS b,
-      list_sum(list_transform({_SQL(STORY)}, lambda t: (length(lower(text)) - length(replace(lower(text), t, ''))) // length(t))) AS f, CAST(len(regexp_extract_all(text, '["“]')) AS BIGINT) AS dialogue, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS technical FROM documents)
-    SELECT doc_id, CASE WHEN b >= greatest(2, f + 1) THEN 'BUSINESS' WHEN f >= 2 OR dialogue >= 4 THEN 'FICTION' ELSE 'GENERAL' END AS genre,
-      round(CASE WHEN b >= greatest(2, f + 1) THEN least(0.9, 0.62 + 0.04 * b) WHEN f >= 2 OR dialogue >= 4 THEN least(0.9, 0.62 + 0.03 * greatest(f, dialogue)) ELSE 0.55 END, 4) AS confidence,
-      CASE WHEN technical >= 8 THEN 'high' WHEN technical >= 3 THEN 'medium' ELSE 'low' END AS technical_density, CAST(b AS BIGINT) AS practical_hits, CAST(f AS BIGINT) AS story_hits FROM h""")
+@query("genre_classify", N.classify_sql("documents", "doc_id", N.EUROPEAN))
 def genre_classify(spark: SparkSession, sf: str) -> DataFrame:
-    """Term hits against thresholds, with a capped confidence and a density class."""
-    low = F.lower("text")
-    count = lambda terms: sum((X.occurrences(low, t) for t in terms[1:]), X.occurrences(low, terms[0]))
-    d = table(spark, sf, "documents").select("doc_id", count(PRACTICAL).alias("b"), count(STORY).alias("f"), F.regexp_count("text", F.lit('["“]')).alias("q"), F.regexp_count("text", F.lit("[0-9]+")).alias("t"))
-    business, fiction = F.col("b") >= F.greatest(F.lit(2), F.col("f") + 1), (F.col("f") >= 2) | (F.col("q") >= 4)
-    capped = lambda k, n: F.least(F.lit(0.9), 0.62 + k * n)
-    return d.select(
-        "doc_id",
-        F.when(business, "BUSINESS").when(fiction, "FICTION").otherwise("GENERAL").alias("genre"),
-        F.round(F.when(business, capped(0.04, F.col("b"))).when(fiction, capped(0.03, F.greatest("f", "q"))).otherwise(0.55), 4).alias("confidence"),
-        F.when(F.col("t") >= 8, "high").when(F.col("t") >= 3, "medium").otherwise("low").alias("technical_density"),
-        F.col("b").alias("practical_hits"),
-        F.col("f").alias("story_hits"),
-    )
+    """Genre by counted terms, with its profile, tone, capped confidence, densities and evidence."""
+    d = N.classify(table(spark, sf, "documents").select("doc_id", "text"), "text", N.EUROPEAN)
+    return d.select("doc_id", "genre", "subgenre", "profile", F.array_join("tone", ",").alias("tone"), "confidence", "dialogue_density", "technical_density", F.array_join("evidence", ",").alias("evidence"))
 
 
 @query("beat_classify", f"""WITH n AS (SELECT conv_id, turn, text AS t, CASE WHEN turn % 7 = 6 THEN ' narrative' END AS given FROM conversations), h AS (SELECT *, {B.searched_sql('t', B.COMMON)} AS s FROM n), f AS (SELECT *, {B.beat_sql('t', 's', B.COMMON)} AS b FROM h),
@@ -166,11 +148,20 @@ def page_state_classify(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", state.alias("state"), F.when(has("logout"), "AUTHENTICATED").when(has("login"), "ANONYMOUS").otherwise("UNKNOWN").alias("auth"))
 
 
-@query("semantic_key", r"""SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%brass%' THEN 'editor' WHEN regexp_matches(lower(p_name), '(mp3|wav|flac)') THEN 'format' WHEN p_size BETWEEN 1 AND 10 THEN 'slider' WHEN p_brand IN ('Brand#11', 'Brand#12') THEN 'login' ELSE 'other' END AS semantic_key,
-    CASE WHEN p_size IS NULL THEN 'missing' WHEN p_size > 40 THEN 'over_limit' WHEN p_size > 30 THEN 'near_limit' ELSE 'ok' END AS input_state FROM part""")
+#: Names that elements have here: known ones in other forms, and unknown ones.
+NAMES = ["VI", " Tự  động", "TẠO GIỌNG NÓI", "tạo giọng", "Generate", "Cài đặt", "lịch sử", "Đang tắt", "Thêm người nói", "nhập kịch bản", "Phụ đề thành giọng nói", "chat với trợ lý", "MP3", "wav", "Đăng nhập để xem lịch sử", "Sign In", "loginx", ""]
+_ELEMENT = {"role": "CASE p_partkey % 9 WHEN 0 THEN 'tab' WHEN 1 THEN 'slider' WHEN 2 THEN 'textbox' WHEN 3 THEN NULL ELSE 'button' END", "editable": "CASE WHEN p_size % 10 = 0 THEN true WHEN p_size % 10 = 1 THEN NULL ELSE false END", "value_now": "CASE WHEN p_partkey % 25 = 7 THEN '3' END"}
+
+
+@query("semantic_key", f"""WITH e AS (SELECT p_partkey, p_size, trim(regexp_replace(lower({NAMES}[CAST(p_partkey % {len(NAMES)} AS INT) + 1]), '\\s+', ' ', 'g')) AS n, {_ELEMENT['role']} AS role, {_ELEMENT['editable']} AS editable, {_ELEMENT['value_now']} AS value_now FROM part),
+    k AS (SELECT * FROM (VALUES {_values(N.ELEMENT_KEYS.items())}) t(n, key))
+    SELECT p_partkey, CASE WHEN coalesce(editable, false) OR coalesce(role = 'textbox', false) THEN 'script_editor' WHEN role = 'tab' AND e.n IN {N.FORMATS} THEN 'format_' || e.n WHEN role = 'slider' OR value_now IS NOT NULL THEN 'slider_unresolved' WHEN starts_with(e.n, 'đăng nhập') OR e.n IN ('login', 'sign in') THEN 'login' ELSE key END AS semantic_key,
+      CASE WHEN p_size IS NULL THEN 'missing' WHEN p_size > 40 THEN 'over_limit' WHEN p_size > 30 THEN 'near_limit' ELSE 'ok' END AS input_state FROM e LEFT JOIN k ON k.n = e.n""")
 def semantic_key(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.when(F.lower("p_type").like("%brass%"), "editor").when(F.lower("p_name").rlike("(mp3|wav|flac)"), "format").when(F.col("p_size").between(1, 10), "slider").when(F.col("p_brand").isin("Brand#11", "Brand#12"), "login").otherwise("other")
+    """What an element is, by its name, role and state, and whether its input is near its limit."""
     size = F.col("p_size")
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("p_partkey") % len(NAMES) + 1).cast("int"))
+    key = N.element_key(name, F.expr(_ELEMENT["role"]), F.expr(_ELEMENT["editable"]), F.expr(_ELEMENT["value_now"]))
     return table(spark, sf, "part").select("p_partkey", key.alias("semantic_key"), F.when(size.isNull(), "missing").when(size > 40, "over_limit").when(size > 30, "near_limit").otherwise("ok").alias("input_state"))
 
 

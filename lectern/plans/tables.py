@@ -147,13 +147,12 @@ def positional_zip(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("vec_id", "pair", at(0).alias("audio"), at(1).alias("gap"))
 
 
-@query("turn_pairs", "SELECT a.conv_id, a.turn, levenshtein(substring(regexp_replace(a.text, '[^\\x00-\\x7F]', '', 'g'), 1, 60), substring(regexp_replace(b.text, '[^\\x00-\\x7F]', '', 'g'), 1, 60)) AS distance FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+@query("turn_pairs", f"SELECT a.conv_id, a.turn, levenshtein({X.bare_letters_sql('a.text')}, {X.bare_letters_sql('b.text')}) AS distance FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
 def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """A turn and the next one, compared as first and second attempt by their ASCII letters (engines differ beyond those)."""
-    ascii_ = lambda c: F.substring(F.regexp_replace(c, r"[^\x00-\x7F]", ""), 1, 60)
+    """A turn and the next one, compared as a whole as first and second attempt, by their letters without marks."""
     w = W.partitionBy("conv_id").orderBy("turn")
     t = table(spark, sf, "conversations").withColumn("next", F.lead(F.struct("turn", "text")).over(w)).where("next.turn = turn + 1")
-    return t.select("conv_id", "turn", F.levenshtein(ascii_("text"), ascii_("next.text")).cast("long").alias("distance"))
+    return t.select("conv_id", "turn", F.levenshtein(X.bare_letters(F.col("text")), X.bare_letters(F.col("next.text"))).cast("long").alias("distance"))
 
 
 @query("token_suspects", r"""WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[0-9]+|\p{L}+(?:[-'']\p{L}+)*')) AS ts FROM conversations)
@@ -233,10 +232,15 @@ def json_defaults(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.coalesce(get("pause"), get("k"), F.lit("500")).cast("long").alias("pause"), F.coalesce(get("kind"), F.lit("NARRATIVE")).alias("kind"))
 
 
-@query("json_allow_list", "SELECT event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k IN ('k', 'v'))), ',') AS accepted, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k NOT IN ('k', 'v'))), ',') AS rejected, list_sort(json_keys(props)) = ['k'] AS exact FROM events")
+@query("json_allow_list", """WITH r AS (SELECT event_id, '{"k": ' || json_extract(props, '$.k') || ', "v": "' || event_type || '", "secret": ' || user_id || '}' AS props FROM events)
+    SELECT event_id, concat_ws(',', CASE WHEN json_extract_string(props, '$.k') IS NOT NULL THEN 'k=' || json_extract_string(props, '$.k') END, 'v=' || json_extract_string(props, '$.v')) AS accepted, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k NOT IN ('k', 'v'))), ',') AS rejected FROM r""")
 def json_allow_list(spark: SparkSession, sf: str) -> DataFrame:
-    keys, allowed = F.json_object_keys("props"), F.array(F.lit("k"), F.lit("v"))
-    return table(spark, sf, "events").select("event_id", F.array_join(F.array_sort(F.array_intersect(keys, allowed)), ",").alias("accepted"), F.array_join(F.array_sort(F.array_except(keys, allowed)), ",").alias("rejected"), (F.array_sort(keys) == F.array(F.lit("k"))).alias("exact"))
+    """The allowed keys with their values, and the names of the others."""
+    raw = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "v": "'), F.col("event_type"), F.lit('", "secret": '), F.col("user_id"), F.lit("}"))
+    m = table(spark, sf, "events").select("event_id", F.from_json(raw, "map<string,string>").alias("m"))
+    allowed = lambda k: k.isin("k", "v")
+    listed = F.transform(F.array_sort(F.map_entries(F.map_filter("m", lambda k, v: allowed(k)))), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return m.select("event_id", F.array_join(listed, ",").alias("accepted"), F.array_join(F.array_sort(F.map_keys(F.map_filter("m", lambda k, v: ~allowed(k)))), ",").alias("rejected"))
 
 
 @query("map_merge", "SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'override' ELSE o_orderpriority END AS priority, o_orderstatus AS status FROM orders")

@@ -79,11 +79,11 @@ def url_parts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", X.bare_url(u).alias("bare_url"), X.url_path(u).alias("path"), X.file_name(X.bare_url(u)).alias("file_name"))
 
 
-@query("label_norm", r"""SELECT page_id, lower(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g'))) AS label,
-    trim(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^\p{L}\p{N}_]+', ' ', 'g')) AS plain FROM pages""")
+@query("label_norm", r"""SELECT page_id, replace(lower(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g'))), 'ß', 'ss') AS label,
+    trim(regexp_replace(replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g')) AS plain FROM pages""")
 def label_norm(spark: SparkSession, sf: str) -> DataFrame:
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return table(spark, sf, "pages").select("page_id", X.label(title).alias("label"), X.plain(title).alias("plain"))
+    t = table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return t.select("page_id", X.casefold(X.label(F.col("title"))).alias("label"), X.plain(X.casefold(F.col("title"))).alias("plain"))
 
 
 @query("first_number", r"SELECT page_id, CAST(nullif(regexp_extract(url, '\b([0-9]{1,15})\b', 1), '') AS BIGINT) AS number FROM pages")
@@ -110,12 +110,14 @@ def display_values(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", number.cast("double").alias("number"), F.nullif(F.regexp_extract(t, r"\b(on|off)\b", 1), F.lit("")).alias("state"))
 
 
-@query("pause_values", r"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, printf('short %d ms; comma %d ms; stop %d ms; paragraph %d ms', CAST(l_quantity AS BIGINT), l_partkey % 400, l_suppkey * 10, l_linenumber * 100) AS t FROM lineitem)
-    SELECT l_orderkey, l_linenumber, l_partkey, CAST(regexp_extract(t, 'short ([0-9]+)', 1) AS BIGINT) AS short_ms, CAST(regexp_extract(t, 'comma ([0-9]+)', 1) AS BIGINT) AS comma_ms, CAST(regexp_extract(t, 'stop ([0-9]+)', 1) AS BIGINT) AS stop_ms, CAST(regexp_extract(t, 'paragraph ([0-9]+)', 1) AS BIGINT) AS paragraph_ms FROM t""")
+@query("pause_values", r"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, printf('Dấu chấm • − %d.5s  DẤU PHẨY , - %ds Dấu chấm phẩy ; − 0.%ds Xuống dòng ¶ - %d.25s', CAST(l_quantity AS BIGINT), l_partkey % 400, l_suppkey % 10, l_linenumber) AS t FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, CAST(regexp_extract(t, '(?i)Dấu chấm\s*[•.]?\s*[−-]\s*([0-9]+(?:\.[0-9]+)?)s', 1) AS DOUBLE) AS dot_seconds, CAST(regexp_extract(t, '(?i)Dấu phẩy\s*,?\s*[−-]\s*([0-9]+(?:\.[0-9]+)?)s', 1) AS DOUBLE) AS comma_seconds,
+      CAST(regexp_extract(t, '(?i)Dấu chấm phẩy\s*;?\s*[−-]\s*([0-9]+(?:\.[0-9]+)?)s', 1) AS DOUBLE) AS semicolon_seconds, CAST(regexp_extract(t, '(?i)Xuống dòng\s*¶?\s*[−-]\s*([0-9]+(?:\.[0-9]+)?)s', 1) AS DOUBLE) AS newline_seconds FROM t""")
 def pause_values(spark: SparkSession, sf: str) -> DataFrame:
-    """Four labelled numbers of one text."""
-    t = F.format_string("short %d ms; comma %d ms; stop %d ms; paragraph %d ms", F.col("l_quantity").cast("long"), F.col("l_partkey") % 400, F.col("l_suppkey") * 10, F.col("l_linenumber") * 100)
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *(F.regexp_extract(t, f"{k} ([0-9]+)", 1).cast("long").alias(f"{k}_ms") for k in ("short", "comma", "stop", "paragraph")))
+    """Four labelled numbers of one text; a missing one fails the query."""
+    t = F.format_string("Dấu chấm • − %d.5s  DẤU PHẨY , - %ds Dấu chấm phẩy ; − 0.%ds Xuống dòng ¶ - %d.25s", F.col("l_quantity").cast("long"), F.col("l_partkey") % 400, F.col("l_suppkey") % 10, F.col("l_linenumber"))
+    d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", t.alias("t"))
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", *(v.alias(k) for k, v in X.pause_values(F.col("t")).items()))
 
 
 @query("usage_text", r"SELECT page_id, list_extract(regexp_extract_all(html, '(?i)[0-9]+ (?:[a-z]+ )?(?:items|pages|results)'), 1) AS usage, CAST(len(regexp_extract_all(html, '<a ')) AS BIGINT) AS n_links FROM pages")
@@ -188,11 +190,30 @@ def reference_sanitizer(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.when(~bad, u).alias("reference"))
 
 
-@query("git_blob_digest", "SELECT item_id, sha1(CAST('blob ' || octet_length(encode(text)) AS BLOB) || '\\x00'::BLOB || encode(text)) AS blob_sha1 FROM benchmark")
+@query("git_blob_digest", "SELECT item_id, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha1(CAST('blob ' || octet_length(encode(text)) AS BLOB) || '\\x00'::BLOB || encode(text)) AS blob_sha1 FROM benchmark")
 def git_blob_digest(spark: SparkSession, sf: str) -> DataFrame:
-    """SHA-1 of "blob", the length in bytes, a zero byte and the content."""
-    blob = F.concat(F.lit("blob "), F.octet_length("text").cast("string"), F.lit("\0"), F.col("text"))
-    return table(spark, sf, "benchmark").select("item_id", F.sha1(blob).alias("blob_sha1"))
+    """SHA-1 of "blob", the length in bytes, a zero byte and the content, which comes in base 64 and in lines."""
+    lines = F.regexp_replace(F.base64("text"), "(.{60})", "$1\n")
+    content = X.decoded(lines)
+    blob = F.concat(F.concat(F.lit("blob "), F.octet_length(content).cast("string"), F.lit("\0")).cast("binary"), content)
+    return table(spark, sf, "benchmark").select("item_id", F.octet_length(content).cast("long").alias("size"), F.sha1(blob).alias("blob_sha1"))
+
+
+@query("page_signals", r"""WITH t AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url, html, trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*</', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS v, regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1) AS ls, regexp_extract_all(html, '<button[^>]*>([^<]*)</button>', 1) AS bs FROM pages)
+    SELECT page_id, url, substring(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')), 1, 300) AS title, sha256(substring(v, 1, 6000)) AS visible_sha, regexp_matches(html, '<input[^>]*type="password"') AS has_password, regexp_matches(html, '<textarea') AS has_textarea, regexp_matches(html, 'contenteditable="true"') AS has_editable,
+      CAST(least(len(bs), 100) AS INT) AS n_buttons, array_to_string(list_transform(list_slice(ls, 1, 100), lambda x: substring(trim(regexp_replace(x, '\s+', ' ', 'g')), 1, 160)), '|') AS links FROM t""")
+def page_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """What a page shows: address without its query, title, visible text, inputs, and the texts of its first hundred buttons and links, each
+    collapsed and cut."""
+    t = table(spark, sf, "pages")
+    line = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    visible = line(F.regexp_replace(F.regexp_replace("html", r"<(script|style)[^>]*>[^<]*</", " "), "<[^>]*>", " "))
+    first = lambda tag: F.transform(F.slice(F.regexp_extract_all("html", F.lit(tag), F.lit(1)), 1, 100), lambda x: F.substring(line(x), 1, 160))
+    return t.select(
+        "page_id", X.bare_url(F.col("url")).alias("url"), F.substring(line(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), 1, 300).alias("title"), F.sha2(F.substring(visible, 1, 6000), 256).alias("visible_sha"),
+        F.col("html").rlike('<input[^>]*type="password"').alias("has_password"), F.col("html").rlike("<textarea").alias("has_textarea"), F.col("html").rlike('contenteditable="true"').alias("has_editable"),
+        F.size(first("<button[^>]*>([^<]*)</button>")).alias("n_buttons"), F.array_join(first("<a [^>]*>([^<]*)</a>"), "|").alias("links"),
+    )
 
 
 @query("element_inventory", r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS t, unnest(range(1, len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>')) + 1)) AS pos FROM pages)
