@@ -31,21 +31,24 @@ def mismatch_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf).select("conv_id", "turn", F.array_join(F.slice(found, 1, 24), ",").alias("suspects"))
 
 
-_PLAIN = "list_filter(string_split(regexp_replace({}, '[^\\x00-\\x7F\\n]|\\n', '', 'g'), ' '), lambda w: w <> '')"
+#: Phrases that have to be heard.
+MUST_HEAR = ["the and of", "nicht wahr", "Érela qué"]
+_WORDS = lambda c: f"list_filter(string_split(trim(regexp_replace({X.bare_letters_sql(c)}, '\\s+', ' ', 'g')), ' '), lambda w: w <> '')"
 
 
-@query("phrase_window", f"""WITH p AS (SELECT a.conv_id, a.turn, {_PLAIN.format("a.text")} AS w, list_slice({_PLAIN.format("b.text")}, 1, 3) AS p
-      FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
-    k AS (SELECT *, unnest(range(greatest(len(p) - 1, 1), len(p) + 2)) AS k FROM p WHERE len(w) > 0 AND len(p) > 0),
-    i AS (SELECT *, unnest(range(1, greatest(len(w) - k + 1, 1) + 1)) AS i FROM k),
-    s AS (SELECT conv_id, turn, array_to_string(list_slice(w, i, i + k - 1), ' ') AS x, array_to_string(p, ' ') AS y FROM i),
-    b AS (SELECT conv_id, turn, max(1 - levenshtein(x, y) / greatest(length(x), length(y), 1)) AS best FROM s GROUP BY conv_id, turn)
-    SELECT p.conv_id, p.turn, round(CAST(coalesce(best, 0) AS DOUBLE), 6) AS best FROM p LEFT JOIN b ON p.conv_id = b.conv_id AND p.turn = b.turn""")
+@query("phrase_window", f"""WITH p AS (SELECT phrase, {_WORDS('phrase')} AS p FROM (SELECT unnest({MUST_HEAR}) AS phrase)), h AS (SELECT conv_id, turn, {_WORDS('text')} AS w FROM conversations), c AS (SELECT * FROM h, p WHERE len(w) > 0),
+    k AS (SELECT *, unnest(range(greatest(len(p) - 1, 1), len(p) + 2)) AS k FROM c), i AS (SELECT *, unnest(range(1, greatest(len(w) - k + 1, 1) + 1)) AS i FROM k),
+    s AS (SELECT conv_id, turn, phrase, array_to_string(list_slice(w, i, i + k - 1), ' ') AS x, array_to_string(p, ' ') AS y FROM i),
+    b AS (SELECT conv_id, turn, phrase, max(1 - levenshtein(x, y) / greatest(length(x), length(y), 1)) AS best FROM s GROUP BY ALL)
+    SELECT h.conv_id, h.turn, p.phrase, round(CAST(coalesce(best, 0) AS DOUBLE), 6) AS best FROM h CROSS JOIN p LEFT JOIN b ON h.conv_id = b.conv_id AND h.turn = b.turn AND p.phrase = b.phrase""")
 def phrase_window(spark: SparkSession, sf: str) -> DataFrame:
-    """How well the next turn's first three words are found in a turn, by ASCII letters (engines differ beyond those)."""
-    plain = lambda c: F.filter(F.split(F.regexp_replace(c, r"[^\x00-\x7F\n]|\n", ""), " "), lambda w: w != "")
-    rows = _pairs(spark, sf).select("conv_id", "turn", plain("text").alias("w"), F.slice(plain("heard"), 1, 3).alias("p"))
-    return rows.select("conv_id", "turn", F.round(S.best_window(F.col("w"), F.col("p")), 6).alias("best"))
+    """How well each phrase is heard somewhere in a turn: its likeness to runs of words one shorter to one longer, all over the turn. By
+    letters without marks, as engines count others differently; by edit distance, which needs no Python."""
+    words = lambda c: F.filter(F.split(F.trim(F.regexp_replace(X.bare_letters(c), r"\s+", " ")), " "), lambda w: w != "")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", words(F.col("text")).alias("w"))
+    phrases = F.array(*(F.struct(F.lit(p).alias("phrase"), words(F.lit(p)).alias("p")) for p in MUST_HEAR))
+    rows = c.select("conv_id", "turn", "w", F.explode(phrases).alias("x")).select("conv_id", "turn", "w", "x.*")
+    return rows.select("conv_id", "turn", "phrase", F.round(S.best_window(F.col("w"), F.col("p")), 6).alias("best"))
 
 
 #: Fixed spoken forms for the query below: none begins with a word that another one ends with.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import ordered as O
+from ..operators import paging
 from .registry import query, table
 
 USER, TIME = ["user_id"], ["ts", "event_id"]
@@ -116,11 +117,13 @@ def sequence_contiguity(spark: SparkSession, sf: str) -> DataFrame:
 @query("energy_delta", """WITH v AS (SELECT vec_id, label, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / 64) AS rms FROM embeddings)
     SELECT vec_id, label, round(abs(20 * log10(rms / lag(rms) OVER (PARTITION BY label ORDER BY vec_id))), 4) AS delta_db FROM v""")
 def energy_delta(spark: SparkSession, sf: str) -> DataFrame:
-    """Step in level between neighbours, in decibels."""
+    """Step in level between neighbours, in decibels. Rows are numbered over many tasks and meet the one before by its number, as there
+    are few labels."""
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    v = table(spark, sf, "embeddings").select("vec_id", "label", F.sqrt(square / 64).alias("rms"))
-    before = F.lag("rms").over(W.partitionBy("label").orderBy("vec_id"))
-    return v.select("vec_id", "label", F.round(F.abs(20 * F.log10(F.col("rms") / before)), 4).alias("delta_db"))
+    v = paging.numbered(table(spark, sf, "embeddings").select("vec_id", "label", F.sqrt(square / 64).alias("rms")), "label", ["vec_id"])
+    before = v.select(F.col("label").alias("_label"), (F.col("rn") + 1).alias("_rn"), F.col("rms").alias("before"))
+    both = v.join(before, F.col("label").eqNullSafe(F.col("_label")) & (F.col("rn") == F.col("_rn")), "left")
+    return both.select("vec_id", "label", F.round(F.abs(20 * F.log10(F.col("rms") / F.col("before"))), 4).alias("delta_db"))
 
 
 @query("keyset_page", "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events WHERE event_id > 5000) WHERE n <= 20")
@@ -132,15 +135,9 @@ def keyset_page(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("keyset_pages", "SELECT event_id, event_type, CAST((n - 1) // 20 AS BIGINT) AS page, CAST((n - 1) % 20 + 1 AS BIGINT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events)")
 def keyset_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Page of 20 and place in it of every row of each type. Numbered per key range, shifted by the counts of the ranges before it,
-    so that no type's rows go to one task."""
-    e = _events(spark, sf).select("event_id", "event_type", F.expr("event_id div 50000").alias("range"))
-    counts = e.groupBy("event_type", "range").agg(F.count("*").alias("c"))
-    # one row per type and 50,000 keys
-    below = counts.withColumn("below", F.sum("c").over(W.partitionBy("event_type").orderBy("range")) - F.col("c"))
-    n = F.row_number().over(W.partitionBy("event_type", "range").orderBy("event_id")) - 1
-    numbered = e.withColumn("n", n).join(below.drop("c"), ["event_type", "range"]).withColumn("n", (F.col("n") + F.col("below")).cast("long"))
-    return numbered.select("event_id", "event_type", F.expr("n div 20").alias("page"), (F.col("n") % 20 + 1).alias("pos"))
+    """Page of 20 and place in it of every row of each type, numbered over many tasks."""
+    e = paging.numbered(_events(spark, sf).select("event_id", "event_type"), "event_type", ["event_id"])
+    return e.select("event_id", "event_type", F.expr("rn div 20").alias("page"), (F.col("rn") % 20 + 1).alias("pos"))
 
 
 @query("log_since_mark", "SELECT user_id, event_id, CAST(pos AS INT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events) WHERE pos >= 10")
@@ -161,19 +158,9 @@ def greedy_sentence_merge(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", "pos", F.length("unit").cast("long").alias("n_chars"), F.sha2("unit", 256).alias("unit_sha"))
 
 
-#: So many ranges are numbered on their own.
-RANGES = 256
-
-
 @query("path_sort_rank", "SELECT page_id, CAST(row_number() OVER (ORDER BY lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), url, page_id) AS INT) AS rank FROM pages")
 def path_sort_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """Rank by case-folded path. Numbered within key ranges, shifted by the counts of the ranges before. Their bounds are those of a
-    sample of a fixed size, so that ranges are even whatever the paths have in common."""
-    rows = table(spark, sf, "pages").select("page_id", F.lower(X.url_path(F.col("url"))).alias("k"), "url")
-    sample = sorted(r.k for r in rows.where("k is not null").orderBy(F.xxhash64("page_id"), "page_id").select("k").limit(RANGES * 16).collect())
-    bounds = F.array(*map(F.lit, sorted(set(sample[16::16])))).cast("array<string>")
-    rows = rows.withColumn("range", F.size(F.filter(bounds, lambda b: b <= F.col("k"))))
-    counts = rows.groupBy("range").agg(F.count("*").alias("n"))
-    below = counts.withColumn("below", F.sum("n").over(W.orderBy("range")) - F.col("n")).drop("n")  # a row for each range
-    n = F.row_number().over(W.partitionBy("range").orderBy("k", "url", "page_id"))
-    return rows.withColumn("n", n).join(F.broadcast(below), "range").select("page_id", (F.col("n") + F.col("below")).cast("int").alias("rank"))
+    """Rank by case-folded path, then by address and number: numbered within even ranges of all three, shifted by the counts of the ranges
+    before, so that neither many rows nor many equal paths go to one task."""
+    rows = table(spark, sf, "pages").select("page_id", F.lower(X.url_path(F.col("url"))).alias("k"), "url", F.lit(0).alias("all"))
+    return paging.numbered(rows, "all", ["k", "url", "page_id"]).select("page_id", (F.col("rn") + 1).cast("int").alias("rank"))

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.state import latest
 from ..session import work_dir
@@ -38,17 +34,12 @@ def sessions(events: DataFrame, gap: str, keys: list[str]) -> DataFrame:
     return counted.select(*keys, F.unix_timestamp("session_window.start").alias("start_s"), "n", "least")
 
 
-def _attempts(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    total = (state.get[0] if state.exists else 0) + sum(len(c) for c in chunks)
-    state.update((total,))
-    queued = min(total, MOST_ATTEMPTS)
-    yield pd.DataFrame({"user_id": [key[0]], "queued": [queued], "exhausted": [total - queued]})
-
-
 def retries(failures: DataFrame) -> DataFrame:
-    """Per user how many failures were queued again and how many were beyond the budget. A user's state is one number, and rows
-    are counted as they come, chunk by chunk."""
-    return failures.select("user_id").groupBy("user_id").applyInPandasWithState(_attempts, "user_id long, queued long, exhausted long", "total long", "update", GroupStateTimeout.NoTimeout)
+    """Per user how many failures were queued again and how many were beyond the budget. A user's state is its count, kept by the
+    engine; partial counts are made before the shuffle."""
+    counted = failures.groupBy("user_id").agg(F.count("*").alias("total"))
+    queued = F.least(F.col("total"), F.lit(MOST_ATTEMPTS).cast("long"))
+    return counted.select("user_id", queued.alias("queued"), (F.col("total") - queued).alias("exhausted"))
 
 
 def settle(stream: DataFrame, keys: list[str], what: str) -> DataFrame:
