@@ -7,8 +7,8 @@ language set (the likeliest one, two, ... languages) grows as long as its penali
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and for every text if nothing could be learned.
 Ties go to the language that sorts first. Repeated rows get equal results; a null doc_id counts as training and not held out.
-Rows with a null lang or text teach nothing. Of a column with more than MAX_LANGUAGES values, those with most trigrams are
-learned (of equal ones those that sort first); the rest, which can only be dirt, teach nothing.
+Rows with a null lang or text teach nothing. Every value of the column is learned, unless `fit` is given a bound: then those
+with most trigrams are (of equal ones those that sort first). The model has 128 kB a language.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ from .store import materialize
 from .words import Words, chunks, ranges
 
 BUCKETS, SEGMENT, ROUNDS, PENALTY = 1 << 15, 16, 12, 3.0
-#: Bound of the model: so many values of `lang` are learned, 128 kB each.
-MAX_LANGUAGES = 256
-#: Numbers (words, or documents' segments, times languages) that a task computes at a time; a longer text alone.
+#: Numbers (trigrams, or documents' segments, times languages) that a task computes at a time; a longer text's segments alone.
 AT_ONCE = 1 << 22
+#: Words times languages up to which a chunk's words are scored once each; beyond, segments are scored by their trigrams.
+TABLE = 1 << 24
+#: A document of so many segments goes through the rounds alone.
+LONG = 256
 UNKNOWN = "und"
 
 
@@ -66,27 +68,36 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """`langs` and, for each, the log probability of every bucket: at most MAX_LANGUAGES x BUCKETS numbers."""
+    """`langs` and, for each, the log probability of every bucket."""
 
     def __init__(self, langs: list[str], counts: np.ndarray):
         self.langs = langs
         smooth = counts + 0.5
         self.log_p = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32) if langs else None
 
-    def word_scores(self, vocab: list[str]) -> np.ndarray:
-        bucket, word = _trigrams(vocab)
-        at = np.searchsorted(word, np.arange(len(vocab)))
-        return np.add.reduceat(self.log_p[bucket], at, axis=0)
-
-
-def fit(rows: DataFrame) -> Model:
-    """Learn from the `text` and `lang` of all rows in which both are given."""
+    def sums(self, bucket: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Scores of runs of trigrams, which begin `at` the given places; computed AT_ONCE numbers at a time, or one run."""
+        out = np.empty((len(at), len(self.langs)), np.float32)
+        ends, most = np.r_[at[1:], len(bucket)], max(1, AT_ONCE // len(self.langs))
+        k = 0
+        while k < len(at):
+            to = max(k + 1, int(np.searchsorted(ends, at[k] + most, "right")))
+            np.add.reduceat(self.log_p[bucket[at[k] : ends[to - 1]]], at[k:to] - at[k], axis=0, out=out[k:to])
+            k = to
+        return out
+
+
+def fit(rows: DataFrame, most_languages: int | None = None) -> Model:
+    """Learn from the `text` and `lang` of all rows in which both are given. `most_languages` bounds the model where the column may be
+    dirty; None learns every value."""
     rows = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     counted = rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counted = materialize(counted, "trigrams")
-    most = counted.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES)
-    packed = counted.join(F.broadcast(most.select("lang")), "lang").groupBy("lang").applyInArrow(_pack, "lang string, counts binary")
-    got = sorted(tuple(r) for r in packed.collect())  # a row per language, at most MAX_LANGUAGES
+    if most_languages is not None:
+        most = counted.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(most_languages)
+        counted = counted.join(F.broadcast(most.select("lang")), "lang")
+    packed = counted.groupBy("lang").applyInArrow(_pack, "lang string, counts binary")
+    got = sorted(tuple(r) for r in packed.collect())  # a row per language
     counts = np.stack([np.frombuffer(c, "<i8") for _, c in got]) if got else np.zeros((0, BUCKETS))
     return Model([x for x, _ in got], counts)
 
@@ -98,9 +109,9 @@ def _pack(table: pa.Table) -> pa.Table:
     return pa.table({"lang": [table.column("lang")[0].as_py()], "counts": pa.array([n.tobytes()], pa.binary())})
 
 
-def _em(p: np.ndarray, at: np.ndarray, n: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _em(p: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions and log likelihood of each document; its segments are rows n of `p` from `at` on."""
-    w = allowed / allowed.sum(axis=1, keepdims=True)
+    w = np.full((len(n), p.shape[1]), 1 / p.shape[1])
     for _ in range(ROUNDS):
         r = np.repeat(w, n, axis=0) * p
         r /= r.sum(axis=1, keepdims=True) + 1e-300
@@ -108,16 +119,38 @@ def _em(p: np.ndarray, at: np.ndarray, n: np.ndarray, allowed: np.ndarray) -> tu
     return w, np.add.reduceat(np.log((np.repeat(w, n, axis=0) * p).sum(axis=1) + 1e-300), at)
 
 
-def _likelihoods(words: Words, model: Model, first: np.ndarray, end: int) -> np.ndarray:
-    """Log likelihood of each segment (words from `first` on, the last up to `end`) under each language."""
-    table, codes = model.word_scores(words.vocab), words.codes
-    out = np.empty((len(first), len(model.langs)))
-    step = max(1, AT_ONCE // (SEGMENT * len(model.langs)))
-    for k in range(0, len(first), step):
-        own = first[k : k + step]
-        stop = first[k + step] if k + step < len(first) else end
-        out[k : k + step] = np.add.reduceat(table[codes[own[0] : stop]], own - own[0], axis=0)
-    return out
+def _em_long(p: np.ndarray) -> tuple[np.ndarray, float]:
+    """The same for one document, whose segments are all rows."""
+    w = np.full(p.shape[1], 1 / p.shape[1])
+    for _ in range(ROUNDS):
+        w = w * (p.T @ (1 / (p @ w + 1e-300))) / len(p)
+    return w, float(np.log(p @ w + 1e-300).sum())
+
+
+class _Scores:
+    """What the words of a chunk of texts say for each language."""
+
+    def __init__(self, words: Words, model: Model):
+        self.words, self.model = words, model
+        self.bucket, word = _trigrams(words.vocab)
+        self.start = np.searchsorted(word, np.arange(len(words.vocab)))
+        self.count = np.diff(np.r_[self.start, len(self.bucket)])
+        self.table = model.sums(self.bucket, self.start) if len(words.vocab) * len(model.langs) <= TABLE else None
+
+    def segments(self, first: np.ndarray, end: int) -> np.ndarray:
+        """Log likelihood of each segment (words from `first` on, the last up to `end`) under each language."""
+        codes, n_langs = self.words.codes, len(self.model.langs)
+        out = np.empty((len(first), n_langs))
+        step = max(1, AT_ONCE // (SEGMENT * n_langs))
+        for k in range(0, len(first), step):
+            own = first[k : k + step]
+            inside = codes[own[0] : first[k + step] if k + step < len(first) else end]
+            if self.table is not None:
+                out[k : k + step] = np.add.reduceat(self.table[inside], own - own[0], axis=0)
+            else:
+                before = np.concatenate([[0], np.cumsum(self.count[inside])])
+                out[k : k + step] = self.model.sums(self.bucket[ranges(self.start[inside], self.count[inside])], before[own - own[0]])
+        return out
 
 
 def mixtures(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -129,38 +162,61 @@ def mixtures(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
         return shares, size
     segments = -(-words.counts[has] // SEGMENT)
     cut = np.cumsum(segments) * len(model.langs)
-    lo = 0
+    scores, lo = _Scores(words, model), 0
     while lo < len(has):
         hi = max(lo + 1, int(np.searchsorted(cut, (cut[lo - 1] if lo else 0) + AT_ONCE, "right")))
-        shares[has[lo:hi]], size[has[lo:hi]] = _sets(words, model, has[lo:hi], segments[lo:hi])
+        alone = lo + np.flatnonzero(segments[lo:hi] >= LONG)[:1]
+        hi = lo + 1 if len(alone) and alone[0] == lo else int(alone[0]) if len(alone) else hi
+        shares[has[lo:hi]], size[has[lo:hi]] = _sets(scores, has[lo:hi], segments[lo:hi])
         lo = hi
     return shares, size
 
 
-def _sets(words: Words, model: Model, docs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and set sizes of neighbouring documents, which have n segments each."""
+def _sets(scores: _Scores, docs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions and set sizes of neighbouring documents, which have n segments each. Sets grow along each document's languages by their
+    shares among all; only those columns that a set has are looked at."""
+    words = scores.words
     at = np.concatenate([[0], np.cumsum(n)[:-1]])
     first = np.repeat(words.starts[docs], n) + (np.arange(n.sum()) - np.repeat(at, n)) * SEGMENT
-    like = _likelihoods(words, model, first, int(words.ends[docs[-1]]))
-    p = np.exp(like - like.max(axis=1, keepdims=True))
-    full, _ = _em(p, at, n, np.ones((len(docs), len(model.langs))))
-    rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
-    best, best_score = _em(p, at, n, (rank < 1).astype(float))
-    size = np.ones(len(docs), np.int64)
+    p = scores.segments(first, int(words.ends[docs[-1]]))
+    p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
+    if len(docs) == 1 and n[0] >= LONG:
+        return _set_of_long(p)
+    order = np.argsort(-_em(p, at, n)[0], axis=1, kind="stable")
+    best, size = np.zeros((len(docs), p.shape[1])), np.ones(len(docs), np.int64)
+    best_score = np.full(len(docs), -np.inf)
     open_ = np.arange(len(docs))  # whose set has grown so far
-    for k in range(2, len(model.langs) + 1):
-        own = ranges(at[open_], n[open_])
-        m = n[open_]
-        w, fit_ = _em(p[own], np.concatenate([[0], np.cumsum(m)[:-1]]), m, (rank[open_] < k).astype(float))
+    for k in range(1, p.shape[1] + 1):
+        own, m = ranges(at[open_], n[open_]), n[open_]
+        columns = order[open_, :k]
+        w, fit_ = _em(p[own[:, None], np.repeat(columns, m, axis=0)], np.concatenate([[0], np.cumsum(m)[:-1]]), m)
         score = fit_ - PENALTY * (k - 1) * np.log1p(m)
         better = score > best_score[open_]
-        open_ = open_[better]
+        open_, columns = open_[better], columns[better]
         if not len(open_):
             break
-        best[open_], best_score[open_], size[open_] = w[better], score[better], k
+        best[open_] = 0
+        best[open_[:, None], columns] = w[better]
+        best_score[open_], size[open_] = score[better], k
     return best, size
 
 
+def _set_of_long(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one document, in matrix products over the columns in order."""
+    order = np.argsort(-_em_long(p)[0], kind="stable")
+    p = np.asfortranarray(p[:, order])
+    best, size, best_score = np.zeros((1, len(order))), 0, -np.inf
+    for k in range(1, len(order) + 1):
+        w, fit_ = _em_long(p[:, :k])
+        score = fit_ - PENALTY * (k - 1) * np.log1p(len(p))
+        if score <= best_score:
+            break
+        best[:] = 0
+        best[0, order[:k]], best_score, size = w, score, k
+    return best, np.array([size])
+
+
 def predict(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """`docs` with the main language of each text, its share of the text (0 to 1) and the languages found."""
 

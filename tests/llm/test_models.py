@@ -92,8 +92,9 @@ def test_language_against_brute_force(spark, monkeypatch):
     model = langid.fit(train)
     names = sorted(parts)
     texts = [" ".join(parts[x][:600] for x in names[:k]) for k in range(1, 7)] + [parts[x][:90] for x in names] + [t for _, t in odd_rows() if words(t) and len(t) < 5000]
-    for at_once in (langid.AT_ONCE, 500):
+    for at_once, long in ((langid.AT_ONCE, langid.LONG), (500, langid.LONG), (langid.AT_ONCE, 4), (langid.AT_ONCE, 1)):
         monkeypatch.setattr(langid, "AT_ONCE", at_once)
+        monkeypatch.setattr(langid, "LONG", long)
         shares, size = langid.mixtures(pa.array(texts), model)
         for t, own, n in zip(texts, shares, size):
             want, k = brute_language(t, model)
@@ -102,12 +103,41 @@ def test_language_against_brute_force(spark, monkeypatch):
         assert size[5] > 4  # no bound of languages in a set
 
 
-def test_language_of_dirty_labels(spark, monkeypatch):
-    """More values than the model's bound: those with most text are learned, and nothing fails."""
-    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+def test_language_of_dirty_labels(spark):
+    """Every value is learned; with a bound those with most text are, and nothing fails."""
     rows = [(prose(200, k), x) for k, x in enumerate("abc")] + [(prose(5, 50 + k), f"dirt{k}") for k in range(40)]
-    model = langid.fit(spark.createDataFrame(rows, "text string, lang string").repartition(4))
-    assert model.langs == ["a", "b", "c"]
+    train = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    assert langid.fit(train, 3).langs == ["a", "b", "c"]
+    whole = langid.fit(train)
+    assert len(whole.langs) == 43 and langid.predict(spark.createDataFrame([(prose(200, 1),)], "text string"), whole).first().lang_pred == "b"
+
+
+def test_many_languages_in_bounded_memory_and_time():
+    """256 languages, and 4 MB of words that are all different: scored by trigrams, in steps."""
+    import resource
+    import time
+
+    g = np.random.default_rng(1)
+    model = langid.Model([f"l{i:03d}" for i in range(256)], g.gamma(0.3, 200, (256, langid.BUCKETS)))
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = [" ".join("".join(x) for x in letters[g.integers(0, 26, (50_000, 7))]) for _ in range(10)] + ["".join(letters[g.integers(0, 26, 40)]) for _ in range(200)]
+    before, start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.perf_counter()
+    shares, size = langid.mixtures(pa.array(texts), model)
+    took, grown = time.perf_counter() - start, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
+    assert np.allclose(shares.sum(axis=1), 1) and (size >= 1).all()
+    assert took < 20 and grown < 600, (took, grown)
+
+
+def test_segments_by_words_and_by_trigrams_agree(monkeypatch):
+    g = np.random.default_rng(2)
+    model = langid.Model(list("abcdefg"), g.gamma(0.3, 20, (7, langid.BUCKETS)))
+    texts = pa.array([prose(n, n) for n in (1, 15, 16, 17, 5000)] + ["", None])
+    whole = langid.mixtures(texts, model)
+    monkeypatch.setattr(langid, "TABLE", 0)
+    for at_once in (langid.AT_ONCE, 50):
+        monkeypatch.setattr(langid, "AT_ONCE", at_once)
+        shares, size = langid.mixtures(texts, model)
+        assert np.allclose(shares, whole[0], atol=1e-4) and (size == whole[1]).all()
 
 
 def test_registered_language_query(spark):
