@@ -1,10 +1,12 @@
 """WARC archives with an index of their records.
 
-Writing: each task writes one archive of gzip members, a member per record, and returns the index rows: path, offset, length,
-url and digest. The index is a table; an archive that a lost attempt left behind is in no row of it.
+Writing: each task writes archives of gzip members, a member per record, of about ARCHIVE bytes each, and returns the index rows: path,
+offset, length, url and digest. The index is a table; an archive that a lost attempt left behind is in no row of it.
 
 Pages with equal payloads of LEAST_SHARED bytes or more share one response record, that of the smallest page_id; the others
-are revisit records, which hold headers alone and name the response they refer to.
+are revisit records, which hold headers alone and name the address and page of the response they refer to. Record ids are made
+from a record's archive and place, so that none comes twice. An address that doesn't fit into a header line as it is stands
+there escaped, and whole in a field of our own; any other is left alone.
 
 Reading: the selected index rows are sorted by path and offset, and neighbours whose gap is small are joined to ranges of at
 most RANGE bytes (a longer record is a range of its own). Each range is read once, and its records are parsed and checked.
@@ -17,6 +19,7 @@ to. An empty table gives an empty index, and no archive.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,28 +34,39 @@ from .store import fresh_dir, materialize
 from .words import chunks
 
 LEAST_SHARED = 100
-RANGE, GAP = 4 << 20, 64 << 10
+RANGE, GAP, ARCHIVE = 4 << 20, 64 << 10, 1 << 30
 INDEX = "path string, offset long, length long, url string, digest string, page_id long, record_type string"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload_ok boolean, payload binary"
 #: Fixed: no clock is read, so that equal pages give equal archives.
 DATE = "2024-01-01T00:00:00Z"
 
 
-def _record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+#: Fields of our own: the page's number, that of the page referred to, and an address that isn't a line.
+PAGE, REFERS, EXACT_URL = "Page-ID", "Refers-To-Page-ID", "Exact-Target-URI"
+
+
+def _line(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def _record(record_id: uuid.UUID, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
-    name = "" if page_id is None else page_id
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{name}>",
+        f"WARC-Record-ID: <{record_id.urn}>",
         f"WARC-Date: {DATE}",
-        "WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"),
+        f"WARC-Target-URI: {_line(url)}",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
     ]
+    if page_id is not None:
+        head.append(f"{PAGE}: {page_id}")
+    if _line(url) != url:
+        head.append(f"{EXACT_URL}: {_line(url.replace('%', '%25'))}")
     if revisit:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To-Target-URI: {_line(refers_url or '')}", f"WARC-Refers-To-Date: {DATE}", f"{REFERS}: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     block = http if revisit else http + payload
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -76,12 +90,16 @@ def _write(folder: str):
         path, out, at = None, None, 0
         for batch in chunks(batches, "html"):
             rows = []
-            for page_id, url, html, digest, to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to"))):
+            for page_id, url, html, digest, to, to_url in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "refers_url"))):
+                if out is not None and at >= ARCHIVE:
+                    out.close()
+                    out, at = None, 0
                 if out is None:
                     path = files.new_name(folder, "pages", ".warc.gz")
                     out = files.writer(path)
                 pack = zlib.compressobj(3, zlib.DEFLATED, 31)
-                member = pack.compress(_record(page_id, url or "", (html or "").encode("utf-8", "surrogatepass"), digest, to)) + pack.flush()
+                record_id = uuid.uuid5(uuid.NAMESPACE_URL, f"{path}#{at}")
+                member = pack.compress(_record(record_id, page_id, url or "", (html or "").encode("utf-8", "surrogatepass"), digest, to, to_url)) + pack.flush()
                 out.write(member)
                 rows.append((path, at, len(member), url, digest, page_id, "response" if to is None else "revisit"))
                 at += len(member)
@@ -101,10 +119,11 @@ def write(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
     shared = rows.where((F.octet_length("html") >= LEAST_SHARED) & F.col("page_id").isNotNull())
-    firsts = shared.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
+    firsts = shared.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("head"), F.max("page_id").alias("last")).where("head.page_id < last")
     # only payloads that occur more than once come here: few rows, or else a sort-merge join whose hot digests Spark splits
-    linked = rows.join(firsts.select("digest", "first"), "digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
-    return materialize(linked.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_write(fresh_dir(spark, "warc")), INDEX), "warc-index")
+    linked = rows.join(firsts.select("digest", F.col("head.page_id").alias("first"), F.col("head.url").alias("refers_url")), "digest", "left")
+    linked = linked.withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
+    return materialize(linked.select("page_id", "url", "html", "digest", "refers_to", "refers_url").mapInArrow(_write(fresh_dir(spark, "warc")), INDEX), "warc-index")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +137,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 got = parse(zlib.decompress(data[r["offset"] - start : r["offset"] - start + r["length"]], 31))
                 f, payload = got["fields"], got["payload"]
                 digest = f["WARC-Payload-Digest"].removeprefix("sha256:")
-                number = lambda x: int(x[len("<urn:page:") : -1]) if x and x != "<urn:page:>" else None
+                number = lambda x: int(f[x]) if x in f else None  # noqa: E731, B023
                 ok = payload is None or (len(payload) == got["payload_bytes"] and hashlib.sha256(payload).hexdigest() == digest == r["digest"])
-                url = f["WARC-Target-URI"].replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-                rows.append((number(f["WARC-Record-ID"]), url, f["WARC-Type"], number(f.get("WARC-Refers-To")), got["payload_bytes"], digest, ok, payload))
+                url = f[EXACT_URL].replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%") if EXACT_URL in f else f["WARC-Target-URI"]
+                rows.append((number(PAGE), url, f["WARC-Type"], number(REFERS), got["payload_bytes"], digest, ok, payload))
             yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 

@@ -1,6 +1,7 @@
 import itertools
 import os
 import random
+import re
 import subprocess
 import sys
 import zlib
@@ -8,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -15,6 +17,7 @@ from tokenizers import Tokenizer
 
 from lectern.llm import packing, pieces, warc
 from lectern.llm.queries import ORACLES, QUERIES
+from lectern.llm.store import fresh_dir
 from tests import oracle
 
 from .data import empty_docs, odd_docs, odd_rows
@@ -39,10 +42,29 @@ def test_warc_round_trip(spark):
     by = {r.page_id: r for r in got}
     assert bytes(by[1].payload).decode() == big and by[2].payload is None and by[2].payload_bytes == len(big.encode())
     assert by[1].url == "http://a/%0A\n"
+    assert by[4].url == "http://c" and by[3].url == ""
     some = warc.read(index.where("page_id in (1, 7)")).collect()
     assert {r.page_id for r in some} == {1, 7}
 
 
+def test_warc_headers_are_for_other_readers(spark, monkeypatch):
+    """Addresses as they are, valid ids that never repeat, references that can be followed, and archives of bounded size."""
+    big = "x" * 200
+    rows = [(1, "http://a/%41?q=1%2C2 é", big), (2, "http://b/\r\nWARC-Type: x", big), (3, "http://c/%0A", "three"), (3, "http://c/%0A", "three"), (3, "http://c/%0A", "other")]
+    monkeypatch.setattr(warc, "ARCHIVE", 300)
+    write = warc._write(f"{fresh_dir(spark, 'warc-test')}")
+    first, digest = "http://a/%41?q=1%2C2 é", "d"
+    batch = pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), pa.array([digest] * 5), pa.array([None, 1, None, None, None], pa.int64()), pa.array([first] * 5)], names=["page_id", "url", "html", "digest", "refers_to", "refers_url"])
+    index = [r for out in write(iter([batch])) for r in out.to_pylist()]
+    assert len({r["path"] for r in index}) > 1
+    records = [warc.parse(zlib.decompress(warc.files.reader(r["path"]).read_at(r["length"], r["offset"]), 31))["fields"] for r in index]
+    assert [f["WARC-Target-URI"] for f in records] == [first, "http://b/%0D%0AWARC-Type: x", "http://c/%0A", "http://c/%0A", "http://c/%0A"]
+    assert len({f["WARC-Record-ID"] for f in records}) == 5 and all(re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", f["WARC-Record-ID"]) for f in records)
+    assert records[1]["WARC-Type"] == "revisit" and records[1]["WARC-Refers-To-Target-URI"] == first and "WARC-Refers-To" not in records[1]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(r.url for r in warc.read(warc.write(pages)).collect()) == sorted(r[1] for r in rows)
+
+
 def test_warc_on_nothing(spark):
     assert warc.read(warc.write(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
