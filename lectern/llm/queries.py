@@ -106,7 +106,7 @@ ORACLES["op4_substring_dedup"] = r"""
 
 @_register
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+    return topk.top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0).drop("query_hash")
 
 
 ORACLES["op5_topk_search"] = """

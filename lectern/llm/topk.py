@@ -11,8 +11,8 @@ meet its candidates, which the task holds as packed arrays: memory is bounded by
 final ranking takes those.
 
 Defined results: null vectors and vectors with a null, NaN or infinite component take no part, as query or candidate. Only
-vectors of equal length meet. Rows that repeat a vec_id are candidates each for itself, but none of its own id; a null vec_id
-takes no part. Ties go to the smaller vec_id. A query with fewer than k candidates returns all of them. Scores are exact while
+vectors of equal length meet. Rows that repeat a vec_id are candidates each for itself, but none of its own id; as queries, rows with
+one id and different vectors have a list each, told apart by query_hash, and rows equal in both one list. A null vec_id takes no part. Ties go to the smaller vec_id. A query with fewer than k candidates returns all of them. Scores are exact while
 they fit 64 bits.
 """
 
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -141,8 +142,9 @@ def _search(k: int):
 
 
 def _rows(b: _Best) -> pa.RecordBatch:
-    rows = [(int(q), i, -n) for q, found in zip(b.ids, b.found) for n, i in found]
-    return pa.record_batch([pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else ([], [], []))], names=["query_id", "vec_id", "score"])
+    own = [xxhash.xxh3_64_intdigest(q.tobytes()) - (1 << 63) for q in b.q]
+    rows = [(int(q), h, i, -n) for q, h, found in zip(b.ids, own, b.found) for n, i in found]
+    return pa.record_batch([pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else ([], [], [], []))], names=["query_id", "query_hash", "vec_id", "score"])
 
 
 def quantise(vectors: DataFrame) -> DataFrame:
@@ -154,7 +156,7 @@ def quantise(vectors: DataFrame) -> DataFrame:
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows of `vectors` (vec_id, embedding) that `is_query` picks by vec_id."""
+    """(query_id, rank, vec_id, score, query_hash) for the rows of `vectors` (vec_id, embedding) that `is_query` picks by vec_id."""
     spark = vectors.sparkSession
     rows = quantise(vectors)
     parts = parallelism(spark)
@@ -165,6 +167,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     blocks = rows.where(is_query).distinct().mapInArrow(_pack(0), schema).withColumn("is_query", F.lit(True))
     queries = blocks.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)).cast("array<long>")))
     dealt = candidates.unionByName(queries).repartition(parts, "slot").sortWithinPartitions("slot", "is_query")
-    found = dealt.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = dealt.mapInArrow(_search(k), "query_id long, query_hash long, vec_id long, score long")
+    order = W.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")  # k rows a slot
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_hash")

@@ -146,3 +146,13 @@ def test_topk_on_odd_vectors(spark):
 
 def test_topk_on_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).count() == 0
+
+
+def test_queries_that_share_an_id(spark):
+    """Two vectors under one id are two queries, each with a list of k of its own; equal rows are one."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [0.5, 0.1]), (2, [0.1, 0.5]), (3, [0.25, 0.25])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), F.col("vec_id") == 0, 2).collect()
+    lists = {}
+    for r in sorted(got, key=lambda r: r.rank):
+        lists.setdefault(r.query_hash, []).append(r.vec_id)
+    assert sorted(lists.values()) == [[1, 3], [2, 3]]
