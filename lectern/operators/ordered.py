@@ -3,6 +3,8 @@ whose rows fit a task's sort. `order` must be a total order for results to be de
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,49 +50,59 @@ def fill_page(rows: DataFrame, keys: list[str], order: list[str], size: Column,
     return first.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= most_bytes)
 
 
-def merge_short(items: Column, most: int, hold: int) -> Column:
-    """Greedy merge of neighbouring short strings of an array: a pending one takes the next if both are under `hold` characters
-    or so and together at most `most`; else it is handed on."""
-    none = F.lit(None).cast("string")
-    start = F.struct(F.array().cast("array<string>").alias("out"), none.alias("pending"))
-
-    def step(acc: Column, s: Column) -> Column:
-        p = acc["pending"]
-        joined = F.concat(p, F.lit(" "), s)
-        fits = p.isNotNull() & (F.length(p) < hold) & (F.length(joined) <= most)
-        out = F.when(fits | p.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(p)))
-        return F.struct(out.alias("out"), F.when(fits, joined).otherwise(s).alias("pending"))
-
-    return F.aggregate(items, start, step, lambda acc: F.when(acc["pending"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["pending"]))))
-
-
 #: Elements of a long array that are folded together.
 _BLOCK = 512
 
 
-def merged_ends(lengths: Column, calm: Column, most: int, hold: int) -> Column:
-    """Where the units of an array of strings end (counted from 1), by greedy merge: a calm string is joined to the one held back while
-    both have at most `most` characters together, with a blank between; a calm one under `hold` characters is held back, anything else
-    is handed on as it stands.
+def _ends(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Where the units of an array end (counted from 1), by a fold that holds the length of an open unit, or null. `step(acc, item)`
+    gives the ends that an item makes and what is held behind it; acc has `at`, the items before, and `held`.
 
     Folded block by block, and over numbers alone, so that no array grows by one element at a time beyond a block."""
-    items = F.arrays_zip(lengths.alias("n"), calm.alias("calm"))
     blocks = lambda x: F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / _BLOCK).cast("int")), lambda b: F.slice(x, b * _BLOCK + 1, F.lit(_BLOCK))))
     none = F.array().cast("array<int>")
 
-    def step(acc: Column, x: Column) -> Column:
-        """at: strings seen; held: characters held back, or null; out: ends found in this block."""
-        joins = x["calm"] & acc["held"].isNotNull() & (acc["held"] + x["n"] + 1 <= most)
-        holds = x["calm"] & (x["n"] < hold)
-        ended = F.when(joins, none).otherwise(F.array_compact(F.array(F.when(acc["held"].isNotNull(), acc["at"]), F.when(~holds, acc["at"] + 1))))
-        held = F.when(joins, acc["held"] + x["n"] + 1).when(holds, x["n"])
+    def one(acc: Column, x: Column) -> Column:
+        ended, held = step(acc, x)
         return F.struct((acc["at"] + 1).alias("at"), held.alias("held"), F.concat(acc["out"], ended).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("held"), none.alias("out"), F.array().cast("array<array<int>>").alias("done"))
 
     def block(acc: Column, xs: Column) -> Column:
-        inner = F.aggregate(xs, F.struct(acc["at"].alias("at"), acc["held"].alias("held"), none.alias("out")), step)
+        inner = F.aggregate(xs, F.struct(acc["at"].alias("at"), acc["held"].alias("held"), none.alias("out")), one)
         return F.transform(F.array(inner), lambda r: F.struct(r["at"].alias("at"), r["held"].alias("held"), none.alias("out"), F.concat(acc["done"], F.array(r["out"])).alias("done")))[0]
 
-    whole = lambda xs: F.aggregate(F.coalesce(blocks(xs), F.array().cast("array<array<struct<n:int,calm:boolean>>>")), start, block, lambda acc: F.concat(F.flatten(acc["done"]), F.array_compact(F.array(F.when(acc["held"].isNotNull(), acc["at"])))))
+    last = lambda acc: F.concat(F.flatten(acc["done"]), F.array_compact(F.array(F.when(acc["held"].isNotNull(), acc["at"]))))
+    whole = lambda xs: F.aggregate(F.coalesce(blocks(xs), F.array().cast(f"array<array<{kind}>>")), start, block, last)
     return F.transform(F.array(items), whole)[0]
+
+
+def merged_ends(lengths: Column, calm: Column, most: int, hold: int) -> Column:
+    """Ends of the units of an array of strings, by greedy merge: a calm string is joined to the one held back while both have at most
+    `most` characters together, with a blank between; a calm one under `hold` characters is held back, anything else is handed on as
+    it stands."""
+
+    def step(acc: Column, x: Column) -> tuple[Column, Column]:
+        joins = x["calm"] & acc["held"].isNotNull() & (acc["held"] + x["n"] + 1 <= most)
+        holds = x["calm"] & (x["n"] < hold)
+        ended = F.when(joins, F.array().cast("array<int>")).otherwise(F.array_compact(F.array(F.when(acc["held"].isNotNull(), acc["at"]), F.when(~holds, acc["at"] + 1))))
+        return ended, F.when(joins, acc["held"] + x["n"] + 1).when(holds, x["n"])
+
+    return _ends(F.arrays_zip(lengths.alias("n"), calm.alias("calm")), "struct<n:int,calm:boolean>", step)
+
+
+def short_ends(lengths: Column, most: int, hold: int) -> Column:
+    """Ends of the units of an array of strings, by greedy merge: the open unit takes the next string if it has under `hold` characters and
+    both together, with a blank between, have at most `most`; else the next string opens a unit."""
+
+    def step(acc: Column, n: Column) -> tuple[Column, Column]:
+        joins = acc["held"].isNotNull() & (acc["held"] < hold) & (acc["held"] + n + 1 <= most)
+        return F.array_compact(F.array(F.when(acc["held"].isNotNull() & ~joins, acc["at"]))), F.when(joins, acc["held"] + n + 1).otherwise(n)
+
+    return _ends(lengths, "int", step)
+
+
+def joined(parts: str, ends: str) -> Column:
+    """The units of the array column `parts` that end at the places in the array column `ends`, each joined by blanks."""
+    begin = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+    return F.transform(ends, lambda end, i: F.array_join(F.slice(parts, begin(i) + 1, end - begin(i)), " "))

@@ -153,8 +153,8 @@ def log_since_mark(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS pos, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS unit_sha FROM o""")
 def greedy_sentence_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbouring short sentences of a document as one unit."""
-    units = O.merge_short(X.sentences(F.col("text")), 280, 180)
-    d = table(spark, sf, "documents").select("doc_id", F.posexplode(units).alias("pos", "unit"))
+    d = table(spark, sf, "documents").select("doc_id", X.sentences(F.col("text")).alias("parts"))
+    d = d.withColumn("ends", O.short_ends(F.transform("parts", lambda s: F.length(s)), 280, 180)).select("doc_id", F.posexplode(O.joined("parts", "ends")).alias("pos", "unit"))
     return d.select("doc_id", "pos", F.length("unit").cast("long").alias("n_chars"), F.sha2("unit", 256).alias("unit_sha"))
 
 

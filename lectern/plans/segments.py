@@ -150,8 +150,7 @@ def story_units(texts: DataFrame, keys: list[str], text: str, cues: B.Cues = B.E
     # each sentence is folded once, as a lambda's variable
     calm = F.transform("_parts", lambda s: F.transform(F.array(B.searched(X.casefold(s), cues)), lambda x: B.is_calm(s, x, cues))[0])
     d = d.withColumn("_ends", O.merged_ends(F.transform("_parts", lambda s: F.length(s)), calm, MERGED_CHARS, HOLD_CHARS))
-    merged = F.transform("_ends", lambda end, i: F.array_join(F.slice("_parts", F.coalesce(F.get("_ends", i - 1), F.lit(0)) + 1, end - F.coalesce(F.get("_ends", i - 1), F.lit(0))), " "))
-    return d.select(*keys, F.posexplode(merged).alias("k", "t"))
+    return d.select(*keys, F.posexplode(O.joined("_parts", "_ends")).alias("k", "t"))
 
 
 @query("standalone_integers", r"""WITH d AS (SELECT doc_id, regexp_replace(' ' || text || ' ', '([^\p{L}\p{N}_.,])', '\1\1', 'g') AS t FROM documents), f AS (SELECT doc_id, regexp_extract_all(t, '[^\p{L}\p{N}_.,]([0-9]{1,6})[^\p{L}\p{N}_.,]', 1) AS ns FROM d)

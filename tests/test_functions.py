@@ -71,9 +71,9 @@ def test_timeline_skips_invalid_rows(spark):
 
 
 def test_merge_short(spark):
-    got = one(spark, ["aa", "bb", "c" * 9, "d"], lambda c: O.merge_short(c, 6, 4), "array<string>")
+    got = one(spark, ["aa", "bb", "c" * 9, "d"], lambda c: O.joined(c, O.short_ends(F.transform(c, lambda s: F.length(s)), 6, 4)), "array<string>")
     assert got == ["aa bb", "c" * 9, "d"]
-    assert one(spark, [], lambda c: O.merge_short(c, 6, 4), "array<string>") == []
+    assert one(spark, [], lambda c: O.joined(c, O.short_ends(F.transform(c, lambda s: F.length(s)), 6, 4)), "array<string>") == []
 
 
 def test_changes_keep_nulls(spark):
