@@ -202,7 +202,7 @@ _CANONICAL = "CASE WHEN (conv_id + turn) % 8 = 1 THEN concat('ABC ', text) ELSE
 _HAS_RECEIPT, _HAS_EVIDENCE = "conv_id % 3 <> 0", "conv_id % 21 <> 20 OR turn <> 0"
 
 
-@query("evidence_audit", f"""WITH i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS index FROM conversations), s AS (SELECT conv_id, index, text, {_CANONICAL} AS canonical, {_facts_sql(SEGMENT)} FROM i),
+@query("evidence_audit", rf"""WITH i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS index FROM conversations), s AS (SELECT conv_id, index, text, {_CANONICAL} AS canonical, {_facts_sql(SEGMENT)} FROM i),
     q AS (SELECT conv_id, index, {_facts_sql(EVIDENCE)} FROM i WHERE {_HAS_EVIDENCE}), v AS (SELECT DISTINCT conv_id, {_facts_sql(RECEIPT)}, [CAST(conv_id % 5 AS BIGINT)] AS changed FROM conversations WHERE {_HAS_RECEIPT}),
     n AS (SELECT conv_id, count(*) AS n, max(abs(gap_seconds * 1000 - gap_ms) > 4) AS gap_bad FROM s GROUP BY conv_id), m AS (SELECT conv_id, count(*) AS n FROM q GROUP BY conv_id),
     k AS (SELECT n.conv_id, v.conv_id IS NOT NULL AS has, coalesce(whole_chapter_approved, false) AS approved, CASE WHEN m.n IS DISTINCT FROM n.n THEN 'WHISPER_QC_INCOMPLETE' WHEN gap_bad THEN 'GAP_LENGTH_INVALID' WHEN NOT source_ok THEN 'SOURCE_HASH_MISMATCH' WHEN NOT output_ok THEN 'REVIEW_HASH_MISMATCH'
