@@ -1,16 +1,16 @@
 """Similarity join of documents by the Jaccard coefficient of their 5-word shingles, through a MinHash LSH forest.
 
 Every text has TREES signatures of DEPTH least hashes each, kept as byte strings whose prefixes are the nodes of that tree's
-trie. Two texts are candidates where they share the *leaf* of some tree. Leaves are found from the counts of the nodes, and the
-matched prefix of a text is as short as its surroundings allow:
+trie. Two texts are candidates where they share the *leaf* of some tree. Signatures are sorted, and leaves are found where neighbours
+have prefixes in common (`forest`):
 
 * a node of DEPTH hashes is a leaf in any case. At that length a pair at the threshold shares a leaf in one tree or more with
-  the target recall (`depth_for`), so no text ever needs a longer one, however crowded its nodes are;
-* where the node of a shorter prefix, LEAST_DEPTH hashes at least, has at most CROWD texts, the prefix is shortened to it. All
-  texts below that node share it then, and pairs there are found with a higher recall.
+  probability RECALL at least (`depth_for`), so no text ever needs a longer one, however crowded its nodes are;
+* matched prefixes are shortened, down to LEAST_DEPTH hashes, where the shorter one's node has few texts: as few as it takes for the
+  recall that is expected of the texts on average to reach TARGET. All texts below such a node share it.
 
 1. Texts of one word sequence are one *content*, named by a number of its own; only contents go on.
-2. Nodes are counted depth by depth, each time for the texts that lie in none small enough so far.
+2. Signatures are sorted once for all trees; one walk gives the sizes of all nodes.
 3. Contents are grouped by leaf. A leaf of over BLOCK contents or BLOCK_BYTES of text is dealt into blocks and pairs of blocks,
    so no task holds a whole large leaf. A pair is looked at once, in the first tree where its leaves agree.
 4. A pair whose signatures agree in under `sure` of their places is dropped (by default fewer than 1 in 10^5 pairs at the
@@ -36,13 +36,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import forest
 from .components import components
+from .forest import TREES
 from .store import materialize, parallelism
 from .words import SMALL_CHUNK, Words, chunks, give_back, mix, ranges, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, RECALL, SURE = 16, 0.995, 0.58
-LEAST_DEPTH, CROWD = 2, 32
+RECALL, TARGET, SURE = 0.995, 0.9999, 0.58
+LEAST_DEPTH = 2
 BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Pairs that a task looks at together, and bytes of text.
 PAIRS, TOGETHER = 1 << 19, 4 << 20
@@ -96,33 +98,6 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), size, pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([x.tobytes() for x in trees], pa.binary()), pa.array([x.tobytes() for x in signs], pa.binary())], names=["doc_id", "text_hash", "size", "c1", "c2", "trees", "signs"])
 
 
-def _leaves(contents: DataFrame) -> DataFrame:
-    """(id, key, m, bytes) for every tree in which a content (id, size, trees) shares its leaf: the leaf's name, whose last four
-    bits are the tree, its number of contents and their bytes of text."""
-    spark, found = contents.sparkSession, []
-    of_tree = F.substring("trees", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * DEPTH))
-    rows = contents.select("id", "size", "trees", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("id", "size", "tree", of_tree.alias("path"))
-    for depth in range(min(LEAST_DEPTH, DEPTH), DEPTH + 1):
-        node = F.xxhash64("tree", F.substring("path", 1, 4 * depth))
-        nodes = rows.select("id", "size", node.bitwiseAND(F.lit(-TREES)).bitwiseOR(F.col("tree").cast("long")).alias("key"))
-        counts = nodes.groupBy("key").agg(F.count("*").alias("m"), F.sum("size").alias("bytes")).where("m > 1")
-        shared = materialize(nodes.select("id", "key").join(counts, "key").select("id", "key", "m", "bytes"), "nodes")
-        crowded = shared.where(F.col("m") > CROWD)
-        if depth == DEPTH or crowded.isEmpty():
-            return _all(found, shared)
-        found.append(shared.where(F.col("m") <= CROWD))
-        # the way down of those that lie in a crowded node
-        tree = F.col("key").bitwiseAND(F.lit(TREES - 1)).cast("int").alias("tree")
-        rows = crowded.select("id", tree).join(contents.select("id", "size", "trees"), "id").select("id", "size", "tree", of_tree.alias("path"))
-    raise AssertionError("unreachable: the last depth returns")
-
-
-def _all(found: list[DataFrame], last: DataFrame) -> DataFrame:
-    for f in found:
-        last = last.unionByName(f)
-    return last
-
-
 _GROUP = ["key", "i", "j"]
 
 
@@ -288,7 +263,7 @@ def similar(docs: DataFrame, sure: float = SURE) -> DataFrame:
     # a content is known by a number, which a written table keeps, and has the row that comes first
     merged = signed.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "text_hash", "size")).alias("row"), F.first("trees").alias("trees"), F.first("signs").alias("signs"))
     contents = materialize(merged.select(F.monotonically_increasing_id().alias("id"), "c1", "c2", "row.*", "trees", "signs"), "contents")
-    owned = _leaves(contents).groupBy("id").agg(F.collect_list(F.struct("key", "m", "bytes")).alias("leaf"))  # at most TREES
+    owned = forest.leaves(contents, DEPTH, LEAST_DEPTH, THRESHOLD, TARGET, forest.CROWDS).groupBy("id").agg(F.collect_list(F.struct("key", "m", "bytes")).alias("leaf"))  # at most TREES
     owned = owned.join(contents.select("id", "signs"), "id").select("id", "signs", F.col("leaf.key").alias("leaves"), "leaf")
     placed = owned.withColumn("leaf", F.explode("leaf"))
     blocks = F.greatest(F.ceil(F.col("leaf.m") / BLOCK), F.ceil(F.col("leaf.bytes") / BLOCK_BYTES)).cast("int")

@@ -1,10 +1,11 @@
 import itertools
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import components, jaccard, topk
+from lectern.llm import components, forest, jaccard, topk
 from lectern.llm.queries import ORACLES, QUERIES
 from tests import oracle
 
@@ -67,7 +68,7 @@ def test_join_against_brute_force(spark, many, monkeypatch):
     assert [(r.class_id, r.n_links) for r in got if r.doc_id is None] == [(None, 0)]
 
 
-@pytest.mark.parametrize("name, value", [("BLOCK", 40), ("BLOCK_BYTES", 20_000), ("PAIRS", 50), ("TOGETHER", 5_000), ("CROWD", 2), ("CROWD", 1000), ("LEAST_DEPTH", jaccard.DEPTH)])
+@pytest.mark.parametrize("name, value", [("BLOCK", 40), ("BLOCK_BYTES", 20_000), ("PAIRS", 50), ("TOGETHER", 5_000), ("TARGET", 0.0), ("TARGET", 1.0), ("LEAST_DEPTH", jaccard.DEPTH)])
 def test_limits_agree(spark, many, monkeypatch, name, value):
     """The limits of tasks, and how far prefixes are shortened, change no result here."""
     monkeypatch.setattr(jaccard, name, value)
@@ -114,6 +115,54 @@ def test_registered_join(spark):
     assert {r.doc_id: (r.class_id, r.n_links) for r in got.collect()} == brute_classes(rows, by_shingle=True)
 
 
+def brute_leaves(contents, depth, least, crowd):
+    out = set()
+    for tree in range(forest.TREES):
+        paths = {i: t[tree * 4 * depth : (tree + 1) * 4 * depth] for i, _, t in contents}
+        sizes = {i: z for i, z, _ in contents}
+        for i, p in paths.items():
+            for d in range(least, depth + 1):
+                node = [j for j, q in paths.items() if q[: 4 * d] == p[: 4 * d]]
+                if len(node) <= crowd or d == depth:
+                    break
+            if len(node) > 1:
+                out.add((i, tree, len(node), sum(sizes[j] for j in node), min(node)))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+@pytest.mark.parametrize("crowd", [1, 4, 1000])
+def test_leaves_of_sorted_signatures(spark, parts, crowd):
+    """Nodes that lie over many ranges, whole ranges of one node among them, against all signatures."""
+    r = random.Random(parts)
+    depth, least = 5, 2
+    word = lambda n: r.randrange(n).to_bytes(4, "little")
+    few = [b"".join(word(2 if k < 3 else 5) for k in range(depth * forest.TREES)) for _ in range(60)]
+    same = [bytes(4 * depth * forest.TREES)] * 50
+    contents = [(i, 10 + i, t) for i, t in enumerate(few + same)]
+    d = spark.createDataFrame(contents, "id long, size long, trees binary").repartition(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = forest.leaves(d, depth, least, 0.8, 1.0, (crowd,)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    by_key = {}
+    for x in rows:
+        by_key.setdefault(x.key, []).append(x.id)
+    assert all(len(v) == x.m for x in rows for v in [by_key[x.key]])
+    assert {(x.id, x.key & 15, x.m, x.bytes, min(by_key[x.key])) for x in rows} == brute_leaves(contents, depth, least, crowd)
+
+
+def test_prefixes_are_shortened_until_the_target(spark):
+    """The bound of a leaf is the least that reaches the target recall."""
+    contents = [(i, 1, b"".join((i if k % 5 == 4 else 0).to_bytes(4, "little") for k in range(5 * forest.TREES))) for i in range(30)]
+    d = spark.createDataFrame(contents, "id long, size long, trees binary")
+    deep = forest.leaves(d, 5, 2, 0.8, 0.99, (8, 16, 32)).count()  # 0.998 at the longest prefix, which nobody shares
+    short = forest.leaves(d, 5, 2, 0.8, 0.9999, (8, 16, 32)).collect()
+    assert deep == 0 and len(short) == 30 * forest.TREES and {x.m for x in short} == {30}
+
+
 def test_depth_meets_recall():
     d = jaccard.depth_for()
     assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
