@@ -50,7 +50,7 @@ RECORDS = {"text_layers": TEXT_LAYERS, "book_profile": BOOK_PROFILE, "narration_
 READ_REQUEST = {
     "MCP_TRANSPORT_NOT_AUTHENTICATED": "authenticated",
     "REQUEST_SCHEMA_NOT_ALLOWLISTED": "n_unknown_fields = 0 AND n_missing_fields = 0",
-    "REQUEST_ACTION_NOT_ALLOWLISTED": "schema = 'v1' AND task = 'T1' AND target = 'saydi' AND action = 'inventory_v5_readonly'",
+    "REQUEST_ACTION_NOT_ALLOWLISTED": "schema = 'v1' AND task = 'T1' AND target = 'library' AND action = 'inventory_readonly'",
     "ROOT_KEY_INVALID": "MATCHES(root_key, '^[A-Z][A-Z0-9_]{2,31}$')",
     "READ_SCOPE_OR_MODE_INVALID": "scope IN ('audio', 'narrator', 'checkpoint', 'model') AND mode IN ('metadata', 'hash')",
     "HASH_OFFSET_INVALID": "hash_offset BETWEEN 0 AND 5000",

@@ -59,11 +59,11 @@ HANDOFF = {
     "OWNER_STOP_ACTIVE_OR_UNKNOWN": "NOT stop",
     "CHECKPOINT_OWNERSHIP_UNVERIFIED": "checkpoint",
     "SOURCE_VOICE_MODEL_UNVERIFIED": "source",
-    "VIENEU_SHUTDOWN_NOT_ACKED": "acked",
-    "VIENEU_OBJECT_STILL_REFERENCED": "released",
-    "VIENEU_PROCESS_NOT_REAPED": "reaped",
-    "VIENEU_MUTEX_NOT_RELEASED": "mutex_free",
-    "VIENEU_MODEL_UNLOAD_NOT_PROVEN": "unloaded",
+    "TTS_SHUTDOWN_NOT_ACKED": "acked",
+    "TTS_OBJECT_STILL_REFERENCED": "released",
+    "TTS_PROCESS_NOT_REAPED": "reaped",
+    "TTS_MUTEX_NOT_RELEASED": "mutex_free",
+    "TTS_MODEL_UNLOAD_NOT_PROVEN": "unloaded",
     "TTS_WORKER_COUNT_INVALID": "n_tts = 0",
     "ASR_WORKER_COUNT_INVALID": "n_asr = 0",
     "HEAVY_WORKER_COUNT_INVALID": "n_other = 0",

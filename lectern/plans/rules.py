@@ -270,8 +270,8 @@ REQUEST = {
     "n_missing_fields": "CASE WHEN o_custkey % 37 = 6 THEN 2 ELSE 0 END",
     "schema": "CASE WHEN o_custkey % 31 = 0 THEN 'v2' ELSE 'v1' END",
     "task": "'T1'",
-    "target": "'saydi'",
-    "action": "CASE WHEN o_orderstatus = 'P' THEN 'write' ELSE 'inventory_v5_readonly' END",
+    "target": "'library'",
+    "action": "CASE WHEN o_orderstatus = 'P' THEN 'write' ELSE 'inventory_readonly' END",
     "root_key": "CASE o_custkey % 19 WHEN 0 THEN 'x' WHEN 1 THEN NULL ELSE 'MAIN_ROOT' END",
     "scope": "CASE o_custkey % 5 WHEN 0 THEN 'audio' WHEN 1 THEN 'narrator' WHEN 2 THEN 'checkpoint' WHEN 3 THEN 'model' ELSE CASE WHEN o_orderkey % 6 = 0 THEN 'disk' ELSE 'audio' END END",
     "mode": "CASE WHEN o_orderkey % 2 = 0 THEN 'metadata' ELSE 'hash' END",

@@ -43,7 +43,7 @@ def test_every_rule(spark, kind):
         C.strict(rows, contract).collect()
 
 
-REQUEST = {"authenticated": "true", "n_unknown_fields": "0", "n_missing_fields": "0", "schema": "'v1'", "task": "'T1'", "target": "'saydi'", "action": "'inventory_v5_readonly'", "root_key": "'MAIN'", "scope": "'audio'", "mode": "'hash'", "hash_offset": "5000", "metadata_sha": "repeat('F', 64)", "main_sha": "repeat('0', 40)", "sot_verified": "true"}
+REQUEST = {"authenticated": "true", "n_unknown_fields": "0", "n_missing_fields": "0", "schema": "'v1'", "task": "'T1'", "target": "'library'", "action": "'inventory_readonly'", "root_key": "'MAIN'", "scope": "'audio'", "mode": "'hash'", "hash_offset": "5000", "metadata_sha": "repeat('F', 64)", "main_sha": "repeat('0', 40)", "sot_verified": "true"}
 REFUSED = [
     ({}, None), ({"authenticated": "null", "n_unknown_fields": "1"}, "MCP_TRANSPORT_NOT_AUTHENTICATED"), ({"n_unknown_fields": "1"}, "REQUEST_SCHEMA_NOT_ALLOWLISTED"), ({"n_missing_fields": "1"}, "REQUEST_SCHEMA_NOT_ALLOWLISTED"), ({"action": "'write'"}, "REQUEST_ACTION_NOT_ALLOWLISTED"), ({"task": "null"}, "REQUEST_ACTION_NOT_ALLOWLISTED"),
     ({"root_key": "'../x'"}, "ROOT_KEY_INVALID"), ({"scope": "'disk'"}, "READ_SCOPE_OR_MODE_INVALID"), ({"mode": "'all'"}, "READ_SCOPE_OR_MODE_INVALID"), ({"hash_offset": "5001"}, "HASH_OFFSET_INVALID"), ({"hash_offset": "-1"}, "HASH_OFFSET_INVALID"), ({"mode": "'metadata'", "hash_offset": "1"}, "METADATA_OFFSET_INVALID"), ({"mode": "'metadata'", "hash_offset": "0"}, None),

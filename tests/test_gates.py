@@ -36,7 +36,7 @@ HANDOFFS = [
     ({"t_a": "-1"}, ["INVALID_MONOTONIC_TIMESTAMPS"]), ({"t_now": "null"}, ["INVALID_MONOTONIC_TIMESTAMPS"]),
     ({"t_b": "30001"}, ["TRANSITION_STALE_OR_OUT_OF_ORDER"]), ({"t_now": "35001"}, ["TRANSITION_STALE_OR_OUT_OF_ORDER"]), ({"t_now": "29999"}, ["TRANSITION_STALE_OR_OUT_OF_ORDER"]), ({"t_a": "30001"}, ["TRANSITION_STALE_OR_OUT_OF_ORDER"]),
     ({"start": "false"}, ["OWNER_START_NOT_ATTESTED"]), ({"stop": "null"}, ["OWNER_STOP_ACTIVE_OR_UNKNOWN"]), ({"stop": "true"}, ["OWNER_STOP_ACTIVE_OR_UNKNOWN"]), ({"checkpoint": "null"}, ["CHECKPOINT_OWNERSHIP_UNVERIFIED"]), ({"source": "false"}, ["SOURCE_VOICE_MODEL_UNVERIFIED"]),
-    ({"acked": "false"}, ["VIENEU_SHUTDOWN_NOT_ACKED"]), ({"released": "false"}, ["VIENEU_OBJECT_STILL_REFERENCED"]), ({"reaped": "null"}, ["VIENEU_PROCESS_NOT_REAPED"]), ({"mutex_free": "false"}, ["VIENEU_MUTEX_NOT_RELEASED"]), ({"unloaded": "false"}, ["VIENEU_MODEL_UNLOAD_NOT_PROVEN"]),
+    ({"acked": "false"}, ["TTS_SHUTDOWN_NOT_ACKED"]), ({"released": "false"}, ["TTS_OBJECT_STILL_REFERENCED"]), ({"reaped": "null"}, ["TTS_PROCESS_NOT_REAPED"]), ({"mutex_free": "false"}, ["TTS_MUTEX_NOT_RELEASED"]), ({"unloaded": "false"}, ["TTS_MODEL_UNLOAD_NOT_PROVEN"]),
     ({"n_tts": "1"}, ["TTS_WORKER_COUNT_INVALID"]), ({"n_asr": "-1"}, ["ASR_WORKER_COUNT_INVALID"]), ({"n_other": "null"}, ["HEAVY_WORKER_COUNT_INVALID"]), ({"threads": "2"}, ["THREAD_LIMIT_NOT_ONE"]),
     ({"ram": "double('NaN')"}, ["RESOURCE_MEASUREMENT_INVALID"]), ({"disk_c": "-1.0"}, ["RESOURCE_MEASUREMENT_INVALID"]), ({"disk_d": "double('Infinity')"}, ["RESOURCE_MEASUREMENT_INVALID"]), ({"least": "null"}, ["RESOURCE_MEASUREMENT_INVALID"]),
     ({"least": "0.9"}, ["RAM_BELOW_PROPOSED_FLOOR"]), ({"ram": "1.5", "least": "1.6"}, ["RAM_BELOW_PROPOSED_FLOOR"]), ({"disk_c": "1.9"}, ["DISK_BELOW_PROPOSED_FLOOR"]), ({"disk_d": "9.9", "least": "0.5"}, ["RAM_BELOW_PROPOSED_FLOOR", "DISK_BELOW_PROPOSED_FLOOR"]),
