@@ -7,7 +7,8 @@ differ on its level. A document's posterior is its evidence with its path's log
 
 Texts are read and scored once; what goes on are the rows with two numbers of evidence, in a written table.
 
-The classifier alone is fitted on a bounded sample: the MAX_LABELLED labelled rows that come first by a hash of their id.
+The classifier alone is fitted on a bounded sample: of the labelled rows that come first by a hash of their id MAX_LABELLED at most, and as
+many as have MAX_SAMPLE_BYTES of features together (a longer text has more).
 
 Defined results: a null text is an empty one; null host or path is a site of its own; labels without a document, null labels
 and repeated labels beyond the first by value teach nothing; of documents that share a labelled id the least text is taken. Without labels of both kinds the evidence is the prior 0.5 %.
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +34,8 @@ from .words import SMALL_CHUNK, Words, chunks, window_hashes
 
 #: Bound of the sample of labelled rows that the classifier is fitted on.
 MAX_LABELLED = 16_384
+#: Bound of the sample's features, which the driver holds: 4 bytes for each different word or beginning of a text.
+MAX_SAMPLE_BYTES = 256 << 20
 #: The sample comes to the driver in so many parts.
 SAMPLE_PARTS = 64
 #: So many sites, those with most documents, are broadcast. Of the others none has more than this part of all documents, and they
@@ -100,7 +103,7 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             sets.append(own[own < BUCKETS].astype("<i4").tobytes())
             w = window_hashes(h[a:b], 5)
             sketches.append(int((w.min() if len(w) else np.uint64(b - a)).view(np.int64)))
-        yield pa.record_batch([batch.column("bad"), batch.column("toxic"), pa.array([x.tobytes() for x in measures.astype("<f4")], pa.binary()), pa.array(sets, pa.binary()), pa.array(sketches, pa.int64())], names=["bad", "toxic", "style", "buckets", "sketch"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("bad"), batch.column("toxic"), pa.array([x.tobytes() for x in measures.astype("<f4")], pa.binary()), pa.array(sets, pa.binary()), pa.array(sketches, pa.int64())], names=["doc_id", "bad", "toxic", "style", "buckets", "sketch"])
 
 
 def _logistic(style: np.ndarray, row: np.ndarray, col: np.ndarray, n: int, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
@@ -171,13 +174,20 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """Fit on the documents of at most MAX_LABELLED rows of `labels` (doc_id, quality 0/1, toxic 0/1)."""
+    """Fit on the documents of at most MAX_LABELLED rows of `labels` (doc_id, quality 0/1, toxic 0/1), with MAX_SAMPLE_BYTES of features."""
     one = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min("quality")).cast("int").alias("bad"), F.max("toxic").cast("int").alias("toxic"))
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # in small parts, which come to the driver without being stored on the way
     labelled = texts.join(F.broadcast(sample), "doc_id").repartition(SAMPLE_PARTS, "doc_id").groupBy("doc_id", "bad", "toxic").agg(F.min("text").alias("text"))
-    got = labelled.select("bad", "toxic", "text").mapInArrow(_training_rows, "bad int, toxic int, style binary, buckets binary, sketch long").toArrow()
+    rows = materialize(labelled.select("doc_id", "bad", "toxic", "text").mapInArrow(_training_rows, "doc_id long, bad int, toxic int, style binary, buckets binary, sketch long"), "training")
+    size = F.octet_length("buckets").cast("long")
+    if (rows.agg(F.sum(size)).first()[0] or 0) > MAX_SAMPLE_BYTES:
+        # a number for each row of the sample, of which there are few
+        running = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+        fits = rows.select("doc_id", size.alias("size")).withColumn("running", running).where(F.col("running") <= MAX_SAMPLE_BYTES).select("doc_id")
+        rows = rows.join(fits, "doc_id")
+    got = rows.drop("doc_id").repartition(SAMPLE_PARTS).toArrow()
     out = Classifier()
     if not got.num_rows:
         return out

@@ -371,3 +371,16 @@ def test_lm_on_nothing(spark):
     model = ngram_lm.train(empty_docs(spark))
     assert ngram_lm.score(empty_docs(spark), model).count() == 0
     assert {r.score for r in ngram_lm.score(odd_docs(spark), model).collect()} == {0.0}
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    """Rows go into the sample in their order while their features fit, and a model comes out whatever the bound is."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    whole = quality_bayes.fit(docs, labels)
+    monkeypatch.setattr(quality_bayes, "MAX_SAMPLE_BYTES", 60_000)
+    part = quality_bayes.fit(docs, labels)
+    assert set(whole.parts) == {"bad", "toxic"}
+    assert sum(len(p[2]) for p in part.parts.values()) < sum(len(p[2]) for p in whole.parts.values())
+    monkeypatch.setattr(quality_bayes, "MAX_SAMPLE_BYTES", 0)
+    assert quality_bayes.fit(docs, labels).parts == {}
