@@ -105,3 +105,18 @@ def fill_pages(rows: DataFrame, key: str, order: str, size: str, most_rows: int,
 def _joined(left: DataFrame, right: DataFrame, key: str, number: str) -> DataFrame:
     same = [F.col(key).eqNullSafe(F.col("_key")), F.col(number) == F.col("_of")]
     return left.join(right, functools.reduce(Column.__and__, same)).drop("_key", "_of")
+
+
+def quantiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(key, and a column for each name in `shares`): exact quantiles of each key's values, interpolated between neighbours. Values are numbered
+    over many tasks and those on either side of a quantile looked up, so that no task holds a key's values. Null values don't count; a key
+    without any is not returned."""
+    own = numbered(rows.where(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).alias("_v")), "_k", ["_v"])
+    own = _written(own)
+    n = own.groupBy("_k").agg(F.count("*").alias("n"))
+    wanted = n.select(F.col("_k").alias("_key"), F.explode(F.array(*(F.struct(F.lit(name).alias("name"), ((F.col("n") - 1) * share).alias("at")) for name, share in shares.items()))).alias("x")).select("_key", "x.*")
+    near = wanted.withColumn("_of", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
+    hit = own.join(near, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("rn") == F.col("_of")))
+    both = hit.groupBy("_k", "name", "at").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    both = both.withColumn("q", F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at")))
+    return both.groupBy(F.col("_k").alias(key)).agg(*(F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in shares))

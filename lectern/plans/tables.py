@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import sets, state
+from ..operators import paging, sets, state
 from .registry import query, table
 
 _c = F.count
@@ -114,7 +114,7 @@ def before_after_diff(spark: SparkSession, sf: str) -> DataFrame:
 @query("range_envelope_join", "WITH e AS (SELECT p_brand, quantile_cont(p_retailprice, 0.25) AS lo, quantile_cont(p_retailprice, 0.75) AS hi FROM part GROUP BY p_brand) SELECT p_partkey, p_retailprice BETWEEN lo AND hi AS inside FROM part JOIN e USING (p_brand)")
 def range_envelope_join(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice")
-    e = p.groupBy("p_brand").agg(F.percentile("p_retailprice", 0.25).alias("lo"), F.percentile("p_retailprice", 0.75).alias("hi"))
+    e = paging.quantiles(p, "p_brand", "p_retailprice", {"lo": 0.25, "hi": 0.75})
     return p.join(e, "p_brand").select("p_partkey", F.col("p_retailprice").between(F.col("lo"), F.col("hi")).alias("inside"))
 
 

@@ -49,3 +49,14 @@ def test_numbers(spark):
     rows = [(k, i) for k in ("a", None, "b") for i in range(50)]
     got = paging.numbered(spark.createDataFrame(rows, "k string, o long").repartition(5), "k", ["o"], 7).collect()
     assert all(r.rn == r.o for r in got) and len(got) == 150
+
+
+def test_quantiles(spark):
+    r = random.Random(4)
+    rows = [(k, r.choice([None, *range(9)]) if k != "one" else 7.5) for k in ["a", "b", None] * 60 + ["one"]]
+    df = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in rows] + [("none", None)], "k string, v double").repartition(5)
+    got = {x.k: (x.lo, x.mid, x.top) for x in paging.quantiles(df, "k", "v", {"lo": 0.25, "mid": 0.5, "top": 1.0}).collect()}
+    import numpy as np
+
+    want = {k: tuple(float(np.quantile([v for j, v in rows if j == k and v is not None], q)) for q in (0.25, 0.5, 1.0)) for k in {k for k, _ in rows}}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
