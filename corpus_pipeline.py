@@ -1,5 +1,8 @@
 """The corpus pipeline: quality, language, near duplicates, repeated passages, packing.
 
+In all stages rows stand for themselves: rows that repeat each other are judged alike, and a null id is no id. Columns of `documents`
+are passed on; others of the input, too.
+
 Each stage takes (spark, docs, sf_dir) and works on all rows it is given; all but the last return the columns of `documents`.
 SQL can't express them (a fitted classifier, mixtures, a tokenizer), so ORACLE_SQL is None and tests hold them against
 brute-force versions.
@@ -22,14 +25,16 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier finds bad or toxic go."""
+    """Documents that the classifier finds bad or toxic go. A null text is an empty one; null hosts and paths are sites of their own; rows
+    without an id are judged by their text and site, as no label names them."""
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
     judged = quality_bayes.classify(docs, quality_bayes.fit(docs, labels), "source", "lang")
     return judged.where("quality_ok").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a main language, go."""
+    """Documents without a letter, null texts among them, or without a main language, go. Rows without an id teach and are judged like
+    others."""
     ship(spark)
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"), 3)))
     found = langid.predict(docs, model, "_pred", "_share")
@@ -62,7 +67,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens."""
+    """Sequences of at most 4096 tokens. A null text is an empty one, with its end token; each row is packed, repeated ones and those
+    without an id as often as they are there."""
     ship(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
