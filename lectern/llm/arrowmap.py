@@ -39,20 +39,20 @@ class Masked:
         return df.select(*old, *added)
 
 
-def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], text: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
+def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], text: str = "text", limit: int = CHUNK_BYTES, owner: str = "") -> DataFrame:
     """`df` with `fields` behind its own columns, which must have other names. `make()` is called once a task and gives the
-    function that turns a batch into the new columns' arrays."""
+    function that turns a batch into the new columns' arrays. `owner`: whose cache the function uses (`words.CACHES`)."""
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per_batch = make()
-        for batch in chunks(batches, text, limit):
+        for batch in chunks(batches, text, limit, owner):
             yield pa.RecordBatch.from_arrays([*batch.columns, *per_batch(batch)], names=[*batch.schema.names, *names])
 
     return df.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType, True) for f in df.schema.fields), *fields]))
 
 
-def add_text_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list[pa.Array]]], text: str = "text") -> DataFrame:
+def add_text_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list[pa.Array]]], text: str = "text", owner: str = "") -> DataFrame:
     """As `add_columns`, for any input: names that clash give way, and the text may be of any type that casts to string."""
     m = Masked(df)
     rows, column = m.as_string(m.df, text)
@@ -61,4 +61,4 @@ def add_text_columns(df: DataFrame, fields: list[T.StructField], make: Callable[
         per_text = make()
         return lambda batch: per_text(batch.column(column))
 
-    return m.restore(add_columns(rows, fields, per_task, column), [f.name for f in fields])
+    return m.restore(add_columns(rows, fields, per_task, column, owner=owner), [f.name for f in fields])

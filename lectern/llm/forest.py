@@ -100,9 +100,9 @@ def _summed(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, "id long, keys array<long>, m array<long>, bytes array<long>")
 
 
-def leaves(contents: DataFrame, depth: int, least: int, threshold: float, target: float, crowds: tuple[int, ...] = CROWDS) -> DataFrame:
+def leaves(contents: DataFrame, depth: int, least: int, threshold: float, target: float, crowds: tuple[int, ...] = CROWDS) -> tuple[DataFrame, DataFrame]:
     """(id, key, m, bytes) for every tree in which a content (id, size, trees) shares its leaf: the leaf's name, whose last four bits are the
-    tree, its number of contents and their bytes of text."""
+    tree, its number of contents and their bytes of text. Behind it the written table that it reads."""
     least = min(least, depth)
     path = F.substring("trees", F.col("tree") * (4 * depth) + 1, F.lit(4 * depth))
     rows = contents.select("id", "size", "trees", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("id", "size", "tree", path.alias("path"))
@@ -119,4 +119,4 @@ def leaves(contents: DataFrame, depth: int, least: int, threshold: float, target
         recall = missed.agg(*(F.avg(1 - F.exp(F.col(f"c{c}") + (TREES - F.col("n")) * miss(threshold, least))).alias(f"c{c}") for c in crowds)).first()
         crowd = next((c for c in crowds if (recall[f"c{c}"] or 1.0) >= target), crowds[-1])
     at = (leaf(crowd) - 1).cast("int")
-    return sized.select("id", F.get("keys", at).alias("key"), F.get("m", at).alias("m"), F.get("bytes", at).alias("bytes")).where("m > 1")
+    return sized.select("id", F.get("keys", at).alias("key"), F.get("m", at).alias("m"), F.get("bytes", at).alias("bytes")).where("m > 1"), sized

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import forest
 from .components import components
 from .forest import TREES
-from .store import materialize, parallelism
+from .store import done_with, materialize, parallelism
 from .words import SMALL_CHUNK, Words, chunks, give_back, mix, ranges, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -263,7 +263,8 @@ def similar(docs: DataFrame, sure: float = SURE) -> DataFrame:
     # a content is known by a number, which a written table keeps, and has the row that comes first
     merged = signed.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "text_hash", "size")).alias("row"), F.first("trees").alias("trees"), F.first("signs").alias("signs"))
     contents = materialize(merged.select(F.monotonically_increasing_id().alias("id"), "c1", "c2", "row.*", "trees", "signs"), "contents")
-    owned = forest.leaves(contents, DEPTH, LEAST_DEPTH, THRESHOLD, TARGET, forest.CROWDS).groupBy("id").agg(F.collect_list(F.struct("key", "m", "bytes")).alias("leaf"))  # at most TREES
+    leaves, tries = forest.leaves(contents, DEPTH, LEAST_DEPTH, THRESHOLD, TARGET, forest.CROWDS)
+    owned = leaves.groupBy("id").agg(F.collect_list(F.struct("key", "m", "bytes")).alias("leaf"))  # at most TREES
     owned = owned.join(contents.select("id", "signs"), "id").select("id", "signs", F.col("leaf.key").alias("leaves"), "leaf")
     placed = owned.withColumn("leaf", F.explode("leaf"))
     blocks = F.greatest(F.ceil(F.col("leaf.m") / BLOCK), F.ceil(F.col("leaf.bytes") / BLOCK_BYTES)).cast("int")
@@ -285,5 +286,8 @@ def similar(docs: DataFrame, sure: float = SURE) -> DataFrame:
     found = found.join(heads, "label", "left").select("c1", "c2", F.coalesce("head", "row").alias("head"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     of = signed.select("doc_id", "text_hash", "c1", "c2").join(found, ["c1", "c2"])
     of = of.select("doc_id", F.col("head.doc_id").alias("class_id"), "n_links", "text_hash", ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))).alias("first"))
+    # nobody reads the tables on the way behind this
     alone = rows.where(blank).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "text_hash", F.lit(True).alias("first"))
-    return of.unionByName(alone)
+    out = materialize(of.unionByName(alone), "classes")
+    done_with(signed, contents, tries, wanted, linked)
+    return out

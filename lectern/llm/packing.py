@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
-from .words import Words, chunks, ranges
+from .words import CACHES, Words, chunks, ranges
 
 SIZE, END, OPEN_WINDOWS, MIN_CUT = 4096, 2, 8, 16
 #: Partitions whose leftovers are merged together: at most so many times OPEN_WINDOWS windows.
@@ -97,6 +97,9 @@ def shared_word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+CACHES["packing"] = shared_word_ids.cache_clear
+
+
 def doc_ids(texts: pa.Array, word_ids: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array, each with END behind it, and the texts' bounds in it."""
     words = Words(texts)
@@ -170,7 +173,7 @@ def _pack_partition(tokenizer_path: str, size: int, open_windows: int):
             cols = [[known[d][0] for d, *_ in pieces], [p[1] for p in pieces], [p[2] for p in pieces], [crc.pop((p[0], p[1])) for p in pieces], [known[d][1] for d, *_ in pieces], [part] * len(pieces), [p[4] for p in pieces], [p[3] for p in pieces], [p[5] for p in pieces]]
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-        for batch in chunks(batches):
+        for batch in chunks(batches, owner="packing"):
             ids, bounds = doc_ids(batch.column("text"), word_ids)
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                 known[row] = (doc_id, b - a)

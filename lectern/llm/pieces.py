@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .arrowmap import add_text_columns
-from .words import ranges
+from .words import CACHES, ranges
 
 N_BEST = 4
 #: Units kept by a worker process; above it the cache starts anew. Longer units than LONG are searched each time.
@@ -276,6 +276,9 @@ def encoder(path: str, n: int) -> Encoder:
     return Encoder(path, n)
 
 
+CACHES["pieces"] = encoder.cache_clear
+
+
 def segment(docs: DataFrame, model_path: str, n: int = N_BEST, keep_ids: bool = True) -> DataFrame:
     """`docs` with n_pieces, ids_crc32 and score of the tokenizer's segmentation, n_best (score, n_pieces, ids_crc32 of the best n
     of the lattice), round_trip (decoding the former gives the text back), and its ids if wanted."""
@@ -295,4 +298,4 @@ def segment(docs: DataFrame, model_path: str, n: int = N_BEST, keep_ids: bool =
 
         return per_batch
 
-    return add_text_columns(docs, [T.StructField(k, t) for k, t in kinds], make)
+    return add_text_columns(docs, [T.StructField(k, t) for k, t in kinds], make, owner="pieces")

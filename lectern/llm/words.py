@@ -7,7 +7,7 @@ is cut between documents only, so memory is bounded by the chunk size or by the
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +22,17 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _S33 = np.uint64(33)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most `limit` bytes of `column`, or of one row. Behind the last one the worker process, which
-    waits for the next stage's tasks, gives back what it has freed."""
+#: What empties the cache that an operator keeps in a worker process, by the operator's name.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most `limit` bytes of `column`, or of one row. Caches of operators other than `owner`, which tasks of
+    earlier stages have left in the worker process, are emptied first. Behind the last slice the process, which waits for the
+    next stage's tasks, gives back what it has freed."""
+    for name, empty in CACHES.items():
+        if name != owner:
+            empty()
     try:
         for batch in batches:
             size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))

@@ -144,7 +144,7 @@ def test_leaves_of_sorted_signatures(spark, parts, crowd):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
-        rows = forest.leaves(d, depth, least, 0.8, 1.0, (crowd,)).collect()
+        rows = forest.leaves(d, depth, least, 0.8, 1.0, (crowd,))[0].collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     by_key = {}
@@ -158,8 +158,8 @@ def test_prefixes_are_shortened_until_the_target(spark):
     """The bound of a leaf is the least that reaches the target recall."""
     contents = [(i, 1, b"".join((i if k % 5 == 4 else 0).to_bytes(4, "little") for k in range(5 * forest.TREES))) for i in range(30)]
     d = spark.createDataFrame(contents, "id long, size long, trees binary")
-    deep = forest.leaves(d, 5, 2, 0.8, 0.99, (8, 16, 32)).count()  # 0.998 at the longest prefix, which nobody shares
-    short = forest.leaves(d, 5, 2, 0.8, 0.9999, (8, 16, 32)).collect()
+    deep = forest.leaves(d, 5, 2, 0.8, 0.99, (8, 16, 32))[0].count()  # 0.998 at the longest prefix, which nobody shares
+    short = forest.leaves(d, 5, 2, 0.8, 0.9999, (8, 16, 32))[0].collect()
     assert deep == 0 and len(short) == 30 * forest.TREES and {x.m for x in short} == {30}
 
 
