@@ -46,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows with both in common that with the least other columns stays, while rows with one id and different texts are documents of
     their own. Rows without an id stay."""
     ship(spark)
-    found = materialize(jaccard.similar(docs), "classes")
+    found = jaccard.similar(docs)
     gone = found.where("doc_id is not null and not first").select("doc_id", "text_hash").distinct().hint("merge")
     text_hash = F.xxhash64(F.col("text").cast("string"))
     key = [F.col("doc_id").cast("long").alias("_id"), text_hash.alias("_hash")]
