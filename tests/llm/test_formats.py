@@ -197,3 +197,15 @@ def test_pieces_on_odd_texts(spark):
         assert [x.score for x in r.n_best] == sorted((x.score for x in r.n_best), reverse=True)
     assert {r.n_pieces for r in got if r.doc_id in (5, 6)} == {0}
     assert pieces.segment(empty_docs(spark), MODEL).count() == 0
+
+
+def test_caches_of_other_operators_are_emptied(monkeypatch):
+    from lectern.llm import words as W
+
+    emptied = []
+    monkeypatch.setitem(W.CACHES, "one", lambda: emptied.append("one"))
+    monkeypatch.setitem(W.CACHES, "two", lambda: emptied.append("two"))
+    assert list(W.chunks(iter([]), owner="one")) == [] and emptied == ["two"]
+    known = packing.shared_word_ids(BPE)
+    assert list(W.chunks(iter([]), owner="packing")) == [] and packing.shared_word_ids(BPE) is known
+    assert list(W.chunks(iter([]))) == [] and packing.shared_word_ids(BPE) is not known
