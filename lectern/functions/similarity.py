@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -50,17 +51,12 @@ def rewrite_spans(text: Column, spoken: dict[str, str]) -> Column:
     """The text with each whole word or phrase of `spoken` replaced by its spoken form. Of overlapping ones the earlier goes first, then
     the longer; a replaced span is not read again. Case counts.
 
-    Words and blanks alternate in an array that is folded once: a phrase of k words is looked up at each word, longest first."""
-    most = max(len(k.split(" ")) for k in spoken)
+    One pass for the spans and one for what stands between them, by an expression that tries each phrase, the longest first, so for some
+    hundred phrases; `spoken.spoken_form` takes as many as there are."""
+    if not all(spoken):
+        raise ValueError("an empty phrase")
     table = F.create_map(*(F.lit(x) for pair in spoken.items() for x in pair))
-    words = F.split(text, " ")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"))
-
-    def step(acc: Column, i: Column) -> Column:
-        found = [F.try_element_at(table, F.array_join(F.slice(words, i, F.lit(k)), " ")) for k in range(most, 0, -1)]
-        # a slice beyond the end is shorter, and equals a shorter phrase: its own length counts
-        width = F.coalesce(*(F.when(f.isNotNull(), F.least(F.lit(k), F.size(words) - i + 1)) for f, k in zip(found, range(most, 0, -1))), F.lit(1))
-        out = F.concat(acc["out"], F.array(F.coalesce(*found, F.get(words, i - 1))))
-        return F.when(acc["skip"] > 0, F.struct(acc["out"].alias("out"), (acc["skip"] - 1).alias("skip"))).otherwise(F.struct(out.alias("out"), (width - 1).alias("skip")))
-
-    return F.when(text.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.size(words)), start, step, lambda acc: F.array_join(acc["out"], " ")))
+    sought = "(?<![^ ])(?:" + "|".join(re.escape(k) for k in sorted(spoken, key=len, reverse=True)) + ")(?![^ ])"
+    said = F.transform(F.regexp_extract_all(text, F.lit(sought), F.lit(0)), lambda x: F.element_at(table, x))
+    # one piece more than spans: null is passed over behind the last
+    return F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(text, sought).alias("kept"), said.alias("said")), lambda x: F.array(x["kept"], x["said"]))), "")

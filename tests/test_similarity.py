@@ -1,4 +1,6 @@
 import difflib
+import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -31,3 +33,18 @@ def test_rewrite_spans(spark):
     texts = ["New York York New", "New", "", None, "a b a b c", "New  York", "York New York", "a b"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(S.rewrite_spans(F.col("t"), spoken).alias("s")).collect()
     assert [r.s for r in rows] == ["NY Y N", "N", "", None, "a b abc", "N  Y", "Y NY", "a b"]
+
+
+def test_rewrite_of_long_texts_is_linear(spark):
+    """A text of 200,000 words, against a fold in Python."""
+    spoken = {"a b": "1", "b": "2", "a b c d": "3", "d (a": "4"}
+    r = random.Random(1)
+    words = [r.choice(["a", "b", "c", "d", "(a", "", "ab", "é\n"]) for _ in range(200_000)]
+    want, i = [], 0
+    while i < len(words):
+        k = next((k for k in (4, 2, 1) if " ".join(words[i : i + k]) in spoken and i + k <= len(words)), 0)
+        want.append(spoken[" ".join(words[i : i + k])] if k else words[i])
+        i += k or 1
+    start = time.perf_counter()
+    got = spark.createDataFrame([(" ".join(words),)], "t string").select(S.rewrite_spans(F.col("t"), spoken).alias("s")).first().s
+    assert got == " ".join(want) and time.perf_counter() - start < 20
