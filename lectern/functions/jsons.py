@@ -1,17 +1,18 @@
-"""JSON of unknown shape: keys given twice, a canonical form, records that hold a text. All are expressions over the text's tokens or
-walks over VARIANT, so no schema is needed."""
+"""JSON of unknown shape: keys given twice, a canonical form, records that hold a text. Keys given twice are
+told by expressions over the text's tokens, the others by Python's own parser, batch by batch; no schema is needed."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import work_dir
 
-#: Before a number that stands as a string for a while; no text holds it.
-_FLOAT = chr(0xE0FF)
 #: Strings, marks, and what stands between them.
 TOKEN = r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+'
 
@@ -90,32 +91,38 @@ def _written_out(x: Column) -> Column:
     return F.when(n == 0, "0.0").when(exponent.between(-4, 15), plain).otherwise(powered)
 
 
-def canonical(text: Column) -> Column:
-    """A JSON text with the keys of every object in code-point order, no blanks, strings with no escape but the necessary ones, whole numbers as they
-    are and others in their shortest form: one text for all that mean the same, and the one whose digest other systems take. Null if the
-    text is no JSON, or an object gives a key twice.
+#: One text for all values that are equal.
+_FORM = {"ensure_ascii": False, "sort_keys": True, "separators": (",", ":")}
+
 
-    VARIANT sorts the keys; numbers of over 38 digits become doubles there."""
-    as_text = F.to_json(F.try_parse_json(_marked_floats(text)))
-    # the marks go with the quotation marks around them
-    return _low_escapes(F.regexp_replace(as_text, f'"{_FLOAT}([^"]*)"', "$1"))
+def _once(pairs: list[tuple[str, object]]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a key is given twice")
+    return out
 
 
-def _low_escapes(text: Column) -> Column:
-    """Escapes of control characters with small hexadecimal letters; rare, so looked for first."""
-    low = text
-    for code in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):
-        low = F.regexp_replace(low, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
-    return F.when(text.rlike(r"\\u00[01][A-F]"), low).otherwise(text)
+def _refused(constant: str) -> None:
+    raise ValueError(f"{constant} is no JSON")
 
 
-def _marked_floats(text: Column) -> Column:
-    """Numbers that aren't whole become strings with a mark, in their shortest form, so that VARIANT leaves them alone."""
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    whole = r"^-?(0|[1-9][0-9]*)$"
-    number = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?$"
-    fixed = F.transform(tokens, lambda t: F.when(t == "-0", "0").when(t.rlike(number) & ~t.rlike(whole), F.concat(F.lit('"' + _FLOAT), shortest_float(t), F.lit('"'))).otherwise(t))
-    return F.array_join(fixed, " ")
+def _parsed(text: str) -> object:
+    return json.loads(text, object_pairs_hook=_once, parse_constant=_refused)
+
+
+@F.pandas_udf(T.StringType())
+def canonical(text: pd.Series) -> pd.Series:
+    """A JSON text with the keys of every object in code-point order, no blanks, strings with no escape but the necessary ones, whole numbers as they
+    are and others in their shortest form: one text for all that mean the same, and the one whose digest other systems take. Null if the
+    text is no JSON, nests deeper than Python reads, has a number that no double holds, or an object gives a key twice."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(_parsed(t), allow_nan=False, **_FORM).encode("utf-8", "replace").decode()
+        except (ValueError, RecursionError):
+            return None
+
+    return text.map(one).astype(object)
 
 
 def digest(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsons as J
 from ..functions import text as X
+from ..session import ship
 from .registry import query, table
 
 
@@ -73,7 +74,7 @@ _LOOSE = """'{"z": ' || value || ', "a": {"user": ' || user_id || ', "list": [ '
 @query("canonical_digest", f"""SELECT event_id, sha256('{{"B":1e-07,"a":{{"list":[' || event_id || ',1.5,1000.0,null,{{"y":true,"é":"' || event_type || '"}}],"user":' || user_id || '}},"z":' || value || '}}') AS digest FROM events""")
 def canonical_digest(spark: SparkSession, sf: str) -> DataFrame:
     """The fingerprint of a record, whatever order, blanks and forms of numbers it came in."""
-    return table(spark, sf, "events").select("event_id", J.digest(F.expr(_LOOSE)).alias("digest"))
+    return table(ship(spark), sf, "events").select("event_id", J.digest(F.expr(_LOOSE)).alias("digest"))
 
 
 @query("record_map", """WITH f AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY ALL)

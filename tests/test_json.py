@@ -96,3 +96,11 @@ def test_records_at_any_depth(spark):
     assert J.records_with(d.limit(0), ["i"], "t", "x").count() == 0
     truth = spark.createDataFrame([(0, '{"on": true, "n": 12}')], "i int, t string")
     assert J.records_with(truth, ["i"], "t", "True 12").count() + J.records_with(truth, ["i"], "t", "12 True").count() == 1
+
+
+def test_canonical_form_of_what_no_double_holds(spark):
+    """Whole numbers of any length, keys beyond the basic plane by code point; null where there is no one form."""
+    texts = ['{"n": 123456789012345678901234567890123456789012345, "a": -0}', '{"\U0001f44d": 1, "￮": 2}', "[1e400]", "[NaN]", "[1] 2", '{"a": {"b": 1, "\\u0062": 2}}', "[" * 200_000]
+    want = ['{"a":0,"n":123456789012345678901234567890123456789012345}', '{"￮":2,"\U0001f44d":1}', None, None, None, None, None]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r.c for r in d.select("i", J.canonical(F.col("t")).alias("c")).orderBy("i").collect()] == want
