@@ -4,14 +4,16 @@ told by expressions over the text's tokens, the others by Python's own parser, b
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import work_dir
+from ..operators.arrow import chunks
+from ..session import ship
 
 #: Strings, marks, and what stands between them.
 TOKEN = r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+'
@@ -132,31 +134,34 @@ def digest(text: Column) -> Column:
 
 def records_with(rows: DataFrame, keys: list[str], text: str, sought: str) -> DataFrame:
     """keys, path, record (JSON): every object of the JSON column, at any depth, whose own strings, numbers and truth values, joined by blanks, hold
-    `sought`. One round a level of nesting, over what is nested deeper alone, until nothing is left; a level is written, so that later
-    rounds don't parse again. Rows whose text is no JSON have no records."""
-    spark = rows.sparkSession
-    level = rows.select(*keys, F.lit("$").alias("path"), F.try_parse_json(text).alias("v")).where("v is not null")
-    found = []
-    while True:
-        level = _written(level.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")))
-        if level.isEmpty():
-            break
-        children = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-        kind = F.schema_of_variant("value")
-        scalar = F.when(kind == "BOOLEAN", F.initcap(F.variant_get("value", "$", "string"))).when(kind.rlike("^(STRING|BIGINT|DECIMAL|DOUBLE)"), F.variant_get("value", "$", "string"))
-        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit("["), F.col("pos"), F.lit("]")))
-        children = _written(children.select(*keys, "path", F.concat("path", step).alias("child"), "pos", F.col("key").isNotNull().alias("named"), scalar.alias("scalar"), F.when(kind.rlike("^(OBJECT|ARRAY)"), F.col("value")).alias("value")))
-        own = children.where("named and scalar is not null").groupBy(*keys, "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "scalar"))), lambda x: x["scalar"]), " ").alias("s"))
-        hit = own.where(F.contains("s", F.lit(sought))).select(*keys, "path")
-        found.append(level.join(hit, [*keys, "path"], "left_semi").select(*keys, "path", F.to_json("v").alias("record")))
-        level = children.where("value is not null").select(*keys, F.col("child").alias("path"), F.col("value").alias("v"))
-    out = found[0] if found else rows.select(*keys, F.lit("").alias("path"), F.lit("").alias("record")).limit(0)
-    for more in found[1:]:
-        out = out.unionByName(more)
+    `sought`. Each text is parsed and walked once; nothing is shuffled or written. Rows whose text is no JSON have no records."""
+    ship(rows.sparkSession)
+    own = rows.select(*keys, F.col(text).alias("_json"))
+    fields = [T.StructField("path", T.StringType()), T.StructField("record", T.StringType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "_json"):
+            found = [(i, *f) for i, t in enumerate(batch.column("_json").to_pylist()) if t for f in _holders(t, sought)]
+            at = pa.array([i for i, *_ in found], pa.int64())
+            columns = [*(c.take(at) for c in batch.columns[:-1]), pa.array([p for _, p, _ in found], pa.string()), pa.array([r for *_, r in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "path", "record"])
+
+    return own.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType, True) for f in own.schema.fields[:-1]), *fields]))
+
+
+def _holders(text: str, sought: str) -> list[tuple[str, str]]:
+    """Path and text of each record that holds `sought`."""
+    out = []
+    try:
+        todo = [("$", _parsed(text))]
+        while todo:
+            path, value = todo.pop()
+            if isinstance(value, dict):
+                if sought in " ".join(str(x) for x in value.values() if isinstance(x, (str, int, float))):
+                    out.append(tuple(x.encode("utf-8", "replace").decode() for x in (path, json.dumps(value, **_FORM))))
+                todo += [(f"{path}.{k}", x) for k, x in value.items() if isinstance(x, (dict, list))]
+            elif isinstance(value, list):
+                todo += [(f"{path}[{i}]", x) for i, x in enumerate(value) if isinstance(x, (dict, list))]
+    except (ValueError, RecursionError):
+        return []
     return out
-
-
-def _written(df: DataFrame) -> DataFrame:
-    path = work_dir(df.sparkSession, "json-level")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -104,3 +104,11 @@ def test_canonical_form_of_what_no_double_holds(spark):
     want = ['{"a":0,"n":123456789012345678901234567890123456789012345}', '{"￮":2,"\U0001f44d":1}', None, None, None, None, None]
     d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     assert [r.c for r in d.select("i", J.canonical(F.col("t")).alias("c")).orderBy("i").collect()] == want
+
+
+def test_records_are_found_in_one_pass(spark):
+    """Own values in the order they stand in; no shuffle, nothing written on the way."""
+    d = spark.createDataFrame([(1, '{"z": "a", "b": ["x", {"y": 1.5, "a": true}], "a": "b"}'), (2, '{"a": 1, "a": "a b"}')], "i int, t string")
+    assert [tuple(r) for r in J.records_with(d, ["i"], "t", "a b").collect()] == [(1, "$", '{"a":"b","b":["x",{"a":true,"y":1.5}],"z":"a"}')]
+    found = J.records_with(d, ["i"], "t", "1.5 True")
+    assert [r.path for r in found.collect()] == ["$.b[1]"] and "Exchange" not in found._jdf.queryExecution().toString()
