@@ -50,3 +50,14 @@ def test_ten_thousand_aliases(spark):
     d = spark.range(200).selectExpr("id AS i", "concat('please, ALIAS  number ', id * 7, ' of them, and alias number ', id * 7 + 3, ' of them') AS q")
     got = terms.resolve_styles(d, "i", "q", a, ["P0", "P1", "P2"]).collect()
     assert len(got) == 200 and all(r.source == "owner_request" and r.votes == 2 and r.profile == f"P{r.i * 7 % 3}" for r in got)
+
+
+@pytest.mark.parametrize("most", [(0, 10**6), (10**6, 10), (10**6, 10**6)])
+def test_scan_and_index_agree(spark, monkeypatch, most):
+    """Few terms are looked for in one pass that shuffles no text; many, or long ones, by the index."""
+    monkeypatch.setattr(terms, "MOST_SCANNED", most[0])
+    monkeypatch.setattr(terms, "MOST_CHARS", most[1])
+    own, texts = ["ab", "b", "abc", "\0x", "👍 b", "ab", "", None, "zz"], ["xabc", None, "", "\0x👍 b", "bb" * 9]
+    found = terms.hits(spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "k string, t string"), "k", "t", spark.createDataFrame([(w,) for w in own], "w string"), "w")
+    assert sorted(map(tuple, found.collect())) == sorted((f"k{i}", w) for i, t in enumerate(texts) for w in {w for w in own if w} if t and w in t)
+    assert ("Exchange" in found._jdf.queryExecution().toString()) == (min(most) < 10**6)
