@@ -79,7 +79,9 @@ def redact(text: Column, most: int | None = None) -> Column:
     """Bearer tokens, JSON web tokens and e-mail addresses replaced, then cut if a length is given."""
     t = F.regexp_replace(text, r"(?i)bearer\s+[a-z0-9._~+/=-]+", "Bearer [redacted]")
     t = F.regexp_replace(t, r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[jwt]")
-    t = F.regexp_replace(t, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
+    # a run of characters is looked at from its start alone, or from where the address before ended; a text without @ not at all
+    mail = F.regexp_replace(t, r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
+    t = F.when(F.contains(t, F.lit("@")), mail).otherwise(t)
     return t if most is None else F.substring(t, 1, most)
 
 
