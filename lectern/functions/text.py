@@ -49,15 +49,27 @@ _ONE = {c: f for c, f in _FOLDED.items() if len(f) == 1}
 _MANY = {c: f for c, f in _FOLDED.items() if len(f) > 1 and c != "ß"}
 
 
+def _ranges(chars: str, gap: int = 16) -> str:
+    """Ranges of a character class that has all of `chars`, and others between neighbours."""
+    codes = sorted(map(ord, chars))
+    starts = [c for c, before in zip(codes, [-gap - 1, *codes]) if c - before > gap]
+    ends = [c for c, after in zip(codes, [*codes[1:], 1 << 30]) if after - c > gap]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+#: A text with none of these is folded by lower case and ß alone; a wider class costs time, no result. Sigma's lower case hangs on its place.
+_SPECIAL = "[\u00b5-\U0001ffff&&[Σ" + _ranges("".join(c for c in map(chr, range(0x80, 0x20000)) if c.lower().replace("ß", "ss") != c.casefold())) + "]]"
+
+
 def casefold(text: Column) -> Column:
-    """Unicode case folding. Texts in Latin letters other than ß take lower case alone; those with a character that folds to several
+    """Unicode case folding. Texts of letters that fold to lower case (and ß) take that alone; those with a character that folds to several
     are rare, and folded letter by letter."""
     low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     folds = F.create_map(*(F.lit(x) for pair in _MANY.items() for x in pair))
     spelled = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(folds, c), c)), "")
     one = "".join(_ONE), "".join(_ONE.values())
-    rare = F.when(low.rlike("[" + "".join(_MANY) + "]"), F.translate(spelled, *one)).otherwise(F.translate(low, *one))
-    return F.when(text.rlike(r"[^\x00-\xB4\xB6-\xDE\xE0-\u0130\u0132-\u0148\u014A-\u017E]"), rare).otherwise(F.lower(text))
+    rare = F.when(low.rlike("[" + _ranges("".join(_MANY)) + "]"), F.translate(spelled, *one)).otherwise(F.translate(low, *one))
+    return F.when(text.rlike(_SPECIAL), rare).otherwise(low)
 
 
 def label(text: Column) -> Column:
