@@ -33,6 +33,8 @@ from .words import mix, ranges
 SCALE, K = 256, 5
 QUERY_BLOCK, BLOCK, LEAST_SLOT, SLOT = 256, 4096, 1 << 10, 1 << 16
 RESOLUTIONS = (1, 4, 16)
+#: While more than one in so many pairs of a block are left, they are bounded and scored by matrix products.
+DENSE = 64
 #: Products of numbers whose sums stay below this are exact as doubles.
 _EXACT = 2.0**53
 
@@ -84,27 +86,44 @@ class _Best:
             some = np.where(self.ids[:, None] == ids[None, : 16 * self.k], -np.inf, some)
             guess = np.sort(some, axis=1)[:, -self.k] if some.shape[1] >= self.k else np.full(len(self.ids), -np.inf)
             floor = np.maximum(floor, guess)
-        rows, cols = None, None
+        mask, rows, cols = None, None, None
         for s, (m, d) in stats.items():
             qm, qd = self.stats[s]
+            if mask is None or (rows is None and self._many(mask.sum(), mask)):  # matrix products, while that many pairs are left
+                within = qm @ m.T + qd @ d.T + bound_of_error >= floor[:, None]
+                mask = within if mask is None else mask & within
+                continue
             if rows is None:
-                rows, cols = np.nonzero(qm @ m.T + qd @ d.T + bound_of_error >= floor[:, None])
-            else:
-                upper = np.concatenate([np.einsum("ij,ij->i", qm[rows[a : a + 65536]], m[cols[a : a + 65536]]) + np.einsum("ij,ij->i", qd[rows[a : a + 65536]], d[cols[a : a + 65536]]) for a in range(0, len(rows), 65536)] or [np.empty(0)])
-                keep = upper + bound_of_error >= floor[rows]
-                rows, cols = rows[keep], cols[keep]
+                rows, cols = np.nonzero(mask)
+            upper = np.concatenate([np.einsum("ij,ij->i", qm[rows[a : a + 65536]], m[cols[a : a + 65536]]) + np.einsum("ij,ij->i", qd[rows[a : a + 65536]], d[cols[a : a + 65536]]) for a in range(0, len(rows), 65536)] or [np.empty(0)])
+            keep = upper + bound_of_error >= floor[rows]
+            rows, cols = rows[keep], cols[keep]
+        if rows is None:
+            rows, cols = np.nonzero(mask)
         other = self.ids[rows] != ids[cols]
         rows, cols = rows[other], cols[other]
-        exact = np.concatenate([self._pairs(rows[a : a + 65536], x[cols[a : a + 65536]]) for a in range(0, len(rows), 65536)] or [np.empty(0, np.int64)])
+        if self._many(len(rows), mask) and self._small(x):
+            exact = self._products(np.arange(len(self.ids)), x)[rows, cols].astype(np.int64)
+        else:
+            exact = np.concatenate([self._pairs(rows[a : a + 65536], x[cols[a : a + 65536]]) for a in range(0, len(rows), 65536)] or [np.empty(0, np.int64)])
         cuts = np.searchsorted(rows, np.arange(len(self.ids) + 1))
         for r in np.unique(rows):
             a, b = cuts[r], cuts[r + 1]
-            got = self.found[r] + list(zip((-exact[a:b]).tolist(), ids[cols[a:b]].tolist()))
+            score, own = exact[a:b], ids[cols[a:b]]
+            if b - a > self.k:  # the k best, and those that tie with the last
+                best = score >= np.partition(score, -self.k)[-self.k]
+                score, own = score[best], own[best]
+            got = self.found[r] + list(zip((-score).tolist(), own.tolist()))
             got.sort()
             self.found[r] = got[: self.k]
             for place, (neg, _) in enumerate(self.found[r]):
                 self.score[r, place] = -neg
 
+    @staticmethod
+    def _many(pairs: int, block: np.ndarray) -> bool:
+        """So many of a block's pairs that a matrix product is faster than to gather them."""
+        return pairs > block.size // DENSE
+
     def _products(self, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
         return self.f[rows] @ x.astype(float).T if self._small(x) else (self.q[rows] @ x.T).astype(float)
 

@@ -2,6 +2,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,18 @@ def test_queries_that_share_an_id(spark):
     for r in sorted(got, key=lambda r: r.rank):
         lists.setdefault(r.query_hash, []).append(r.vec_id)
     assert sorted(lists.values()) == [[1, 3], [2, 3]]
+
+
+@pytest.mark.parametrize("dense", [1, 64, 1 << 40])
+def test_topk_by_products_and_by_pairs(monkeypatch, dense):
+    """However many pairs are left, the same best rows, ties to the smaller id."""
+    monkeypatch.setattr(topk, "DENSE", dense)
+    g = np.random.default_rng(7)
+    v = np.concatenate([g.integers(-300, 300, (900, 64)), np.zeros((40, 64), int), g.integers(-2, 3, (60, 64))]).astype(np.int64)
+    v[100:130], ids = v[99], g.permutation(1000).astype(np.int64)
+    best = topk._Best(ids[::9], v[::9], 5)
+    for a in range(0, 1000, 300):
+        x = v[a : a + 300]
+        best.meet(ids[a : a + 300], x, {s: topk._statistics(x.astype(float), s) for s in topk.RESOLUTIONS})
+    want = [sorted((-int(q @ x), int(j)) for j, x in zip(ids, v) if j != i)[:5] for i, q in zip(ids[::9], v[::9])]
+    assert best.found == want
