@@ -43,12 +43,25 @@ from .words import CACHES, ranges
 N_BEST = 4
 #: Units kept by a worker process; above it the cache starts anew. Longer units than LONG are searched each time.
 CACHE_UNITS, LONG = 500_000, 1 << 12
+#: Characters below it are looked up in a table of pairs.
+NEAR = 512
 _BLANK = "▁"
 
 
 _LITTLE = sys.byteorder == "little"
 
 
+def tree(score: dict[str, tuple]) -> dict[str, tuple]:
+    """Pieces by their characters: each node has what comes next, and the score and ids of the piece that ends there (None: none does)."""
+    root: dict[str, tuple] = {}
+    for p, (s, ids) in sorted(score.items(), key=lambda x: -len(x[0])):
+        node = root
+        for c in p[:-1]:
+            node = node.setdefault(c, ({}, 0.0, None))[0]
+        node[p[-1]] = (node.get(p[-1], ({},))[0], s, ids)
+    return root
+
+
 class Pieces:
     """The pieces of a model file: ids and scores by their characters, and the bytes of each id."""
 
@@ -73,27 +86,91 @@ class Pieces:
                 self.bytes.append(p.encode())
         #: (score, ids) of each piece; an empty tuple for what only begins one.
         self.known: dict[str, tuple] = dict.fromkeys((p[:k] for p in self.score for k in range(1, len(p))), ()) | self.score
+        self.root = tree(self.score)
         least = min(s for s, _ in self.score.values())
         #: Score of a byte piece: below all others, so that it is used for unknown characters only.
         self.byte_score = least - 10.0
         self.score_of = np.array([self.byte_score if model.is_byte(i) else model.get_score(i) for i in range(model.get_piece_size())])
         together = np.array(sorted({(ord(a) << 21) | ord(b) for p in self.score for a, b in zip(p, p[1:])}), np.uint64)
         self.together = together
+        #: For characters below NEAR, a table of what `together` says.
+        a, b = (together >> np.uint64(21)).astype(np.int64), (together & np.uint64((1 << 21) - 1)).astype(np.int64)
+        near = (a < NEAR) & (b < NEAR)
+        self.apart = np.ones(NEAR * NEAR, bool)
+        self.apart[a[near] * NEAR + b[near]] = False
 
     def cuts(self, points: np.ndarray) -> np.ndarray:
         """For neighbouring characters: whether no piece has them together."""
-        key = (points[:-1].astype(np.uint64) << np.uint64(21)) | points[1:].astype(np.uint64)
-        at = np.minimum(np.searchsorted(self.together, key), len(self.together) - 1)
-        return self.together[at] != key
+        low = np.minimum(points, NEAR - 1).astype(np.int32)
+        out = self.apart[low[:-1] * NEAR + low[1:]]
+        far = points >= NEAR
+        far = np.flatnonzero(far[:-1] | far[1:])
+        if len(far):
+            key = (points[far].astype(np.uint64) << np.uint64(21)) | points[far + 1].astype(np.uint64)
+            at = np.minimum(np.searchsorted(self.together, key), len(self.together) - 1)
+            out[far] = self.together[at] != key
+        return out
 
     def merged(self, units: list[str]) -> list[tuple[float, bytes]]:
         """Score and ids of each unit as the model's merges leave it. A line feed, which merges with nothing, keeps the blank
         that the tokenizer puts first away from the unit; both are dropped."""
-        out = []
-        for unit, ids in zip(units, self.model.encode(["\n" + u for u in units], num_threads=1)):
-            own = np.array([self.byte[b] for b in unit.encode()] if _BLANK in unit else ids[2:], "<u4")
-            out.append((float(self.score_of[own].sum()), own.tobytes()))
-        return out
+        if not units:
+            return []
+        found = [[self.byte[b] for b in u.encode()] if _BLANK in u else ids[2:] for u, ids in zip(units, self.model.encode(["\n" + u for u in units], num_threads=1))]
+        at = np.cumsum([0] + [len(x) for x in found])
+        flat = np.fromiter(itertools.chain.from_iterable(found), "<u4", at[-1])
+        score, data, at = np.add.reduceat(self.score_of[flat], at[:-1]).tolist(), flat.tobytes(), (at * 4).tolist()
+        return [(s, data[a:b]) for s, a, b in zip(score, at, at[1:])]
+
+    def two_best(self, unit: str) -> tuple[float, bytes, float]:
+        """Best score of a unit, its ids, and what the second best costs more, as `n_best` finds them: forward alone, as the second
+        best up to a place ends with the second best piece there, or with the best one behind the second best up to that one."""
+        size, root = len(unit), self.root
+        best, second, back, gap = [-math.inf] * (size + 1), [-math.inf] * (size + 1), [None] * (size + 1), [math.inf] * (size + 1)
+        best[0] = 0.0
+        for i, c in enumerate(unit):
+            here = best[i]
+            if i:
+                g, before = here - second[i], gap[back[i][1]]
+                gap[i] = g if g < before else before
+            node, end = root.get(c), i + 1
+            if node is None or node[2] is None:  # its bytes stand for the character
+                ids = tuple([self.byte[b] for b in c.encode("utf-8", "surrogatepass")])
+                arcs = ((end, self.byte_score * len(ids), ids),)
+            else:
+                arcs = ()
+            while node is not None:
+                follow, s, ids = node
+                if ids is not None:
+                    total, b = here + s, best[end]
+                    if total > b:
+                        best[end], second[end], back[end] = total, b, (ids, i, s)
+                    elif total >= second[end]:
+                        second[end] = total
+                        if total == b and ids < back[end][0]:
+                            back[end] = (ids, i, s)
+                if end == size:
+                    break
+                node = follow.get(unit[end])
+                end += 1
+            for end, s, ids in arcs:
+                total, b = here + s, best[end]
+                if total > b:
+                    best[end], second[end], back[end] = total, b, (ids, i, s)
+                elif total >= second[end]:
+                    second[end] = total
+                    if total == b and ids < back[end][0]:
+                        back[end] = (ids, i, s)
+        if not size:
+            return 0.0, b"", math.inf
+        cost = min(best[size] - second[size], gap[back[size][1]])
+        score, taken, i = 0.0, [], size
+        while i:
+            ids, i, s = back[i]
+            score += s
+            taken.append(ids)
+        own = array("I", itertools.chain.from_iterable(reversed(taken)))
+        return score, own.tobytes() if _LITTLE else np.array(own, "<u4").tobytes(), cost
 
     def _lattice(self, unit: str) -> tuple[list[float], list[list]]:
         """Forward Viterbi: the best score up to every place, and of each place the pieces that end there: (minus the score of the
@@ -198,11 +275,6 @@ class Encoder:
         self.two: dict[str, tuple[float, bytes, float]] = {}
         self.more: dict[str, list[tuple[float, bytes]]] = {}
 
-    def _unit(self, unit: str) -> tuple[float, bytes, float]:
-        """Best score, its ids, and what the second best costs more."""
-        got = self.pieces.n_best(unit, min(2, self.n))
-        return got[0][0], got[0][1], got[0][0] - got[1][0] if len(got) > 1 else np.inf
-
     def units(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct units, and the texts' units as codes with bounds."""
         joined = "".join(" " + t if t else "" for t in texts)
@@ -211,8 +283,12 @@ class Encoder:
         start = np.zeros(len(points) + 1, bool)
         start[first] = True
         start[1:-1] |= self.pieces.cuts(points) if len(points) else False
-        at = np.flatnonzero(start).tolist()
-        parts = pa.array([joined[a:b] for a, b in zip(at, at[1:])], pa.string()).dictionary_encode()
+        at = np.flatnonzero(start)
+        # where each unit begins in UTF-8: an ASCII character is a byte, others one to three more
+        wide = np.flatnonzero(points >= 0x80)
+        more = np.cumsum(np.concatenate([[0], 1 + (points[wide] >= 0x800) + (points[wide] >= 0x10000)]))
+        place = at + more[np.searchsorted(wide, at)]
+        parts = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(place.astype("<i8")), pa.py_buffer(joined.encode())]).dictionary_encode()
         return parts.dictionary.to_pylist(), np.asarray(parts.indices, dtype=np.int64), np.searchsorted(at, first)
 
     def encode(self, texts: list[str]) -> list[list[tuple[float, np.ndarray]]]:
@@ -228,7 +304,7 @@ class Encoder:
         new = [u for u in vocab if u not in two]
         own.update(zip(new, self.pieces.merged(new)))
         for u in new:
-            two[u] = self._unit(u)
+            two[u] = self.pieces.two_best(u)
         merged = [own[u] for u in vocab]
         flat, place = _laid_out([m[1] for m in merged], codes)
         per_unit = np.array([m[0] for m in merged])[codes] if len(codes) else np.zeros(0)

@@ -209,3 +209,27 @@ def test_caches_of_other_operators_are_emptied(monkeypatch):
     known = packing.shared_word_ids(BPE)
     assert list(W.chunks(iter([]), owner="packing")) == [] and packing.shared_word_ids(BPE) is known
     assert list(W.chunks(iter([]))) == [] and packing.shared_word_ids(BPE) is not known
+
+
+def test_units_are_searched_forward_alone(monkeypatch):
+    """Best and second best of a new unit come without the search for the N best, of which a text needs N - 1 units' at most; ties, units
+    of several scripts and the table of neighbouring characters included."""
+    e, searched, own = pieces.Encoder(MODEL, 4), [], pieces.Pieces.n_best
+    monkeypatch.setattr(pieces.Pieces, "n_best", lambda self, unit, n: searched.append(unit) or own(self, unit, n))
+    random.seed(4)
+    texts = [" ".join("".join(random.choice("etaoinshr") for _ in range(random.randint(2, 9))) for _ in range(200)) for _ in range(5)]
+    e.both(texts)
+    assert len(e.two) > 500 and len(searched) <= 3 * len(texts)
+    tied = pieces.Pieces(MODEL)
+    for k, (p, (s, ids)) in enumerate(sorted(tied.score.items())):  # scores of few values make many ties, of three ways and more
+        tied.score[p] = (-float(k % 3), ids)
+    tied.known = dict.fromkeys((p[:k] for p in tied.score for k in range(1, len(p))), ()) | tied.score
+    tied.root = pieces.tree(tied.score)
+    units = ["".join(random.choice("  theaéinr\n.,'日xñ👍\tz▁") for _ in range(random.randint(1, 14))) for _ in range(1500)] + ["=" * 50, "a" * 31, " "]
+    for p in (e.pieces, tied):
+        for u in units:
+            (score, ids), *more = own(p, u, 2)
+            assert p.two_best(u) == (score, ids, score - more[0][0] if more else np.inf), u
+    points = np.array([random.choice([random.randrange(32, 700), random.randrange(32, 0x3100), random.randrange(32, 0x20000)]) for _ in range(20_000)], "<u4")
+    together = {a + b for p in e.pieces.score for a, b in zip(p, p[1:])}
+    assert e.pieces.cuts(points).tolist() == [chr(a) + chr(b) not in together for a, b in zip(points[:-1].tolist(), points[1:].tolist())]
