@@ -51,6 +51,11 @@ def encode(values: np.ndarray) -> bytes:
     return head.tobytes() + words.tobytes() + ones.tobytes() + packed.tobytes() + pad
 
 
+def _zeros(x: np.ndarray) -> np.ndarray:
+    """How many clear bits are below the lowest set one."""
+    return np.bitwise_count((x - _U[1]) & ~x).astype(np.int64)
+
+
 class Sequence:
     """An encoded sequence in a buffer (bytes, or a mapped file's slice)."""
 
@@ -93,18 +98,47 @@ class Sequence:
         i = np.asarray(i, np.int64)
         return ((self._select(self.ones, i, False) - i) << self.low_bits) | self._low(i)
 
+    def get_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The elements at positions i and i + 1 (i in 0..n-2): the second one's bit is mostly in the word of the first one's."""
+        i = np.asarray(i, np.int64)
+        place = self._select(self.ones, i, False)
+        after = place + 1
+        x = self.words[after >> 6] >> (after & 63).astype(np.uint64)
+        after += _zeros(x)
+        far = np.flatnonzero(x == 0)
+        after[far] = self._select(self.ones, i[far] + 1, False)
+        return ((place - i) << self.low_bits) | self._low(i), ((after - i - 1) << self.low_bits) | self._low(i + 1)
+
     def find(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Successor search: the first position in [lo, hi) whose element is `value` or more; hi where there is none."""
+        return self.search(value, lo, hi)[0]
+
+    def search(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Successor search, and whether the element there is `value`. Elements of one high part stand together, from behind the clear
+        bit of the part before up to the next clear bit, which is mostly in the same word."""
+        if not self.n:
+            return np.array(hi), np.zeros(len(value), bool)
         high = value >> self.low_bits
         steps = self.length - self.n  # clear bits
-        start = np.where(high > 0, self._select(self.clear, np.clip(high - 1, 0, steps - 1), True) - np.clip(high - 1, 0, steps - 1), 0)
-        stop = np.where(high < steps, self._select(self.clear, np.clip(high, 0, steps - 1), True) - np.clip(high, 0, steps - 1), self.n)
-        start = np.where(high - 1 >= steps, self.n, start)
-        a, b = np.clip(start, lo, hi), np.clip(stop, lo, hi)
+        h = np.clip(high, 0, steps - 1)
+        place = np.where(h > 0, self._select(self.clear, np.maximum(h - 1, 0), True) + 1, 0)
+        x = ~self.words[place >> 6] >> (place & 63).astype(np.uint64)
+        start = place - h
+        stop = start + _zeros(x)
+        far = np.flatnonzero(x == 0)
+        stop[far] = self._select(self.clear, h[far], True) - h[far]
+        beyond = high >= steps
+        a, b = np.clip(np.where(beyond, self.n, start), lo, hi), np.clip(np.where(beyond, self.n, stop), lo, hi)
+        b[high < 0] = a[high < 0]
         want = value & ((1 << self.low_bits) - 1)
-        while (open_ := a < b).any():
-            mid = (a + b) >> 1
-            less = np.zeros(len(a), bool)
-            less[open_] = self._low(mid[open_]) < want[open_]
-            a, b = np.where(open_ & less, mid + 1, a), np.where(open_ & ~less, mid, b)
-        return a
+        last, open_ = b.copy(), np.flatnonzero(a < b)
+        while len(open_):
+            mid = (a[open_] + b[open_]) >> 1
+            less = self._low(mid) < want[open_]
+            a[open_[less]] = mid[less] + 1
+            b[open_[~less]] = mid[~less]
+            open_ = open_[a[open_] < b[open_]]
+        same = np.zeros(len(a), bool)
+        inside = np.flatnonzero(a < last)
+        same[inside] = self._low(a[inside]) == want[inside]
+        return a, same

@@ -43,11 +43,11 @@ def mapped(uri: str) -> np.ndarray:
     """The file's bytes, mapped. A file in a remote store is first copied to a nameless local file."""
     if uri.startswith("file:") or "://" not in uri:
         path = uri[len("file://") :] if uri.startswith("file://") else uri.removeprefix("file:")
-        return np.memmap(path, np.uint8, "r")
+        return np.asarray(np.memmap(path, np.uint8, "r"))
     with tempfile.TemporaryFile() as copy:
         source = reader(uri)
         at, size = 0, source.size()
         while at < size:
             at += copy.write(source.read_at(min(8 << 20, size - at), at))
         copy.flush()
-        return np.memmap(copy, np.uint8, "r")
+        return np.asarray(np.memmap(copy, np.uint8, "r"))

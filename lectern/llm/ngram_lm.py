@@ -38,7 +38,7 @@ from .arrowmap import add_text_columns
 from .elias_fano import Sequence, encode
 from .files import mapped, new_name, write
 from .store import fresh_dir, parallelism
-from .words import Words, chunks, mix, ranges
+from .words import Words, chunks, first_of_equals
 
 END = 0x6C656374 << 24  # hash of the end token: fixed, outside what words are likely to hash to
 #: Pairs or triples of so many tokens are counted together by a task before they are shuffled.
@@ -58,11 +58,9 @@ class Tokens:
 
     def __init__(self, texts: pa.Array):
         words = Words(pc.ascii_lower(pc.fill_null(texts, "")))
-        vocab = Words.__new__(Words)
-        vocab.vocab, vocab.codes = words.vocab, np.arange(len(words.vocab))
-        self.hash = np.append(Words.hashes(vocab), np.uint64(END))
+        self.hash = np.append(words.vocab_hashes(), np.uint64(END))
         self.bounds = words.offsets + np.arange(len(words.offsets))
-        self.codes = np.full(self.bounds[-1], len(words.vocab), np.int64)
+        self.codes = np.full(self.bounds[-1], len(self.hash) - 1, np.int64)
         own = np.ones(len(self.codes), bool)
         self.ends = self.bounds[1:] - 1
         own[self.ends] = False
@@ -157,13 +155,19 @@ class Vocabulary:
 
 def _blocks(held: list[tuple[np.ndarray, ...]], bits: int, width: int) -> Iterator[pa.RecordBatch]:
     """Of numbers of a context and its successor, packed as context << bits | successor: one block per shard of `width` contexts,
-    with packed arrays of the context within the shard, the successor, the count, and what else goes with them."""
-    keys, first, n = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_counts=True)
-    rest = [np.concatenate(x)[first] for x in list(zip(*held))[1:]]
+    with packed arrays of the context within the shard, the successor, the count, and what else goes with them, which is the same for
+    equal numbers."""
+    keys, *rest = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(keys) if rest else None
+    keys = keys[order] if rest else np.sort(keys)
+    first = first_of_equals(keys)
+    rest = [x[order[first]] for x in rest]
+    keys, n = keys[first], np.diff(np.append(first, len(keys)))
     v, w = keys >> bits, keys & ((1 << bits) - 1)
     # only the shards that these contexts are of
-    own, first = np.unique(v // width, return_index=True)
-    cuts = np.append(first, len(v))
+    shard = v // width
+    first = first_of_equals(shard)
+    own, cuts = shard[first], np.append(first, len(v))
     columns = [x.astype("<u4") for x in (v % width, w, n)] + rest
     names = ["shard", "v", "w", "n", "lower"][: 1 + len(columns)]
     for lo in range(0, len(own), 64):
@@ -220,8 +224,10 @@ def _add_up(blocks: list[list[np.ndarray]]) -> list[np.ndarray]:
     """One block of different rows (context, successor, count as 64 bits, and what goes with them), sorted, of many."""
     v, w, n, *rest = (np.concatenate(x) for x in zip(*blocks))
     key = (v.astype(np.int64) << 32) | w
-    order = np.argsort(key, kind="stable")
-    key, first = np.unique(key[order], return_index=True)
+    order = np.argsort(key)
+    key = key[order]
+    first = first_of_equals(key)
+    key = key[first]
     return [(key >> 32).astype("<u4"), (key & 0xFFFFFFFF).astype("<u4"), np.add.reduceat(n[order].astype(np.int64), first), *(x[order[first]] for x in rest)]
 
 
@@ -296,17 +302,16 @@ class Level:
     def find(self, v: np.ndarray, w: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of successors w (-1: unknown) of local contexts v, in order of v: log10 P, place in the shard and rank behind v (-1: not
         there). `lower`: log10 P in the shorter context."""
-        own, first = np.unique(v, return_index=True)
-        n = np.diff(np.append(first, len(v)))
-        a, b = self.pointers.get(own), self.pointers.get(own + 1)
+        first = first_of_equals(v)
+        own, n = v[first], np.diff(np.append(first, len(v)))
+        a, b = self.pointers.get_two(own)
         # the shift of a context: what all contexts before it have reached, that is the last value before it, plus one
         prior, s = (b > a) & (a > 0), np.zeros(len(own), np.int64)
         s[prior] = self.values.get(a[prior] - 1) + 1
         lo, hi, shift = np.repeat(a, n), np.repeat(b, n), np.repeat(s, n)
         used = hi > lo
-        at = np.where(used, self.values.find(w + shift, lo, hi), hi)
-        hit = used & (at < hi) & (w >= 0)
-        hit[hit] = self.values.get(at[hit]) == (w + shift)[hit]
+        at, hit = self.values.search(w + shift, lo, hi)
+        hit &= w >= 0
         out = np.array(lower, float)
         out[hit] = self.p_book[self.p_code[at[hit]]]
         miss = used & ~hit
@@ -332,9 +337,10 @@ class Trie:
     def find(self, v: np.ndarray, w: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As Level.find, for contexts of the whole level in ascending order (-1: unknown), with places in the whole level."""
         p, place, rank = np.array(lower, float), np.full(len(v), -1, np.int64), np.full(len(v), -1, np.int64)
-        own, first = np.unique(v // self.width, return_index=True)
-        for s, a, b in zip(own.tolist(), first.tolist(), np.append(first[1:], len(v)).tolist()):
+        cuts = np.searchsorted(v, np.arange(self.shards + 1) * self.width)
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
             if s in self.paths:
+                a, b = cuts[s], cuts[s + 1]
                 p[a:b], at, rank[a:b] = self._level(s).find(v[a:b] - s * self.width, w[a:b], lower[a:b])
                 place[a:b] = np.where(at >= 0, at + self.base[s], -1)
         return p, place, rank

@@ -7,6 +7,8 @@ is cut between documents only, so memory is bounded by the chunk size or by the
 from __future__ import annotations
 
 import ctypes
+import functools
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -70,10 +72,13 @@ class Words:
             coded = coded.combine_chunks()
         self.codes = np.asarray(coded.indices, dtype=np.int64)
         self.dictionary = coded.dictionary
-        self.vocab: list[str] = coded.dictionary.to_pylist()
         self.starts, self.ends = self.offsets[:-1], self.offsets[1:]
         self.counts = np.diff(self.offsets)
 
+    @functools.cached_property
+    def vocab(self) -> list[str]:
+        return self.dictionary.to_numpy(zero_copy_only=False).tolist()
+
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
@@ -81,10 +86,19 @@ class Words:
         """For each word, how many words its document has from there on."""
         return np.repeat(self.ends, self.counts) - np.arange(len(self.codes))
 
+    def vocab_hashes(self, seed: int = 0) -> np.ndarray:
+        """A hash of each different word, of its bytes as Arrow has them; those of different seeds are independent."""
+        own = self.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, own, itertools.repeat(seed)), np.uint64, len(own))
+
     def hashes(self, seed: int = 0) -> np.ndarray:
-        """A hash of each word; those of different seeds are independent."""
-        one = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in self.vocab), np.uint64, len(self.vocab))
-        return one[self.codes]
+        """The same of each word."""
+        return self.vocab_hashes(seed)[self.codes]
+
+
+def first_of_equals(key: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
 
 
 def repeated(key: np.ndarray) -> np.ndarray:

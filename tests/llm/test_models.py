@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lectern.llm import elias_fano, langid, ngram_lm, quality_bayes
@@ -28,6 +29,39 @@ def test_elias_fano():
         assert (s.find(q, lo, hi) == np.clip(np.searchsorted(v, q), lo, hi)).all()
 
 
+def test_elias_fano_neighbours():
+    """Elements with their followers, and whether a successor is the value itself: high parts of many elements, gaps of many words."""
+    r = np.random.default_rng(1)
+    for n, u in ((2, 1), (5, 3), (1000, 50), (4000, 7), (1000, 2**40), (3000, 2**38), (64, 64), (63, 1), (65, 2), (3, 2**60)):
+        for v in (np.sort(r.integers(0, u, n)), np.sort(np.where(r.random(n) < 0.9, u - 1, r.integers(0, u, n)))):
+            s = elias_fano.Sequence(np.frombuffer(elias_fano.encode(v), np.uint8))
+            a, b = s.get_two(np.arange(n - 1))
+            assert (a == v[:-1]).all() and (b == v[1:]).all()
+            q = np.concatenate([v, v + 1, r.integers(0, u, 100), [-1]])
+            lo, hi = np.sort(r.integers(0, n + 1, (2, len(q))), axis=0)
+            at, same = s.search(q, lo, hi)
+            want = np.clip(np.searchsorted(v, q), lo, hi)
+            assert (at == want).all() and (same == [k < h and v[k] == x for k, h, x in zip(want, hi, q)]).all()
+
+
+def test_lm_lookups_select_few_bits(spark, monkeypatch):
+    """A successor's lookup selects a bit for its context, one for the context before and one for its value, with few more where words
+    end (six and more before); words are hashed as Arrow has them, without a Python string of each."""
+    texts = [" ".join(f"w{x}" for x in np.random.default_rng(k).zipf(1.3, 300) % 5000) for k in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(ngram_lm, "parallelism", lambda spark: 1)
+    model = ngram_lm.train(docs)
+    t = ngram_lm.Tokens(pa.array(texts))
+    asked, selected, select, find = [], [], elias_fano.Sequence._select, ngram_lm.Level.find
+    monkeypatch.setattr(elias_fano.Sequence, "_select", lambda self, counts, k, flip: selected.append(len(k)) or select(self, counts, k, flip))
+    monkeypatch.setattr(ngram_lm.Level, "find", lambda self, v, w, lower: asked.append(len(v) + 2 * len(np.unique(v))) or find(self, v, w, lower))
+    ngram_lm.Found(t, model.vocabulary, model.pairs).scores(model.triples)
+    assert sum(asked) > 30_000 and sum(selected) < 1.2 * sum(asked), (sum(selected), sum(asked))
+    own = ngram_lm.Words(pa.array(["Zoë b", "b \U0001f44d"]))
+    assert own.vocab_hashes(3).tolist() == [xxhash.xxh3_64_intdigest(w.encode(), 3) for w in ("Zoë", "b", "\U0001f44d")] and "vocab" not in own.__dict__
+    assert own.vocab == ["Zoë", "b", "\U0001f44d"]
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     held = langid.held_out(F.col("doc_id"), 3)
